@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes handled at once; the arrays made from them take up to fifty times as much.
 SLICE_BYTES = 2 << 20
@@ -15,7 +16,7 @@ def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
     """Row ranges of about ``most`` bytes of text; a longer text is a range of its own."""
     if not len(texts):
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     lo, held = 0, 0
     for i, n in enumerate(size.tolist()):
         if held and held + n > most:
