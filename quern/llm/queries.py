@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import near, packing, quality, substring
+from quern.llm import near, packing, piece, quality, sstable, store, substring
 
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -22,12 +22,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = store.new_path(spark, "sst")
+    shards = sstable.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE))
+    return sstable.scan(shards, folder)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near.classes(docs, "doc_id", "text", k=3, num=85, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.digest(substring.find(docs, "text", 35), "text", "doc_id", 35)

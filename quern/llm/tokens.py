@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 400_000
+#: Pieces kept; when they are more, those of the batch at hand stay.
+CACHE = 450_000
 #: Text bytes handled at once.
 SLICE = 8 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -42,13 +43,17 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
-        self._clear()
-
-    def _clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids = [np.zeros(0, self.kind)]
         self.flat, self.at, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _keep(self, wanted: list[str]) -> None:
+        wanted = [x for x in wanted if x in self.slot]
+        slot = np.array([self.slot[x] for x in wanted], np.int64)
+        size = self.size[slot]
+        end = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.at[slot] - (end - size), size) + np.arange(int(size.sum()))]
+        self.slot, self.at, self.size = dict(zip(wanted, range(len(wanted)), strict=True)), end - size, size
+
     def _learn(self, new: list[str]) -> None:
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
@@ -63,9 +68,9 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, len(texts) + 1 offsets)."""
         bounds, distinct, number = pieces(texts, " ", r"[\s\x{1c}-\x{1f}\x{85}\p{Z}] |\x{0}", _CUT)
-        if len(self.slot) + len(distinct) > CACHE and self.slot:
-            self._clear()
         distinct = distinct.to_pylist()
+        if len(self.slot) + len(distinct) > CACHE and self.slot:
+            self._keep(distinct)
         slots = list(map(self.slot.get, distinct))
         if new := [x for x, s in zip(distinct, slots, strict=True) if s is None]:
             self._learn(new)
