@@ -8,49 +8,53 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import near, packing, piece, quality, sstable, store, substring
+from quern.llm import ctw, near, packing, piece, quality, sstable, store, substring
+from quern.session import load
 
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return packing.pieces(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.new_path(spark, "sst")
-    shards = sstable.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE))
+    shards = sstable.write(load(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE))
     return sstable.scan(shards, folder)
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = ctw.score(docs.withColumn("held_out", held_out), ~held_out, carry=("doc_id", "held_out"), scanned=True)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = near.classes(docs, "doc_id", "text", k=3, num=85, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.digest(substring.find(docs, "text", 35), "text", "doc_id", 35)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     m = [F.col(f"m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return quality.judge(docs, keep_text=False).select("doc.doc_id", *m, "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
