@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def _anchors(n: int):
     return run
 
 
-def _extend(n: int):
+def _extend(text: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         seen: set[int] = set()
@@ -112,10 +113,11 @@ def _extend(n: int):
             held.clear()
             salt = mix(key.view(U) ^ (start.astype(U) << U(24)) ^ (tag.astype(np.int64).view(U) << U(40)))
             (a, b), weight = _combine([a, b], weight, salt)
-            return pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array(key), pa.array(tag), pa.array(start), pa.array(weight)], ["a", "b", "key", "tag", "start", "weight"])
+            return pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array((b >> U(33)).astype(np.int32)), pa.array(key), pa.array(tag), pa.array(start), pa.array(weight)], ["a", "b", "key", "tag", "start", "weight"])
 
         for batch in batches:
-            texts, keys, tags, lists = column(batch, "text"), column(batch, "key").to_numpy(), column(batch, "tag").to_numpy(), column(batch, "anchors")
+            texts = pc.fill_null(pc.struct_field(column(batch, "doc"), text), "")
+            keys, tags, lists = column(batch, "key").to_numpy(), column(batch, "tag").to_numpy(), column(batch, "anchors")
             marks = _mark(keys, tags)
             for lo, hi in text_slices(texts):
                 w = Words(texts.slice(lo, hi - lo))
@@ -163,8 +165,8 @@ def find(docs: DataFrame, text: str = "text", n: int = 35) -> DataFrame:
     first = plain.mapInArrow(_anchors(n), "g long, v long, key long, weight byte")
     repeated = first.withColumn("n", F.sum("weight").over(Window.partitionBy("g"))).filter("n >= 2")
     lists = repeated.groupBy("key").agg(F.collect_set("v").alias("anchors"))
-    wide = keyed.join(lists, "key").select("key", "tag", F.coalesce(F.col(f"doc.{text}"), F.lit("")).alias("text"), "anchors")
-    second = wide.mapInArrow(_extend(n), "a long, b long, key long, tag int, start int, weight byte")
+    wide = keyed.join(lists, "key").select("key", "tag", "doc", "anchors")  # the whole row, so that both joins read one exchange
+    second = wide.mapInArrow(_extend(text, n), "a long, b int, key long, tag int, start int, weight byte")
     sure = second.withColumn("n", F.sum("weight").over(Window.partitionBy("a", "b"))).filter("n >= 2")
     starts = sure.groupBy("key").agg(F.collect_list(F.struct("tag", "start")).alias("starts"))
     return keyed.join(starts, "key", "left").select("doc", "tag", "starts")
