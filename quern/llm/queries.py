@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ctw, near, packing, piece, quality, sstable, store, substring
+from quern.llm import ctw, near, packing, piece, quality, rollup, sstable, store, substring, urls, vafile
 from quern.session import load
 
 
@@ -19,6 +19,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts of all documents, deletes of every tenth, English revised to a second version; each batch is sent twice."""
+    docs = load(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    counted = docs.select("doc_id", "source", "lang", F.size(quality.words_of(F.col("text"))).cast("long").alias("words"), F.ceil(F.octet_length(text) / 4).cast("long").alias("quarters"))
+    first = counted.select(F.lit("insert").alias("op"), "source", "lang", F.lit("words-1").alias("version"), F.col("words").alias("tokens"), F.lit(None).cast("string").alias("old_version"), F.lit(None).cast("long").alias("old_tokens"))
+    second = counted.filter("doc_id % 10 = 3").select(F.lit("delete").alias("op"), "source", "lang", F.lit("words-1").alias("version"), F.col("words").alias("tokens"), F.lit(None).cast("string").alias("old_version"), F.lit(None).cast("long").alias("old_tokens"))
+    third = counted.filter("lang = 'en' and doc_id % 10 <> 3").select(F.lit("revise").alias("op"), "source", "lang", F.lit("quarters-2").alias("version"), F.col("quarters").alias("tokens"), F.lit("words-1").alias("old_version"), F.col("words").alias("old_tokens"))
+    ledger = store.new_path(spark, "ledger")
+    for name, batch in (("1", first), ("2", second), ("2", second), ("3", third), ("1", first)):
+        rollup.commit(batch, ledger, name)
+    return rollup.totals(spark, ledger)
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.new_path(spark, "sst")
     shards = sstable.write(load(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE))
@@ -38,6 +52,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(load(spark, sf_dir, "pages"))
+
+
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -58,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": OP10_SQL}
+    return {"op2_token_rollup": OP2_SQL, "op5_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
 
 
 def _op10_sql() -> str:
@@ -95,3 +117,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 OP10_SQL = _op10_sql()
+
+OP2_SQL = r"""
+WITH c AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS quarters FROM documents),
+live AS (SELECT * FROM c WHERE doc_id % 10 <> 3)
+SELECT source, lang, version, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
+  SELECT source, lang, 'words-1' AS version, words AS tokens FROM live WHERE lang <> 'en'
+  UNION ALL SELECT source, lang, 'quarters-2', quarters FROM live WHERE lang = 'en')
+GROUP BY source, lang, version
+"""
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT pair.a, pair.b FROM pair JOIN n x ON x.doc_id = pair.a JOIN n y ON y.doc_id = pair.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a AS doc_id, b AS other FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(m.low, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) m ON m.doc_id = w.doc_id
+"""
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(words[i:i + 34], ' ')) AS n FROM p),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM k, (SELECT unnest(range(0, 35)) AS j) WHERE n > 1),
+word AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w),
+kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS text, count(*) AS n FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
