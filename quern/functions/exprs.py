@@ -1,0 +1,210 @@
+"""Column expressions: dates, keys, money, rates, casts, hashes, network prefixes.  All of them stay in generated code."""
+
+from __future__ import annotations
+
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+MICROCENTS = 100_000_000
+
+
+def blank_default(x: Column, default) -> Column:
+    """``default`` for null and empty strings."""
+    return F.coalesce(F.nullif(x, F.lit("")), default if isinstance(default, Column) else F.lit(default))
+
+
+def all_of(*conditions: Column | None) -> Column:
+    """The conjunction of those conditions that are given; true without any."""
+    return reduce(and_, [c for c in conditions if c is not None], F.lit(True))
+
+
+def iso_week_key(t: Column) -> Column:
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), t).cast("string"), F.lit("-W"), F.lpad(F.extract(F.lit("WEEK"), t).cast("string"), 2, "0"))
+
+
+def day_key(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd")
+
+
+def minute_key(t: Column) -> Column:
+    return F.date_format(t, "yyyyMMddHHmm").cast("long")
+
+
+def week_start(t: Column) -> Column:
+    return F.date_trunc("week", t)
+
+
+def is_week_key(key: Column) -> Column:
+    """A valid ``YYYY-Www`` key: the Monday it names has that key again."""
+    year, week = F.substring(key, 1, 4), F.substring(key, 7, 2).try_cast("int")
+    fourth = F.try_to_timestamp(F.concat(year, F.lit("-01-04")))
+    monday = F.date_trunc("week", fourth) + F.make_interval(days=(week - 1) * 7)
+    return F.coalesce(key.rlike(r"^\d{4}-W\d{2}$") & (iso_week_key(monday) == key), F.lit(False))
+
+
+def anchored_month(now: Column, anchor: Column) -> tuple[Column, Column]:
+    """[start, end) of the month window that holds ``now`` and begins on the anchor's day and time, clamped to each month's length."""
+
+    def start(shift: int) -> Column:
+        month = F.add_months(F.trunc(now, "month"), shift)
+        day = F.least(F.dayofmonth(anchor), F.dayofmonth(F.last_day(month)))
+        return (F.date_add(month, day - 1).cast("timestamp").cast("long") + (anchor.cast("timestamp").cast("long") - F.date_trunc("day", anchor.cast("timestamp")).cast("long"))).cast("timestamp")
+
+    this, before, after = start(0), start(-1), start(1)
+    early = now.cast("timestamp") < this
+    return F.when(early, before).otherwise(this), F.when(early, this).otherwise(after)
+
+
+def seconds_to_midnight(t: Column) -> Column:
+    """Whole seconds up to the next UTC day."""
+    ms = F.unix_millis(t.cast("timestamp"))
+    return F.ceil((F.lit(86_400_000) - ms % 86_400_000) / 1000).cast("long")
+
+
+def epoch_time(x: Column) -> Column:
+    """A number is milliseconds above 1e10, else seconds."""
+    return F.when(x > 10_000_000_000, F.timestamp_millis(x.cast("long"))).otherwise(F.timestamp_seconds(x))
+
+
+def local_day(t: Column, offset: str) -> Column:
+    """The calendar day at a fixed offset of a UTC time without zone."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(offset), t.cast("timestamp_ntz")))
+
+
+def percent_change(now: Column, before: Column) -> Column:
+    """Rounded percent; without a positive value before, 100 if there is one now, else 0."""
+    return F.when(F.coalesce(before, F.lit(0)) <= 0, F.when(now > 0, 100).otherwise(0)).otherwise(F.floor((now - before) * 100 / before + 0.5)).cast("long")
+
+
+def share(x: Column, total: Column, places: int = 6) -> Column:
+    """x / total as a decimal; null where the total is not positive."""
+    return F.when(total > 0, F.round(x.cast("decimal(30,0)") / total.cast("decimal(30,0)"), places)).cast(f"decimal(18,{places})")
+
+
+def throughput(tokens: Column, first_ms: Column, last_ms: Column) -> Column:
+    """Tokens a second; null for spans under 100 ms or unknown."""
+    span = last_ms - first_ms
+    return F.when(span >= 100, F.try_divide(tokens * 1000.0, span))
+
+
+def safe_number(x: Column) -> Column:
+    """A finite double, else 0."""
+    d = x.try_cast("double")
+    return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), 0.0).otherwise(d)
+
+
+def safe_bool(x: Column) -> Column:
+    return F.when(x == "true", True).when(x == "false", False)
+
+
+def sum_of_known(*parts: Column) -> Column:
+    """The sum of those that are not null; null if all are."""
+    known = reduce(lambda a, b: a | b, [p.isNotNull() for p in parts])
+    return F.when(known, reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts]))
+
+
+def dollars_to_microcents(x: Column) -> Column:
+    return F.floor(x * MICROCENTS + 0.5).cast("long")
+
+
+def card_fee(cents: Column) -> Column:
+    """The fee that leaves ``cents`` after 4.4 per cent and 30 cents."""
+    return F.floor((cents + 30) / 0.956 * 0.044 + 30 + 0.5).cast("long")
+
+
+def tier_price(tokens: Column, context: Column, base, tiers: list[tuple[int, float]]) -> Column:
+    """Dollars for ``tokens`` at the price (per million) of the highest tier that the context exceeds."""
+    price = F.lit(base).cast("decimal(18,8)")
+    for size, p in sorted(tiers):
+        price = F.when(context > size, F.lit(p).cast("decimal(18,8)")).otherwise(price)
+    return tokens.cast("decimal(18,0)") * price / F.lit(1_000_000)
+
+
+def country(x: Column) -> Column:
+    """Two letters in upper case, else ZZ."""
+    return F.when(F.length(x) == 2, F.upper(x)).otherwise("ZZ")
+
+
+def ip_prefix(ip: Column) -> Column:
+    """An IPv4 address as /32, an IPv6 address as its /64 network; null for others."""
+    parts = F.split(ip, "::", 2)
+    section = lambda i: F.when(F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.try_element_at(parts, F.lit(i)), ":"))
+    head, tail = section(1), section(2)
+    missing = F.lit(8) - F.size(head) - F.size(tail)
+    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)
+    net = F.concat(F.concat_ws(":", F.transform(F.slice(full, 1, 4), lambda p: F.regexp_replace(F.lower(p), r"^0+(?=.)", ""))), F.lit("::/64"))
+    return F.when(ip.contains(".") & ~ip.contains(":"), F.concat(ip, F.lit("/32"))).when(ip.contains(":") & (missing >= 0) & (F.size(full) == 8), net)
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the length, rounded half up (code points, where the original counts UTF-16 units)."""
+    return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4 + 0.5).cast("long")
+
+
+def base64url(x: Column) -> Column:
+    return F.regexp_replace(F.translate(F.base64(x), "+/", "-_"), "[=\\s]", "")
+
+
+def unbase64url(x: Column) -> Column:
+    return F.unbase64(F.translate(x, "-_", "+/"))
+
+
+def cursor(time: Column, ident: Column) -> Column:
+    return base64url(F.to_json(F.struct(ident.alias("id"), time.alias("time"))).cast("binary"))
+
+
+def string_hash(x: Column, last: int = 4) -> Column:
+    """The 31-multiplier hash of the last characters, as an unsigned 32-bit number."""
+    codes = F.transform(F.filter(F.split(F.substring(x, -last, last), ""), lambda c: c != ""), F.ascii)
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % F.lit(1 << 32))
+
+
+def fnv1a(x: Column) -> Column:
+    """32-bit FNV-1a over code points, in base 36; null for empty text."""
+    codes = F.transform(F.filter(F.split(x, ""), lambda c: c != ""), F.ascii)
+    h = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda a, c: (a.bitwiseXOR(c.cast("long")) * F.lit(0x01000193).cast("long")) % F.lit(1 << 32))
+    return F.when(F.coalesce(F.length(x), F.lit(0)) > 0, F.lower(F.conv(h.cast("string"), 10, 36)))
+
+
+def sampled_checksum(x: Column, limit: int = 500_000, size: int = 4096) -> Column:
+    """:func:`fnv1a` of the text, or of five samples of a text over ``limit`` characters."""
+    n = F.length(x)
+    points = [F.lit(0), F.floor(n * 0.25), F.floor(n * 0.5), F.floor(n * 0.75), n - size]
+    starts = [F.greatest(F.lit(0), F.least(n - size, p - size // 2)).cast("int") for p in points]
+    parts = [F.coalesce(fnv1a(F.substr(x, s + 1, F.lit(size))), F.lit("")) for s in starts]
+    return F.when(n <= limit, fnv1a(x)).otherwise(F.concat_ws(":", n.cast("string"), *parts))
+
+
+def like_contains(x: Column, term: str) -> Column:
+    return x.ilike(f"%{term}%")
+
+
+def under_path(path: Column, directory: Column, root: str) -> Column:
+    """The path is the root or below it; rows without a path go by their directory."""
+    return (path == root) | path.startswith(root.rstrip("/") + "/") | (path.isNull() & (directory == root))
+
+
+def usage_status(usage: Column, limit: Column, updated: Column, start: Column, end: Column, now: Column, stale_reset: Column) -> Column:
+    """(status, reset_s, percent) of a usage window; usage last updated before its start counts as none."""
+    left = F.ceil((F.unix_millis(end) - F.unix_millis(now)) / 1000).cast("long")
+    row = lambda s, r, p: F.struct(F.lit(s).alias("status"), r.cast("long").alias("reset_s"), p.cast("long").alias("percent"))
+    return F.when(updated < start, row("ok", stale_reset, F.lit(0))).when(usage < limit, row("ok", left, F.floor(F.least(F.lit(100.0), usage * 100 / limit)))).otherwise(row("rate-limited", left, F.lit(100)))
+
+
+def rolling_status(usage: Column, limit: Column, updated: Column, hours: int, now: Column) -> Column:
+    width = F.make_dt_interval(hours=F.lit(hours))
+    return usage_status(usage, limit, updated, now - width, updated + width, now, F.lit(hours * 3600))
+
+
+def weekly_status(usage: Column, limit: Column, updated: Column, now: Column) -> Column:
+    start = F.date_trunc("week", now)
+    end = start + F.make_dt_interval(days=F.lit(7))
+    return usage_status(usage, limit, updated, start, end, now, F.ceil((F.unix_millis(end) - F.unix_millis(now)) / 1000))
+
+
+def monthly_status(usage: Column, limit: Column, updated: Column, anchor: Column, now: Column) -> Column:
+    start, end = anchored_month(now, anchor)
+    return usage_status(usage, limit, updated, start, end, now, F.ceil((F.unix_millis(end) - F.unix_millis(now)) / 1000))

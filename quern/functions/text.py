@@ -1,0 +1,315 @@
+"""Text operators."""
+
+from __future__ import annotations
+
+import difflib
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: What counts as a secret.
+SECRETS = (
+    ("bearer token", r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{16,}\b"),
+    ("API key", r"\bsk-[A-Za-z0-9][A-Za-z0-9_-]{20,}\b"),
+    ("vendor API key", r"\bsk-ant-[A-Za-z0-9_-]{20,}\b"),
+    ("Google API key", r"\bAIza[0-9A-Za-z_-]{20,}\b"),
+    ("AWS access key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("GitHub token", r"\bgh[pousr]_[A-Za-z0-9_]{20,}\b"),
+    ("private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+)
+SKIPPED = {"script", "style", "noscript", "iframe", "object", "embed"}
+
+
+def secret_findings(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """(ident, reason): one row for each kind of secret found in a text."""
+    found = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(label)) for label, p in SECRETS]))
+    return df.select(ident, F.explode(found).alias("reason"))
+
+
+def redact_secrets(text: Column, mark: str = "[redacted]") -> Column:
+    for _, p in SECRETS:
+        text = F.regexp_replace(text, p, mark)
+    return text
+
+
+def redact_structure(x: Column, kind: str, ident: Column) -> Column:
+    """Non-blank free text becomes a placeholder."""
+    return F.when(F.trim(x) != "", F.concat(F.lit(f"[redacted:{kind}:"), ident, F.lit("]"))).otherwise(x)
+
+
+def redact_url(url: Column, keys: tuple[str, ...] = ("token", "key", "api_key", "access_token", "secret", "password"), mark: str = "REDACTED") -> Column:
+    """User info and the values of named query keys (any case) are masked."""
+    out = F.regexp_replace(url, r"://[^/@?#]*@", f"://{mark}:{mark}@")
+    return F.regexp_replace(out, r"(?i)([?&](?:" + "|".join(keys) + r")=)[^&#]*", f"$1{mark}")
+
+
+def redact_headers(headers: Column, allow: tuple[str, ...], redact: tuple[str, ...] = ("authorization", "cookie"), mark: str = "REDACTED") -> Column:
+    """A sorted list of (name, value) of the allowed headers, some masked."""
+    low = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
+    kept = F.filter(low, lambda e: e["name"].isin(*allow))
+    return F.array_sort(F.transform(kept, lambda e: F.struct(e["name"].alias("name"), F.when(e["name"].isin(*redact), mark).otherwise(e["value"]).alias("value"))))
+
+
+def lines(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """(ident, line_number from 1, line, absolute_offset in bytes)."""
+    split = df.select(ident, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("pos", "line"))
+    before = F.sum(F.octet_length("line") + 1).over(Window.partitionBy(ident).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    return split.select(ident, (F.col("pos") + 1).cast("long").alias("line_number"), "line", F.coalesce(before, F.lit(0)).cast("long").alias("absolute_offset"))
+
+
+def grep(df: DataFrame, ident: str, text: str, pattern: str, per_text: int | None = None, cut: int = 2000) -> DataFrame:
+    """Matching lines with their place and all submatches; texts without any match are dropped before lines are made."""
+    found = lines(df.filter(F.col(text).rlike(f"(?m){pattern}")), ident, text).filter(F.col("line").rlike(pattern))
+    if per_text is not None:
+        found = found.withColumn("rn", F.row_number().over(Window.partitionBy(ident).orderBy("line_number"))).filter(F.col("rn") <= per_text).drop("rn")
+    return found.withColumn("submatches", F.regexp_extract_all("line", F.lit(f"({pattern})"), F.lit(1))).withColumn("line", F.substring("line", 1, cut))
+
+
+def line_range(df: DataFrame, ident: str, text: str, offset: int = 1, limit: int = 2000, cut: int = 2000, budget: int = 50 << 10) -> DataFrame:
+    """Lines from ``offset``, at most ``limit`` and ``budget`` bytes of them, each cut to ``cut`` characters."""
+    part = df.select(ident, F.posexplode(F.slice(F.split(F.coalesce(text, F.lit("")), "\n", -1), offset, limit)).alias("pos", "line"))
+    part = part.select(ident, (F.col("pos") + offset).alias("line_number"), F.substring("line", 1, cut).alias("line"))
+    used = F.sum(F.octet_length("line") + 1).over(Window.partitionBy(ident).orderBy("line_number"))
+    return part.withColumn("used", used).filter(F.col("used") <= budget).drop("used")
+
+
+def truncate(text: Column, max_lines: int = 2000, max_bytes: int = 50 << 10, tail: bool = False) -> Column:
+    """(text, removed, unit): whole lines from the head (or tail) within both limits; removed counts lines, or bytes if these were the limit."""
+    every = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    ordered = F.reverse(every) if tail else every
+    size = F.transform(ordered, lambda x: F.octet_length(x))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("full"))
+    step = lambda a, s: F.struct(F.when(a["full"] | (a["n"] >= max_lines) | (a["used"] + s + F.when(a["n"] > 0, 1).otherwise(0) > max_bytes), a["n"]).otherwise(a["n"] + 1).alias("n"), F.when(a["full"], a["used"]).otherwise(a["used"] + s + F.when(a["n"] > 0, 1).otherwise(0)).alias("used"), (a["full"] | (a["n"] >= max_lines) | (a["used"] + s + F.when(a["n"] > 0, 1).otherwise(0) > max_bytes)).alias("full"))
+    n = F.aggregate(size, start, step)["n"]
+    kept = F.slice(ordered, 1, n)
+    body = F.array_join(F.reverse(kept) if tail else kept, "\n")
+    whole = n == F.size(every)
+    by_bytes = ~whole & (n < max_lines)
+    return F.struct(body.alias("text"), F.when(whole, 0).when(by_bytes, F.octet_length(text) - F.octet_length(body)).otherwise(F.size(every) - n).cast("long").alias("removed"), F.when(by_bytes, "bytes").otherwise("lines").alias("unit"))
+
+
+class _Text(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in SKIPPED
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in SKIPPED and self.depth > 0
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.out.append(data)
+
+
+class _Markdown(HTMLParser):
+    """Headings, emphasis, lists, links, code and paragraphs; anything else as its text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.pre, self.out, self.href = 0, 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SKIPPED or tag in ("head", "nav"):
+            self.skip += 1
+        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
+        elif tag in ("p", "div", "article", "section", "ul", "ol", "footer"):
+            self.out.append("\n\n")
+        elif tag == "li":
+            self.out.append("\n- ")
+        elif tag == "br":
+            self.out.append("\n")
+        elif tag in ("b", "strong"):
+            self.out.append("**")
+        elif tag in ("i", "em"):
+            self.out.append("*")
+        elif tag == "pre":
+            self.pre += 1
+            self.out.append("\n\n```\n")
+        elif tag == "code" and not self.pre:
+            self.out.append("`")
+        elif tag == "a":
+            self.href.append(dict(attrs).get("href") or "")
+            self.out.append("[")
+
+    def handle_endtag(self, tag):
+        if tag in SKIPPED or tag in ("head", "nav"):
+            self.skip = max(0, self.skip - 1)
+        elif tag in ("b", "strong"):
+            self.out.append("**")
+        elif tag in ("i", "em"):
+            self.out.append("*")
+        elif tag == "pre":
+            self.pre = max(0, self.pre - 1)
+            self.out.append("\n```\n")
+        elif tag == "code" and not self.pre:
+            self.out.append("`")
+        elif tag == "a" and self.href:
+            self.out.append(f"]({self.href.pop()})")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data if self.pre else " ".join(data.split()) + (" " if data[-1:].isspace() else ""))
+
+
+def _parsed(html: str | None, kind) -> str | None:
+    if html is None:
+        return None
+    p = kind()
+    p.feed(html)
+    p.close()
+    text = "".join(p.out)
+    if kind is _Markdown:
+        while "\n\n\n" in text:
+            text = text.replace("\n\n\n", "\n\n")
+    return text.strip()
+
+
+@F.pandas_udf("string")
+def html_text(html: pd.Series) -> pd.Series:
+    """The text outside scripts, styles and embedded objects, trimmed."""
+    return html.map(lambda x: _parsed(x, _Text))
+
+
+@F.pandas_udf("string")
+def html_markdown(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: _parsed(x, _Markdown))
+
+
+@F.pandas_udf("string")
+def unified_patch(old: pd.Series, new: pd.Series) -> pd.Series:
+    """A unified patch with the whole file as context."""
+
+    def one(a, b):
+        a, b = (a or "").splitlines(True), (b or "").splitlines(True)
+        return "".join(difflib.unified_diff(a, b, "old", "new", n=max(len(a), len(b))))
+
+    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
+
+
+def diff_stats(numstat: DataFrame, status: DataFrame) -> DataFrame:
+    """(file, additions, deletions, status) from lines of counts (``-`` for binary files) and lines of status letters."""
+    n = F.split("line", "\t", 3)
+    counts = numstat.select(n[2].alias("file"), F.coalesce(n[0].try_cast("long"), F.lit(0)).alias("additions"), F.coalesce(n[1].try_cast("long"), F.lit(0)).alias("deletions"))
+    s = F.split("line", "\t", 2)
+    letters = status.select(s[1].alias("file"), F.substring(s[0], 1, 1).alias("letter"))
+    names = F.when(F.col("letter") == "A", "added").when(F.col("letter") == "D", "deleted").otherwise("modified")
+    return counts.join(letters, "file", "left").select("file", "additions", "deletions", names.alias("status"))
+
+
+def _similarity(a: str, b: str) -> float:
+    longest = max(len(a), len(b))
+    if not longest:
+        return 1.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / longest
+
+
+def locate_block(content: str, block: str) -> tuple[int, int] | None:
+    """The lines [from, to) of ``content`` that best fit ``block``, anchored on its first and last line (trimmed).
+
+    One candidate is always taken; of several the most similar one, if its inner lines are 0.3 similar on average.
+    """
+    have, want = content.split("\n"), block.rstrip("\n").split("\n")
+    if len(want) < 3:
+        return None
+    head, tail = want[0].strip(), want[-1].strip()
+    spans = []
+    for i, line in enumerate(have):
+        if line.strip() == head:
+            j = next((j for j in range(i + 2, len(have)) if have[j].strip() == tail), None)
+            if j is not None:
+                spans.append((i, j + 1))
+    if not spans:
+        return None
+
+    def score(span):
+        inner = min(len(want), span[1] - span[0]) - 2
+        return sum(_similarity(have[span[0] + k].strip(), want[k].strip()) for k in range(1, inner + 1)) / inner if inner > 0 else 1.0
+
+    best = max(spans, key=score)
+    return best if len(spans) == 1 or score(best) >= 0.3 else None
+
+
+def replace_once(content: str, old: str, new: str, everywhere: bool = False) -> str:
+    """``old`` replaced by ``new``, by the first matcher that finds it: as it is, by trimmed lines, by anchored block, by collapsed white space, without common indentation, trimmed as a whole.  Several matches are an error unless all are wanted."""
+    if old == new:
+        raise ValueError("nothing to change")
+
+    def by_lines(same):
+        have, want = content.split("\n"), old.split("\n")
+        want = want[:-1] if want[-1] == "" else want
+        for i in range(len(have) - len(want) + 1):
+            if all(same(a, b) for a, b in zip(have[i : i + len(want)], want, strict=True)):
+                yield "\n".join(have[i : i + len(want)])
+
+    def anchored():
+        if span := locate_block(content, old):
+            yield "\n".join(content.split("\n")[span[0] : span[1]])
+
+    def dedented():
+        strip = lambda s: "\n".join(x[min((len(y) - len(y.lstrip()) for y in s.split("\n") if y.strip()), default=0) :] for x in s.split("\n"))
+        n = old.count("\n") + 1
+        have = content.split("\n")
+        for i in range(len(have) - n + 1):
+            part = "\n".join(have[i : i + n])
+            if strip(part) == strip(old):
+                yield part
+
+    squeeze = lambda x: " ".join(x.split())
+    matchers = (lambda: [old], lambda: by_lines(lambda a, b: a.strip() == b.strip()), anchored, lambda: by_lines(lambda a, b: squeeze(a) == squeeze(b)), dedented, lambda: [old.strip()])
+    seen = False
+    for matcher in matchers:
+        for found in matcher():
+            if not found or (n := content.count(found)) == 0:
+                continue
+            seen = True
+            if everywhere:
+                return content.replace(found, new)
+            if n == 1:
+                return content.replace(found, new, 1)
+    raise ValueError("found more than once" if seen else "not found")
+
+
+def apply_replacements(edits: DataFrame) -> DataFrame:
+    """(id, content, error) of edits (id, content, old, new, everywhere)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                try:
+                    out.append((r.id, replace_once(r.content, r.old, r.new, bool(r.everywhere)), None))
+                except ValueError as e:
+                    out.append((r.id, None, str(e)))
+            yield pd.DataFrame(out, columns=["id", "content", "error"])
+
+    return edits.mapInPandas(run, "id long, content string, error string")
+
+
+@F.pandas_udf("double")
+def fuzzy_score(target: pd.Series, query: pd.Series) -> pd.Series:
+    """How well a query fits as a subsequence: 1 for an unbroken match at the start, less with gaps and distance, null for none."""
+
+    def one(t, q):
+        t, q, at, gaps, first = (t or "").lower(), (q or "").lower(), 0, 0, None
+        for c in q:
+            i = t.find(c, at)
+            if i < 0:
+                return None
+            gaps += i - at if first is not None else 0
+            first = i if first is None else first
+            at = i + 1
+        return 1.0 / (1.0 + gaps + 0.1 * (first or 0) + 0.01 * (len(t) - len(q)))
+
+    return pd.Series([one(t, q) for t, q in zip(target, query, strict=True)], dtype="float64")
