@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept; when they are more, those of the batch at hand stay.
-CACHE = 450_000
+CACHE = 1_000_000
 #: Text bytes handled at once.
-SLICE = 8 << 20
+SLICE = 16 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
