@@ -32,8 +32,8 @@ from quern.llm.tokens import pieces
 
 MARK = "▁"
 #: Parts kept; when they are more, those of the batch at hand stay.
-CACHE = 450_000
-SLICE = 8 << 20
+CACHE = 700_000
+SLICE = 16 << 20
 _CUT = re.compile(f"(?<!{MARK})(?={MARK})")
 
 
