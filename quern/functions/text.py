@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as a secret.
 SECRETS = (
@@ -171,18 +172,18 @@ def _parsed(html: str | None, kind) -> str | None:
     return text.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(html: pd.Series) -> pd.Series:
     """The text outside scripts, styles and embedded objects, trimmed."""
     return html.map(lambda x: _parsed(x, _Text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda x: _parsed(x, _Markdown))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_patch(old: pd.Series, new: pd.Series) -> pd.Series:
     """A unified patch with the whole file as context."""
 
@@ -297,7 +298,7 @@ def apply_replacements(edits: DataFrame) -> DataFrame:
     return edits.mapInPandas(run, "id long, content string, error string")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_score(target: pd.Series, query: pd.Series) -> pd.Series:
     """How well a query fits as a subsequence: 1 for an unbroken match at the start, less with gaps and distance, null for none."""
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from quern.plans import ingest, relational, sessions, texts, usage  # noqa: F401  they register their queries
+from quern.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "leaderboard_week_day"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

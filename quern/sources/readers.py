@@ -67,8 +67,9 @@ def metric_lines(lines: DataFrame, prefix: str = "_metric:") -> DataFrame:
 
 def folded_metrics(metrics: DataFrame, key: str, order: str, metric: str = "metric") -> DataFrame:
     """Per key one map with all fields, later lines winning."""
-    pairs = F.array_sort(F.collect_list(F.struct(order, metric)))
-    fold = F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda a, e: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(e[metric], k)), e[metric]))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.map_entries(metric).alias("e")))), lambda p: F.map_from_entries(p["e"]))  # a map has no order, its entries have
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    fold = F.aggregate(pairs, nothing, lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(m, k)), m))
     return metrics.groupBy(key).agg(fold.alias(metric))
 
 
