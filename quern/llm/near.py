@@ -37,8 +37,8 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 #: Sets under so many shingles use the prefix filter.
 SMALL = 64
-BLOCK = 256
-CLUMP = 2048
+BLOCK = 1024
+CLUMP = 8192
 #: Sketch estimates spread by about 0.023; pairs whose estimate is more than six times that below the threshold are not confirmed.
 MARGIN = 0.14
 _SEEDS = seeded(16, 11)
