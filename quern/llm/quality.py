@@ -5,7 +5,7 @@
    (:func:`bucket`): 64 equal steps in every power of two.  Such sketches are merged by adding counts, so the
    aggregation is partial before the shuffle, any partitioning gives the same sketch, and a source that holds a third
    of all rows is still one small row per bucket and task.
-3. A quantile is read from the cumulative counts, a fence lies ``SPREAD`` inter-quartile ranges beyond the quartiles
+3. A quantile is read from the cumulative counts, a fence (for the value's bucket) lies ``SPREAD`` inter-quartile ranges beyond the quartiles
    (never tighter than a fixed margin, so that a uniform source loses nothing), and the fences are joined back.
 
 Null text counts as empty (fails the fixed rules); null language or source is a group of its own; repeated rows are
@@ -125,9 +125,9 @@ def judge(docs: DataFrame, owner: str = "", keep_text: bool = True) -> DataFrame
     joined = part.join(limits, part["doc.lang"].eqNullSafe(limits["__lang"]) & part["doc.source"].eqNullSafe(limits["__source"]), "left")
     bad = F.lit(False)
     for k, least in UPPER.items():
-        bad = bad | (F.col(f"r.{k}") > F.greatest(F.lit(least), F.coalesce(F.col(f"f.hi_{k}"), F.lit(least))))
+        bad = bad | (bucket(F.col(f"r.{k}")) > F.greatest(F.lit(least), F.coalesce(F.col(f"f.hi_{k}"), F.lit(least))))
     for k, most in LOWER.items():
-        bad = bad | (F.col(f"r.{k}") < F.least(F.lit(most), F.coalesce(F.col(f"f.lo_{k}"), F.lit(most))))
+        bad = bad | (bucket(F.col(f"r.{k}")) < F.least(F.lit(most), F.coalesce(F.col(f"f.lo_{k}"), F.lit(most))))
     return joined.select("doc", "m", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
 
 

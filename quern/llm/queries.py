@@ -87,8 +87,9 @@ def _op10_sql() -> str:
     rates = {"symbol_pm": ("n_symbols", "word_chars"), "dup_line_pm": ("n_dup_lines", "n_lines"), "repeat_pm": ("n_repeat_words", "n_words"), "chars_pw": ("word_chars", "n_words")}
     rated = ", ".join(f"({a} * 1000) // greatest({b}, 1) AS {k}" for k, (a, b) in rates.items())
     long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {k} AS v FROM rated WHERE NOT base_failed" for k in rates)
-    bad = [f"r.{k} > greatest({v}, coalesce((SELECT hi FROM fence f WHERE f.metric = '{k}' AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source), {v}))" for k, v in quality.UPPER.items()]
-    bad += [f"r.{k} < least({v}, coalesce((SELECT lo FROM fence f WHERE f.metric = '{k}' AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source), {v}))" for k, v in quality.LOWER.items()]
+    B = lambda k: f"(r.{k} - r.{k} % CAST(pow(2, greatest(length(bin(r.{k})) - 7, 0)) AS BIGINT))"
+    bad = [f"{B(k)} > greatest({v}, coalesce((SELECT hi FROM fence f WHERE f.metric = '{k}' AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source), {v}))" for k, v in quality.UPPER.items()]
+    bad += [f"{B(k)} < least({v}, coalesce((SELECT lo FROM fence f WHERE f.metric = '{k}' AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source), {v}))" for k, v in quality.LOWER.items()]
     return f"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
