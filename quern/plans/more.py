@@ -1,0 +1,144 @@
+"""Smaller operators: validity, canonical labels, JSON predicates, ordinals, listings, imports, identifiers, usage normalising."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, Window
+from pyspark.sql import functions as F
+
+from quern.functions import classify
+from quern.functions import exprs as X
+from quern.operators import joins
+from quern.plans.registry import query
+from quern.session import load
+
+#: Named expressions, to be used in any query over usage events.
+CALCULATED: dict[str, str] = {
+    "is_error": "event_type = 'error'",
+    "cents": "cast(round(value * 100) as bigint)",
+    "tokens": "cast(get_json_object(props, '$.k') as bigint)",
+}
+
+
+def calculated(*names: str) -> list[Column]:
+    """Columns of the registry."""
+    return [F.expr(CALCULATED[n]).alias(n) for n in names]
+
+
+@query("SELECT event_type, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS errors, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY event_type")
+def calculated_fields(spark, d):
+    e = load(spark, d, "events").select("event_type", *calculated("is_error", "cents", "tokens"))
+    return e.groupBy("event_type").agg(F.count_if("is_error").alias("errors"), F.sum("cents").alias("cents"), F.sum("tokens").alias("tokens"))
+
+
+@query("WITH k AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN '1999-02-31' END AS period_key FROM orders) SELECT o_orderkey, period_key FROM k WHERE regexp_matches(period_key, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND try_cast(period_key AS DATE) IS NOT NULL")
+def row_validity(spark, d):
+    key = F.when(F.col("o_orderkey") % 4 == 0, X.day_key(F.col("o_orderdate"))).when(F.col("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "yyyy/MM/dd")).when(F.col("o_orderkey") % 4 == 2, "1999-02-31")
+    rows = load(spark, d, "orders").select("o_orderkey", key.alias("period_key"))
+    return rows.filter(F.col("period_key").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("period_key").try_cast("date").isNotNull())
+
+
+@query("SELECT o_orderkey, ['Paid', 'Go', 'Free', 'Other'][o_orderkey % 4 + 1] AS label FROM orders")
+def canonical_labels(spark, d):
+    raw = F.element_at(F.array(*map(F.lit, ("PAID", "go", "fReE", "Other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return load(spark, d, "orders").select("o_orderkey", classify.canonical_tier(raw).alias("label"))
+
+
+@query("SELECT event_id FROM events WHERE CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) = 42")
+def json_predicate(spark, d):
+    return load(spark, d, "events").filter(F.try_variant_get(F.try_parse_json("props"), "$.k", "int") == 42).select("event_id")
+
+
+@query("WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part) SELECT p_partkey, CAST(unnest(range(0, len(words))) AS INTEGER) AS position, unnest(words) AS word FROM w")
+def ordinals(spark, d):
+    return load(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("position", "word"))
+
+
+@query("WITH p AS (SELECT DISTINCT p_brand AS a, p_brand || '/' || p_type AS b FROM part), n AS (SELECT DISTINCT a AS path, 1 AS depth FROM p UNION SELECT b, 2 FROM p), r AS (SELECT path, depth, row_number() OVER (ORDER BY depth, path) AS rn, count(*) OVER () AS total FROM n) SELECT path, CAST(depth AS INTEGER) AS depth FROM r WHERE rn <= 40 UNION ALL SELECT '[' || (max(total) - 40) || ' truncated]', NULL FROM r HAVING max(total) > 40")
+def bounded_listing(spark, d):
+    paths = load(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type", F.col("p_partkey").cast("string")).alias("path"))
+    found = joins.directory_counts(paths, "path").select(F.col("directory").alias("path"), "depth")
+    shown = found.orderBy("depth", "path").limit(40)
+    rest = found.agg(F.count("*").alias("n")).filter("n > 40").select(F.concat(F.lit("["), (F.col("n") - 40).cast("string"), F.lit(" truncated]")), F.lit(None).cast("int"))
+    return shown.union(rest)
+
+
+@query("SELECT name, CAST(row_number() OVER (ORDER BY lower(name), name DESC) AS INTEGER) AS rn FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part)")
+def locale_sort(spark, d):
+    """Letters before case, as a locale orders them."""
+    names = load(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name")).distinct()
+    order = Window.orderBy(F.collate("name", "UNICODE_CI"), F.desc("name"))  # a distinct list of names
+    return names.withColumn("rn", F.row_number().over(order))
+
+
+@query("SELECT 'session' AS kind, CAST(count(DISTINCT conv_id) AS BIGINT) AS n, CAST(NULL AS BIGINT) AS letters FROM conversations UNION ALL SELECT 'message', CAST(count(*) AS BIGINT), NULL FROM conversations UNION ALL SELECT 'part', CAST(count(*) AS BIGINT), CAST(sum(length(text)) AS BIGINT) FROM conversations")
+def session_import(spark, d):
+    """Nested documents taken apart into three tables; what is there already is not inserted again."""
+    c = load(spark, d, "conversations")
+    nested = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.array(F.struct(F.lit(0).alias("no"), "text")).alias("parts")))).alias("messages"))
+    messages = nested.select("conv_id", F.inline("messages"))
+    parts = messages.select("conv_id", "turn", F.inline("parts"))
+    have = messages.filter("turn < 2").select("conv_id", "turn", "role")
+    inserted = have.unionByName(messages.select("conv_id", "turn", "role").join(have, ["conv_id", "turn"], "left_anti"))
+    count = lambda df, kind, letters: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), letters.cast("long").alias("letters"))
+    return count(nested, "session", F.max(F.lit(None).cast("long"))).union(count(inserted, "message", F.max(F.lit(None).cast("long")))).union(count(parts, "part", F.sum(F.length("text"))))
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) % 68719476736 AS ms FROM events WHERE event_id % 10 = 0")
+def identifier_times(spark, d):
+    """The milliseconds that a time-ordered identifier keeps: 48 bits of time x 4096 + counter in twelve hex digits."""
+    e = load(spark, d, "events").filter("event_id % 10 = 0")
+    stamp = (F.unix_millis(F.col("ts").cast("timestamp")) * 4096 + 7) % F.lit(1 << 48)
+    name = F.concat(F.lpad(F.lower(F.hex(stamp)), 12, "0"), F.lit("abcdefghijklmn"))
+    back = F.conv(F.substring("name", 1, 12), 16, 10).cast("long")
+    return e.select("event_id", name.alias("name")).select("event_id", F.floor(back / 4096).cast("long").alias("ms"))
+
+
+#: How the four kinds of provider report usage: input, cached input, output.
+SHAPES = {
+    "a": ("$.input_tokens", "$.cache_read_input_tokens", "$.output_tokens", False),
+    "b": ("$.promptTokenCount", "$.cachedContentTokenCount", "$.candidatesTokenCount", True),
+    "c": ("$.input_tokens", "$.input_tokens_details.cached_tokens", "$.output_tokens", True),
+    "d": ("$.prompt_tokens", "$.prompt_tokens_details.cached_tokens", "$.completion_tokens", True),
+}
+
+
+def normal_usage(kind: Column, body: Column) -> Column:
+    """(input, cached, output) of a provider's report; where cached tokens are part of the input they are taken out, never below 0."""
+    out = F.lit(None).cast("struct<input:bigint,cached:bigint,output:bigint>")
+    for k, (i, c, o, inside) in SHAPES.items():
+        get = lambda p: F.coalesce(F.get_json_object(body, p).cast("long"), F.lit(0))
+        fresh = F.greatest(get(i) - get(c), F.lit(0)) if inside else get(i)
+        out = F.when(kind == k, F.struct(fresh.alias("input"), get(c).alias("cached"), get(o).alias("output"))).otherwise(out)
+    return out
+
+
+@query("WITH e AS (SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k, event_id % 4 AS m FROM events) SELECT event_id, CASE WHEN m = 0 THEN k ELSE greatest(k - 30, 0) END AS input, CAST(30 AS BIGINT) AS cached, k + 1 AS output FROM e")
+def usage_normalisers(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    m = F.col("event_id") % 4
+    lit30, out = F.lit(30).cast("long"), k + 1
+    body = F.when(m == 0, F.to_json(F.struct(k.alias("input_tokens"), lit30.alias("cache_read_input_tokens"), out.alias("output_tokens"))))
+    body = body.when(m == 1, F.to_json(F.struct(k.alias("promptTokenCount"), lit30.alias("cachedContentTokenCount"), out.alias("candidatesTokenCount"))))
+    body = body.when(m == 2, F.to_json(F.struct(k.alias("input_tokens"), F.struct(lit30.alias("cached_tokens")).alias("input_tokens_details"), out.alias("output_tokens"))))
+    body = body.otherwise(F.to_json(F.struct(k.alias("prompt_tokens"), F.struct(lit30.alias("cached_tokens")).alias("prompt_tokens_details"), out.alias("completion_tokens"))))
+    kind = F.element_at(F.array(*map(F.lit, "abcd")), (m + 1).cast("int"))
+    return load(spark, d, "events").select("event_id", normal_usage(kind, body).alias("u")).select("event_id", "u.*")
+
+
+@query("SELECT name FROM (SELECT 'file-' || p_partkey AS name, p_partkey * 86400 AS t FROM part) WHERE t >= (SELECT max(p_partkey) * 86400 FROM part) - 7 * 86400")
+def timed_cleanup(spark, d):
+    """What a sweep keeps of files older than seven days against the newest."""
+    files = load(spark, d, "part").select(F.concat(F.lit("file-"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_partkey") * 86_400).alias("t"))
+    newest = files.agg((F.max("t") - 7 * 86_400).alias("bound"))
+    return files.crossJoin(F.broadcast(newest)).filter("t >= bound").select("name")  # one row
+
+
+@query("WITH r AS (SELECT date '2024-01-30' AS latest), w AS (SELECT * FROM (VALUES ('1D', 0), ('1W', 6), ('2W', 13), ('1M', 27), ('2M', 55), ('3M', 89)) t(range, days)), e AS (SELECT CAST(ts AS DATE) AS day, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events), lo AS (SELECT min(day) AS first FROM e) SELECT range, CAST(sum(k) AS BIGINT) AS tokens, CAST(count(DISTINCT day) AS BIGINT) AS days FROM e, w, r, lo WHERE day <= latest AND day >= greatest(latest - days, first) GROUP BY range")
+def range_windows(spark, d):
+    """Totals of the trailing ranges, all from one pass: rows meet a list of six ranges."""
+    ranges = spark.createDataFrame([("1D", 0), ("1W", 6), ("2W", 13), ("1M", 27), ("2M", 55), ("3M", 89)], "range string, back int")
+    e = load(spark, d, "events").select(F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    per_day = e.groupBy("day").agg(F.sum("k").alias("k"))
+    latest = F.lit("2024-01-30").cast("date")
+    met = per_day.crossJoin(F.broadcast(ranges)).filter((F.col("day") <= latest) & (F.col("day") >= F.date_sub(latest, F.col("back"))))  # six rows
+    return met.groupBy("range").agg(F.sum("k").alias("tokens"), F.count("*").alias("days"))
