@@ -103,9 +103,10 @@ def last_k(rows: DataFrame, key: str, order: str, k: int, where: Column) -> Data
 
 def min_max_score(rows: DataFrame, cost: str, age: str, by: list[str] | None = None) -> DataFrame:
     """0.8 of the cost and 0.2 of the age, each against its largest; the least score comes first."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    part = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.max(c).over(w).cast("double")), F.lit(0.0))
-    return rows.withColumn("score", part(cost) * 0.8 + part(age) * 0.2)
+    largest = [F.max(cost).cast("double").alias("__c"), F.max(age).cast("double").alias("__a")]
+    met = rows.join(rows.groupBy(*by).agg(*largest), by) if by else rows.crossJoin(F.broadcast(rows.agg(*largest)))  # one row
+    part = lambda c, m: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(m)), F.lit(0.0))
+    return met.withColumn("score", part(cost, "__c") * 0.8 + part(age, "__a") * 0.2).drop("__c", "__a")
 
 
 def equal_slices(time: Column, start: Column, end: Column, slices: int) -> Column:

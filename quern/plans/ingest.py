@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.plans.registry import query
-from quern.plans.relational import _scratch
-from quern.session import load
+from quern.session import load, scratch
 from quern.sources import readers, writers
 
 ALIASES = {"provider": ("vendor",), "model": ("model name",), "total": ("Sum (tokens)", "tokens")}
@@ -14,7 +13,7 @@ ALIASES = {"provider": ("vendor",), "model": ("model name",), "total": ("Sum (to
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS provider, s_name AS model, CAST(s_nationkey AS VARCHAR) AS total FROM supplier")
 def csv_alias_import(spark, d):
-    path = _scratch(spark) + ".csv"
+    path = scratch(spark) + ".csv"
     rows = load(spark, d, "supplier").select(F.col("s_suppkey").alias("Vendor"), F.col("s_name").alias("Model Name"), F.col("s_nationkey").alias("SUM(tokens)"))
     rows.write.csv(path, header=True, quote='"', escape='"')
     return readers.by_alias(readers.read_csv(spark, path), ALIASES)
@@ -51,7 +50,7 @@ def sse_frames(spark, d):
 
 @query("SELECT event_type AS \"table\", CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def routed_sink(spark, d):
-    root = _scratch(spark)
+    root = scratch(spark)
     e = load(spark, d, "events")
     body = F.to_json(F.struct(F.concat(F.lit("lake."), "event_type").alias("_datalake_key"), "event_id"))
     rows = readers.routed(e.select(body.alias("body")), "body")

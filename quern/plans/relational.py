@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import exprs as X
 from quern.operators import analytic, joins, paging
 from quern.plans.registry import query
-from quern.session import load
+from quern.session import load, scratch
 
 def _cents():
     return F.round(F.col("o_totalprice") * 100).cast("long")
@@ -202,7 +202,7 @@ def _versions(spark, d):
 def merge_increment(spark, d):
     from quern.sources import writers
 
-    path = _scratch(spark)
+    path = scratch(spark)
     o = load(spark, d, "orders")
     for odd in (0, 1):
         writers.merge_increment(o.filter(f"o_orderkey % 2 = {odd}").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n")), path, ["id"], ["n"])
@@ -213,7 +213,7 @@ def merge_increment(spark, d):
 def merge_overwrite(spark, d):
     from quern.sources import writers
 
-    path = _scratch(spark)
+    path = scratch(spark)
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     writers.merge_overwrite(c.filter("id % 2 = 0").withColumn("name", F.lit("first")), path, ["id"])
     writers.merge_overwrite(c.filter("id % 3 = 0").withColumn("name", F.lit("second")), path, ["id"])
@@ -224,25 +224,13 @@ def merge_overwrite(spark, d):
 def insert_ignore(spark, d):
     from quern.sources import writers
 
-    path = _scratch(spark)
+    path = scratch(spark)
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     writers.insert_ignore(c.filter("id % 2 = 0").withColumn("name", F.lit("first")), path, ["id"])
     writers.insert_ignore(c.filter("id % 3 = 0").withColumn("name", F.lit("second")), path, ["id"])
     return spark.read.parquet(path)
 
 
-def _scratch(spark) -> str:
-    """A fresh path in the session's shared folder (a temporary one where none is set)."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
 @query("WITH r AS (SELECT n_regionkey AS k, n_nationkey AS cost, n_nationkey % 3 AS pri FROM nation), h AS (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY pri) AS p FROM r) SELECT k, CAST(count(*) AS BIGINT) AS n, CAST(min(cost) AS INTEGER) AS cheapest FROM h WHERE p = 1 GROUP BY k HAVING count(*) > 0")
 def greatest_per_group(spark, d):
     n = load(spark, d, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("cost"), (F.col("n_nationkey") % 3).alias("pri"))
