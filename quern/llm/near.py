@@ -293,4 +293,4 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int =
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, owner: str = "") -> DataFrame:
     """``docs`` with one document of each group of near copies, its least; rows without an id stay."""
     gone = classes(docs, "doc_id", "text", k, num, den, owner).filter("not kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

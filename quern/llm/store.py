@@ -22,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    fs, path = _fs(spark, base)
+    return str(fs.makeQualified(path).toString()).rstrip("/")
 
 
 def _fs(spark: SparkSession, path: str):
