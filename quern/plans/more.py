@@ -9,7 +9,8 @@ from quern.functions import classify
 from quern.functions import exprs as X
 from quern.operators import joins
 from quern.plans.registry import query
-from quern.session import load
+from quern.session import load, scratch
+from quern.streaming import flow
 
 #: Named expressions, to be used in any query over usage events.
 CALCULATED: dict[str, str] = {
@@ -142,3 +143,26 @@ def range_windows(spark, d):
     latest = F.lit("2024-01-30").cast("date")
     met = per_day.crossJoin(F.broadcast(ranges)).filter((F.col("day") <= latest) & (F.col("day") >= F.date_sub(latest, F.col("back"))))  # six rows
     return met.groupBy("range").agg(F.sum("k").alias("tokens"), F.count("*").alias("days"))
+
+
+@query("WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, ts, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k, event_id FROM events), late AS (SELECT * FROM e WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-25 09:55:00'), early AS (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-24' AND event_id % 10 <> 0) SELECT day, event_type, CAST(sum(k) AS BIGINT) AS tokens FROM early WHERE (day, event_type) NOT IN (SELECT day, event_type FROM late) GROUP BY ALL UNION ALL SELECT day, event_type, CAST(sum(k) AS BIGINT) FROM late GROUP BY ALL")
+def late_recompute(spark, d):
+    """A first pass lacks a tenth of the events; the next one recomputes this and the last week and leaves older days."""
+    e = load(spark, d, "events").select("event_id", "event_type", "ts", F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    daily = lambda rows: rows.groupBy("day", "event_type").agg(F.sum("k").alias("tokens"))
+    path = scratch(spark)
+    daily(e.filter("event_id % 10 <> 0 and ts < timestamp_ntz '2024-01-24'")).write.parquet(path)
+    flow.refresh(e, "ts", F.lit("2024-01-25 10:00:30").cast("timestamp_ntz"), daily, path, ["day", "event_type"])
+    return spark.read.parquet(path)
+
+
+@query("WITH w AS (SELECT event_type, (event_id % 3 = 0) AS failed, time_bucket(INTERVAL 6 HOUR, ts) + i * INTERVAL 6 HOUR + INTERVAL 6 HOUR AS ends FROM events, (SELECT unnest(range(0, 4)) AS i)), s AS (SELECT ends, event_type, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (failed) AS BIGINT) AS failed FROM w GROUP BY ALL) SELECT *, CAST(CASE WHEN total >= 20 THEN floor(failed * 1000000 / total) ELSE 0 END AS BIGINT) AS ratio_ppm, CASE WHEN total >= 20 THEN floor(failed * 1000000 / total) ELSE 0 END >= 350000 AS triggered FROM s")
+def windowed_error_ratio(spark, d):
+    e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return flow.windowed_ratio(e, "ts", "event_type", F.col("event_id") % 3 == 0, 20, 0.35, "24 hours", "6 hours").withColumn("ends", F.col("ends").cast("timestamp_ntz"))
+
+
+@query("WITH n AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS chunk FROM conversations) SELECT conv_id, CAST(chunk AS INTEGER) AS chunk, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY ALL")
+def shipped_chunks(spark, d):
+    c = load(spark, d, "conversations").select("conv_id", "turn", "role")
+    return flow.in_chunks(c, "conv_id", "turn", 3).select("conv_id", "chunk", F.size("rows").cast("long").alias("n"))

@@ -39,3 +39,4 @@ def create(app: str = "quern", master: str | None = None, **conf: str) -> SparkS
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import aggregate, alerts, analytic, joins, log, paging
 from quern.sources import readers, writers
-from quern.streaming import counters
+from quern.streaming import counters, flow
 
 
 def rows(df, *cols):
@@ -228,3 +228,15 @@ def test_chunks_keep_their_rest(spark, tmp_path):
     c = spark.createDataFrame([("k", 1, "a\n\nb"), ("k", 2, "c\n\nd")], "k string, o int, x string")
     run(counters.parse_chunks(stream_of(spark, c, tmp_path, 1), "k", "o", "x"), "chunks", "append", tmp_path)
     assert rows(spark.table("chunks"), "frame") == [("a",), ("bc",)]
+
+
+def test_fan_out_and_heartbeat(spark, tmp_path):
+    events = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "kind string, n long")
+    seen = {"a": [], "all": []}
+    sink = flow.fan_out("kind", {"a": lambda df, _: seen["a"].extend(r.n for r in df.collect())}, lambda df, _: seen["all"].extend(r.n for r in df.collect()))
+    q = stream_of(spark, events, tmp_path).writeStream.foreachBatch(sink).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    assert q.awaitTermination(120)
+    assert sorted(seen["a"]) == [1, 3] and sorted(seen["all"]) == [1, 2, 3]
+    beat = flow.with_heartbeat(spark, spark.readStream.schema("kind string, n long").parquet(str(tmp_path / "in")), "kind", 1)
+    assert beat.isStreaming and beat.columns == ["kind", "n"]
+
