@@ -41,10 +41,10 @@ from quern.llm.hashing import _LOWER, U, Words, bytes_of
 DEPTH = 5
 END = 0xFF
 #: Bytes of input to a chunk.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 #: Distinct keys that a task gathers for a chunk before it sends them.
-HELD = 3 << 20
-SLICE = 4 << 20
+HELD = 2 << 20
+SLICE = 1 << 20
 LN2 = np.log(2.0)
 
 
@@ -249,7 +249,7 @@ class _Lookup:
         self.key, self.value = key[order], value[order]
         self.bits = max(10, len(key).bit_length() + 1)
         own = self._slot(self.key)
-        self.table = np.zeros(1 << self.bits)
+        self.table = np.zeros(1 << self.bits, np.float32)
         self.held = np.zeros(1 << self.bits, U)
         self.table[own], self.held[own] = self.value, self.key
         self.shared = np.bincount(own.astype(np.int64), minlength=1 << self.bits) > 1
@@ -262,7 +262,7 @@ class _Lookup:
         if not len(self.key):
             return np.full(len(key), other)
         at = self._slot(key)
-        got = np.where(self.held[at] == key, self.table[at], other)
+        got = np.where(self.held[at] == key, self.table[at].astype(np.float64), other)
         lost = np.flatnonzero(self.shared[at])
         place = np.minimum(np.searchsorted(self.key, key[lost]), len(self.key) - 1)
         got[lost] = np.where(self.key[place] == key[lost], self.value[place], other)
@@ -275,21 +275,25 @@ def _score_chunk(total: int, distinct: int, train_texts: int):
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
         kind, key, value = (table.column(c).to_numpy() for c in ("kind", "key", "value"))
         key = key.view(U)
-        gram, word = (_Lookup(key[kind == k], value[kind == k]) for k in (GRAM, WORD))
         texts = docs.column("text").combine_chunks()
+        scores: list[np.ndarray] = []
         out: list[tuple] = []
         norm = np.log10(float(total + distinct + 1))
+        look = _Lookup(key[kind == GRAM], value[kind == GRAM])
         for lo, hi in text_slices(texts, SLICE):
-            part = texts.slice(lo, hi - lo)
-            x, place = grams(part)
-            sums = np.concatenate([[0], np.cumsum(gram(x, np.nan))])
-            w = Words(part, lower=True)
-            c = word(w.hash, 1.0)
+            x, place = grams(texts.slice(lo, hi - lo))
+            sums = np.concatenate([[0], np.cumsum(look(x, np.nan))])
+            scores.append(sums[place[1:]] - sums[place[:-1]])
+        look = _Lookup(key[kind == WORD], value[kind == WORD])
+        del kind, key, value
+        for lo, hi in text_slices(texts, SLICE):
+            w = Words(texts.slice(lo, hi - lo), lower=True)
+            c = look(w.hash, 1.0)
             base = np.concatenate([[0], np.cumsum(np.log10(c + 1) - norm)])
             known = np.concatenate([[0], np.cumsum(c > 0)])
             at = w.first
-            out.append((w.count + 1, known[at[1:]] - known[at[:-1]] + (train_texts > 0), base[at[1:]] - base[at[:-1]] + np.log10(train_texts + 1) - norm, sums[place[1:]] - sums[place[:-1]]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+            out.append((w.count + 1, known[at[1:]] - known[at[:-1]] + (train_texts > 0), base[at[1:]] - base[at[:-1]] + np.log10(train_texts + 1) - norm))
+        cols = [*(np.concatenate(x) for x in zip(*out, strict=True)), np.concatenate(scores)] if out else [np.zeros(0)] * 4
         docs = docs.drop_columns(["chunk", "text"])
         for name, x, as_type in zip(("n_tokens", "n_known", "base_score", "score"), cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True):
             docs = docs.append_column(name, pa.array(x).cast(as_type))
