@@ -87,7 +87,15 @@ def session_import(spark, d):
 @query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) % 68719476736 AS ms FROM events WHERE event_id % 10 = 0")
 def identifier_times(spark, d):
     """The milliseconds that a time-ordered identifier keeps: 48 bits of time x 4096 + counter in twelve hex digits."""
-    e = load(spark, d, "events").filter("event_id % 10 = 0")
+    return _identifier_times(load(spark, d, "events").filter("event_id % 10 = 0"))
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) % 68719476736 AS ms FROM events")
+def identifier_times_whole(spark, d):
+    return _identifier_times(load(spark, d, "events"))
+
+
+def _identifier_times(e):
     stamp = (F.unix_millis(F.col("ts").cast("timestamp")) * 4096 + 7) % F.lit(1 << 48)
     name = F.concat(F.lpad(F.lower(F.hex(stamp)), 12, "0"), F.lit("abcdefghijklmn"))
     back = F.conv(F.substring("name", 1, 12), 16, 10).cast("long")

@@ -21,6 +21,13 @@ def star_auth_join(spark, d):
     return out.select("o_orderkey", "c_name", "n_name", "r_name").orderBy("o_orderkey").limit(50)
 
 
+@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_name <> 'CHINA' LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN supplier ON s_suppkey = -1")
+def star_auth_join_whole(spark, d):
+    o, c, n, r, s = (load(spark, d, t) for t in ("orders", "customer", "nation", "region", "supplier"))
+    out = o.join(c, o.o_custkey == c.c_custkey).join(n, (n.n_nationkey == c.c_nationkey) & (n.n_name != "CHINA"), "left").join(r, r.r_regionkey == n.n_regionkey, "left").join(s, s.s_suppkey == -1, "left")
+    return out.select("o_orderkey", "c_name", "n_name", "r_name")
+
+
 @query("SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS open_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY c_custkey")
 def left_join_on_filter(spark, d):
     c, o = load(spark, d, "customer"), load(spark, d, "orders")
@@ -33,6 +40,12 @@ def left_join_never(spark, d):
     return c.filter("c_custkey <= 20").join(s, F.lit(False), "left").select("c_custkey", F.col("s_name").alias("key_name"))
 
 
+@query("SELECT c_custkey, CAST(NULL AS VARCHAR) AS key_name FROM customer")
+def left_join_never_whole(spark, d):
+    c, s = load(spark, d, "customer"), load(spark, d, "supplier")
+    return c.join(s, F.lit(False), "left").select("c_custkey", F.col("s_name").alias("key_name"))
+
+
 @query("SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
 def right_join(spark, d):
     s, n = load(spark, d, "supplier"), load(spark, d, "nation")
@@ -51,6 +64,12 @@ def constant_key_join(spark, d):
     return o.filter("o_orderkey < 200").crossJoin(F.broadcast(r.filter("r_regionkey = 2"))).select("o_orderkey", "r_name")  # one row
 
 
+@query("SELECT o_orderkey, r_name FROM orders, region WHERE r_regionkey = 2")
+def constant_key_join_whole(spark, d):
+    o, r = load(spark, d, "orders"), load(spark, d, "region")
+    return o.crossJoin(F.broadcast(r.filter("r_regionkey = 2"))).select("o_orderkey", "r_name")  # one row
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def semi_key_list(spark, d):
     c, o = load(spark, d, "customer"), load(spark, d, "orders")
@@ -81,7 +100,17 @@ def enrich_lookup(spark, d):
 @query("SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS parts, coalesce(string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey), '') AS list FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
 def hydrate_parts(spark, d):
     o, l = load(spark, d, "orders"), load(spark, d, "lineitem")
-    h = joins.hydrate(o.filter("o_orderkey % 10 = 0").select("o_orderkey"), l.select("l_orderkey", "l_linenumber", "l_partkey"), "o_orderkey", "l_orderkey", "l_linenumber")
+    return _hydrated(o.filter("o_orderkey % 10 = 0"), l)
+
+
+@query("SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS parts, coalesce(string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey), '') AS list FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def hydrate_parts_whole(spark, d):
+    o, l = load(spark, d, "orders"), load(spark, d, "lineitem")
+    return _hydrated(o, l)
+
+
+def _hydrated(o, l):
+    h = joins.hydrate(o.select("o_orderkey"), l.select("l_orderkey", "l_linenumber", "l_partkey"), "o_orderkey", "l_orderkey", "l_linenumber")
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["l_linenumber"].cast("string"), F.lit(":"), p["l_partkey"].cast("string"))), ",")
     return h.select("o_orderkey", F.size("parts").cast("long").alias("parts"), text.alias("list"))
 
@@ -165,6 +194,12 @@ def subtree(spark, d):
     return joins.descendants(spark, o, "o_orderkey", "parent", 3)
 
 
+@query("WITH RECURSIVE t AS (SELECT CAST(3 AS BIGINT) AS id, 0 AS depth UNION ALL SELECT o_orderkey, depth + 1 FROM t JOIN orders ON o_orderkey // 2 = t.id AND o_orderkey <> t.id) SELECT id, depth FROM t WHERE id IN (SELECT o_orderkey FROM orders)")
+def subtree_whole(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 2").alias("parent")).filter("parent <> o_orderkey")
+    return joins.descendants(spark, o, "o_orderkey", "parent", 3)
+
+
 @query("WITH s AS (SELECT 1 AS ord, c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 2, c_custkey, c_mktsegment FROM customer) SELECT id, name FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1")
 def first_wins_union(spark, d):
     c = load(spark, d, "customer")
