@@ -5,15 +5,14 @@ tokens, pieces go in descending length to the sequence of lowest cost so far tha
 the piece is cut to fill the cheapest sequence with any room, and the rest goes on.  A window holds as many full
 sequences as its tokens fill; the few tokens left over lie in sequences of power-of-two length, so nothing is padded.
 
-Encoding and packing are one map over the rows: ids never leave the task that made them, nothing is shuffled, and
-memory is bounded by the window.  Null text counts as empty (one end token); a text of any length is cut; repeated
+Encoding and packing are one map over the rows, which gives the ids of every piece: nothing is shuffled, and memory is
+bounded by the window.  Null text counts as empty (one end token); a text of any length is cut; repeated
 rows and null ids are packed as they come; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,10 +70,10 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
 
 
 def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", end: int = 1) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``path`` is a tokenizer file; every document's ids end with ``end``.  The ids' checksum is over little-endian
-    unsigned 32-bit integers.
+    ``path`` is a tokenizer file; every document's ids end with ``end``.  The piece's ids are little-endian unsigned
+    32-bit integers in a row, of which the checksum is taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +84,12 @@ def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
         def settle() -> pa.RecordBatch:
             nonlocal made
             got = pack([len(x) for _, x in held])
-            rows = [(held[d][0], start, n, zlib.crc32(held[d][1][start : start + n].astype("<u4")), len(held[d][1]), (task << 40) + made + s, at) for d, start, n, s, at in got]
+            rows = [(held[d][0], start, n, held[d][1][start : start + n].astype("<u4").tobytes(), len(held[d][1]), (task << 40) + made + s, at) for d, start, n, s, at in got]
             made += 1 + max((s for *_, s, _ in got), default=-1)
             held.clear()
             cols = list(zip(*rows, strict=True)) or [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
 
         waiting = 0
         for batch in batches:
@@ -107,4 +107,6 @@ def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
         if held:
             yield settle()
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    named = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = named.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return made.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -16,7 +16,6 @@ Null text counts as empty and has no ids.  Rows are independent; empty tables gi
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -207,15 +206,33 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-def digests(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of ``docs``."""
+def encode(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) for every row of ``docs``; ``decoded`` is the text of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
             texts = column(batch, "text")
             for lo, hi in text_slices(texts, SLICE):
                 n, ids, back = model(path).batch(texts.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(list(map(sha, ids)), pa.string()), pa.array(list(map(sha, back)), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                flat = pc.split_pattern(pa.array([x for x in ids if x], pa.string()), ",").flatten().cast(pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), lists, pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+
+
+def decode(rows: DataFrame, path: str, ident: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(doc_id, text) for every row of ``rows``: the text of its ids, which is empty for none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [model(path).decode(x or [])[1:] for x in column(batch, "ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return rows.select(F.col(ident).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digests(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of ``docs``; ids count in decimal, joined by commas."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encode(docs, path, ident, text).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

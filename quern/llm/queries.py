@@ -16,7 +16,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pieces(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return packing.pieces(load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).drop("ids")
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
