@@ -3,7 +3,8 @@
 A byte-level tokenizer never joins a space with the letter before it, so a text may be cut before every space that
 follows something other than white space, and the pieces' ids put one after the other.  Pieces are counted off per
 batch in Arrow, looked up in a bounded per-worker cache, and only new ones go to the library.  Texts in which white
-space stands before a space, or with a NUL, are cut by a regular expression instead.
+space stands before a space, or with a NUL, are cut by a regular expression instead.  A text that holds an added token (such
+as ``<|endoftext|>``) is encoded whole by the library, which gives it the token's id.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.added = "|".join(map(re.escape, added)) or None
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
         self.slot: dict[str, int] = {}
         self.flat, self.at, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -67,6 +69,14 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, len(texts) + 1 offsets)."""
+        marked = pc.match_substring_regex(texts, self.added) if self.added else None
+        if marked is None or not pc.any(marked).as_py():
+            return self._by_pieces(texts)
+        ids, at = self._by_pieces(pc.if_else(marked, "", texts))
+        parts = [np.array(self.model.encode(t, add_special_tokens=False).ids, self.kind) if m else ids[at[i] : at[i + 1]] for i, (t, m) in enumerate(zip(texts.to_pylist(), marked.to_pylist(), strict=True))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         bounds, distinct, number = pieces(texts, " ", r"[\s\x{1c}-\x{1f}\x{85}\p{Z}] |\x{0}", _CUT)
         distinct = distinct.to_pylist()
         if len(self.slot) + len(distinct) > CACHE and self.slot:
