@@ -6,18 +6,25 @@ decides.  Pages that no rule fits take the decision of their aliases: pages and
 computed by distributed star steps, and a component with any explicitly allowed page is allowed, else one with a
 blocked page is blocked.  Everything else is allowed.
 
-An address is compared without scheme, fragment and a trailing slash, with the host in lower case; relative targets
-are resolved against the page's host.  Rules are a fixed list, applied as expressions.  A null url, or one without
+An address is compared without scheme, fragment and a trailing slash, with the host in lower case; a rule is tried on
+the url or target as it is written, so ``/en/`` names itself.  Targets are resolved against the page's url after their
+HTML entities are read.  Rules are a fixed list, applied as expressions.  A null url, or one without
 ``://``, has an empty host and path and no aliases.  Rows are judged one by one; repeated rows alike; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html import unescape
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import graph, store
+from quern.llm.arrow import column
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -58,22 +65,41 @@ def targets(html: Column) -> Column:
     return F.filter(urls, lambda u: u != "")
 
 
-def edges(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(a, b): addresses of pages and of their redirect and canonical targets."""
+def links(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(u, t): urls of pages and their redirect and canonical targets as full urls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = column(batch, "u")
+            t = [_full(a, b) for a, b in zip(u.to_pylist(), column(batch, "t").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([u, pa.array(t, pa.string())], ["u", "t"])
+
     named = pages.select(F.col(url).alias("u"), F.explode(targets(F.coalesce(F.col(html), F.lit("")))).alias("t"))
-    scheme = F.regexp_extract("u", r"(?s)^(.*?)://", 1)
-    full = F.when(F.col("t").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(scheme, F.lit(":"), "t")).when(F.col("t").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("u")), "t"))
-    return named.select(address(F.col("u")).alias("a"), address(full).alias("b")).filter("a is not null and b is not null")
+    return named.filter("u is not null").mapInArrow(run, "u string, t string").filter(F.col("t").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"))
+
+
+def _full(page: str, target: str) -> str | None:
+    try:
+        return urljoin(page, unescape(target))
+    except ValueError:  # no address, such as an unclosed bracket in the host
+        return None
+
+
+def edges(named: DataFrame) -> DataFrame:
+    """(a, b): addresses of pages and of their targets, from :func:`links`."""
+    return named.select(address(F.col("u")).alias("a"), address(F.col("t")).alias("b")).filter("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html", rules=RULES, owner: str = "") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row."""
     u = F.col(url)
     rows = pages.select(F.col(ident).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), address(u).alias("address")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    roots = graph.components(edges(pages, url, html), owner)
+    named = store.table(links(pages, url, html), "links", owner)
+    roots = graph.components(edges(named), owner)
     # explicit decisions of the addresses themselves, whether they are pages here or only targets
-    told = rule_of(host_of(F.concat(F.lit("x://"), "node")), path_of(F.concat(F.lit("x://"), "node")), rules)
-    votes = roots.select("root", told["verdict"].alias("v")).filter("v is not null").groupBy("root").agg(F.max((F.col("v") == "allow").cast("int")).alias("allowed"))
+    seen = pages.select(u.alias("u")).union(named.select("t"))
+    told = seen.select(address(F.col("u")).alias("named"), rule_of(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v")).filter("named is not null and v is not null").distinct()
+    votes = roots.join(told, roots["node"] == told["named"]).groupBy("root").agg(F.max((F.col("v") == "allow").cast("int")).alias("allowed"))
     alias = store.table(roots.join(votes, "root").select("node", F.when(F.col("allowed") == 1, "allow").otherwise("block").alias("inherited")), "aliases", owner)
     done = rows.join(alias, rows["address"] == alias["node"], "left")
     return done.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("inherited"), F.lit("allow")).alias("verdict"))
