@@ -8,8 +8,8 @@ each with the share that P_w gives its depth.
 
 How it is spread:
 
-* Rows are dealt into chunks by the file split that they are read from (and by a hash within large splits); input that
-  is no plain scan is written once first.  A chunk gives its distinct (DEPTH + 1)-grams of bytes, and its distinct
+* Rows are dealt into chunks by their place in their file, which no way of splitting files changes; input that is no
+  plain Parquet scan is written once first.  A chunk gives its distinct (DEPTH + 1)-grams of bytes, and its distinct
   words for the baseline, with their counts in training texts (0 for the others), which are summed over all chunks:
   the whole tree follows from the grams, and one that training never saw is a leaf of count zero like any other.  A
   key has at most one row per chunk and flush, however frequent it is.
@@ -282,7 +282,10 @@ def _score_chunk(total: int, distinct: int, train_texts: int):
         look = _Lookup(key[kind == GRAM], value[kind == GRAM])
         for lo, hi in text_slices(texts, SLICE):
             x, place = grams(texts.slice(lo, hi - lo))
-            sums = np.concatenate([[0], np.cumsum(look(x, np.nan))])
+            logs = look(x, np.nan)
+            if np.isnan(logs).any():
+                raise ValueError("a gram has no score: the chunk's rows are not those that were counted")
+            sums = np.concatenate([[0], np.cumsum(logs)])
             scores.append(sums[place[1:]] - sums[place[:-1]])
         look = _Lookup(key[kind == WORD], value[kind == WORD])
         del kind, key, value
@@ -302,24 +305,19 @@ def _score_chunk(total: int, distinct: int, train_texts: int):
     return run
 
 
-def _bytes(size: str) -> int:
-    digits = size.lower().rstrip("bkmgtp")
-    return int(digits) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(size.lower().rstrip("b")[len(digits) :][:1], 0)
-
-
 def score(docs: DataFrame, train, text: str = "text", carry: tuple[str, ...] = (), scanned: bool = False, owner: str = "") -> DataFrame:
     """``carry`` columns, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every row.
 
-    ``train`` is the condition on training rows.  ``scanned`` says that ``docs`` is a plain file scan, whose splits
-    come out the same in every pass; anything else is written into the shared folder first.
+    ``train`` is the condition on training rows.  ``scanned`` says that ``docs`` is a plain scan of Parquet files, whose
+    rows keep their places; anything else is written into the shared folder first.
     """
     spark = docs.sparkSession
     docs = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     if not scanned:
         docs = store.table(docs, "texts", owner)
-    spread = max(1, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) // CHUNK_BYTES)
-    chunk = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("text"), F.lit(spread)))
-    chunked = docs.withColumn("chunk", chunk)
+    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rows_each = max(1, n_rows * CHUNK_BYTES // max(1, n_bytes))
+    chunked = docs.withColumn("chunk", F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows_each)))
     counts = chunked.select("chunk", "text", "train").mapInArrow(_count, "chunk long, kind byte, key long, n long")
     over = Window.partitionBy("kind", "key")
     summed = counts.withColumn("c", F.sum("n").over(over)).withColumn("first", F.row_number().over(over.orderBy("chunk")) == 1)
