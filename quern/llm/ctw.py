@@ -315,8 +315,10 @@ def score(docs: DataFrame, train, text: str = "text", carry: tuple[str, ...] = (
     docs = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     if not scanned:
         docs = store.table(docs, "texts", owner)
-    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    rows_each = max(1, n_rows * CHUNK_BYTES // max(1, n_bytes))
+    size = docs.agg(F.count("*"), F.sum(F.octet_length("text")), F.max(F.col("_metadata.row_index")) + 1).first()
+    n_rows, n_bytes, longest = (x or 1 for x in size)
+    # as many equal runs as the longest file has chunks, so that runs and row groups of even files end together
+    rows_each = -(-longest // max(1, round(longest * n_bytes / n_rows / CHUNK_BYTES)))
     chunked = docs.withColumn("chunk", F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows_each)))
     counts = chunked.select("chunk", "text", "train").mapInArrow(_count, "chunk long, kind byte, key long, n long")
     over = Window.partitionBy("kind", "key")
