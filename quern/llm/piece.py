@@ -206,19 +206,23 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) for every row of ``docs``; ``decoded`` is the text of the ids."""
+def _coded(docs: DataFrame, path: str, ident: str, text: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) for every row of ``docs``, with the ids in decimal, joined by commas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text")
             for lo, hi in text_slices(texts, SLICE):
                 n, ids, back = model(path).batch(texts.slice(lo, hi - lo))
-                flat = pc.split_pattern(pa.array([x for x in ids if x], pa.string()), ",").flatten().cast(pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), lists, pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+
+def encode(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) for every row of ``docs``; ``decoded`` is the text of the ids."""
+    ids = F.when(F.col("n_tokens") == 0, F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))
+    return _coded(docs, path, ident, text).withColumn("ids", ids)
 
 
 def decode(rows: DataFrame, path: str, ident: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -234,5 +238,4 @@ def decode(rows: DataFrame, path: str, ident: str = "doc_id", ids: str = "ids")
 
 def digests(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of ``docs``; ids count in decimal, joined by commas."""
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return encode(docs, path, ident, text).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return _coded(docs, path, ident, text).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
