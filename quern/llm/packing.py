@@ -2,12 +2,16 @@
 
 Attention over a piece of n tokens costs about ``LINEAR * n + QUADRATIC * n * n``.  Within a window of some million
 tokens, pieces go in descending length to the sequence of lowest cost so far that has room for them; where none has,
-the piece is cut to fill the cheapest sequence with any room, and the rest goes on.  A window holds as many full
-sequences as its tokens fill; the few tokens left over lie in sequences of power-of-two length, so nothing is padded.
+the piece is cut to fill the cheapest sequence with any room, and the rest goes on.  A window gives only full
+sequences; the tokens left over (fewer than a sequence) move on to the task's next window.
 
-Encoding and packing are one map over the rows, which gives the ids of every piece: nothing is shuffled, and memory is
-bounded by the window.  Null text counts as empty (one end token); a text of any length is cut; repeated
-rows and null ids are packed as they come; an empty table gives an empty result.
+Encoding and packing are one map over the rows, which gives the ids of every piece; nothing is shuffled, and memory is
+bounded by the window.  What a task has left at its end is packed again together with what some ``FAN_IN`` other tasks
+have left, and so on until one task is left, so the whole table has one short tail, however it is split: fewer tokens
+than one sequence, in sequences of power-of-two length, so nothing is padded.
+
+Null text counts as empty (one end token); a text of any length is cut; repeated rows and null ids are packed as they
+come; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import tokens
+from quern.llm import store, tokens
 from quern.llm.arrow import column, text_slices
 
 LENGTH = 2048
@@ -29,20 +33,26 @@ LINEAR = 1.0
 QUADRATIC = 1.0 / 2048
 #: Tokens that are packed together.
 WINDOW = 1 << 20
+#: Sequences' worth of left-over tokens that one task of the next pass packs.
+FAN_IN = 512
 
 
 def cost(n):
     return LINEAR * n + QUADRATIC * n * n
 
 
-def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece; sequences are full, but for some of power-of-two length."""
-    total = sum(lengths)
-    full, rest = divmod(total, length)
-    room = np.array([length] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
+def pack(lengths: list[int], length: int = LENGTH, tail: bool = True) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """(document, start, length, sequence, offset) of each piece, and (document, start, length) of what is left over.
+
+    Sequences are full; with ``tail`` nothing is left over, and some sequences of power-of-two length follow.
+    """
+    full, rest = divmod(sum(lengths), length)
+    short = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1] if tail else []
+    room = np.array([length] * full + short, np.int64)
     size = room.copy()
     spent = np.zeros(len(room))
     out: list[tuple[int, int, int, int, int]] = []
+    left: list[tuple[int, int, int]] = []
     queue = [(-n, d, 0) for d, n in enumerate(lengths) if n]
     heapq.heapify(queue)
     free = full  # full sequences that nothing has been put in yet come first
@@ -59,6 +69,9 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
         fits = np.flatnonzero(room >= n)
         if not len(fits):
             fits = np.flatnonzero(room)
+            if not len(fits):
+                left.append((d, start, n))
+                continue
         s = int(fits[np.argmin(spent[fits])])
         take = min(n, int(room[s]))
         out.append((d, start, take, s, int(size[s] - room[s])))
@@ -66,47 +79,72 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
         spent[s] += cost(take)
         if take < n:
             heapq.heappush(queue, (take - n, d, start + take))
-    return out
+    return out, left
+
+
+#: A document's part that waits to be packed: its id, its place in the document, the document's tokens, its ids.
+_Part = tuple[int | None, int, int, np.ndarray]
+_ROW = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+
+def _windows(parts: Iterator[_Part], first: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of packed pieces, window by window, numbered from ``first``; a null sequence marks what is left at the end (nothing for the ``last`` task)."""
+    held: list[_Part] = []
 
+    def rows(placed: list[tuple], left: list[tuple], made: int) -> pa.RecordBatch:
+        both = [(*x, first + made + s, at) for *x, s, at in placed] + [(*x, None, None) for x in left]
+        out = [(held[d][0], held[d][1] + start, n, held[d][3][start : start + n].astype("<u4").tobytes(), held[d][2], s, at) for d, start, n, s, at in both]
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)], [x.split()[0] for x in _ROW.split(", ")])
 
-def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", end: int = 1) -> DataFrame:
+    made = waiting = 0
+    for part in parts:
+        held.append(part)
+        waiting += len(part[3])
+        if waiting >= WINDOW:
+            placed, left = pack([len(x[3]) for x in held], LENGTH, False)
+            yield rows(placed, [], made)
+            made += waiting // LENGTH
+            held[:] = [(held[d][0], held[d][1] + start, held[d][2], held[d][3][start : start + n]) for d, start, n in left]
+            waiting %= LENGTH
+    if held:
+        yield rows(*pack([len(x[3]) for x in held], LENGTH, last), made)
+
+
+def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", end: int = 1, owner: str = "") -> DataFrame:
     """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``path`` is a tokenizer file; every document's ids end with ``end``.  The piece's ids are little-endian unsigned
-    32-bit integers in a row, of which the checksum is taken.
+    32-bit integers in a row, of which the checksum is taken.  The pieces are written into the shared folder, from
+    which the left-over ones are read again.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
-        held: list[tuple[int | None, np.ndarray]] = []
-        task = TaskContext.get().partitionId()
-
-        def settle() -> pa.RecordBatch:
-            nonlocal made
-            got = pack([len(x) for _, x in held])
-            rows = [(held[d][0], start, n, held[d][1][start : start + n].astype("<u4").tobytes(), len(held[d][1]), (task << 40) + made + s, at) for d, start, n, s, at in got]
-            made += 1 + max((s for *_, s, _ in got), default=-1)
-            held.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
-
-        waiting = 0
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
         for batch in batches:
-            texts = column(batch, "text")
-            names = column(batch, "doc_id").to_pylist()
+            texts, names = column(batch, "text"), column(batch, "doc_id").to_pylist()
             for lo, hi in text_slices(texts, tokens.SLICE):
                 ids, at = tokens.encoder(path).encode(texts.slice(lo, hi - lo))
                 for i in range(hi - lo):
                     one = np.append(ids[at[i] : at[i + 1]], ids.dtype.type(end))
-                    held.append((names[lo + i], one))
-                    waiting += len(one)
-                    if waiting >= WINDOW:
-                        yield settle()
-                        waiting = 0
-        if held:
-            yield settle()
+                    yield names[lo + i], 0, len(one), one
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
+        for batch in batches:
+            cols = [column(batch, c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")]
+            yield from ((d, start, n, np.frombuffer(ids, "<u4")) for d, start, n, ids in zip(*cols, strict=True))
+
+    def packed(read, level: int, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _windows(read(batches), level << 58 | TaskContext.get().partitionId() << 32, last)
+
+        return run
 
     named = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = named.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return made.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    done = store.table(named.mapInArrow(packed(encoded, 0, False), _ROW), "pieces", owner)
+    out, level = done.filter("sequence_id is not null"), 0
+    while waiting := done.filter("sequence_id is null").agg(F.sum("length")).first()[0]:
+        level, tasks = level + 1, -(-waiting // (FAN_IN * LENGTH))
+        left = done.filter("sequence_id is null").repartition(tasks).mapInArrow(packed(again, level, tasks == 1), _ROW)
+        done = store.table(left, "pieces", owner)
+        out = out.union(done.filter("sequence_id is not null"))
+    return out.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -15,11 +15,17 @@ Values are token ids as little-endian unsigned integers of the width in the foot
 Writing is one range partitioning by id (rows of one id are spread by a hash and the row's place, so that no
 id fills a task alone) and one pass per shard into the shared folder, under a temporary name that is renamed when
 complete, so a repeated task leaves the same file.  Null text is an empty document with its end id.
+
+:func:`lookup` sends ids to the shards whose key range holds them (one row per shard: as many as the write had
+partitions, which the driver tracks one by one anyway) and opens, per id, at most the blocks that may have it.
+
+A long text is encoded in parts (see :mod:`~quern.llm.tokens`); its entry is a block of its own, held whole once.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,13 +36,15 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import store, tokens
 from quern.llm.arrow import column, text_slices
 
 BLOCK = 64 << 10
+#: Shards whose key ranges may be broadcast (40 bytes each); beyond it the ranges are joined without a broadcast.
+RANGES = 1 << 18
 BITS, PROBES = 10, 7
 MAGIC = b"QSST0001"
 _FOOTER = struct.Struct("<QQQQQQI8s")
@@ -192,13 +200,18 @@ class Shard:
         return out
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system and path of a URI; Hadoop's names of object stores are read as Arrow's."""
+    return pafs.FileSystem.from_uri(re.sub(r"^(s3)[an]:", r"\1:", uri))
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, ident: str = "doc_id", text: str = "text", end: int = 2, owner: str = "") -> DataFrame:
-    """Writes shards into ``folder`` (a URI on a shared store) and returns (shard, path, docs, ids), shards in key order."""
-    filesystem, root = pafs.FileSystem.from_uri(folder)
+    """Writes shards into ``folder`` (a URI on a shared store) and returns (shard, path, docs, ids, first, last), shards in key order; ``first`` and ``last`` are the least and greatest key."""
+    filesystem, root = open_store(folder)
     filesystem.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = open_store(folder)
         context = TaskContext.get()
         shard = context.partitionId()
         path = f"{base}/shard-{shard:06d}.sst"
@@ -219,12 +232,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, ident: str = "doc_id", t
             writer.close()
             sink.close()
             fs.move(part, path)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, path, writer.docs, writer.ids)], ["shard", "path", "docs", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, path, writer.docs, writer.ids, writer.keys[0], writer.keys[-1])], ["shard", "path", "docs", "ids", "first", "last"])
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(ident).cast("long").alias("id"), body.alias("text")).withColumn("salt", F.xxhash64("id", F.monotonically_increasing_id()))
     ranged = rows.repartitionByRange(F.col("id").asc_nulls_first(), "salt").sortWithinPartitions(F.col("id").asc_nulls_first(), "salt").select("id", "text")
-    return store.table(ranged.mapInArrow(run, "shard long, path string, docs long, ids long"), "shards", owner)
+    return store.table(ranged.mapInArrow(run, "shard long, path string, docs long, ids long, first binary, last binary"), "shards", owner)
 
 
 def scan(shards: DataFrame, folder: str) -> DataFrame:
@@ -233,7 +246,7 @@ def scan(shards: DataFrame, folder: str) -> DataFrame:
     parts = max(1, shards.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = open_store(folder)
         for batch in batches:
             for path, base in zip(column(batch, "path").to_pylist(), column(batch, "base").to_pylist(), strict=True):
                 at, out = base, []
@@ -245,3 +258,36 @@ def scan(shards: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.select("path", "base").repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _key(ident: Column) -> Column:
+    """:func:`key_of` as an expression: eight bytes, big-endian, with the sign bit turned; empty for null."""
+    turned = F.lpad(F.hex(ident.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.coalesce(F.unhex(turned), F.unhex(F.lit("")))
+
+
+def lookup(shards: DataFrame, folder: str, wanted: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """(doc_id, ids: array<int>) of each document in the shards whose id is among those of ``wanted``; ids that are not there give no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_store(folder)
+        path, source, shard = None, None, None
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for now, ident in zip(column(batch, "path").to_pylist(), column(batch, "id").to_pylist(), strict=True):
+                if now != path:
+                    if source:
+                        source.close()
+                    path, source = now, fs.open_input_file(now)
+                    shard = Shard(source)
+                for ids in shard.get(ident):
+                    out[0].append(ident)
+                    out[1].append(ids.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    ranges = shards.select("path", "first", "last")
+    if shards.count() <= RANGES:
+        ranges = F.broadcast(ranges)
+    asked = wanted.select(F.col(ident).cast("long").alias("id")).distinct().withColumn("key", _key(F.col("id")))
+    routed = asked.join(ranges, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("path", "id")
+    return routed.repartition("path").sortWithinPartitions("path", "id").mapInArrow(run, "doc_id long, ids array<int>")

@@ -46,7 +46,8 @@ def test_a_full_cache_keeps_the_batch(monkeypatch):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=40))
 def test_pack_is_exact(lengths):
-    got = packing.pack(lengths, 64)
+    got, left = packing.pack(lengths, 64)
+    assert not left
     seen = {}
     for d, start, n, s, at in got:
         assert n > 0
@@ -69,11 +70,75 @@ def test_pack_is_exact(lengths):
 
 
 def test_pack_prefers_the_cheapest():
-    got = packing.pack([40, 40, 30, 10, 8], 64)
+    got, _ = packing.pack([40, 40, 30, 10, 8], 64)
     where = {d: s for d, _, _, s, _ in got if d < 2}
     assert where[0] != where[1]
 
 
+def brute_pack(lengths, size):
+    """The rule read literally, one piece at a time over a plain list."""
+    rooms = [[size, 0.0] for _ in range(sum(lengths) // size)]
+    todo, out, left = sorted(((-n, d, 0) for d, n in enumerate(lengths) if n)), [], 0
+    while todo:
+        n, d, start = todo.pop(0)
+        n = -n
+        fits = [r for r in rooms if r[0] >= min(n, size) and (n < size or r[1] == 0)] or [r for r in rooms if r[0] >= n] or [r for r in rooms if r[0]]
+        if not fits:
+            left += n
+            continue
+        r = min(fits, key=lambda r: r[1])
+        take = min(n, r[0])
+        out.append((d, start, take))
+        r[0], r[1] = r[0] - take, r[1] + packing.cost(take)
+        if take < n:
+            todo = sorted([*todo, (take - n, d, start + take)])
+    return out, left, sorted(round(r[1], 6) for r in rooms)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 200), max_size=30))
+def test_pack_matches_brute_force(lengths):
+    got, left = packing.pack(lengths, 64, False)
+    want, rest, costs = brute_pack(lengths, 64)
+    assert sorted(x[:3] for x in got) == sorted(want) and sum(n for *_, n in left) == rest == sum(lengths) % 64
+    spent = {}
+    for *_, n, s, _ in got:
+        spent[s] = spent.get(s, 0) + packing.cost(n)
+    assert sorted(round(x, 6) for x in spent.values()) == costs
+
+
+@pytest.mark.parametrize("parts,fan_in", [(1, 512), (50, 512), (50, 4)])
+def test_one_short_tail_for_the_table(spark, data, monkeypatch, plain, parts, fan_in):
+    monkeypatch.setattr(packing, "FAN_IN", fan_in)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").repartition(parts)
+    rows = packing.pieces(docs, PATH).collect()
+    size = {}
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
+        size.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for seen in size.values():
+        at = 0
+        for offset, n in sorted(seen):
+            assert offset == at
+            at += n
+    short = [n for n in (sum(n for _, n in seen) for seen in size.values()) if n != packing.LENGTH]
+    assert sum(short) < packing.LENGTH and len(set(short)) == len(short) and all(n & (n - 1) == 0 for n in short)
+    whole = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start * 4 == len(whole.setdefault(r.doc_id, b""))
+        whole[r.doc_id] += r.ids
+    assert whole == {r.doc_id: np.array([*plain(r.text), 1], "<u4").tobytes() for r in docs.collect()}
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "LONG_TEXT", 200)
+    enc = tokens.Encoder(PATH)
+    texts = ["word and  more,\nLines " * 60, "x" * 900, "<|endoftext|> " * 40, "short", " \n " * 200]
+    ids, at = enc.encode(pa.array(texts))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [enc.model.encode(x, add_special_tokens=False).ids for x in texts]
+    assert all(len(x) <= tokens.LONG_PIECE for x in enc.slot) and len(enc.slot) == len(enc.at) == len(enc.size) and enc.chars == sum(map(len, enc.slot))
+
+
 def test_packing_rows(odd, none, plain):
     got = packing.pieces(odd, PATH).collect()
     rows = {}
@@ -110,6 +175,25 @@ def test_shards_round_trip(spark, odd, none, plain):
     assert sstable.scan(sstable.write(none, empty, PATH), empty).count() == 0
 
 
+def test_lookup_matches_brute_force(spark, data, odd, plain):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    folder = store.new_path(spark, "sst-lookup")
+    shards = sstable.write(docs.repartition(3), folder, PATH)
+    asked = [None, -5, 1, 2, 3, 5, 77, 10**9]
+    wanted = spark.createDataFrame([(x,) for x in [*asked, 77]], "doc_id long")
+    got = sorted((str(r.doc_id), r.ids) for r in sstable.lookup(shards, folder, wanted).collect())
+    want = sorted((str(r.doc_id), [*plain(r.text), 2]) for r in docs.collect() if r.doc_id in asked)
+    assert got == want and len(want) > 5
+    ranges = shards.orderBy("shard").collect()
+    assert all(a.last <= b.first for a, b in zip(ranges, ranges[1:], strict=False))
+    monkey = sstable.RANGES
+    try:
+        sstable.RANGES = 0
+        assert sorted((str(r.doc_id), r.ids) for r in sstable.lookup(shards, folder, wanted).collect()) == want
+    finally:
+        sstable.RANGES = monkey
+
+
 def test_shard_blocks_and_damage(tmp_path):
     path = tmp_path / "x.sst"
     with open(path, "wb") as f:
