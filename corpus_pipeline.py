@@ -39,7 +39,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence of 2,048 tokens, with the piece's ids."""
     store.release(spark, SCRATCH)
-    return packing.pieces(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pieces(docs, public_tokenizers.path(TOKENIZER), owner=RESULTS)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("pack", pack)]
