@@ -11,7 +11,9 @@ batch is encoded once (a bounded per-worker cache keeps them).  The run pieces o
 which the pairwise rule does not hold; parts with two marks in a row are merged directly, highest score and leftmost
 first.  A character without a piece stands alone and becomes its bytes' pieces.
 
-Null text counts as empty and has no ids.  Rows are independent; empty tables give empty results.
+Null text counts as empty and has no ids.  Rows are independent; empty tables give empty results.  A text over
+``SLICE`` bytes is a batch of its own; one without any space is one part, walked in time and memory that grow with its
+length (the bit field has one bit a character, and long parts leave the cache with their batch).
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from quern.llm.arrow import column, text_slices
 from quern.llm.tokens import pieces
 
 MARK = "▁"
-#: Parts kept; when they are more, those of the batch at hand stay.
-CACHE = 700_000
+#: Parts kept, and their characters; when they are more, those of the batch at hand stay.
+CACHE, CACHE_CHARS = 700_000, 12 << 20
+#: Parts over so many characters leave the cache with their batch.
+LONG_PART = 256
 SLICE = 16 << 20
 _CUT = re.compile(f"(?<!{MARK})(?={MARK})")
 
@@ -59,6 +63,7 @@ class Model:
         self.value = {i: b for b, i in enumerate(self.byte)}
         self.fits: dict[int, bool] = {}
         self.cache: dict[str, tuple[str, int, str | None]] = {}
+        self.chars = 0
         self.automaton = ahocorasick.Automaton()
         own = {p: i for p, i in self.ids.items() if self.merge(p) == [p]}  # a piece that merging never gives is never matched
         for p in own:
@@ -103,7 +108,7 @@ class Model:
 
     def walk(self, part: str, longest: list[int], at: int) -> list[int]:
         """Backtracking over ``part``; ``longest`` has the longest match at each place from ``at``."""
-        n, pos, failed = len(part), 0, 0
+        n, pos, failed = len(part), 0, None
         size, shorter, ids, fits = self.size, self.shorter, self.ids, self.fits
         out: list[int] = []
         last = 0
@@ -111,7 +116,7 @@ class Model:
         now = ids[part[:k]] if k else -ord(part[0])
         while True:
             end = pos + (size[now] if now > 0 else 1)
-            good = not (failed and failed >> end & 1)
+            good = not (failed and failed[end >> 3] >> (end & 7) & 1)
             if good and last:
                 good = fits.get(last << 32 | now & 0xFFFFFFFF)
                 if good is None:
@@ -128,7 +133,9 @@ class Model:
             while now is None:
                 if not out:
                     raise ValueError("no encoding")
-                failed |= 1 << pos
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 now = out.pop()
                 pos -= size[now] if now > 0 else 1
                 last = out[-1] if out else 0
@@ -174,19 +181,37 @@ class Model:
             ids = self.numbers(got) if got else got
             text = self.decode(ids)
             self.cache[part] = ",".join(map(str, ids)), len(ids), None if text == part.replace(MARK, " ") else text
+            self.chars += len(part)
             at += len(part) + 1
 
-    def batch(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
-        """Per text: how many ids, the ids in decimal joined by commas, the decoded text."""
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[tuple[str, int, str | None]], np.ndarray]:
+        """(offsets per text, distinct parts, what is known of them, part numbers)."""
         full = pc.binary_join_element_wise(pa.scalar(MARK), pc.replace_substring(texts, " ", MARK), "")
         full = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", full)
         bounds, distinct, number = pieces(full, MARK, f"{MARK}{MARK}|\\x{{0}}", _CUT)
         distinct = distinct.to_pylist()
-        if len(self.cache) + len(distinct) > CACHE:
+        if len(self.cache) + len(distinct) > CACHE or self.chars > CACHE_CHARS:
             self.cache = {x: self.cache[x] for x in distinct if x in self.cache}
+            self.chars = sum(map(len, self.cache))
         if new := [x for x in distinct if x not in self.cache]:
             self.learn(new)
         got = [self.cache[x] for x in distinct]
+        for x in new:
+            if len(x) > LONG_PART:
+                self.chars -= len(x)
+                del self.cache[x]
+        return bounds, distinct, got, number
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        bounds, _, got, number = self._split(texts)
+        counts = np.array([x[1] for x in got], np.int64)[number] if len(number) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ends[bounds[1:]] - ends[bounds[:-1]]
+
+    def batch(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """Per text: how many ids, the ids in decimal joined by commas, the decoded text."""
+        bounds, distinct, got, number = self._split(texts)
         counts = np.array([x[1] for x in got], np.int64)[number] if len(number) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)])
         full_parts = counts > 0  # the empty part before a first mark has no ids

@@ -12,7 +12,7 @@ from quern.llm import ctw, near, packing, piece, quality, rollup, sstable, store
 from quern.session import load
 
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +20,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts of all documents, deletes of every tenth, English revised to a second version; each batch is sent twice."""
-    docs = load(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    counted = docs.select("doc_id", "source", "lang", F.size(quality.words_of(F.col("text"))).cast("long").alias("words"), F.ceil(F.octet_length(text) / 4).cast("long").alias("quarters"))
-    first = counted.select(F.lit("insert").alias("op"), "source", "lang", F.lit("words-1").alias("version"), F.col("words").alias("tokens"), F.lit(None).cast("string").alias("old_version"), F.lit(None).cast("long").alias("old_tokens"))
-    second = counted.filter("doc_id % 10 = 3").select(F.lit("delete").alias("op"), "source", "lang", F.lit("words-1").alias("version"), F.col("words").alias("tokens"), F.lit(None).cast("string").alias("old_version"), F.lit(None).cast("long").alias("old_tokens"))
-    third = counted.filter("lang = 'en' and doc_id % 10 <> 3").select(F.lit("revise").alias("op"), "source", "lang", F.lit("quarters-2").alias("version"), F.col("quarters").alias("tokens"), F.lit("words-1").alias("old_version"), F.col("words").alias("old_tokens"))
+    """Inserts of all documents, deletes of every tenth, all languages but English revised to a second tokenizer; batches are sent twice."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    changed = ~F.col("lang").eqNullSafe("en") & F.coalesce(F.col("doc_id") % 10 != 3, F.lit(True))
+    counted = store.table(rollup.count_tokens(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE), changed), "counts")
+    none = [F.lit(None).cast("string").alias("old_version"), F.lit(None).cast("long").alias("old_tokens")]
+    group, before = ["source", "lang"], [F.lit(BYTE_BPE).alias("version"), F.col("first_tokens").alias("tokens")]
+    first = counted.select(F.lit("insert").alias("op"), *group, *before, *none)
+    second = counted.filter("doc_id % 10 = 3").select(F.lit("delete").alias("op"), *group, *before, *none)
+    third = counted.filter("second_tokens is not null").select(F.lit("revise").alias("op"), *group, F.lit(PIECE_BPE).alias("version"), F.col("second_tokens").alias("tokens"), F.lit(BYTE_BPE).alias("old_version"), F.col("first_tokens").alias("old_tokens"))
     ledger = store.new_path(spark, "ledger")
     for name, batch in (("1", first), ("2", second), ("2", second), ("3", third), ("1", first)):
         rollup.commit(batch, ledger, name)
@@ -61,7 +63,7 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece.digests(load(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_rollup": OP2_SQL, "op5_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op5_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
 
 
 def _op10_sql() -> str:
@@ -119,15 +121,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 OP10_SQL = _op10_sql()
 
-OP2_SQL = r"""
-WITH c AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS quarters FROM documents),
-live AS (SELECT * FROM c WHERE doc_id % 10 <> 3)
-SELECT source, lang, version, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
-  SELECT source, lang, 'words-1' AS version, words AS tokens FROM live WHERE lang <> 'en'
-  UNION ALL SELECT source, lang, 'quarters-2', quarters FROM live WHERE lang = 'en')
-GROUP BY source, lang, version
-"""
-
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),

@@ -1,3 +1,6 @@
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +100,77 @@ def test_batches_count_once(spark):
     assert rollup.totals(spark, store.new_path(spark, "no-ledger")).count() == 0
 
 
+def test_a_repeated_compaction_loses_nothing(spark):
+    ledger = store.new_path(spark, "ledger-repeat")
+    batch = spark.createDataFrame([("insert", "a", "en", "1", 10, None, None, "")], CHANGE)
+    assert not rollup.compact(spark, ledger, "none")
+    rollup.commit(batch, ledger, "b1")
+    for _ in range(3):
+        rollup.compact(spark, ledger, "c1")
+        assert [tuple(r) for r in rollup.totals(spark, ledger).collect()] == [("a", "en", "1", 1, 10)]
+    assert not rollup.commit(batch, ledger, "b1") and rollup.commit(batch, ledger, "b2")
+    assert not rollup.compact(spark, ledger, "c1")  # made before: later batches stay as they are
+    assert [r.tokens for r in rollup.totals(spark, ledger).collect()] == [20]
+    assert rollup.compact(spark, ledger, "c2") and not rollup.commit(batch, ledger, "b1") and not rollup.commit(batch, ledger, "b2")
+    assert [r.tokens for r in rollup.totals(spark, ledger).collect()] == [20]
+    with pytest.raises(ValueError, match="base-"):
+        rollup.commit(batch, ledger, "base-c2")
+
+
+def test_a_compaction_that_was_cut_short_is_finished(spark, monkeypatch):
+    ledger = store.new_path(spark, "ledger-cut")
+    batch = spark.createDataFrame([("insert", "a", "en", "1", 10, None, None, "")], CHANGE)
+    rollup.commit(batch, ledger, "b1")
+    publish = rollup._publish
+
+    def dies(*args):
+        publish(*args)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(rollup, "_publish", dies)
+    with pytest.raises(KeyboardInterrupt):
+        rollup.compact(spark, ledger, "c1")
+    monkeypatch.setattr(rollup, "_publish", publish)
+    assert rollup._names(spark, ledger) == ["b1", "base-c1"]
+    assert [r.tokens for r in rollup.totals(spark, ledger).collect()] == [10]
+    with pytest.raises(RuntimeError, match="another"):
+        rollup.compact(spark, ledger, "c2")
+    rollup.compact(spark, ledger, "c1")
+    assert rollup._names(spark, ledger) == ["base-c1"]
+    assert [r.tokens for r in rollup.totals(spark, ledger).collect()] == [10] and not rollup.commit(batch, ledger, "b1")
+
+
+def test_two_writers_of_one_batch(spark):
+    ledger = store.new_path(spark, "ledger-two")
+    batch = spark.createDataFrame([("insert", "a", "en", "1", 10, None, None, "")], CHANGE)
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: rollup.commit(batch, ledger, "b1"), range(4)))
+    assert done.count(True) == 1 and [r.tokens for r in rollup.totals(spark, ledger).collect()] == [10]
+    assert rollup._names(spark, ledger) == ["b1"]
+
+
+def test_token_rollup_counts_by_both_libraries(spark, data, odd, tmp_path):
+    import public_tokenizers as P
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source")
+    extra = odd.select("doc_id", "text", "lang", "source", "key").withColumns({"version": F.lit("x"), "op": F.lit(1)})
+    docs.unionByName(extra, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    byte, two = Tokenizer.from_file(P.path(queries.BYTE_BPE)), SentencePieceProcessor(model_file=P.path(queries.PIECE_BPE))
+    want = Counter()
+    for r in [*docs.collect(), *extra.collect()]:
+        if r.doc_id is None or r.doc_id % 10 != 3:
+            version = queries.BYTE_BPE if r.lang == "en" else queries.PIECE_BPE
+            n = len(byte.encode(r.text or "", add_special_tokens=False).ids) if r.lang == "en" else len(two.encode(r.text or ""))
+            want[r.source, r.lang, version, "docs"] += 1
+            want[r.source, r.lang, version, "tokens"] += n
+    got = Counter()
+    for r in queries.op2_token_rollup(spark, str(tmp_path)).collect():
+        got[r.source, r.lang, r.version, "docs"], got[r.source, r.lang, r.version, "tokens"] = r.docs, r.tokens
+    assert got == want
+
+
 # registration and the pipeline
 
 
