@@ -5,11 +5,15 @@
    (:func:`bucket`): 64 equal steps in every power of two.  Such sketches are merged by adding counts, so the
    aggregation is partial before the shuffle, any partitioning gives the same sketch, and a source that holds a third
    of all rows is still one small row per bucket and task.
-3. A quantile is read from the cumulative counts, a fence (for the value's bucket) lies ``SPREAD`` inter-quartile ranges beyond the quartiles
-   (never tighter than a fixed margin, so that a uniform source loses nothing), and the fences are joined back.
+3. Each metric states in ``TAIL`` which share of a group it may take for a tail.  A threshold lies half as far beyond
+   that tail's quantile as the quantile lies from the median, in the group's own values: there is no fixed cutoff, so
+   a group without any symbols rejects a few, and a source of tables keeps its many.  A quantile needs ``ROWS`` rows
+   beyond it; a group with fewer takes the merged sketch of its language, and a language with fewer that of all rows.
+4. The thresholds (one row per group) are written, and joined to the measured rows: by a broadcast while they are at
+   most ``GROUPS`` rows, else as adaptive execution sees fit.
 
 Null text counts as empty (fails the fixed rules); null language or source is a group of its own; repeated rows are
-judged alike, each by itself; an empty table gives an empty result.  All other columns are carried untouched, whatever
+judged alike, each by itself; an empty table gives an empty result.  A text of any length is one row's arrays of its words.  All other columns are carried untouched, whatever
 their names.
 """
 
@@ -22,11 +26,12 @@ from quern.llm import store
 
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
-#: Metrics with a fence above: the widest value that is never rejected, in thousandths.
-UPPER = {"symbol_pm": 30, "dup_line_pm": 400, "repeat_pm": 400, "chars_pw": 9000}
-#: Metrics with a fence below, likewise.
-LOWER = {"chars_pw": 3000}
-SPREAD = 3
+#: Per mille of a group's rows that may lie in a metric's tail.
+TAIL = {"symbol_pm": 100, "dup_line_pm": 5, "repeat_pm": 5, "chars_pw": 5}
+#: Metrics with a threshold below, too.
+BOTH = ("chars_pw",)
+ROWS = 3
+GROUPS = 100_000
 #: Documents with at least so many distinct repeated windows are handled by sorting instead of by look-up.
 FEW = 128
 
@@ -91,20 +96,42 @@ def base_failed() -> Column:
 
 
 def sketches(rated: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): one mergeable sketch per language, source and metric."""
+    """(level, lang, source, metric, bucket, n): one mergeable sketch per language, source and metric (level 2), and their merged ones per language (1) and for all rows (0)."""
     pairs = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(F.col(f"r.{k}")).alias("bucket")) for k in _rates()])
-    return rated.filter(~F.col("base_failed")).select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
+    own = rated.filter(~F.col("base_failed")).select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    above = F.array(
+        F.struct(F.lit(2).alias("level"), F.col("lang").alias("lang"), F.col("source").alias("source")),
+        F.struct(F.lit(1).alias("level"), F.col("lang").alias("lang"), none.alias("source")),
+        F.struct(F.lit(0).alias("level"), none.alias("lang"), none.alias("source")),
+    )
+    return own.select(F.inline(above), "metric", "bucket", "n").groupBy("level", "lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, metric, lo, hi) read from sketches; the quartile is the least bucket whose cumulative count reaches it."""
+    """(level, lang, source, metric, lo, hi) of sketches with enough rows for the metric's tail; a quantile is the least bucket whose cumulative count reaches it."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("lang", "source", "metric")
-    cum = sketch.withColumn("cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    q = cum.groupBy("lang", "source", "metric").agg(F.min(F.when(F.col("cum") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(F.col("cum") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"))
-    spread = (F.col("q3") - F.col("q1")) * SPREAD
-    return q.select("lang", "source", "metric", (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
+    w = Window.partitionBy("level", "lang", "source", "metric")
+    tail = F.create_map(*[x for k, v in TAIL.items() for x in (F.lit(k), F.lit(v))])[F.col("metric")]
+    cum = sketch.withColumn("cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w)).withColumn("tail", tail)
+    reached = lambda share: F.min(F.when(F.col("cum") * 1000 >= F.col("total") * share, F.col("bucket")))
+    q = cum.groupBy("level", "lang", "source", "metric").agg(reached(F.col("tail")).alias("low"), reached(F.lit(500)).alias("mid"), reached(1000 - F.col("tail")).alias("high"), F.max(F.col("total") * F.col("tail")).alias("beyond"))
+    hi, lo = F.expr("high + (high - mid) div 2"), F.when(F.col("metric").isin(*BOTH), F.expr("low - (mid - low) div 2"))
+    return q.filter((F.col("level") == 0) | (F.col("beyond") >= ROWS * 1000)).select("level", "lang", "source", "metric", lo.alias("lo"), hi.alias("hi"))
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """(lang, source, f): the thresholds that hold for each group, its own or those of the level above."""
+    wide = [F.first(F.when(F.col("metric") == k, F.col(side)), True).alias(f"{side}_{k}") for k in _rates() for side in ("lo", "hi")]
+    of = lambda level: found.filter(F.col("level") == level)
+    found = fences(sketch).groupBy("level", "lang", "source").agg(*wide)
+    names = found.columns[3:]
+    groups = sketch.filter("level = 2").select("lang", "source").distinct()
+    two, one, zero = groups.alias("g"), of(1).alias("one"), of(0).alias("zero")
+    two = two.join(of(2).alias("two"), F.expr("g.lang <=> two.lang and g.source <=> two.source"), "left")
+    both = two.join(one, F.expr("g.lang <=> one.lang"), "left").join(F.broadcast(zero), F.lit(True), "left")  # zero is one row
+    return both.select("g.lang", "g.source", F.struct(*[F.coalesce(F.col(f"two.{c}"), F.col(f"one.{c}"), F.col(f"zero.{c}")).alias(c) for c in names]).alias("f"))
 
 
 def judge(docs: DataFrame, owner: str = "", keep_text: bool = True) -> DataFrame:
@@ -120,14 +147,13 @@ def judge(docs: DataFrame, owner: str = "", keep_text: bool = True) -> DataFrame
     part = part.withColumn("base_failed", base_failed()).withColumn("r", F.struct(*[c.alias(k) for k, c in _rates().items()]))
     part = store.table(part, "quality", owner)
     rated = part.select(F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"), "base_failed", "r")
-    limits = fences(sketches(rated)).groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == k, F.col(side))).alias(f"{side}_{k}") for k in _rates() for side in ("lo", "hi")])
-    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*[c for c in limits.columns if c not in ("lang", "source")]).alias("f"))
-    joined = part.join(limits, part["doc.lang"].eqNullSafe(limits["__lang"]) & part["doc.source"].eqNullSafe(limits["__source"]), "left")
+    found = store.table(limits(sketches(rated)).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "f"), "limits", owner)
+    if found.count() <= GROUPS:
+        found = F.broadcast(found)
+    joined = part.join(found, part["doc.lang"].eqNullSafe(found["__lang"]) & part["doc.source"].eqNullSafe(found["__source"]), "left")
     bad = F.lit(False)
-    for k, least in UPPER.items():
-        bad = bad | (bucket(F.col(f"r.{k}")) > F.greatest(F.lit(least), F.coalesce(F.col(f"f.hi_{k}"), F.lit(least))))
-    for k, most in LOWER.items():
-        bad = bad | (bucket(F.col(f"r.{k}")) < F.least(F.lit(most), F.coalesce(F.col(f"f.lo_{k}"), F.lit(most))))
+    for k in TAIL:
+        bad = bad | F.coalesce(bucket(F.col(f"r.{k}")) > F.col(f"f.hi_{k}"), F.lit(False)) | F.coalesce(bucket(F.col(f"r.{k}")) < F.col(f"f.lo_{k}"), F.lit(False))
     return joined.select("doc", "m", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
 
 

@@ -90,8 +90,13 @@ def _op10_sql() -> str:
     rated = ", ".join(f"({a} * 1000) // greatest({b}, 1) AS {k}" for k, (a, b) in rates.items())
     long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {k} AS v FROM rated WHERE NOT base_failed" for k in rates)
     B = lambda k: f"(r.{k} - r.{k} % CAST(pow(2, greatest(length(bin(r.{k})) - 7, 0)) AS BIGINT))"
-    bad = [f"{B(k)} > greatest({v}, coalesce((SELECT hi FROM fence f WHERE f.metric = '{k}' AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source), {v}))" for k, v in quality.UPPER.items()]
-    bad += [f"{B(k)} < least({v}, coalesce((SELECT lo FROM fence f WHERE f.metric = '{k}' AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source), {v}))" for k, v in quality.LOWER.items()]
+
+    def limit(k: str, side: str) -> str:
+        one = lambda level, same: f"(SELECT {side} FROM fence f WHERE f.level = {level} AND f.metric = '{k}'{same})"
+        lang, source = " AND f.lang IS NOT DISTINCT FROM r.lang", " AND f.source IS NOT DISTINCT FROM r.source"
+        return f"coalesce({one(2, lang + source)}, {one(1, lang)}, {one(0, '')})"
+
+    bad = [f"coalesce({B(k)} > {limit(k, 'hi')}, false)" for k in rates] + [f"coalesce({B(k)} < {limit(k, 'lo')}, false)" for k in ("chars_pw",)]
     return f"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
@@ -111,10 +116,16 @@ m AS (
 rated AS (SELECT *, {rated}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 long AS ({long}),
 b AS (SELECT lang, source, metric, v - v % CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS bucket FROM long),
-s AS (SELECT lang, source, metric, bucket, count(*) AS n FROM b GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM s),
-q AS (SELECT lang, source, metric, min(bucket) FILTER (cum * 4 >= total) AS q1, min(bucket) FILTER (cum * 4 >= total * 3) AS q3 FROM c GROUP BY ALL),
-fence AS (SELECT lang, source, metric, q1 - {quality.SPREAD} * (q3 - q1) AS lo, q3 + {quality.SPREAD} * (q3 - q1) AS hi FROM q)
+s AS (
+  SELECT 2 AS level, lang, source, metric, bucket, count(*) AS n FROM b GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM b GROUP BY ALL
+  UNION ALL SELECT 0, NULL, NULL, metric, bucket, count(*) FROM b GROUP BY ALL),
+c AS (SELECT *, CASE metric WHEN 'symbol_pm' THEN 100 ELSE 5 END AS tail, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM s),
+q AS (
+  SELECT level, lang, source, metric, min(bucket) FILTER (cum * 1000 >= total * tail) AS low, min(bucket) FILTER (cum * 2 >= total) AS mid,
+         min(bucket) FILTER (cum * 1000 >= total * (1000 - tail)) AS high, max(total * tail) AS beyond
+  FROM c GROUP BY ALL),
+fence AS (SELECT level, lang, source, metric, low - (mid - low) // 2 AS lo, high + (high - mid) // 2 AS hi FROM q WHERE level = 0 OR beyond >= 3000)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(bad)}) AS kept FROM rated r
 """
 

@@ -79,6 +79,41 @@ def test_a_source_with_its_own_level_is_kept(spark):
     assert got[0] and got[100] and not got[999]
 
 
+def test_a_few_symbols_stand_out_where_there_are_none(spark):
+    body = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, body, "en", "a") for i in range(200)] + [(999, body + " " + "#" * 8, "en", "a")]
+    got = {r.doc.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[0] and not got[999]
+
+
+@pytest.mark.parametrize("groups", [100_000, 0])
+def test_verdicts_match_brute_force(spark, data, odd, monkeypatch, groups):
+    monkeypatch.setattr(quality, "GROUPS", groups)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source").union(odd.select("doc_id", "text", "lang", "source"))
+    texts = [(r.text, r.lang, r.source) for r in docs.collect()]
+    rated = []
+    for text, lang, source in texts:
+        n, chars, symbols, dup, repeat = brute_quality(text)
+        lines = sum(bool(W.search(x)) for x in (text or "").split("\n"))
+        rates = {"symbol_pm": 1000 * symbols // max(chars, 1), "dup_line_pm": 1000 * dup // max(lines, 1), "repeat_pm": 1000 * repeat // max(n, 1), "chars_pw": 1000 * chars // max(n, 1)}
+        rated.append((n < 50 or 2 * repeat > n, lang, source, {k: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0) for k, v in rates.items()}))
+
+    def limit(k, lang, source):
+        good = [r for r in rated if not r[0]]
+        for level in ([r for r in good if r[1:3] == (lang, source)], [r for r in good if r[1] == lang], good):
+            values, tail = sorted(r[3][k] for r in level), quality.TAIL[k]
+            if len(values) * tail >= 3000 or (level is good and values):
+                at = lambda share: values[-(-len(values) * share // 1000) - 1]  # noqa: E731, B023
+                return at(tail) - (at(500) - at(tail)) // 2 if k == "chars_pw" else -1, at(1000 - tail) + (at(1000 - tail) - at(500)) // 2
+
+    want = Counter()
+    for (text, lang, source), (failed, _, _, rates) in zip(texts, rated, strict=True):
+        inside = all(lo <= rates[k] <= hi for k in rates for lo, hi in [limit(k, lang, source)])
+        want[text, lang, source, not failed and inside] += 1
+    got = Counter((r.doc.text, r.doc.lang, r.doc.source, r.kept) for r in quality.judge(docs).collect())
+    assert got == want and sum(n for (*_, kept), n in want.items() if not kept) > 10
+
+
 # substring dedup
 
 
