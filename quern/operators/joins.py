@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import scratch
+
 
 def hydrate(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: str, name: str = "parts") -> DataFrame:
     """Each parent with the ordered list of its children (empty without any)."""
@@ -56,9 +58,19 @@ def copy_with_ids(rows: DataFrame, ident: str, references: list[str], new_id: Co
 
 
 def descendants(spark, rows: DataFrame, ident: str, parent: str, root) -> DataFrame:
-    """(ident, depth) of a node and all below it."""
-    rows.select(F.col(ident).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView("__tree")
-    return spark.sql("WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM __tree WHERE id = :root UNION ALL SELECT c.id, t.depth + 1 FROM t JOIN __tree c ON c.parent = t.id) SELECT * FROM t", args={"root": root})
+    """(ident, depth) of a node and all below it, however deep and many: level by level, each written before the next one."""
+    tree = rows.select(F.col(ident).alias("id"), F.col(parent).alias("parent"))
+    path, depth = scratch(spark), 0
+    level = tree.filter(F.col("id") == root).select("id", F.lit(0).alias("depth"))
+    while True:
+        level.write.parquet(f"{path}/{depth}")
+        done = spark.read.schema(level.schema).parquet(*[f"{path}/{i}" for i in range(depth + 1)])
+        last = done.filter(F.col("depth") == depth)
+        if last.isEmpty():
+            return done
+        depth += 1
+        below = tree.join(last.select(F.col("id").alias("parent")), "parent").select("id")
+        level = below.join(done, "id", "left_anti").distinct().withColumn("depth", F.lit(depth))  # a ring ends where it began
 
 
 def first_wins(*frames: DataFrame, key: str) -> DataFrame:
