@@ -1,19 +1,21 @@
 """Removal of passages that occur more than once, by level-wise doubling.
 
-A window of ``n`` words that occurs twice has all its sub-windows twice.  So the first level looks at windows of half
-the length, and of these only at *anchors*: the sub-window of least hash in each window (about two in ``n / 2`` words),
-which every copy of the window picks at the same place.  Windows whose anchor occurs once are finished; those
-whose anchor is repeated alone are extended to twice its length and counted again, until the level of ``n`` words
-decides.  (:func:`levels` gives the lengths; each level only costs what survived the one before.)
+A window of ``n`` words that occurs twice has all its sub-windows twice.  :func:`levels` gives lengths that double from
+a short one up to ``n``.  At each level a candidate window of ``n`` words stands on its *anchor*, the sub-window of that
+length with the least hash, which every copy of the window picks at the same place (about one anchor in half the
+difference of the lengths, so a level counts few rows).  A window whose anchor occurs once is finished; one whose anchor
+is repeated is extended to twice that length and counted again, until ``n`` words decide or no candidate survives (the
+levels after that one then read empty tables, which adaptive execution drops).  All windows are candidates at first.
 
 Hot passages: a task keeps one row of each key for the count over all tasks and settles its other rows of that key
 itself, under a key of their own, so a group has at most one row per task and flush, however many documents share the
-passage.  Texts meet their surviving windows by a join on a hash of the text; repeated rows of one text need one of
-them only, and a whole text that occurs twice is known from a key of its own.
+passage.  Texts meet their surviving anchors by a join on a hash of the text: all levels read one exchange of the
+texts.  Of rows that repeat a text, a task extends one (all their windows are repeated, and known to be so from a key
+of the whole text).  Rows too short for a window are dealt by their own hash, so blank texts share no key.
 
 Null or blank text has no words and stays as it is; texts under ``n`` words are never cut; repeated rows are all cut
 alike (each one's windows start in the others); an empty table gives an empty result.  Other columns are carried along
-untouched.
+untouched.  A text is handled in one piece, in some fifty bytes of memory for each byte.
 """
 
 from __future__ import annotations
@@ -26,28 +28,37 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.arrow import column, signed, text_slices
 from quern.llm.hashing import U, Words, mix, sliding
 
 #: Rows that a task gathers before it settles and sends them.
 FLUSH = 1 << 20
+#: The first level has at least so many words.
+START = 8
 
 
 def levels(n: int) -> list[int]:
-    """Window lengths: half of ``n`` (rounded up), then ``n``."""
-    return [-(-n // 2), n] if n > 3 else [n]
+    """Window lengths that double, the last one cut to ``n``."""
+    out = [n]
+    while out[0] > 1 and -(-out[0] // 2) >= START:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
-def _anchor_of(w: Words, n: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the half windows; for each window of n words its least one (0 where it leaves its text); which half windows are anchors."""
-    small = w.windows(half)
-    whole = w.whole(n)
-    span = n - half + 1
-    least = np.where(whole, sliding(small, span)[: len(whole)], U(0)) if len(whole) else np.zeros(0, U)
+def _least(w: Words, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``length`` words; for each window of n words its anchor, the least of them (0 where it leaves its text)."""
+    small, whole = w.windows(length), w.whole(n)
+    return small, np.where(whole, sliding(small, n - length + 1)[: len(whole)], U(0)) if len(whole) else np.zeros(0, U)
+
+
+def _anchors_at(small: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
+    """The places of the windows that are the anchor of a window of n words around them; ``least`` is 0 for those that are no candidates."""
     padded = np.concatenate([np.zeros(span - 1, U), least, np.zeros(span - 1, U)])
+    # no window around a place has a greater anchor than the place's own hash
     most = sliding(padded, span, np.maximum)[: len(small)]
-    return small, least, (most == small) & (most > 0)
+    return np.flatnonzero((most == small) & (most > 0))
 
 
 def _combine(keys: list[np.ndarray], weight: np.ndarray, salt: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -73,9 +84,35 @@ def _mark(key: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return mix(key.view(U) ^ (tag.astype(np.int64).view(U) << U(17)) ^ U(0x5851F42D4C957F2D))
 
 
-def _anchors(n: int):
+def _candidates(w: Words, n: int, before: int, marks: np.ndarray, lists: pa.Array, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of n words whose anchor of ``before`` words is repeated, and the texts that another row has too (taken whole, once per task)."""
+    _, least = _least(w, n, before)
+    take, twice = np.zeros(len(least), bool), np.zeros(len(w.count), bool)
+    for i in range(len(w.count)):
+        s, e = w.first[i], min(w.first[i + 1] - n + 1, len(least))
+        if e <= s:
+            continue
+        found = lists[i].values.to_numpy(zero_copy_only=False).view(U)
+        if (found == marks[i]).any():
+            if (own := int(marks[i])) not in seen:
+                seen.add(own)
+                take[s:e], twice[i] = True, True
+        else:
+            found = np.sort(found)
+            take[s:e] = found[np.minimum(np.searchsorted(found, least[s:e]), len(found) - 1)] == least[s:e]
+    return take, twice
+
+
+def _texts(batch: pa.RecordBatch, text: str) -> pa.Array:
+    return column(batch, "text") if "text" in batch.schema.names else pc.fill_null(pc.struct_field(column(batch, "doc"), text), "")
+
+
+def _level(text: str, n: int, before: int | None, length: int):
+    """One level: (g, v, key, weight) of the anchors v of all candidates; at the first one (no ``before``) all windows are candidates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        seen: set[int] = set()
 
         def flush():
             v, key, weight, salt = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -84,17 +121,22 @@ def _anchors(n: int):
             return pa.RecordBatch.from_arrays([pa.array(signed(group)), pa.array(signed(v)), pa.array(key), pa.array(weight)], ["g", "v", "key", "weight"])
 
         for no, batch in enumerate(batches):
-            texts, keys, tags = column(batch, "text"), column(batch, "key").to_numpy(), column(batch, "tag").to_numpy()
+            texts, keys = _texts(batch, text), column(batch, "key").to_numpy()
+            marks = _mark(keys, column(batch, "tag").to_numpy())
             for lo, hi in text_slices(texts):
                 w = Words(texts.slice(lo, hi - lo))
-                small, _, chosen = _anchor_of(w, n, levels(n)[0])
-                at = np.flatnonzero(chosen)
+                small, least = _least(w, n, length)
+                twice = np.zeros(hi - lo, bool)
+                if before:
+                    take, twice = _candidates(w, n, before, marks[lo:hi], column(batch, "anchors").slice(lo, hi - lo), seen)
+                    least = np.where(take, least, U(0))
+                at = _anchors_at(small, least, n - length + 1)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                marks = np.flatnonzero(w.count >= n)
-                v = np.concatenate([small[at], _mark(keys[lo:hi], tags[lo:hi])[marks]])
-                key = np.concatenate([keys[lo:hi][doc], keys[lo:hi][marks]])
+                whole = np.flatnonzero(twice if before else w.count >= n)
+                v = np.concatenate([small[at], marks[lo:hi][whole]])
+                key = keys[lo:hi][np.concatenate([doc, whole])]
                 salt = mix(key.view(U) ^ (np.arange(len(key), dtype=U) << U(20)) ^ U(no * 1_000_003 + lo))
-                held.append((v, key, np.ones(len(v), np.int8), salt))
+                held.append((v, key, np.where(twice, 2, 1).astype(np.int8)[np.concatenate([doc, whole])], salt))
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield flush()
         if held:
@@ -103,7 +145,9 @@ def _anchors(n: int):
     return run
 
 
-def _extend(text: str, n: int):
+def _decide(text: str, n: int, before: int):
+    """The last level: (a, b, key, tag, start, weight) of every candidate window, by 97 bits of hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         seen: set[int] = set()
@@ -116,34 +160,17 @@ def _extend(text: str, n: int):
             return pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array((b >> U(33)).astype(np.int32)), pa.array(key), pa.array(tag), pa.array(start), pa.array(weight)], ["a", "b", "key", "tag", "start", "weight"])
 
         for batch in batches:
-            texts = pc.fill_null(pc.struct_field(column(batch, "doc"), text), "")
-            keys, tags, lists = column(batch, "key").to_numpy(), column(batch, "tag").to_numpy(), column(batch, "anchors")
+            texts, keys, tags = _texts(batch, text), column(batch, "key").to_numpy(), column(batch, "tag").to_numpy()
             marks = _mark(keys, tags)
             for lo, hi in text_slices(texts):
                 w = Words(texts.slice(lo, hi - lo))
-                _, least, _ = _anchor_of(w, n, levels(n)[0])
-                if not len(least):
-                    continue
-                a, b = w.windows(n), w.windows(n, 1)
-                take, weight = np.zeros(len(least), bool), np.ones(len(least), np.int8)
-                for i in range(lo, hi):
-                    s, e = w.first[i - lo], min(w.first[i - lo + 1] - n + 1, len(least))
-                    if e <= s:
-                        continue
-                    found = lists[i].values.to_numpy(zero_copy_only=False).view(U)
-                    if (found == marks[i]).any():  # another row has this very text
-                        if (own := int(marks[i])) in seen:
-                            continue
-                        seen.add(own)
-                        take[s:e], weight[s:e] = True, 2
-                    else:
-                        found = np.sort(found)
-                        take[s:e] = found[np.minimum(np.searchsorted(found, least[s:e]), len(found) - 1)] == least[s:e]
+                take, twice = _candidates(w, n, before, marks[lo:hi], column(batch, "anchors").slice(lo, hi - lo), seen)
                 at = np.flatnonzero(take)
                 if not len(at):
                     continue
+                a, b = w.windows(n), w.windows(n, 1)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                held.append((a[at], b[at], keys[lo:hi][doc], tags[lo:hi][doc], (at - w.first[doc]).astype(np.int32), weight[at]))
+                held.append((a[at], b[at], keys[lo:hi][doc], tags[lo:hi][doc], (at - w.first[doc]).astype(np.int32), np.where(twice, 2, 1).astype(np.int8)[doc]))
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield flush()
         if held:
@@ -158,16 +185,23 @@ def find(docs: DataFrame, text: str = "text", n: int = 35) -> DataFrame:
     ``starts`` has the word positions at which a repeated window of n words starts; only entries with the row's own
     tag belong to its text (the join is on 64 bits of its hash, the tag has 32 more).
     """
-    keyed = docs.select(F.struct("*").alias("doc"))
-    body = F.coalesce(F.col(f"doc.{text}"), F.lit(""))
-    keyed = keyed.select("doc", F.xxhash64(body).alias("key"), F.pmod(F.xxhash64(F.lit(7), body), F.lit((1 << 31) - 1)).cast("int").alias("tag"))
-    plain = keyed.select("key", "tag", F.coalesce(F.col(f"doc.{text}"), F.lit("")).alias("text"))
-    first = plain.mapInArrow(_anchors(n), "g long, v long, key long, weight byte")
-    repeated = first.withColumn("n", F.sum("weight").over(Window.partitionBy("g"))).filter("n >= 2")
-    lists = repeated.groupBy("key").agg(F.collect_set("v").alias("anchors"))
-    wide = keyed.join(lists, "key").select("key", "tag", "doc", "anchors")  # the whole row, so that both joins read one exchange
-    second = wide.mapInArrow(_extend(text, n), "a long, b int, key long, tag int, start int, weight byte")
-    sure = second.withColumn("n", F.sum("weight").over(Window.partitionBy("a", "b"))).filter("n >= 2")
+    body = F.coalesce(F.col(text), F.lit(""))
+    plain = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    short = F.octet_length(body) < 2 * n - 1
+    keyed = docs.select(
+        F.struct("*").alias("doc"),
+        F.when(short, F.xxhash64(*plain, F.lit(1))).otherwise(F.xxhash64(body)).alias("key"),
+        F.pmod(F.xxhash64(F.lit(7), body), F.lit((1 << 31) - 1)).cast("int").alias("tag"),
+    )
+    rows, before, kind = keyed.select("key", "tag", F.coalesce(F.col(f"doc.{text}"), F.lit("")).alias("text")), None, "g long, v long, key long, weight byte"
+    *lower, last = levels(n) if len(levels(n)) > 1 else (n, n)
+    for length in lower:
+        counted = rows.mapInArrow(_level(text, n, before, length), kind)
+        repeated = counted.withColumn("n", F.sum("weight").over(Window.partitionBy("g"))).filter("n >= 2")
+        lists = repeated.groupBy("key").agg(F.collect_set("v").alias("anchors"))
+        rows, before = keyed.join(lists, "key").select("key", "tag", "doc", "anchors"), length  # the whole row, so that all joins read one exchange
+    found = rows.mapInArrow(_decide(text, n, before), "a long, b int, key long, tag int, start int, weight byte")
+    sure = found.withColumn("n", F.sum("weight").over(Window.partitionBy("a", "b"))).filter("n >= 2")
     starts = sure.groupBy("key").agg(F.collect_list(F.struct("tag", "start")).alias("starts"))
     return keyed.join(starts, "key", "left").select("doc", "tag", "starts")
 
@@ -245,8 +279,6 @@ def cut(found: DataFrame, columns: list[str], text: str, n: int) -> DataFrame:
 
 
 def _schema(found: DataFrame):
-    from pyspark.sql import types as T
-
     return T.StructType([found.schema["doc"], T.StructField("cut", T.StringType())])
 
 
