@@ -12,15 +12,21 @@ How it is spread:
   plain Parquet scan is written once first.  A chunk gives its distinct (DEPTH + 1)-grams of bytes, and its distinct
   words for the baseline, with their counts in training texts (0 for the others), which are summed over all chunks:
   the whole tree follows from the grams, and one that training never saw is a leaf of count zero like any other.  A
-  key has at most one row per chunk and flush, however frequent it is.
-* Sub-trees that share their two nearest context bytes are computed together: at most 2 ** 32 grams, whatever the
-  corpus, and in prose some thousands.  The tree above them has at most 2 ** 24 nodes, one small table that one task finishes.
+  key has at most one row per chunk and flush, however frequent it is: there are as many rows of it as chunks, which is
+  far fewer than a partition has, so no key is hot.
+* Sub-trees that share their three nearest context bytes (``SPLIT``) are computed one after another in the partition
+  they fall to, some ``TREE`` grams at a time, so a task holds one sub-tree more than that.  A sub-tree has the
+  distinct grams of one three-byte context, however often they occur.  The tree above them is three aggregations by
+  the nearer context (:func:`_above`), each spread by its nodes, and each level's way down is a join with the level
+  above it, of which the two nearest have at most 2 ** 8 and 2 ** 16 nodes and are broadcast.
 * The log-probability of each gram, and the count of each word, goes back to the chunks in which it occurs, and each
   chunk is scored against its own.  So nothing is broadcast, and what moves is the texts once, and distinct keys per
   chunk.  Words are told apart by 64 bits of hash.
 
 Null text is an empty text (one end byte); rows are scored one by one whatever their ids; a hot source has no part in
-any key; with no training text at all every bit has probability 1/2.
+any key; with no training text at all every bit has probability 1/2.  Repeated rows are counted and scored as often as
+they come.  A text is handled in one piece, in some sixty bytes of memory for each byte.  Carried columns may have any
+names but those of the results.
 """
 
 from __future__ import annotations
@@ -40,6 +46,10 @@ from quern.llm.hashing import _LOWER, U, Words, bytes_of
 
 DEPTH = 5
 END = 0xFF
+#: Nearest context bytes that the grams of one sub-tree share.
+SPLIT = 3
+#: Grams whose sub-trees are computed at once.
+TREE = 1 << 18
 #: Bytes of input to a chunk.
 CHUNK_BYTES = 8 << 20
 #: Distinct keys that a task gathers for a chunk before it sends them.
@@ -125,68 +135,104 @@ def leaves(gram: np.ndarray, count: np.ndarray) -> tuple[Level, np.ndarray, np.n
     return Level(unique, np.bincount(where, weight, len(unique)) - ones, ones, None), where.reshape(-1, 8), bits
 
 
-def _subtree(gram: np.ndarray, count: np.ndarray) -> list[Level]:
-    """Levels DEPTH down to 2 of whole sub-trees."""
+def _subtree(gram: np.ndarray, count: np.ndarray) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """Levels DEPTH down to SPLIT of whole sub-trees."""
     level, where, bits = leaves(gram, count)
     out = [level]
-    for depth in range(DEPTH, 2, -1):
+    for depth in range(DEPTH, SPLIT, -1):
         out.append(out[-1].parents(depth))
     return out, where, bits
 
 
+def _whole(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[pa.Array]]:
+    """The columns ``names`` of rows that are sorted by ``near``, about TREE rows at a time, cut where ``near`` changes."""
+    held: list[pa.RecordBatch] = []
+    rows, due = 0, TREE
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows < due:
+            continue
+        table = pa.Table.from_batches(held)
+        near = table.column("near").to_numpy()
+        cut = int(np.searchsorted(near, near[-1]))  # the last sub-tree may go on
+        if cut:
+            yield [table.column(c).slice(0, cut).combine_chunks() for c in names]
+            held, rows = table.slice(cut).combine_chunks().to_batches(), rows - cut
+        due = max(TREE, 2 * rows)
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield [table.column(c).combine_chunks() for c in names]
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The depth-2 nodes of the sub-trees in this partition."""
-    got = [(column(b, "gram").to_numpy(), column(b, "n").to_numpy()) for b in batches]
-    if got:
-        gram, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        level = _subtree(gram.view(U), n)[0][-1]
+    """The nodes at depth SPLIT of the sub-trees in this partition."""
+    for gram, n in _whole(batches, ("gram", "n")):
+        level = _subtree(gram.to_numpy().view(U), n.to_numpy())[0][-1]
         yield pa.RecordBatch.from_arrays([pa.array(level.key.view(np.int64)), pa.array(level.zeros), pa.array(level.ones), pa.array(level.log_w)], ["node", "zeros", "ones", "log_w"])
 
 
-def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each depth-2 node, what depths 0 and 1 contribute to its path: ``mixed`` (the estimates' sum so far) and ``left`` (the share for depth 2 and below)."""
-    got = [tuple(column(b, c).to_numpy() for c in ("node", "zeros", "ones", "log_w")) for b in batches]
-    if not got:
-        return
-    key, zeros, ones, log_w = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.argsort(key, kind="stable")
-    two = Level(key[order].view(U), zeros[order], ones[order], None)
-    two.log_w = log_w[order]
-    one = two.parents(2)
-    zero = one.parents(1)
-    at0 = np.searchsorted(zero.key, one.key & U(255))
-    mixed1, left1 = zero.share[at0] * zero.p[at0], 1 - zero.share[at0]
-    at1 = np.searchsorted(one.key, (two.key >> U(8) & U(255)) << U(8) | two.key & U(255))
-    mixed2 = mixed1[at1] + left1[at1] * one.share[at1] * one.p[at1]
-    left2 = left1[at1] * (1 - one.share[at1])
-    yield pa.RecordBatch.from_arrays([pa.array((two.key >> U(8)).view(np.int64)), pa.array(two.key.view(np.int64)), pa.array(mixed2), pa.array(left2)], ["near", "node", "mixed", "left"])
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of one level with their weights, from the sums over their children."""
+    for b in batches:
+        node, zeros, ones, below = (column(b, c).to_numpy() for c in ("node", "zeros", "ones", "log_w"))
+        level = Level(node, zeros, ones, below)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, zeros, ones, level.log_w, level.p, level.share)], ["node", "zeros", "ones", "log_w", "p", "share"])
+
+
+_NODE = "node long, zeros double, ones double, log_w double"
+
+
+def _nearer(depth: int):
+    """The node one byte nearer, as an expression over ``node`` at ``depth``."""
+    return F.expr(f"((node >> 8) & {(1 << 8 * (depth - 1)) - 1}L) << 8 | (node & 255L)")
+
+
+def _above(level: DataFrame, depth: int) -> DataFrame:
+    """The level above ``level``, which lies at ``depth``."""
+    summed = level.groupBy(_nearer(depth).alias("node")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_w")])
+    return summed.mapInArrow(_mixed, _NODE + ", p double, share double")
+
+
+def _down(level: DataFrame, depth: int, above: DataFrame | None) -> DataFrame:
+    """(node, mixed, left): the sum of the estimates above a node's children, and the share that is left for them; the level's own node included."""
+    if above is None:
+        return level.select("node", (F.col("share") * F.col("p")).alias("mixed"), (1 - F.col("share")).alias("left"))
+    met = level.withColumn("up", _nearer(depth)).join(above.select(F.col("node").alias("up"), "mixed", "left"), "up")
+    return met.select("node", (F.col("mixed") + F.col("left") * F.col("share") * F.col("p")).alias("mixed"), (F.col("left") * (1 - F.col("share"))).alias("left"))
+
+
+def _top(roots: DataFrame, owner: str) -> DataFrame:
+    """(near, node, mixed, left): for each node at depth SPLIT, what all depths above it give."""
+    levels = {SPLIT: roots}
+    for depth in range(SPLIT, 0, -1):
+        levels[depth - 1] = store.table(_above(levels[depth], depth), f"depth{depth - 1}", owner)
+    down = None
+    for depth in range(SPLIT):
+        down = _down(levels[depth], depth, down)
+        if depth < 2:  # at most 2 ** 8 and 2 ** 16 nodes
+            down = F.broadcast(down)
+    met = roots.select("node", _nearer(SPLIT).alias("up")).join(down.withColumnRenamed("node", "up"), "up")
+    return met.select(F.shiftright("node", 8).alias("near"), "node", "mixed", "left")
 
 
 def _gram_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """log10 probability of each gram's last byte; rows are grams (gram, n) and depth-2 nodes (node, mixed, left) of whole sub-trees."""
-    rows: dict[str, list[np.ndarray]] = {c: [] for c in ("gram", "n", "node", "mixed", "left")}
-    for b in batches:
-        is_gram = pc.is_valid(column(b, "gram"))
-        for c in ("gram", "n"):
-            rows[c].append(column(b, c).filter(is_gram).to_numpy())
-        for c in ("node", "mixed", "left"):
-            rows[c].append(column(b, c).filter(pc.invert(is_gram)).to_numpy())
-    if not rows["gram"]:
-        return
-    gram, n, node, mixed, left = (np.concatenate(rows[c]) for c in rows)
-    if not len(gram):
-        return
-    levels, where, bits = _subtree(gram.view(U), n)
-    order = np.argsort(node, kind="stable")
-    mixed, left = mixed[order], left[order]  # in the order of levels[-1].key
-    for depth in range(2, DEPTH):  # from depth 2 towards the leaves
-        here, below = levels[DEPTH - depth], levels[DEPTH - depth - 1]
-        keep = U((1 << 8 * depth) - 1)
-        at = np.searchsorted(here.key, (below.key >> U(8) & keep) << U(8) | below.key & U(255))
-        mixed, left = (mixed + left * here.share * here.p)[at], (left * (1 - here.share))[at]
-    one = np.clip(mixed + left * levels[0].p, 1e-12, 1 - 1e-12)[where]
-    score = np.log10(np.where(bits, one, 1 - one)).sum(axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(score)], ["gram", "score"])
+    """log10 probability of each gram's last byte; rows are grams (gram, n) and nodes at depth SPLIT (node, mixed, left) of whole sub-trees."""
+    for rows in _whole(batches, ("gram", "n", "node", "mixed", "left")):
+        is_gram = pc.is_valid(rows[0])
+        gram, n = (x.filter(is_gram).to_numpy() for x in rows[:2])
+        node, mixed, left = (x.filter(pc.invert(is_gram)).to_numpy() for x in rows[2:])
+        levels, where, bits = _subtree(gram.view(U), n)
+        order = np.argsort(node, kind="stable")
+        mixed, left = mixed[order], left[order]  # in the order of levels[-1].key
+        for depth in range(SPLIT, DEPTH):  # towards the leaves
+            here, below = levels[DEPTH - depth], levels[DEPTH - depth - 1]
+            keep = U((1 << 8 * depth) - 1)
+            at = np.searchsorted(here.key, (below.key >> U(8) & keep) << U(8) | below.key & U(255))
+            mixed, left = (mixed + left * here.share * here.p)[at], (left * (1 - here.share))[at]
+        one = np.clip(mixed + left * levels[0].p, 1e-12, 1 - 1e-12)[where]
+        score = np.log10(np.where(bits, one, 1 - one)).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(score)], ["gram", "score"])
 
 
 GRAM, WORD, TEXT = 0, 1, 2
@@ -277,6 +323,7 @@ def _score_chunk(total: int, distinct: int, train_texts: int):
         key = key.view(U)
         texts = docs.column("text").combine_chunks()
         scores: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         out: list[tuple] = []
         norm = np.log10(float(total + distinct + 1))
         look = _Lookup(key[kind == GRAM], value[kind == GRAM])
@@ -287,6 +334,7 @@ def _score_chunk(total: int, distinct: int, train_texts: int):
                 raise ValueError("a gram has no score: the chunk's rows are not those that were counted")
             sums = np.concatenate([[0], np.cumsum(logs)])
             scores.append(sums[place[1:]] - sums[place[:-1]])
+            sizes.append(np.diff(place))
         look = _Lookup(key[kind == WORD], value[kind == WORD])
         del kind, key, value
         for lo, hi in text_slices(texts, SLICE):
@@ -296,23 +344,29 @@ def _score_chunk(total: int, distinct: int, train_texts: int):
             known = np.concatenate([[0], np.cumsum(c > 0)])
             at = w.first
             out.append((w.count + 1, known[at[1:]] - known[at[:-1]] + (train_texts > 0), base[at[1:]] - base[at[:-1]] + np.log10(train_texts + 1) - norm))
-        cols = [*(np.concatenate(x) for x in zip(*out, strict=True)), np.concatenate(scores)] if out else [np.zeros(0)] * 4
-        docs = docs.drop_columns(["chunk", "text"])
-        for name, x, as_type in zip(("n_tokens", "n_known", "base_score", "score"), cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True):
-            docs = docs.append_column(name, pa.array(x).cast(as_type))
-        return docs.append_column("train_tokens", pa.array(np.full(len(docs), total, np.int64)))
+        cols = [*(np.concatenate(x) for x in zip(*out, strict=True)), np.concatenate(scores), np.concatenate(sizes)] if out else [np.zeros(0)] * 5
+        cols = [*cols, cols[3] / -np.log10(2) / np.maximum(cols[4], 1), np.full(len(docs), total)]
+        docs = docs.select(["kept"])
+        for (name, kind), x in zip(_RESULT.items(), cols, strict=True):
+            docs = docs.append_column(name, pa.array(x).cast(kind))
+        return docs
 
     return run
 
 
+#: What :func:`score` gives; bits are code length per byte of the text and its end byte.
+_RESULT = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64(), "bits_per_byte": pa.float64(), "train_tokens": pa.int64()}
+
+
 def score(docs: DataFrame, train, text: str = "text", carry: tuple[str, ...] = (), scanned: bool = False, owner: str = "") -> DataFrame:
-    """``carry`` columns, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every row.
+    """``carry`` columns, n_tokens, n_known, base_score, score (log10 probability), n_bytes, bits_per_byte and train_tokens of every row.
 
+    ``bits_per_byte`` is the code length per byte; the end byte counts as one.
     ``train`` is the condition on training rows.  ``scanned`` says that ``docs`` is a plain scan of Parquet files, whose
     rows keep their places; anything else is written into the shared folder first.
     """
     spark = docs.sparkSession
-    docs = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    docs = docs.select(F.struct(*([F.col(c) for c in carry] or [F.lit(0)])).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     if not scanned:
         docs = store.table(docs, "texts", owner)
     size = docs.agg(F.count("*"), F.sum(F.octet_length("text")), F.max(F.col("_metadata.row_index")) + 1).first()
@@ -327,20 +381,20 @@ def score(docs: DataFrame, train, text: str = "text", carry: tuple[str, ...] = (
     only = lambda kind, x: F.coalesce(F.sum(F.when((F.col("kind") == kind) & F.col("first"), x)), F.lit(0)).cast("long")
     words, distinct, texts = summed.agg(only(WORD, F.col("c")), only(WORD, (F.col("c") > 0).cast("int")), only(TEXT, F.col("c"))).first()
 
-    near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("near")
+    near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1).cast("long")).alias("near")
     total = store.table(summed.filter((F.col("kind") == GRAM) & F.col("first")).select(near, F.col("key").alias("gram"), F.col("c").alias("n")), "tree", owner)
-    roots = total.repartition("near").select("gram", "n").mapInArrow(_roots, "node long, zeros double, ones double, log_w double")
-    top = store.table(roots.coalesce(1).mapInArrow(_top, "near long, node long, mixed double, left double"), "top", owner)
+    trees = lambda rows: rows.repartition("near").sortWithinPartitions("near")
+    roots = store.table(trees(total).select("near", "gram", "n").mapInArrow(_roots, _NODE), "roots", owner)
     none = lambda kind: F.lit(None).cast(kind)
     both = total.select("near", "gram", "n", none("long").alias("node"), none("double").alias("mixed"), none("double").alias("left"))
-    both = both.union(top.select("near", none("long"), none("long"), "node", "mixed", "left"))
-    scores = store.table(both.repartition("near").mapInArrow(_gram_scores, "gram long, score double"), "scores", owner)
+    both = both.union(_top(roots, owner).select("near", none("long"), none("long"), "node", "mixed", "left"))
+    scores = store.table(trees(both).mapInArrow(_gram_scores, "gram long, score double"), "scores", owner)
     grams_back = summed.filter(F.col("kind") == GRAM).join(scores, summed["key"] == scores["gram"]).select("chunk", "kind", "key", F.col("score").cast("float").alias("value"))
     # most words are seen once: they are what a chunk takes a word for that it gets no row of
     words_back = summed.filter((F.col("kind") == WORD) & (F.col("c") != 1)).select("chunk", "kind", "key", F.col("c").cast("float").alias("value"))
     back = grams_back.union(words_back)
-    rows = chunked.select("chunk", "text", *carry)
-    fields = [f for f in rows.schema.fields if f.name not in ("chunk", "text")]
-    more = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("train_tokens", T.LongType())]
+    rows = chunked.select("chunk", "text", "kept")
+    more = [T.StructField(k, T.LongType() if pa.types.is_integer(x) else T.DoubleType()) for k, x in _RESULT.items()]
     run = _score_chunk(words + texts, distinct + (texts > 0), texts)
-    return rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, T.StructType([*fields, *more]))
+    scored = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, T.StructType([rows.schema["kept"], *more]))
+    return scored.select(*[F.col("kept")[c].alias(c) for c in carry], *_RESULT)
