@@ -7,20 +7,28 @@
    buckets, so that buckets are filled.  Bands of registers are the candidate keys, within a size octave
    (a set close below the next octave is sketched there too).  At the threshold a link is missed by all bands with a
    probability under 1e-8.  Smaller sets use their least hashes as keys: the prefix filter, which misses nothing.
+   Sets that share a key are candidates, whatever the number of sets that share it.
 3. Keys make stars, not pairs: a task links each key's other rows to its first one and sends one row per key.  The
-   components of the stars are clumps; a clump (or, in clumps over ``CLUMP`` sets, each key's rows) is cut into blocks
-   of ``BLOCK`` sets, and each pair of blocks is one small job in which the collision-corrected Jaccard estimate picks
-   the pairs that are confirmed on the whole sets.  Only links that join something new leave it.
-4. Components over the links give every class, and so every row, its least document.
+   spokes of the stars (as many as rows) are estimated from the sketches, with the chance agreement of registers taken
+   off, and those near the threshold or over it are confirmed on whole sets, each member alone against its hub.
+4. Components over the links so far settle all keys whose sets lie in one component, as in a large group of copies.
+   Of the other keys, candidates in different components are compared in blocks bounded by shingles: keys that hang
+   together and fit one block as one job, the rest key by key and block pair by block pair.  Either way the same pairs
+   are compared, those that share a key; work grows with the square of the sets of a key that are *not* linked by
+   its star, and with nothing else.
+5. Components over all links give every class, and so every row, its least document.  Classes with very many copies
+   (at most ``HOT`` of them, by their least size) reach their rows by a broadcast, the others by a join.
 
 Null or blank text has an empty set and is linked with nothing.  A null id gets a null component and is kept.  Rows
-that repeat an id are judged by their own text.  An empty table gives an empty result.
+that repeat an id have their own sets, but are one node of the graph.  Ties in the least document are the same document.  An empty table gives an empty
+result.  A text is handled in one piece, in some fifty bytes of memory for each byte; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +45,10 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 #: Sets under so many shingles use the prefix filter.
 SMALL = 64
-BLOCK = 1024
-CLUMP = 8192
+#: Shingles, and sets, of one side of a block; members that a hub is compared with in one task.
+BLOCK, SETS, MEMBERS = 1 << 20, 1024, 4096
+#: Most classes that are broadcast.
+HOT = 10_000
 #: Sketch estimates spread by about 0.023; pairs whose estimate is more than six times that below the threshold are not confirmed.
 MARGIN = 0.14
 _SEEDS = seeded(16, 11)
@@ -90,22 +100,24 @@ def band_rows(threshold: float) -> int:
     return 6 if threshold >= 0.85 else 5
 
 
-def keys_of(x: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The candidate keys of a set."""
-    n, out = len(x), []
-    if not n:
-        return np.zeros(0, U)
+def octaves(n: int, num: int, den: int) -> list[int]:
+    """The octaves at which a set of n shingles is sketched: its own, and the next one if it may be linked with a set there."""
     home = n.bit_length() - 1
-    if n < SMALL:
+    return ([home] if n >= SMALL else []) + ([max(home + 1, 6)] if n * den >= num * max(1 << (home + 1), SMALL) else [])
+
+
+def keys_of(x: np.ndarray, sketch: list[tuple[int, np.ndarray]], num: int, den: int) -> np.ndarray:
+    """The candidate keys of a set with its sketches by octave."""
+    n, out = len(x), [np.zeros(0, U)]
+    if 0 < n < SMALL:
         order = np.sort(mix(x))
         out.append(mix(order[: n - -(-num * n // den) + 1] ^ U(0x2545F4914F6CDD1D)))
-    octaves = ([home] if n >= SMALL else []) + ([max(home + 1, 6)] if n * den >= num * max(1 << (home + 1), SMALL) else [])
     rows = band_rows(num / den)
-    for o in octaves:
-        regs = registers(x, o)[: REGISTERS // rows * rows].reshape(-1, rows)
+    for o, regs in sketch:
+        regs = regs[: REGISTERS // rows * rows].reshape(-1, rows)
         keys = mix((regs.astype(U) + U(1)) @ _MIXERS[:rows] + _MIXERS[rows : rows + len(regs)] + U(o))
         out.append(keys[(regs != EMPTY).any(axis=1)])
-    return np.concatenate(out) if out else np.zeros(0, U)
+    return np.concatenate(out)
 
 
 def _sketch(k: int, num: int, den: int):
@@ -117,14 +129,85 @@ def _sketch(k: int, num: int, den: int):
                 with np.errstate(over="ignore"):
                     f1 = np.array([mix(x.sum(dtype=U) + U(len(x))) for x in sets], U)
                     f2 = np.array([mix(x ^ U(0xA0761D6478BD642F)).sum(dtype=U) for x in sets], U)
-                keys = [signed(keys_of(x, num, den)) for x in sets]
+                sketches = [[(o, registers(x, o)) for o in octaves(len(x), num, den)] if len(x) else [] for x in sets]
+                keys = [signed(keys_of(x, s, num, den)) for x, s in zip(sets, sketches, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "n", "f1", "f2", "keys"])
+                regs = pa.array([b"".join(r.tobytes() for _, r in s) for s in sketches], pa.binary())
+                yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)), pa.ListArray.from_arrays(pa.array(offsets), values), regs], ["id", "n", "f1", "f2", "keys", "regs"])
+
+    return run
+
+
+_odds = lru_cache(100_000)(chance)
+
+
+def may_link(n: int, m: int, r: bytes, s: bytes, num: int, den: int) -> bool:
+    """Can sets of n and m shingles with these sketches be linked, by their sizes and the corrected estimate?"""
+    if min(n, m) * den < max(n, m) * num:
+        return False
+    if max(n, m) < SMALL:
+        return True
+    at = max(n, m).bit_length() - 1
+    x, y = (np.frombuffer(b, np.uint16, REGISTERS, 2 * REGISTERS * octaves(c, num, den).index(at)) for c, b in ((n, r), (m, s)))
+    full = (x != EMPTY) | (y != EMPTY)
+    odds = _odds((n + m) // 2, at)
+    return (np.count_nonzero(full & (x == y)) / max(np.count_nonzero(full), 1) - odds) / (1 - odds) >= num / den - MARGIN
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    n, m = len(x), len(y)
+    if min(n, m) * den < max(n, m) * num:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * den >= (n + m - both) * num
+
+
+def _with_hub(read, test):
+    """Spokes (a, b) for which ``test`` holds; rows (a, side, hub, id and what ``read`` takes) are sorted, with the hub first in its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hubs = None, []
+        for batch in batches:
+            a, side, ident, hub = (column(batch, c).to_pylist() for c in ("a", "side", "id", "hub"))
+            out: tuple[list, list] = ([], [])
+            for at, x in read(batch):
+                if (a[at], side[at]) != group:
+                    group, hubs = (a[at], side[at]), []
+                if hub[at]:
+                    hubs.append(x)
+                elif any(test(h, x) for h in hubs):
+                    out[0].append(a[at])
+                    out[1].append(ident[at])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _estimated(num: int, den: int):
+    def read(batch: pa.RecordBatch):
+        return enumerate(zip(column(batch, "n").to_pylist(), column(batch, "regs").to_pylist(), strict=True))
+
+    return _with_hub(read, lambda x, y: may_link(x[0], y[0], x[1], y[1], num, den))
+
+
+def _confirmed(k: int, num: int, den: int):
+    def read(batch: pa.RecordBatch):
+        texts = column(batch, "text")
+        for lo, hi in text_slices(texts):
+            yield from enumerate(shingles(Words(texts.slice(lo, hi - lo), lower=True), k), lo)
+
+    return _with_hub(read, lambda x, y: _linked(x, y, num, den))
+
+
+def _round_hubs(spokes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``spokes`` (a, b) with the columns of ``nodes`` (id, ...) for the members and, once per ``MEMBERS`` of them, the hub; sorted by group."""
+    sizes = spokes.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("sides"))
+    members = spokes.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("sides")).cast("int").alias("side"), F.col("b").alias("id"), F.lit(False).alias("hub"))
+    hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("a").alias("id"), F.lit(True).alias("hub"))
+    return members.union(hubs).join(nodes, "id").repartition("a", "side").sortWithinPartitions("a", "side", F.desc("hub"))
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, key, a, b): one row (b null) for each key and flush, to be met under g = key; the key's other rows as edges (a, b)."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -165,22 +248,30 @@ class _Union:
         return x != y
 
 
-def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, both: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with ``both``, only pairs across the two sides are looked at."""
+def links(sets: list[np.ndarray], side: np.ndarray, part: np.ndarray, keys: list[np.ndarray], num: int, den: int, both: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets that share a key and lie in different parts; with ``both``, only pairs across the two sides are looked at."""
     count = len(sets)
     n = np.array([len(x) for x in sets])
     if count < 2:
         return []
+    owner, key = np.repeat(np.arange(count), [len(x) for x in keys]), np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    owner, key = owner[order], key[order]
+    share = np.zeros((count, count), bool)
+    for who in np.split(owner, np.flatnonzero(key[1:] != key[:-1]) + 1):
+        if len(who) > 1:
+            share[np.ix_(who, who)] = True
+    share &= part[:, None] != part[None, :]
+    if both:
+        share &= side[:, None] != side[None, :]
     if count <= 4:
         i, j = np.triu_indices(count, 1)
-        ok = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & ((not both) | (side[i] != side[j]))
+        ok = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & share[i, j]
         picked = list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
     else:
         octave = np.array([x.bit_length() - 1 for x in n.tolist()])
         near = np.minimum.outer(n, n) * den >= np.maximum.outer(n, n) * num
-        near &= np.triu(np.ones((count, count), bool), 1)
-        if both:
-            near &= side[:, None] != side[None, :]
+        near &= np.triu(share, 1)
         for o in sorted(set(octave[octave >= 5].tolist()) | {6}):  # estimates need both sketches at one octave
             level = max(o, 6)
             at = np.flatnonzero((np.maximum(octave, 6) == level) | ((n * den >= num << level) & (octave < level)))
@@ -219,40 +310,38 @@ def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, both: bo
                 found.append((x, y))
         return found
     for x, y in picked:
-        if forest.root(x) != forest.root(y):
-            both_in = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if both_in * den >= (int(n[x] + n[y]) - both_in) * num:
-                forest.join(x, y)
-                found.append((x, y))
+        if forest.root(x) != forest.root(y) and _linked(sets[x], sets[y], num, den):
+            forest.join(x, y)
+            found.append((x, y))
     return found
 
 
-def _confirm(k: int, num: int, den: int):
+def _across(k: int, num: int, den: int):
+    """Links (a, b) within blocks: rows (grp, i, j, side, part, keys, id, text) are sorted by (grp, i, j)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
         group = None
 
         def settle():
-            ids = [x[0] for x in held]
-            side = np.array([x[1] for x in held])
-            pairs = links([x[2] for x in held], side, num, den, group is not None and group[1] != group[2])
+            ids, side, part, keys, sets = map(list, zip(*held, strict=True)) if held else ([], [], [], [], [])
+            pairs = links(sets, np.array(side), np.array(part), keys, num, den, group is not None and group[1] != group[2])
             held.clear()
             return [ids[x] for x, _ in pairs], [ids[y] for _, y in pairs]
 
         for batch in batches:
-            texts = column(batch, "text")
-            cols = [column(batch, c).to_numpy() for c in ("grp", "i", "j", "id", "side")]
+            texts, keys = column(batch, "text"), column(batch, "keys")
+            grp, i, j, ident, side, part = (column(batch, c).to_pylist() for c in ("grp", "i", "j", "id", "side", "part"))
             out: tuple[list, list] = ([], [])
             for lo, hi in text_slices(texts):
                 sets = shingles(Words(texts.slice(lo, hi - lo), lower=True), k)
                 for at, x in enumerate(sets, lo):
-                    now = (int(cols[0][at]), int(cols[1][at]), int(cols[2][at]))
-                    if now != group:
+                    if (now := (grp[at], i[at], j[at])) != group:
                         a, b = settle()
                         out[0].extend(a)
                         out[1].extend(b)
                         group = now
-                    held.append((int(cols[3][at]), int(cols[4][at]), x))
+                    held.append((ident[at], side[at], part[at], keys[at].values.to_numpy(), x))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
         a, b = settle()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -260,34 +349,61 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def _crossing(edges: DataFrame, sure: DataFrame, sizes: DataFrame, named: DataFrame, k: int, num: int, den: int, owner: str) -> DataFrame:
+    """Links (a, b) among candidates that the links in ``sure`` leave in different components."""
+    part = graph.components(sure, owner)
+    rows = edges.select(F.inline(F.array(F.struct("key", F.col("a").alias("id")), F.struct("key", F.col("b").alias("id"))))).distinct()
+    rows = rows.join(part.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("part"))
+    open_keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+    rows = store.table(rows.join(open_keys, "key").join(sizes, "id"), "open", owner)  # (id, key, part, n)
+    if rows.isEmpty():
+        return sure.limit(0)
+    weight = F.greatest("n", F.lit(BLOCK // SETS))
+    # keys that hang together: each set with the least one of its key
+    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"))
+    clump = graph.components(rows.join(hubs, "key").select(F.col("hub").alias("a"), F.col("id").alias("b")), owner)
+    sets = rows.groupBy("id", "part", "n").agg(F.collect_set("key").alias("keys")).join(clump.select(F.col("node").alias("id"), "root"), "id")
+    sets = store.table(sets, "clumps", owner)
+    whole = sets.groupBy("root").agg(F.sum(weight).alias("size"))
+    small = sets.join(whole.filter(F.col("size") <= BLOCK).select("root"), "root").select("id", "part", "n", "keys", F.col("root").alias("grp"), F.lit(1).alias("blocks"))
+    large = sets.join(whole.filter(F.col("size") > BLOCK).select("root"), "root").select("id", "part", "n", F.explode("keys").alias("grp"))
+    blocks = large.groupBy("grp").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    large = large.join(blocks, "grp").select("id", "part", "n", F.array("grp").alias("keys"), "grp", "blocks")
+    cut = small.union(large).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "grp", "side", "part", "keys", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    met = cut.join(named, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return store.table(met.mapInArrow(_across(k, num, den), "a long, b long"), "links", owner)
+
+
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = 3, num: int = 85, den: int = 100, owner: str = "") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``."""
     everything = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = everything.filter("id is not null")
-    rows = store.table(everything.mapInArrow(_sketch(k, num, den), "id long, n long, f1 long, f2 long, keys array<long>"), "sketches", owner)
-    first = rows.filter("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    member = rows.join(first, ["f1", "f2", "n"], "left")
-    stars = member.filter("id = rep").select("id", "keys").mapInArrow(_stars, "g long, key long, a long, b long")
+    rows = store.table(everything.mapInArrow(_sketch(k, num, den), "id long, n long, f1 long, f2 long, keys array<long>, regs binary"), "sketches", owner)
+    proper = rows.filter("n > 0 and id is not null")
+    same = ["f1", "f2", "n"]
+    kinds = store.table(proper.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes", owner)
+    reps = proper.join(kinds.withColumn("id", F.col("rep")), ["id", *same]).select("id", "n", "keys", "regs")
+    stars = reps.select("id", "keys").mapInArrow(_stars, "g long, key long, a long, b long")
     met = stars.withColumn("hub", F.min("a").over(Window.partitionBy("g")))
     edges = met.select("key", F.when(F.col("b").isNull(), F.col("hub")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).filter("a <> b")
     edges = store.table(edges, "stars", owner)
 
-    clump = graph.components(edges.select("a", "b"), owner)
-    sizes = clump.groupBy("root").agg(F.count("*").alias("size"))
-    clump = store.table(clump.join(sizes, "root"), "clumps", owner)
-    whole = clump.filter(F.col("size") <= CLUMP).select(F.col("node").alias("id"), F.col("root").alias("grp"), "size")
-    large = clump.filter(F.col("size") > CLUMP).select(F.col("node").alias("id"))
-    by_key = edges.select(F.inline(F.array(F.struct("key", F.col("a").alias("id")), F.struct("key", F.col("b").alias("id"))))).join(large, "id", "left_semi").distinct()
-    by_key = by_key.join(by_key.groupBy("key").agg(F.count("*").alias("size")), "key").select("id", F.col("key").alias("grp"), "size")
-    cut = whole.union(by_key).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cut = cut.select("id", "grp", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "grp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    blocks = cut.join(named, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    found = store.table(blocks.mapInArrow(_confirm(k, num, den), "a long, b long"), "links", owner)
-
-    roots = graph.components(found, owner).select(F.col("node").alias("rep"), "root")
-    done = member.select("id", "n", "rep").join(roots, "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
-    return done.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    nodes = proper.select("id", "n", "regs")
+    near = store.table(_round_hubs(edges.select("a", "b").distinct(), nodes).mapInArrow(_estimated(num, den), "a long, b long").distinct(), "near", owner)
+    sure = store.table(_round_hubs(near, named).mapInArrow(_confirmed(k, num, den), "a long, b long"), "sure", owner)
+    crossing = _crossing(edges, sure, kinds.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n")), named, k, num, den, owner)
+    roots = graph.components(sure.union(crossing), owner).select(F.col("node").alias("rep"), "root")
+
+    total = rows.count()
+    found = kinds.join(roots, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"), F.col("copies") > max(1000, total // HOT))
+    found = store.table(found.toDF(*same, "component_id", "hot"), "components", owner)
+    hot, cold = found.filter("hot").drop("hot"), found.filter("not hot").drop("hot")
+    marked = proper.select("id", *same).join(F.broadcast(hot), same, "left")  # at most HOT classes can be as large
+    done = marked.filter("component_id is not null").select("id", "n", "component_id")
+    done = done.union(marked.filter("component_id is null").drop("component_id").join(cold, same).select("id", "n", "component_id"))
+    done = done.union(rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
+    return done.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, owner: str = "") -> DataFrame:
