@@ -45,7 +45,7 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     scored = ctw.score(docs.withColumn("held_out", held_out), ~held_out, carry=("doc_id", "held_out"), scanned=True)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op5_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
 
 
 def _op10_sql() -> str:
@@ -154,6 +154,45 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+
+def _op7_sql() -> str:
+    """Aliases by recursion over all links.  Dots in a relative target's path, and entities but ``&amp;``, are left as they are: for these the tests have cases of their own."""
+    host = lambda u: f"translate(regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = lambda u: f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    query = lambda u: f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*[^?#]*([?][^#]*)', 1)"
+    address = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || regexp_replace({path(u)}, '/+$', '') || {query(u)} END"
+    ordered = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda u, what: "CASE " + " ".join(f"WHEN ({host(u)} = '{h}' OR ends_with({host(u)}, '.{h}')) AND starts_with({path(u)}, '{p}') THEN '{h + p if what else v}'" for v, h, p in ordered) + " END"
+    return f"""
+WITH RECURSIVE tag AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+named AS (
+  SELECT url, replace(CASE
+    WHEN regexp_matches(tag, '(?is)^<link') AND regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta') AND regexp_matches(tag, '(?is)http-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+    ELSE '' END, '&amp;', '&') AS t FROM tag),
+link AS (
+  SELECT url, CASE
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t
+    WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]+:)', 1) || t
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || t
+    WHEN starts_with(t, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || t
+    WHEN starts_with(t, '#') THEN regexp_extract(url, '^([^#]*)', 1) || t
+    ELSE regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({path('url')}, '(?s)^(.*/)', 1), ''), '/') || t END AS t
+  FROM named WHERE t <> ''),
+edge AS (SELECT DISTINCT {address('url')} AS a, {address('t')} AS b FROM link WHERE regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+pair AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
+reach AS (SELECT a AS node, a AS other FROM pair UNION SELECT reach.node, pair.b FROM reach JOIN pair ON pair.a = reach.other),
+told AS (SELECT DISTINCT {address('u')} AS named, {fits('u', False)} AS v FROM (SELECT url AS u FROM pages UNION SELECT t FROM link) WHERE {fits('u', False)} IS NOT NULL),
+alias AS (SELECT node, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS inherited FROM reach JOIN told ON told.named = reach.other GROUP BY node)
+SELECT page_id, {host('url')} AS host, {path('url')} AS path, {fits('url', True)} AS rule, coalesce({fits('url', False)}, alias.inherited, 'allow') AS verdict
+FROM pages LEFT JOIN alias ON alias.node = {address('url')}
+"""
+
+
+OP7_SQL = _op7_sql()
+
 OP9_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),

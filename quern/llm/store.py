@@ -1,27 +1,25 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 A table written here survives the loss of executors: a later stage re-reads files instead of asking for shuffle
-blocks that may be gone.  The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a local shell) is a
-temporary folder made and set.
+blocks that may be gone.  The folder is ``spark.checkpoint.dir``; where that is unset, a local session gets a
+temporary folder, and any other an error.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.session import shared_base
+
 #: Folders made so far by owner, so that a pipeline can drop what its finished stages left.
 _made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(base)
+    base = shared_base(spark)
     fs, path = _fs(spark, base)
     return str(fs.makeQualified(path).toString()).rstrip("/")
 

@@ -1,4 +1,7 @@
-from quern.llm import urls
+import duckdb
+import numpy as np
+
+from quern.llm import queries, urls
 
 
 def test_section_roots_and_relative_targets(spark):
@@ -21,3 +24,25 @@ def test_section_roots_and_relative_targets(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     verdict = {r.page_id: r.verdict for r in urls.judge(df).collect()}
     assert verdict == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "block", 9: "allow", 10: "block", 11: "block", 12: "allow"}
+
+
+def test_planted_links_match_the_sql(spark, tmp_path):
+    """Chains, stars and rings of links over rules of both kinds, by both queries."""
+    rng = np.random.default_rng(4)
+    sections = ["en/1", "en/7", "en/77", "de/1", "de/8", "de/", "es/2", "x/1", "y"]
+    url = lambda i: f"http://h{i % 7}.{['com', 'net', 'org', 'example.com', 'example.net', 'Example.ORG', 'info'][i % 7]}/{sections[i % 9]}/p{i}" + ["", "?q=1", "/", "#f"][i % 4]
+    rows = []
+    for i in range(400):
+        to = int(rng.integers(0, 400))
+        target = [url(to), url(to).replace("http:", ""), "/" + sections[to % 9] + f"/p{to}", f"p{to}", f"?a={to}&amp;b=2", "#top", "mailto:x"][int(rng.integers(0, 7))]
+        html = ["", f"<p><LINK href='{target}' rel=canonical>", f'<meta content="3; URL={target}" http-equiv="refresh">', f"<link rel=stylesheet href='{target}'>"][int(rng.integers(0, 4))]
+        rows.append((i, url(i) if i % 50 else None, html if i % 33 else None))
+    rows += [(1, url(1), ""), (500, "noscheme/en/", "<link rel=canonical href=/en/>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(str, (tuple(r) for r in queries.op7_url_rules(spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.oracle_sql()['op7_url_rules']})").fetchall()
+    assert got == sorted(map(str, want))
+    inherited = [r for r in want if r[3] is None and r[4] == "block"]
+    assert len(inherited) > 10

@@ -141,6 +141,35 @@ def test_repeats_match_brute_force(spark, odd, n):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_levels_double(monkeypatch):
+    assert substring.levels(35) == [9, 18, 35] and substring.levels(64) == [8, 16, 32, 64] and substring.levels(7) == [7]
+    assert all(b in (2 * a, 2 * a - 1) for n in range(1, 300) for a, b in zip(substring.levels(n), substring.levels(n)[1:], strict=False))
+
+
+def test_a_level_extends_only_what_is_repeated():
+    """Of the windows of 35 words, the second level counts anchors of those alone whose first anchor was repeated."""
+    words = [f"w{i}" for i in range(200)]
+    w = hashing.Words(pa.array([" ".join(words)]))
+    small, least = substring._least(w, 35, 9)
+    keep = least[60]
+    take, twice = substring._candidates(w, 35, 9, np.zeros(1, np.uint64), pa.array([[int(np.int64(keep.view(np.int64)))]]), set())
+    assert take.any() and not twice.any() and (least[take] == keep).all() and not (least[~take] == keep).any()
+    at = substring._anchors_at(*(lambda s, x: (s, np.where(take, x, np.uint64(0))))(*substring._least(w, 35, 18)), 18)
+    first, last = np.flatnonzero(take)[[0, -1]]
+    assert len(at) and first <= at.min() and at.max() <= last + 17
+
+
+@pytest.mark.parametrize("start", [1, 2, 50])
+def test_any_number_of_levels_gives_the_same(spark, monkeypatch, start):
+    monkeypatch.setattr(substring, "START", start)
+    rng = np.random.default_rng(8)
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, 70)) for _ in range(12)] + [f"a{i} {shared} b{i}" for i in range(4)] + [shared, shared, "", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = {r.id: W.findall(r.text or "") for r in substring.remove_repeats(rows, "text", 12).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_windows(texts, 12)
+
+
 def test_repeats_keep_rows_and_columns(odd, none):
     cut = substring.remove_repeats(odd, "text", 35)
     assert cut.columns == odd.columns and cut.count() == odd.count()
@@ -199,13 +228,32 @@ def test_components_match_brute_force(spark, k, num):
     assert got == brute_components(rows, k, num)
 
 
-def test_large_clumps_go_by_key_and_block(spark, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 4)
-    monkeypatch.setattr(near, "CLUMP", 8)
+@pytest.mark.parametrize("block,sets,members", [(1 << 20, 1024, 4096), (1 << 9, 4, 5), (1, 1, 1)])
+def test_blocks_change_no_link(spark, monkeypatch, block, sets, members):
+    """A clump around the threshold, where hubs do not settle all, in one job or in many."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "SETS", sets)
+    monkeypatch.setattr(near, "MEMBERS", members)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join(edited(rng, base, 0.01))) for i in range(30)]
-    got = {r.id: (r.n_shingles, r.component_id) for r in near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows = [(i, " ".join(edited(rng, base, 0.03))) for i in range(40)] + [(100 + i, " ".join(edited(rng, base[:30], 0.02))) for i in range(15)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in near.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_components(rows, 3, 85)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 40
+
+
+def test_a_clump_of_many_sets(spark):
+    """9,000 distinct near copies: a link to the next number alone would join them, and all are found."""
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*words[: i % 140], f"own{i}", *words[i % 140 + 1 :]])) for i in range(9000)]
+    got = near.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).agg(F.min("component_id"), F.max("component_id"), F.sum(F.col("kept").cast("int")), F.count("*")).first()
+    assert tuple(got) == (0, 0, 1, 9000)
+
+
+def test_many_copies_take_the_broadcast(spark, monkeypatch):
+    rows = [(i, "the same five words here now") for i in range(1200)] + [(5000 + i, f"some other text {i} with words") for i in range(300)] + [(9000, "the same five words here now and more words that differ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.id: (r.n_shingles, r.component_id) for r in near.classes(df, k=3, num=85).collect()}
     assert got == brute_components(rows, 3, 85)
 
 
@@ -296,6 +344,8 @@ def test_scores_match_brute_force(spark, odd, none):
     got = {r.id: r for r in ctw.score(df, F.col("train"), carry=("id",)).collect()}
     want = brute_ctw(texts, [t for *_, t in rows])
     assert all(abs(got[i].score - want[i]) < 1e-4 for i in range(len(texts)))
+    sizes = [len((x or "").encode()) + 1 for x in texts]
+    assert all(got[i].n_bytes == sizes[i] and abs(got[i].bits_per_byte + want[i] / math.log10(2) / sizes[i]) < 1e-4 for i in range(len(texts)))
     counts = Counter(w for _, x, t in rows if t for w in [*W.findall(low(x)), None])
     total, distinct = sum(counts.values()), len(counts)
     for i, x, _ in rows:
@@ -308,6 +358,16 @@ def test_scores_match_brute_force(spark, odd, none):
     assert all(r.score < 0 for r in ctw.score(odd, F.lit(False), carry=("doc_id",)).collect())
 
 
+@pytest.mark.parametrize("tree", [1, 50, 1 << 18])
+def test_sub_trees_may_be_cut_anywhere(spark, monkeypatch, tree):
+    monkeypatch.setattr(ctw, "TREE", tree)
+    texts = ["the theme there then", "the thaw", "a b a b a c", "ünï ünï"] * 3
+    df = spark.createDataFrame([(i, x, x, i) for i, x in enumerate(texts)], "id long, text string, kept string, chunk long").repartition(2)
+    got = {r.id: r for r in ctw.score(df, F.col("id") % 4 != 1, carry=("id", "kept", "chunk")).collect()}
+    want = brute_ctw(texts, [i % 4 != 1 for i in range(len(texts))])
+    assert all(abs(got[i].score - want[i]) < 1e-4 and (got[i].kept, got[i].chunk) == (x, i) for i, x in enumerate(texts))
+
+
 def test_held_out_text_is_coded_in_fewer_bits_with_training(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2

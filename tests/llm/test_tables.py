@@ -20,14 +20,17 @@ def brute_top(rows, asks, k):
     return sorted(sum(([(ints[q][0], *t) for t in v] for q, v in out.items()), []))
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e6])
-def test_top_k_matches_brute_force(spark, monkeypatch, scale):
-    monkeypatch.setattr(vafile, "CANDIDATES", 37)
-    monkeypatch.setattr(vafile, "QUERIES", 5)
+@pytest.mark.parametrize("scale,bits", [(1.0, 8), (1.0, 3), (1e6, 8), (1e6, 2)])
+def test_top_k_matches_brute_force(spark, monkeypatch, scale, bits):
+    monkeypatch.setattr(vafile, "BLOCK", 37 * 6)
+    monkeypatch.setattr(vafile, "GROUP", 5 * 6)
+    monkeypatch.setattr(vafile, "ROWS", 3)
+    monkeypatch.setattr(vafile, "FIRST", 1)
+    monkeypatch.setattr(vafile, "BITS", bits)
     rng = np.random.default_rng(3)
     rows = [(int(i), (rng.normal(size=6) * scale).tolist()) for i in range(150)]
     rows += [(200 + i, rows[3][1]) for i in range(20)] + [(400, [0.0] * 6), (3, rows[5][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("row", "v", "w", "id", "block")})
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vafile.search(df, F.col("vec_id") % 50 == 0).collect())
     assert got == brute_top(rows, lambda i: i % 50 == 0, 5)
 
@@ -41,6 +44,19 @@ def test_top_k_leaves_out_what_is_no_vector(spark):
     assert vafile.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_cells_bound_every_product():
+    rng = np.random.default_rng(2)
+    for scale in (3, 300, 10**6):
+        vectors, queries = (rng.integers(-scale, scale, (n, 7)) for n in (200, 9))
+        low, step, cells = vafile.quantise(vectors)
+        floor = low + cells * step
+        assert ((floor <= vectors) & (vectors < floor + step)).all()
+        bottom, top = vafile.bounds(queries, low, step, cells)
+        exact = queries @ vectors.T
+        assert (bottom <= exact).all() and (exact <= top).all()
+    assert (top - bottom).max() < 0.05 * (exact.max() - exact.min())
+
+
 # URL rules
 
 
