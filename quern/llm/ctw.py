@@ -51,9 +51,9 @@ SPLIT = 3
 #: Grams whose sub-trees are computed at once.
 TREE = 1 << 18
 #: Bytes of input to a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Distinct keys that a task gathers for a chunk before it sends them.
-HELD = 2 << 20
+HELD = 4 << 20
 SLICE = 1 << 20
 LN2 = np.log(2.0)
 
@@ -279,7 +279,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sum(len(k) for parts in own.values() for k, _ in parts) > HELD:
                     for kind, parts in own.items():
                         own[kind] = [_merged(parts)]
-                    if sum(len(parts[0][0]) for parts in own.values()) > HELD // 2:
+                    if sum(len(parts[0][0]) for parts in own.values()) > HELD // 4 * 3:
                         yield from settle(chunk)
     for chunk in list(held):
         yield from settle(chunk)
