@@ -1,8 +1,9 @@
 """Distributed connected components: alternating large-star and small-star steps over an edge table.
 
 Each step is a partial aggregation (the least neighbour of every node) and a join, so a node with very many neighbours
-is one row per task before the shuffle, and its edges are split by the adaptive skew join.  Steps are written into the
-shared folder, which keeps plans short and survives lost executors.
+is one row per task before the shuffle.  Its edges do not meet in one task either: the nodes with more neighbours than
+``HUB`` and than the ``MOST``-th part of all edges' ends are at most ``MOST``, and reach their edges by a broadcast.
+Steps are written into the shared folder, which keeps plans short and survives lost executors.
 """
 
 from __future__ import annotations
@@ -13,14 +14,24 @@ from pyspark.sql import functions as F
 from quern.llm import store
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b) with a < b."""
-    if large:
-        near = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
+HUB, MOST = 1000, 10_000
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """Every edge from both of its ends."""
+    return edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
+
+
+def _step(edges: DataFrame, large: bool, most: int | None) -> DataFrame:
+    """One star step over edges (a, b) with a < b; nodes with more than ``most`` neighbours, if any, are broadcast."""
+    near = _ends(edges) if large else edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    least = near.groupBy("u").agg((F.least(F.min("v"), F.col("u")) if large else F.min("v")).alias("m"), F.count("*").alias("d"))
+    if most is None:
+        met = near.join(least.drop("d"), "u")
     else:
-        near = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")) if large else near.groupBy("u").agg(F.min("v").alias("m"))
-    met = near.join(least, "u")
+        hubs, others = least.filter(F.col("d") > most).drop("d"), least.filter(F.col("d") <= most).drop("d")
+        flagged = near.join(F.broadcast(hubs), "u", "left")
+        met = flagged.filter("m is not null").union(flagged.filter("m is null").drop("m").join(others, "u").select("u", "v", "m"))
     if large:
         moved = met.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
@@ -28,17 +39,23 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a < b").distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    """What tells whether a step changed anything, and the most neighbours of a node."""
+    per = _ends(edges).groupBy("u").agg(F.count("*").alias("d"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x"))
+    return tuple(per.agg(F.sum("d"), F.sum("h"), F.sum("x"), F.max("d")).first())
+
+
 def components(edges: DataFrame, owner: str = "") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node that it is connected with.
 
     Self-loops and nulls are ignored; an empty edge table gives an empty result.
     """
     edges = store.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges", owner)
-    before = None
-    while True:
-        edges = store.table(_step(_step(edges, True), False), "star", owner)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
+    now, before = _state(edges), None
+    while now[0] and now != before:
+        ends, _, _, most = before = now
+        bound = max(HUB, ends // MOST)
+        bound = bound if most > bound else None
+        edges = store.table(_step(_step(edges, True, bound), False, bound), "star", owner)
+        now = _state(edges)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a"), F.col("a")).distinct())

@@ -21,7 +21,8 @@
 
 Null or blank text has an empty set and is linked with nothing.  A null id gets a null component and is kept.  Rows
 that repeat an id have their own sets, but are one node of the graph.  Ties in the least document are the same document.  An empty table gives an empty
-result.  A text is handled in one piece, in some fifty bytes of memory for each byte; extra columns are not looked at.
+result.  A long text is read in parts; what grows with it is its set, eight bytes for each distinct shingle.  Extra
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import graph, store
-from quern.llm.arrow import column, signed, text_slices
+from quern.llm.arrow import column, signed, text_slices, word_parts
 from quern.llm.hashing import U, Words, mix, seeded
 
 REGISTERS = 256
@@ -54,6 +55,8 @@ MARGIN = 0.14
 _SEEDS = seeded(16, 11)
 _MIXERS = seeded(REGISTERS, 13)
 FLUSH = 1 << 20
+#: Texts over so many bytes are read in parts of as many characters.
+LONG_TEXT = 4 << 20
 
 
 def shingles(w: Words, k: int) -> list[np.ndarray]:
@@ -70,6 +73,19 @@ def shingles(w: Words, k: int) -> list[np.ndarray]:
     return out
 
 
+def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """:func:`shingles` of a slice; a long text, which is a slice of its own, is read in parts."""
+    if len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > LONG_TEXT:
+        found, words = [np.zeros(0, U)], 0
+        for before, part in word_parts(texts[0].as_py(), LONG_TEXT, k - 1):
+            w = Words(pa.array([before + part]), lower=True)
+            words += int(w.count[0])
+            found.append(np.unique(w.windows(k)))
+        if words >= k:
+            return [np.unique(np.concatenate(found))]
+    return shingles(Words(texts, lower=True), k)
+
+
 def registers(x: np.ndarray, octave: int) -> np.ndarray:
     """The sketch of a set at a size octave (6 and more): 256 registers of 16 bits."""
     bits = min(8, octave - 2)
@@ -125,7 +141,7 @@ def _sketch(k: int, num: int, den: int):
         for batch in batches:
             texts = column(batch, "text")
             for lo, hi in text_slices(texts):
-                sets = shingles(Words(texts.slice(lo, hi - lo), lower=True), k)
+                sets = sets_of(texts.slice(lo, hi - lo), k)
                 with np.errstate(over="ignore"):
                     f1 = np.array([mix(x.sum(dtype=U) + U(len(x))) for x in sets], U)
                     f2 = np.array([mix(x ^ U(0xA0761D6478BD642F)).sum(dtype=U) for x in sets], U)
@@ -195,7 +211,7 @@ def _confirmed(k: int, num: int, den: int):
     def read(batch: pa.RecordBatch):
         texts = column(batch, "text")
         for lo, hi in text_slices(texts):
-            yield from enumerate(shingles(Words(texts.slice(lo, hi - lo), lower=True), k), lo)
+            yield from enumerate(sets_of(texts.slice(lo, hi - lo), k), lo)
 
     return _with_hub(read, lambda x, y: _linked(x, y, num, den))
 
@@ -334,7 +350,7 @@ def _across(k: int, num: int, den: int):
             grp, i, j, ident, side, part = (column(batch, c).to_pylist() for c in ("grp", "i", "j", "id", "side", "part"))
             out: tuple[list, list] = ([], [])
             for lo, hi in text_slices(texts):
-                sets = shingles(Words(texts.slice(lo, hi - lo), lower=True), k)
+                sets = sets_of(texts.slice(lo, hi - lo), k)
                 for at, x in enumerate(sets, lo):
                     if (now := (grp[at], i[at], j[at])) != group:
                         a, b = settle()
@@ -371,7 +387,8 @@ def _crossing(edges: DataFrame, sure: DataFrame, sizes: DataFrame, named: DataFr
     large = large.join(blocks, "grp").select("id", "part", "n", F.array("grp").alias("keys"), "grp", "blocks")
     cut = small.union(large).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "grp", "side", "part", "keys", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    met = cut.join(named, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task's work is more than its bytes say
+    met = cut.join(named, "id").repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     return store.table(met.mapInArrow(_across(k, num, den), "a long, b long"), "links", owner)
 
 
@@ -389,6 +406,8 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int =
     edges = met.select("key", F.when(F.col("b").isNull(), F.col("hub")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).filter("a <> b")
     edges = store.table(edges, "stars", owner)
 
+    met = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = store.table(named.join(met, "id", "left_semi"), "texts", owner)  # texts without any candidate are moved this once
     nodes = proper.select("id", "n", "regs")
     near = store.table(_round_hubs(edges.select("a", "b").distinct(), nodes).mapInArrow(_estimated(num, den), "a long, b long").distinct(), "near", owner)
     sure = store.table(_round_hubs(near, named).mapInArrow(_confirmed(k, num, den), "a long, b long"), "sure", owner)
