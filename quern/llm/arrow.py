@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,28 @@ def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
     yield lo, len(size)
 
 
+def parts_of(text: str, most: int, cut: re.Pattern) -> list[str]:
+    """``text`` in parts of about ``most`` characters, cut only where ``cut`` allows it."""
+    out, at = [], 0
+    while len(text) - at > most and (found := cut.search(text, at + most)):
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
+_WORD = re.compile("[^ \t-\r]+")
+_WORD_END = re.compile("(?<=[^ \t-\r])(?=[ \t-\r])")
+
+
+def word_parts(text: str, most: int, overlap: int = 0) -> Iterator[tuple[str, str]]:
+    """(the last ``overlap`` words before, part): a text in parts of about ``most`` characters that end with a word; the next one begins with white space."""
+    before = ""
+    for part in parts_of(text, most, _WORD_END):
+        yield before, part
+        if overlap:
+            before = " ".join(_WORD.findall(before + part)[-overlap:])
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -25,12 +25,13 @@ How it is spread:
 
 Null text is an empty text (one end byte); rows are scored one by one whatever their ids; a hot source has no part in
 any key; with no training text at all every bit has probability 1/2.  Repeated rows are counted and scored as often as
-they come.  A text is handled in one piece, in some sixty bytes of memory for each byte.  Carried columns may have any
-names but those of the results.
+they come.  A long text is read in blocks, beside which a few bytes for each of its bytes are held.  Carried columns
+may have any names but those of the results.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import store
-from quern.llm.arrow import column, text_slices
+from quern.llm.arrow import column, text_slices, word_parts
 from quern.llm.hashing import _LOWER, U, Words, bytes_of
 
 DEPTH = 5
@@ -55,26 +56,49 @@ CHUNK_BYTES = 16 << 20
 #: Distinct keys that a task gathers for a chunk before it sends them.
 HELD = 4 << 20
 SLICE = 1 << 20
+#: Texts over so many bytes are read in blocks of as many.
+LONG_TEXT = 4 << 20
 LN2 = np.log(2.0)
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The (DEPTH + 1)-gram that ends at each byte (context before it, zeros before the text's start), and len(texts) + 1 offsets."""
+def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the (DEPTH + 1)-grams that end at each byte (context before it, zeros before the text's start), and len(texts) + 1 offsets.
+
+    There is one block, but for a single long text, whose bytes come in several.
+    """
     raw, offsets = bytes_of(texts)
     n = len(offsets) - 1
     place = offsets + np.arange(n + 1)
     full = np.full(len(raw) + n, END, np.uint8)
+    if n == 1:
+        full[:-1] = _LOWER[raw]
+        for at in range(0, len(full), LONG_TEXT):
+            end = min(at + LONG_TEXT, len(full))
+            yield _grams(full[max(0, at - DEPTH) : end], np.arange(at, end) - at + min(at, DEPTH), np.arange(at, end)), np.array([0, end - at])
+        return
     inside = np.ones(len(full), bool)
     inside[place[1:] - 1] = False
     full[inside] = _LOWER[raw]
-    out = full.astype(U)
-    since = np.arange(len(full)) - np.repeat(place[:-1], np.diff(place))
+    yield _grams(full, np.arange(len(full)), np.arange(len(full)) - np.repeat(place[:-1], np.diff(place))), place
+
+
+def _grams(full: np.ndarray, at: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """The grams that end at places ``at`` of ``full``, which lie ``since`` bytes after their text's start."""
+    out = full[at].astype(U)
     for back in range(1, DEPTH + 1):
-        before = np.zeros(len(full), U)
-        before[back:] = full[:-back]
+        before = full[np.maximum(at - back, 0)].astype(U)
         before[since < back] = 0
         out |= before << U(8 * back)
-    return out, place
+    return out
+
+
+def _words(texts: pa.Array) -> Iterator[Words]:
+    """The words of a slice; those of a single long text in several parts."""
+    if len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > LONG_TEXT:
+        for _, part in word_parts(texts[0].as_py(), LONG_TEXT):
+            yield Words(pa.array([part]), lower=True)
+    else:
+        yield Words(texts, lower=True)
 
 
 def _log_gamma_half(n: np.ndarray) -> np.ndarray:
@@ -267,20 +291,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in text_slices(texts, SLICE):
             part, ids, learn = texts.slice(lo, hi - lo), chunks[lo:hi], train[lo:hi]
             texts_seen += int(learn.sum())
-            x, place = grams(part)
-            w = Words(part, lower=True)
-            for chunk in np.unique(ids).tolist():
-                own = held.setdefault(chunk, {})
-                mine = ids == chunk
-                for kind, keys, size in ((GRAM, x, np.diff(place)), (WORD, w.hash, w.count)):
+            found = itertools.chain(((GRAM, x, np.diff(place)) for x, place in grams(part)), ((WORD, w.hash, w.count) for w in _words(part)))
+            for kind, keys, size in found:
+                for chunk in np.unique(ids).tolist():
+                    own = held.setdefault(chunk, {})
+                    mine = ids == chunk
                     for rows, counts in ((mine & learn, True), (mine & ~learn, False)):
                         key, n = _counted(keys[np.repeat(rows, size)])
                         own.setdefault(kind, []).append((key, n if counts else np.zeros(len(n), np.int64)))
-                if sum(len(k) for parts in own.values() for k, _ in parts) > HELD:
-                    for kind, parts in own.items():
-                        own[kind] = [_merged(parts)]
-                    if sum(len(parts[0][0]) for parts in own.values()) > HELD // 4 * 3:
-                        yield from settle(chunk)
+                    if sum(len(k) for parts in own.values() for k, _ in parts) > HELD:
+                        for each, parts in own.items():
+                            own[each] = [_merged(parts)]
+                        if sum(len(parts[0][0]) for parts in own.values()) > HELD // 4 * 3:
+                            yield from settle(chunk)
     for chunk in list(held):
         yield from settle(chunk)
     if texts_seen:
@@ -328,22 +351,28 @@ def _score_chunk(total: int, distinct: int, train_texts: int):
         norm = np.log10(float(total + distinct + 1))
         look = _Lookup(key[kind == GRAM], value[kind == GRAM])
         for lo, hi in text_slices(texts, SLICE):
-            x, place = grams(texts.slice(lo, hi - lo))
-            logs = look(x, np.nan)
-            if np.isnan(logs).any():
-                raise ValueError("a gram has no score: the chunk's rows are not those that were counted")
-            sums = np.concatenate([[0], np.cumsum(logs)])
-            scores.append(sums[place[1:]] - sums[place[:-1]])
-            sizes.append(np.diff(place))
+            score, size = np.zeros(hi - lo), np.zeros(hi - lo, np.int64)
+            for x, place in grams(texts.slice(lo, hi - lo)):
+                logs = look(x, np.nan)
+                if np.isnan(logs).any():
+                    raise ValueError("a gram has no score: the chunk's rows are not those that were counted")
+                sums = np.concatenate([[0], np.cumsum(logs)])
+                score += sums[place[1:]] - sums[place[:-1]]
+                size += np.diff(place)
+            scores.append(score)
+            sizes.append(size)
         look = _Lookup(key[kind == WORD], value[kind == WORD])
         del kind, key, value
         for lo, hi in text_slices(texts, SLICE):
-            w = Words(texts.slice(lo, hi - lo), lower=True)
-            c = look(w.hash, 1.0)
-            base = np.concatenate([[0], np.cumsum(np.log10(c + 1) - norm)])
-            known = np.concatenate([[0], np.cumsum(c > 0)])
-            at = w.first
-            out.append((w.count + 1, known[at[1:]] - known[at[:-1]] + (train_texts > 0), base[at[1:]] - base[at[:-1]] + np.log10(train_texts + 1) - norm))
+            words, known, base = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
+            for w in _words(texts.slice(lo, hi - lo)):
+                c = look(w.hash, 1.0)
+                sums = np.concatenate([[0], np.cumsum(np.log10(c + 1) - norm)])
+                seen = np.concatenate([[0], np.cumsum(c > 0)])
+                words += w.count
+                known += seen[w.first[1:]] - seen[w.first[:-1]]
+                base += sums[w.first[1:]] - sums[w.first[:-1]]
+            out.append((words + 1, known + (train_texts > 0), base + np.log10(train_texts + 1) - norm))
         cols = [*(np.concatenate(x) for x in zip(*out, strict=True)), np.concatenate(scores), np.concatenate(sizes)] if out else [np.zeros(0)] * 5
         cols = [*cols, cols[3] / -np.log10(2) / np.maximum(cols[4], 1), np.full(len(docs), total)]
         docs = docs.select(["kept"])

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+#: Letters that are hashed at once, and places in a word whose multipliers are looked up.
+LETTERS, TABLE = 4 << 20, 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,11 +70,23 @@ class Words:
         lens = self.end - self.start
         if not len(lens):
             return np.zeros(0, U)
+        sums = np.zeros(len(lens), U)
         at = np.cumsum(lens) - lens
-        inside = np.arange(len(letters), dtype=np.int64) - np.repeat(at, lens)
-        terms = seeded(int(lens.max()), 1)[inside]
-        terms *= letters.astype(U) + U(1)
-        return mix(np.add.reduceat(terms, at) ^ lens.astype(U) * U(0xA24BAED4963EE407))
+        table = seeded(min(int(lens.max()), TABLE), 1)
+        lo = 0
+        while lo < len(lens):  # blocks of whole words, and of parts of words that are longer than a block
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + LETTERS, "right")) - 1)
+            for s in range(int(at[lo]), int(at[hi - 1] + lens[hi - 1]), LETTERS if hi == lo + 1 else 1 << 62):
+                e = int(at[hi - 1] + lens[hi - 1]) if hi > lo + 1 else min(s + LETTERS, int(at[lo] + lens[lo]))
+                inside = np.arange(s, e, dtype=np.int64) - (at[lo] if hi == lo + 1 else np.repeat(at[lo:hi], lens[lo:hi]))
+                terms = table[inside] if lens[lo:hi].max() <= TABLE else mix((inside.astype(U) + U(1) + U(0x1000193)) * U(0x9E3779B97F4A7C15))
+                terms *= letters[s:e].astype(U) + U(1)
+                if hi == lo + 1:
+                    sums[lo : lo + 1] += terms.sum(dtype=U)
+                else:
+                    sums[lo:hi] = np.add.reduceat(terms, at[lo:hi] - s)
+            lo = hi
+        return mix(sums ^ lens.astype(U) * U(0xA24BAED4963EE407))
 
     def windows(self, n: int, which: int = 0) -> np.ndarray:
         """Hash of the n words that start at each word (of those with n words left in the batch; texts are not looked at)."""

@@ -15,7 +15,7 @@ of the whole text).  Rows too short for a window are dealt by their own hash, so
 
 Null or blank text has no words and stays as it is; texts under ``n`` words are never cut; repeated rows are all cut
 alike (each one's windows start in the others); an empty table gives an empty result.  Other columns are carried along
-untouched.  A text is handled in one piece, in some fifty bytes of memory for each byte.
+untouched.  A long text is read in parts; what grows with it are the hashes of its candidate windows.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.arrow import column, signed, text_slices
+from quern.llm.arrow import column, signed, text_slices, word_parts
 from quern.llm.hashing import U, Words, mix, sliding
 
 #: Rows that a task gathers before it settles and sends them.
 FLUSH = 1 << 20
+#: Texts over so many bytes are read in parts of as many characters.
+LONG_TEXT = 4 << 20
 #: The first level has at least so many words.
 START = 8
 
@@ -84,8 +86,8 @@ def _mark(key: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return mix(key.view(U) ^ (tag.astype(np.int64).view(U) << U(17)) ^ U(0x5851F42D4C957F2D))
 
 
-def _candidates(w: Words, n: int, before: int, marks: np.ndarray, lists: pa.Array, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of n words whose anchor of ``before`` words is repeated, and the texts that another row has too (taken whole, once per task)."""
+def _candidates(w: Words, n: int, before: int, marks: np.ndarray, lists: pa.Array, seen: dict[int, tuple], row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of n words whose anchor of ``before`` words is repeated, and the texts that another row has too (taken whole, once per task, from the row that ``seen`` has for them); ``row`` names the first row."""
     _, least = _least(w, n, before)
     take, twice = np.zeros(len(least), bool), np.zeros(len(w.count), bool)
     for i in range(len(w.count)):
@@ -94,8 +96,7 @@ def _candidates(w: Words, n: int, before: int, marks: np.ndarray, lists: pa.Arra
             continue
         found = lists[i].values.to_numpy(zero_copy_only=False).view(U)
         if (found == marks[i]).any():
-            if (own := int(marks[i])) not in seen:
-                seen.add(own)
+            if seen.setdefault(int(marks[i]), (*row, i)) == (*row, i):
                 take[s:e], twice[i] = True, True
         else:
             found = np.sort(found)
@@ -103,6 +104,20 @@ def _candidates(w: Words, n: int, before: int, marks: np.ndarray, lists: pa.Arra
     return take, twice
 
 
+def _pieces(texts: pa.Array, n: int) -> Iterator[tuple[int, int, Words, int]]:
+    """(row from, row to, words, place of the first word): slices of rows, and a long text in parts that share n - 1 words."""
+    for lo, hi in text_slices(texts):
+        if hi - lo == 1 and (pc.binary_length(texts[lo]).as_py() or 0) > LONG_TEXT:
+            words = 0
+            for before, part in word_parts(texts[lo].as_py(), LONG_TEXT, n - 1):
+                w = Words(pa.array([before + part]))
+                shared = int(Words(pa.array([before])).count[0])
+                yield lo, hi, w, words - shared
+                words += int(w.count[0]) - shared
+        else:
+            yield lo, hi, Words(texts.slice(lo, hi - lo)), 0
+
+
 def _texts(batch: pa.RecordBatch, text: str) -> pa.Array:
     return column(batch, "text") if "text" in batch.schema.names else pc.fill_null(pc.struct_field(column(batch, "doc"), text), "")
 
@@ -112,7 +127,7 @@ def _level(text: str, n: int, before: int | None, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        seen: set[int] = set()
+        seen: dict[int, tuple] = {}
 
         def flush():
             v, key, weight, salt = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -123,19 +138,18 @@ def _level(text: str, n: int, before: int | None, length: int):
         for no, batch in enumerate(batches):
             texts, keys = _texts(batch, text), column(batch, "key").to_numpy()
             marks = _mark(keys, column(batch, "tag").to_numpy())
-            for lo, hi in text_slices(texts):
-                w = Words(texts.slice(lo, hi - lo))
+            for lo, hi, w, place in _pieces(texts, n):
                 small, least = _least(w, n, length)
                 twice = np.zeros(hi - lo, bool)
                 if before:
-                    take, twice = _candidates(w, n, before, marks[lo:hi], column(batch, "anchors").slice(lo, hi - lo), seen)
+                    take, twice = _candidates(w, n, before, marks[lo:hi], column(batch, "anchors").slice(lo, hi - lo), seen, (no, lo))
                     least = np.where(take, least, U(0))
                 at = _anchors_at(small, least, n - length + 1)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                whole = np.flatnonzero(twice if before else w.count >= n)
+                whole = np.flatnonzero((twice if before else w.count >= n) & (place == 0))
                 v = np.concatenate([small[at], marks[lo:hi][whole]])
                 key = keys[lo:hi][np.concatenate([doc, whole])]
-                salt = mix(key.view(U) ^ (np.arange(len(key), dtype=U) << U(20)) ^ U(no * 1_000_003 + lo))
+                salt = mix(key.view(U) ^ (np.arange(len(key), dtype=U) << U(20)) ^ U(no * 1_000_003 + lo) ^ (U(place) << U(42)))
                 held.append((v, key, np.where(twice, 2, 1).astype(np.int8)[np.concatenate([doc, whole])], salt))
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield flush()
@@ -150,7 +164,7 @@ def _decide(text: str, n: int, before: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        seen: set[int] = set()
+        seen: dict[int, tuple] = {}
 
         def flush():
             a, b, key, tag, start, weight = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -159,18 +173,17 @@ def _decide(text: str, n: int, before: int):
             (a, b), weight = _combine([a, b], weight, salt)
             return pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array((b >> U(33)).astype(np.int32)), pa.array(key), pa.array(tag), pa.array(start), pa.array(weight)], ["a", "b", "key", "tag", "start", "weight"])
 
-        for batch in batches:
+        for no, batch in enumerate(batches):
             texts, keys, tags = _texts(batch, text), column(batch, "key").to_numpy(), column(batch, "tag").to_numpy()
             marks = _mark(keys, tags)
-            for lo, hi in text_slices(texts):
-                w = Words(texts.slice(lo, hi - lo))
-                take, twice = _candidates(w, n, before, marks[lo:hi], column(batch, "anchors").slice(lo, hi - lo), seen)
+            for lo, hi, w, place in _pieces(texts, n):
+                take, twice = _candidates(w, n, before, marks[lo:hi], column(batch, "anchors").slice(lo, hi - lo), seen, (no, lo))
                 at = np.flatnonzero(take)
                 if not len(at):
                     continue
                 a, b = w.windows(n), w.windows(n, 1)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                held.append((a[at], b[at], keys[lo:hi][doc], tags[lo:hi][doc], (at - w.first[doc]).astype(np.int32), np.where(twice, 2, 1).astype(np.int8)[doc]))
+                held.append((a[at], b[at], keys[lo:hi][doc], tags[lo:hi][doc], (at - w.first[doc] + place).astype(np.int32), np.where(twice, 2, 1).astype(np.int8)[doc]))
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield flush()
         if held:
@@ -206,19 +219,31 @@ def find(docs: DataFrame, text: str = "text", n: int = 35) -> DataFrame:
     return keyed.join(starts, "key", "left").select("doc", "tag", "starts")
 
 
-def _covered(w: Words, tags: np.ndarray, starts: pa.Array, n: int, lo: int) -> np.ndarray:
-    """Which words of the batch lie in a repeated window."""
+def _covered(w: Words, tags: np.ndarray, starts: pa.Array, n: int, place: int = 0) -> np.ndarray:
+    """Which words lie in a repeated window; ``place`` is that of the first word in its text, where it is a part of one."""
     edge = np.zeros(len(w.hash) + 1, np.int64)
     for i in range(len(w.count)):
-        if starts[lo + i].is_valid and w.count[i] >= n:
-            pairs = starts[lo + i].values
-            at = np.unique(pairs.field(1).to_numpy()[pairs.field(0).to_numpy() == tags[lo + i]])
-            at = at[at + n <= w.count[i]] + w.first[i]
-            edge[at] += 1
-            np.subtract.at(edge, at + n, 1)
+        if starts[i].is_valid:
+            pairs = starts[i].values
+            at = np.unique(pairs.field(1).to_numpy()[pairs.field(0).to_numpy() == tags[i]]).astype(np.int64) - place
+            at = at[(at > -n) & (at < w.count[i])]
+            np.add.at(edge, np.maximum(at, 0) + w.first[i], 1)
+            np.subtract.at(edge, np.minimum(at + n, w.count[i]) + w.first[i], 1)
     return np.cumsum(edge)[:-1] > 0
 
 
+def _alone(texts: pa.Array, lo: int, hi: int) -> Iterator[tuple[Words, int]]:
+    """The words of a slice of rows; of a long text part after part, with the place of the first word."""
+    if hi - lo == 1 and (pc.binary_length(texts[lo]).as_py() or 0) > LONG_TEXT:
+        place = 0
+        for _, part in word_parts(texts[lo].as_py(), LONG_TEXT):
+            w = Words(pa.array([part]))
+            yield w, place
+            place += int(w.count[0])
+    else:
+        yield Words(texts.slice(lo, hi - lo)), 0
+
+
 def digest(found: DataFrame, text: str, ident: str, n: int) -> DataFrame:
     """(ident, n_words, n_removed, kept_sha256) of each row that :func:`find` gives."""
 
@@ -226,21 +251,25 @@ def digest(found: DataFrame, text: str, ident: str, n: int) -> DataFrame:
         for batch in batches:
             texts, tags, starts = column(batch, "text"), column(batch, "tag").to_numpy(), column(batch, "starts")
             for lo, hi in text_slices(texts):
-                w = Words(texts.slice(lo, hi - lo))
-                gone = _covered(w, tags, starts, n, lo)
-                raw = w.raw.tobytes()
-                removed, sha = [], []
-                for i in range(hi - lo):
-                    s, e = w.first[i], w.first[i + 1]
-                    removed.append(int(gone[s:e].sum()))
-                    if removed[-1]:
-                        keep = np.flatnonzero(~gone[s:e]) + s
-                        body = b" ".join(raw[a:b] for a, b in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True))
-                    else:
-                        body = b" ".join(raw[w.offsets[i] : w.offsets[i + 1]].translate(_SPACED).split(b" ")) if e > s else b""
-                        body = b" ".join(x for x in body.split(b" ") if x)
-                    sha.append(hashlib.sha256(body).hexdigest())
-                yield pa.RecordBatch.from_arrays([column(batch, "ident").slice(lo, hi - lo), pa.array(w.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                words, removed = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+                sha, kept = [hashlib.sha256() for _ in range(hi - lo)], [False] * (hi - lo)
+                for w, place in _alone(texts, lo, hi):
+                    gone = _covered(w, tags[lo:hi], starts.slice(lo, hi - lo), n, place)
+                    words += w.count
+                    raw = w.raw.tobytes()
+                    for i in range(hi - lo):
+                        s, e = w.first[i], w.first[i + 1]
+                        lost = int(gone[s:e].sum())
+                        removed[i] += lost
+                        if lost:
+                            left = np.flatnonzero(~gone[s:e]) + s
+                            body = b" ".join(raw[a:b] for a, b in zip(w.start[left].tolist(), w.end[left].tolist(), strict=True))
+                        else:
+                            body = b" ".join(x for x in raw[w.offsets[i] : w.offsets[i + 1]].translate(_SPACED).split(b" ") if x)
+                        if body:
+                            sha[i].update(b" " + body if kept[i] else body)
+                            kept[i] = True
+                yield pa.RecordBatch.from_arrays([column(batch, "ident").slice(lo, hi - lo), pa.array(words), pa.array(removed), pa.array([x.hexdigest() for x in sha], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     inner = found.select(F.col(f"doc.{ident}").alias("ident"), F.coalesce(F.col(f"doc.{text}"), F.lit("")).alias("text"), "tag", "starts")
     return inner.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -257,20 +286,24 @@ def cut(found: DataFrame, columns: list[str], text: str, n: int) -> DataFrame:
             texts, tags, starts = column(batch, "text"), column(batch, "tag").to_numpy(), column(batch, "starts")
             out: list[str | None] = []
             for lo, hi in text_slices(texts):
-                w = Words(texts.slice(lo, hi - lo))
-                gone = _covered(w, tags, starts, n, lo)
-                raw = w.raw
-                for i in range(hi - lo):
-                    s, e = w.first[i], w.first[i + 1]
-                    if not gone[s:e].any():
-                        out.append(texts[lo + i].as_py())
-                        continue
-                    edge = np.zeros(w.offsets[i + 1] - w.offsets[i] + 1, np.int32)
-                    at = np.flatnonzero(gone[s:e]) + s
-                    begin = np.where(at > s, w.end[np.maximum(at - 1, 0)], w.start[at])
-                    np.add.at(edge, begin - w.offsets[i], 1)
-                    np.subtract.at(edge, w.end[at] - w.offsets[i], 1)
-                    out.append(raw[w.offsets[i] : w.offsets[i + 1]][np.cumsum(edge)[:-1] == 0].tobytes().decode())
+                left: list[list[bytes]] = [[] for _ in range(hi - lo)]
+                touched = np.zeros(hi - lo, bool)
+                for w, place in _alone(texts, lo, hi):
+                    gone = _covered(w, tags[lo:hi], starts.slice(lo, hi - lo), n, place)
+                    for i in range(hi - lo):
+                        s, e = w.first[i], w.first[i + 1]
+                        body = w.raw[w.offsets[i] : w.offsets[i + 1]]
+                        if gone[s:e].any():
+                            touched[i] = True
+                            edge = np.zeros(len(body) + 1, np.int32)
+                            at = np.flatnonzero(gone[s:e]) + s
+                            first = w.start[at] if not place else np.full(len(at), w.offsets[i])  # white space that a part begins with follows a word
+                            begin = np.where(at > s, w.end[np.maximum(at - 1, 0)], first)
+                            np.add.at(edge, begin - w.offsets[i], 1)
+                            np.subtract.at(edge, w.end[at] - w.offsets[i], 1)
+                            body = body[np.cumsum(edge)[:-1] == 0]
+                        left[i].append(body.tobytes())
+                out += [b"".join(parts).decode() if hit else texts[lo + i].as_py() for i, (parts, hit) in enumerate(zip(left, touched.tolist(), strict=True))]
             yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(out, pa.string())], ["doc", "cut"])
 
     inner = found.select("doc", F.col(f"doc.{text}").alias("text"), "tag", "starts")

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quern.llm.arrow import parts_of
+
 #: Pieces kept, and their characters; when they are more, those of the batch at hand stay.
 CACHE, CACHE_CHARS = 1_000_000, 16 << 20
 LONG_PIECE = 256
@@ -42,15 +44,6 @@ def pieces(texts: pa.Array, mark: str, odd: str, cut: re.Pattern) -> tuple[np.nd
     return np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64), flat.dictionary, flat.indices.to_numpy()
 
 
-def parts_of(text: str, most: int, cut: re.Pattern) -> list[str]:
-    """``text`` in parts of about ``most`` characters, cut only where ``cut`` allows it."""
-    out, at = [], 0
-    while len(text) - at > most and (found := cut.search(text, at + most)):
-        out.append(text[at : found.start()])
-        at = found.start()
-    return [*out, text[at:]]
-
-
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next one from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import ctw, graph, hashing, near, quality, substring
+from quern.llm import arrow, ctw, graph, hashing, near, quality, substring
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -31,6 +31,29 @@ def test_words_and_windows():
     assert hashing.sliding(np.array([3, 1, 2, 0], np.uint64), 3).tolist() == [1, 0]
 
 
+def test_long_words_and_blocks(monkeypatch):
+    texts = ["ab " * 50 + "x" * 500 + " y " + "z" * 90, "q" * 300, "", "a b c " * 40]
+    want = hashing.Words(pa.array(texts)).hash.tolist()
+    assert want[0] == want[1] != want[50] and len(want) == 50 + 3 + 1 + 120
+    monkeypatch.setattr(hashing, "LETTERS", 64)
+    assert hashing.Words(pa.array(texts)).hash.tolist() == want
+    monkeypatch.setattr(hashing, "TABLE", 8)
+    assert hashing.Words(pa.array(texts)).hash.tolist() == want
+
+
+def test_parts_end_with_words():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        text = "".join(rng.choice(list("ab \n\u00e9")) for _ in range(rng.integers(0, 200)))
+        parts = list(arrow.word_parts(text, 20, 3))
+        assert "".join(p for _, p in parts) == text
+        assert sum((W.findall(p) for _, p in parts), []) == W.findall(text)
+        done = []
+        for before, part in parts:
+            assert before.split(" ") == done[-3:] if done else before == ""
+            done += W.findall(part)
+
+
 # quality rules
 
 
@@ -152,7 +175,7 @@ def test_a_level_extends_only_what_is_repeated():
     w = hashing.Words(pa.array([" ".join(words)]))
     small, least = substring._least(w, 35, 9)
     keep = least[60]
-    take, twice = substring._candidates(w, 35, 9, np.zeros(1, np.uint64), pa.array([[int(np.int64(keep.view(np.int64)))]]), set())
+    take, twice = substring._candidates(w, 35, 9, np.zeros(1, np.uint64), pa.array([[int(np.int64(keep.view(np.int64)))]]), {}, (0, 0))
     assert take.any() and not twice.any() and (least[take] == keep).all() and not (least[~take] == keep).any()
     at = substring._anchors_at(*(lambda s, x: (s, np.where(take, x, np.uint64(0))))(*substring._least(w, 35, 18)), 18)
     first, last = np.flatnonzero(take)[[0, -1]]
@@ -185,6 +208,44 @@ def test_flushes_do_not_matter(spark, monkeypatch):
     assert {r.text.strip() for r in substring.remove_repeats(rows, "text", 8).collect()} == {f"own{i}" for i in range(30)}
 
 
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    """With parts of 64 characters every operator gives what it gives for whole texts."""
+    rng = np.random.default_rng(9)
+    shared = " ".join(f"s{i}" for i in range(45))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 90)) for _ in range(6)]
+    texts += [f"{texts[0]} {shared} {texts[1]}", f" {shared}\n{texts[2]} ", texts[3], texts[3] + " ", "x" * 500, f"{'y' * 200} {shared}", "", None, shared, shared]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 3 != 1
+
+    def everything():
+        cut = {r.doc_id: r.text for r in substring.remove_repeats(rows, "text", 12).collect()}
+        digest = sorted(tuple(r) for r in substring.digest(substring.find(rows, "text", 12), "text", "doc_id", 12).collect())
+        classes = sorted(tuple(r) for r in near.classes(rows).collect())
+        scores = sorted((r.doc_id, r.n_tokens, r.n_known, r.n_bytes, round(r.base_score, 6), round(r.score, 3)) for r in ctw.score(rows, train, carry=("doc_id",)).collect())
+        return cut, digest, classes, scores
+
+    want = everything()
+    assert [W.findall(want[0][i] or "") for i in range(len(texts))] == brute_windows(texts, 12)
+    monkeypatch.setattr(arrow, "SLICE_BYTES", 64)
+    for module in (substring, near, ctw):
+        monkeypatch.setattr(module, "LONG_TEXT", 64)
+    monkeypatch.setattr(ctw, "SLICE", 64)
+    monkeypatch.setattr(arrow.text_slices, "__defaults__", (64,))
+    got = everything()
+    assert got == want
+
+
+def test_a_text_of_many_megabytes(spark):
+    """20 MB of words, and 5 MB without a space."""
+    words = " ".join(f"w{i % 1_000_003}x{i % 7}" for i in range(2_000_000))
+    rows = spark.createDataFrame([(1, words), (2, "z" * 5_000_000), (3, words[:2000]), (4, words[-3000:])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.digest(substring.find(rows), "text", "doc_id", 35).collect()}
+    assert got[1][0] == 2_000_000 and got[2] == (1, 0) and got[3][0] - got[3][1] <= 1 and got[4][0] - got[4][1] <= 1
+    assert {r.id: r.component_id for r in near.classes(rows).collect()} == {i: i for i in range(1, 5)}
+    scores = {r.doc_id: r for r in ctw.score(rows, F.col("doc_id") != 1, carry=("doc_id",)).collect()}
+    assert scores[1].n_bytes == len(words) + 1 and scores[2].n_tokens == 2 and scores[2].bits_per_byte < 0.1
+
+
 # near-duplicates
 
 
@@ -282,10 +343,13 @@ def test_registers_estimate_jaccard():
         assert abs(estimate - truth) < near.MARGIN
 
 
-def test_components_of_a_graph(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
+@pytest.mark.parametrize("hub", [1000, 2])
+def test_components_of_a_graph(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    monkeypatch.setattr(graph, "MOST", 20)
+    chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)] + [(300, i) for i in range(200, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, **{i: 200 for i in range(200, 301)}}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
