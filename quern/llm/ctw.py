@@ -54,7 +54,7 @@ TREE = 1 << 18
 #: Bytes of input to a chunk.
 CHUNK_BYTES = 16 << 20
 #: Distinct keys that a task gathers for a chunk before it sends them.
-HELD = 4 << 20
+HELD = 3 << 20
 SLICE = 1 << 20
 #: Texts over so many bytes are read in blocks of as many.
 LONG_TEXT = 4 << 20
@@ -265,7 +265,7 @@ GRAM, WORD, TEXT = 0, 1, 2
 def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.sort(x)
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[at], np.diff(np.append(at, len(x)))
+    return x[at], np.diff(np.append(at, len(x))).astype(np.int32)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +284,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(chunk: int) -> Iterator[pa.RecordBatch]:
         for kind, parts in held.pop(chunk).items():
             key, n = _merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk, np.int64)), pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["chunk", "kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk, np.int64)), pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["chunk", "kind", "key", "n"])
 
     for batch in batches:
         texts, chunks, train = column(batch, "text"), column(batch, "chunk").to_numpy(), column(batch, "train").to_numpy(zero_copy_only=False)
@@ -298,7 +298,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mine = ids == chunk
                     for rows, counts in ((mine & learn, True), (mine & ~learn, False)):
                         key, n = _counted(keys[np.repeat(rows, size)])
-                        own.setdefault(kind, []).append((key, n if counts else np.zeros(len(n), np.int64)))
+                        own.setdefault(kind, []).append((key, n if counts else np.zeros(len(n), np.int32)))
                     if sum(len(k) for parts in own.values() for k, _ in parts) > HELD:
                         for each, parts in own.items():
                             own[each] = [_merged(parts)]
@@ -311,31 +311,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Lookup:
-    """Values by 64-bit key: a table addressed by the key's hash; keys that share a place are looked up in the sorted list."""
+    """Values by 64-bit key: places in the sorted keys, addressed by the key's hash; keys that share an address are looked up in the sorted list."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
         order = np.argsort(key)
         self.key, self.value = key[order], value[order]
+        del order
         self.bits = max(10, len(key).bit_length() + 1)
-        own = self._slot(self.key)
-        self.table = np.zeros(1 << self.bits, np.float32)
-        self.held = np.zeros(1 << self.bits, U)
-        self.table[own], self.held[own] = self.value, self.key
-        self.shared = np.bincount(own.astype(np.int64), minlength=1 << self.bits) > 1
+        own, place = self._address(self.key), np.arange(len(key), dtype=np.int32)
+        self.place = np.zeros(1 << self.bits, np.int32)
+        self.place[own] = place
+        self.shared = np.zeros(1 << self.bits, bool)
+        self.shared[own[self.place[own] != place]] = True
 
-    def _slot(self, key: np.ndarray) -> np.ndarray:
+    def _address(self, key: np.ndarray) -> np.ndarray:
         return (key * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)
 
     def __call__(self, key: np.ndarray, other: float) -> np.ndarray:
         """The values of ``key``, ``other`` where it has none."""
         if not len(self.key):
             return np.full(len(key), other)
-        at = self._slot(key)
-        got = np.where(self.held[at] == key, self.table[at].astype(np.float64), other)
+        at = self._address(key)
+        place = self.place[at]
         lost = np.flatnonzero(self.shared[at])
-        place = np.minimum(np.searchsorted(self.key, key[lost]), len(self.key) - 1)
-        got[lost] = np.where(self.key[place] == key[lost], self.value[place], other)
-        return got
+        place[lost] = np.minimum(np.searchsorted(self.key, key[lost]), len(self.key) - 1)
+        return np.where(self.key[place] == key, self.value[place].astype(np.float64), other)
 
 
 def _score_chunk(total: int, distinct: int, train_texts: int):
