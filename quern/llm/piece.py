@@ -13,7 +13,8 @@ first.  A character without a piece stands alone and becomes its bytes' pieces.
 
 Null text counts as empty and has no ids.  Rows are independent; empty tables give empty results.  A text over
 ``SLICE`` bytes is a batch of its own; one without any space is one part, walked in time and memory that grow with its
-length (the bit field has one bit a character, and long parts leave the cache with their batch).
+length (the bit field has one bit a character, and long parts leave the cache with their batch).  Of merges with equal
+score the leftmost is made first.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ MARK = "▁"
 CACHE, CACHE_CHARS = 700_000, 12 << 20
 #: Parts over so many characters leave the cache with their batch.
 LONG_PART = 256
+#: New parts that are matched at once; their matches take some hundred bytes a part.
+LEARNT = 20_000
+#: Pairs of neighbours that are remembered.
+FITS = 400_000
 SLICE = 16 << 20
 _CUT = re.compile(f"(?<!{MARK})(?={MARK})")
 
@@ -100,7 +105,7 @@ class Model:
 
     def fit(self, a: int, b: int) -> bool:
         """Do two neighbours, joined and merged anew, come out as these two?  (A character without a piece is minus its code.)"""
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > FITS:
             self.fits.clear()
         x, y = (self.text[i] if i > 0 else chr(-i) for i in (a, b))
         known = self.fits[a << 32 | b & 0xFFFFFFFF] = self.merge(x + y) == [x, y]
@@ -167,10 +172,15 @@ class Model:
         return "".join(out).replace(MARK, " ")
 
     def learn(self, parts: list[str]) -> None:
+        for lo in range(0, len(parts), LEARNT):
+            self._learn(parts[lo : lo + LEARNT])
+
+    def _learn(self, parts: list[str]) -> None:
         joined = "\n".join(parts)
-        found = np.fromiter(self.automaton.iter(joined), np.dtype([("end", np.int64), ("size", np.int64)]))
-        first = np.zeros(len(joined) + 1, np.int64)
+        found = np.fromiter(self.automaton.iter(joined), np.dtype([("end", np.int32), ("size", np.int32)]))
+        first = np.zeros(len(joined) + 1, np.int32)
         first[found["end"] - found["size"] + 1] = found["size"]  # ends ascend, so the longest match at a place is written last
+        del found
         longest = first.tolist()
         at = 0
         for part in parts:
@@ -209,7 +219,7 @@ class Model:
         ends = np.concatenate([[0], np.cumsum(counts)])
         return ends[bounds[1:]] - ends[bounds[:-1]]
 
-    def batch(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Per text: how many ids, the ids in decimal joined by commas, the decoded text."""
         bounds, distinct, got, number = self._split(texts)
         counts = np.array([x[1] for x in got], np.int64)[number] if len(number) else np.zeros(0, np.int64)
@@ -219,7 +229,12 @@ class Model:
         offsets = pa.array(np.concatenate([[0], np.cumsum(full_parts)])[bounds].astype(np.int32))
         joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([x[0] for x in got], pa.string()).take(kept)), ",")
         decoded = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([x.replace(MARK, " ") if y[2] is None else y[2] for x, y in zip(distinct, got, strict=True)], pa.string()).take(kept)), "")
-        return (ends[bounds[1:]] - ends[bounds[:-1]]).tolist(), joined.to_pylist(), [x[1:] for x in decoded.to_pylist()]
+        return ends[bounds[1:]] - ends[bounds[:-1]], joined, pc.utf8_slice_codeunits(decoded, 1)
+
+    def batch(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """:meth:`arrays` as lists."""
+        counts, ids, decoded = self.arrays(texts)
+        return counts.tolist(), ids.to_pylist(), decoded.to_pylist()
 
 
 _models: dict[str, Model] = {}
@@ -238,8 +253,8 @@ def _coded(docs: DataFrame, path: str, ident: str, text: str) -> DataFrame:
         for batch in batches:
             texts = column(batch, "text")
             for lo, hi in text_slices(texts, SLICE):
-                n, ids, back = model(path).batch(texts.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                n, ids, back = model(path).arrays(texts.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(n), ids, back], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
 
