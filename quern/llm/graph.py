@@ -18,13 +18,14 @@ HUB, MOST = 1000, 10_000
 
 
 def _ends(edges: DataFrame) -> DataFrame:
-    """Every edge from both of its ends."""
-    return edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
+    """Every edge from both of its ends; ``up`` where u is its greater one."""
+    end = lambda u, v, up: F.struct(F.col(u).alias("u"), F.col(v).alias("v"), F.lit(up).alias("up"))
+    return edges.select(F.inline(F.array(end("a", "b", False), end("b", "a", True))))
 
 
 def _step(edges: DataFrame, large: bool, most: int | None) -> DataFrame:
     """One star step over edges (a, b) with a < b; nodes with more than ``most`` neighbours, if any, are broadcast."""
-    near = _ends(edges) if large else edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    near = _ends(edges).select("u", "v") if large else edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     least = near.groupBy("u").agg((F.least(F.min("v"), F.col("u")) if large else F.min("v")).alias("m"), F.count("*").alias("d"))
     if most is None:
         met = near.join(least.drop("d"), "u")
@@ -39,10 +40,11 @@ def _step(edges: DataFrame, large: bool, most: int | None) -> DataFrame:
     return moved.filter("a < b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """What tells whether a step changed anything, and the most neighbours of a node."""
-    per = _ends(edges).groupBy("u").agg(F.count("*").alias("d"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x"))
-    return tuple(per.agg(F.sum("d"), F.sum("h"), F.sum("x"), F.max("d")).first())
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """(ends, most neighbours of a node, nodes that are not yet at rest): edges are stars when no node has two lesser neighbours, or a lesser and a greater one."""
+    per = _ends(edges).groupBy("u").agg(F.count("*").alias("d"), F.count_if("up").alias("lesser"))
+    busy = (F.col("lesser") > 1) | ((F.col("lesser") == 1) & (F.col("d") > 1))
+    return tuple(x or 0 for x in per.agg(F.sum("d"), F.max("d"), F.count_if(busy)).first())
 
 
 def components(edges: DataFrame, owner: str = "") -> DataFrame:
@@ -51,11 +53,10 @@ def components(edges: DataFrame, owner: str = "") -> DataFrame:
     Self-loops and nulls are ignored; an empty edge table gives an empty result.
     """
     edges = store.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges", owner)
-    now, before = _state(edges), None
-    while now[0] and now != before:
-        ends, _, _, most = before = now
+    ends, most, busy = _state(edges)
+    while busy:
         bound = max(HUB, ends // MOST)
         bound = bound if most > bound else None
         edges = store.table(_step(_step(edges, True, bound), False, bound), "star", owner)
-        now = _state(edges)
+        ends, most, busy = _state(edges)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a"), F.col("a")).distinct())

@@ -365,15 +365,14 @@ def _across(k: int, num: int, den: int):
     return run
 
 
-def _crossing(edges: DataFrame, sure: DataFrame, sizes: DataFrame, named: DataFrame, k: int, num: int, den: int, owner: str) -> DataFrame:
-    """Links (a, b) among candidates that the links in ``sure`` leave in different components."""
-    part = graph.components(sure, owner)
+def _crossing(edges: DataFrame, part: DataFrame, sizes: DataFrame, named: DataFrame, k: int, num: int, den: int, owner: str) -> DataFrame | None:
+    """Links (a, b) among candidates in different components of ``part`` (node, root); None if no key has such."""
     rows = edges.select(F.inline(F.array(F.struct("key", F.col("a").alias("id")), F.struct("key", F.col("b").alias("id"))))).distinct()
     rows = rows.join(part.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("part"))
     open_keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     rows = store.table(rows.join(open_keys, "key").join(sizes, "id"), "open", owner)  # (id, key, part, n)
     if rows.isEmpty():
-        return sure.limit(0)
+        return None
     weight = F.greatest("n", F.lit(BLOCK // SETS))
     # keys that hang together: each set with the least one of its key
     hubs = rows.groupBy("key").agg(F.min("id").alias("hub"))
@@ -411,8 +410,11 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int =
     nodes = proper.select("id", "n", "regs")
     near = store.table(_round_hubs(edges.select("a", "b").distinct(), nodes).mapInArrow(_estimated(num, den), "a long, b long").distinct(), "near", owner)
     sure = store.table(_round_hubs(near, named).mapInArrow(_confirmed(k, num, den), "a long, b long"), "sure", owner)
-    crossing = _crossing(edges, sure, kinds.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n")), named, k, num, den, owner)
-    roots = graph.components(sure.union(crossing), owner).select(F.col("node").alias("rep"), "root")
+    part = graph.components(sure, owner)
+    crossing = _crossing(edges, part, kinds.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n")), named, k, num, den, owner)
+    if crossing is not None:
+        part = graph.components(part.select(F.col("root").alias("a"), F.col("node").alias("b")).union(crossing), owner)
+    roots = part.select(F.col("node").alias("rep"), "root")
 
     total = rows.count()
     found = kinds.join(roots, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"), F.col("copies") > max(1000, total // HOT))
@@ -426,6 +428,12 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int =
 
 
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, owner: str = "") -> DataFrame:
-    """``docs`` with one document of each group of near copies, its least; rows without an id stay."""
-    gone = classes(docs, "doc_id", "text", k, num, den, owner).filter("not kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with one document of each group of near copies, its least; of rows that repeat its id and text one stays.  Rows without an id, and blank ones, stay."""
+    found = store.table(classes(docs, "doc_id", "text", k, num, den, owner), "classes", owner)
+    gone = found.filter("not kept").select(F.col("id").alias("__gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    again = found.filter("kept and id is not null and n_shingles > 0").groupBy(F.col("id").alias("__again")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__again")
+    if again.isEmpty():
+        return left
+    once = left.join(again, left["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, left["doc_id"] == again["__again"], "left_anti").unionByName(once)

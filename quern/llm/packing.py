@@ -11,7 +11,8 @@ have left, and so on until one task is left, so the whole table has one short ta
 than one sequence, in sequences of power-of-two length, so nothing is padded.
 
 Null text counts as empty (one end token); a text of any length is cut; repeated rows and null ids are packed as they
-come; an empty table gives an empty result.
+come; of equal lengths the earlier row goes first, of equal costs the earlier sequence is taken; an empty table gives an
+empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -19,6 +19,7 @@ complete, so a repeated task leaves the same file.  Null text is an empty docume
 :func:`lookup` sends ids to the shards whose key range holds them (one row per shard: as many as the write had
 partitions, which the driver tracks one by one anyway) and opens, per id, at most the blocks that may have it.
 
+Rows that repeat an id follow one another in any order; an empty table gives no shard.  Other columns are not looked at.
 A long text is encoded in parts (see :mod:`~quern.llm.tokens`); its entry is a block of its own, held whole once.
 """
 

@@ -9,8 +9,9 @@ blocked page is blocked.  Everything else is allowed.
 An address is compared without scheme, fragment and a trailing slash, with the host in lower case; a rule is tried on
 the url or target as it is written, so ``/en/`` names itself.  Targets are resolved against the page's url after their
 HTML entities are read.  Rules are a fixed list, applied as expressions.  A null url, or one without
-``://``, has an empty host and path and no aliases.  Rows are judged one by one; repeated rows alike; an empty table
-gives an empty result.
+``://``, has an empty host and path and no aliases; null markup has no links, and markup of any length is searched by
+expressions.  Of rules of equal length the later one in the list decides.  Rows are judged one by one; repeated rows
+alike; other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations

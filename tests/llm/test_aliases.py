@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import queries, urls
 
@@ -26,6 +27,13 @@ def test_section_roots_and_relative_targets(spark):
     assert verdict == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "block", 9: "allow", 10: "block", 11: "block", 12: "allow"}
 
 
+def test_other_columns_do_not_matter(spark):
+    rows = [(1, "http://z.net/1", "<link rel=canonical href=http://y.org/es/1>"), (2, None, None)]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = plain.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "address", "u", "t", "a", "b", "node", "root", "named", "v")})
+    assert sorted(map(str, urls.judge(clash).collect())) == sorted(map(str, urls.judge(plain).collect()))
+
+
 def test_planted_links_match_the_sql(spark, tmp_path):
     """Chains, stars and rings of links over rules of both kinds, by both queries."""
     rng = np.random.default_rng(4)

@@ -327,6 +327,7 @@ def test_near_handles_odd_rows(odd, none):
     assert near.classes(none).count() == 0
     kept = near.first_of_each(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id = 2").count() == 0 and kept.filter("doc_id is null").count() == 1
+    assert kept.filter("doc_id = 1").count() == 1 and kept.filter("doc_id in (3, 5, 6)").count() == 3
 
 
 def test_registers_estimate_jaccard():
