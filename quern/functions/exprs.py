@@ -58,6 +58,30 @@ def anchored_month(now: Column, anchor: Column) -> tuple[Column, Column]:
     return F.when(early, before).otherwise(this), F.when(early, this).otherwise(after)
 
 
+#: Days that a trailing range goes back from the latest day.
+RANGES = {"1D": 0, "1W": 6, "2W": 13, "1M": 27, "2M": 55, "3M": 89}
+
+
+def range_start(kind: Column, earliest: Column, latest: Column) -> Column:
+    """The first day of a range that ends with the day ``latest``: trailing, since new year (YTD), or everything; never before ``earliest``."""
+    start = F.when(kind == "YTD", F.trunc(latest, "year")).otherwise(earliest)
+    for name, days in RANGES.items():
+        start = F.when(kind == name, F.date_sub(latest, days)).otherwise(start)
+    return F.greatest(earliest, start)
+
+
+def bucket_label(start: Column, kind: Column, now: Column) -> Column:
+    """``JAN 5`` for trailing ranges, ``JAN`` for the year's, and for everything the month of this year or another year's number."""
+    month = F.upper(F.date_format(start, "MMM"))
+    same_year = F.when(F.year(start) == F.year(now), month).otherwise(F.year(start).cast("string"))
+    return F.when(kind == "YTD", month).when(kind == "ALL", same_year).otherwise(F.concat_ws(" ", month, F.dayofmonth(start).cast("string")))
+
+
+def canonical_json(x: Column) -> Column:
+    """JSON text with object keys in order and without spaces; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(x))
+
+
 def seconds_to_midnight(t: Column) -> Column:
     """Whole seconds up to the next UTC day."""
     ms = F.unix_millis(t.cast("timestamp"))
@@ -106,6 +130,78 @@ def sum_of_known(*parts: Column) -> Column:
     return F.when(known, reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts]))
 
 
+#: Where four kinds of provider report usage (anthropic, google, openai, compatible): input, output, reasoning, cache reads, short and long cache writes; first path found counts.
+USAGE_PATHS = {
+    "anthropic": (("input_tokens",), ("output_tokens",), (), ("cache_read_input_tokens",), ("cache_creation.ephemeral_5m_input_tokens", "cache_creation_input_tokens"), ("cache_creation.ephemeral_1h_input_tokens",)),
+    "google": (("promptTokenCount",), ("candidatesTokenCount",), ("thoughtsTokenCount",), ("cachedContentTokenCount",), (), ()),
+    "openai": (("input_tokens",), ("output_tokens",), ("output_tokens_details.reasoning_tokens",), ("input_tokens_details.cached_tokens",), (), ()),
+    "compatible": (("prompt_tokens",), ("completion_tokens",), ("completion_tokens_details.reasoning_tokens",), ("cached_tokens", "prompt_tokens_details.cached_tokens"), ("prompt_tokens_details.cache_creation_input_tokens",), ()),
+}
+USAGE_FIELDS = ("input", "output", "reasoning", "cache_read", "cache_write_5m", "cache_write_1h")
+
+
+def normal_usage(kind: Column, body: Column, estimate_cache: bool = False) -> Column:
+    """A struct of ``USAGE_FIELDS`` from a provider's report; fields that a kind lacks are null.
+
+    Cached tokens are taken out of the input where they are part of it (all kinds but the first).  With
+    ``estimate_cache``, compatible reports without cache reads count nine tenths of the input as such.
+    """
+    out = F.lit(None).cast("struct<" + ",".join(f"{f}:bigint" for f in USAGE_FIELDS) + ">")
+    for name, paths in USAGE_PATHS.items():
+        found = [F.coalesce(*[F.get_json_object(body, f"$.{p}").cast("long") for p in each]) if each else F.lit(None).cast("long") for each in paths]
+        total, output, reasoning, cached, short, long = found
+        total, output = F.coalesce(total, F.lit(0)), F.coalesce(output, F.lit(0))
+        if name == "google":
+            reasoning, cached = F.coalesce(reasoning, F.lit(0)), F.coalesce(cached, F.lit(0))
+        if name == "compatible" and estimate_cache:
+            cached = F.when(F.coalesce(cached, F.lit(0)) == 0, F.floor(total * 0.9).cast("long")).otherwise(cached)
+        fresh = total if name == "anthropic" else total - F.coalesce(cached, F.lit(0))
+        row = F.struct(*[c.cast("long").alias(f) for f, c in zip(USAGE_FIELDS, (fresh, output, reasoning, cached, short, long), strict=True)])
+        out = F.when(kind == name, row).otherwise(out)
+    return out
+
+
+def sum_usage(*usages: Column) -> Column:
+    """Usage structs added field by field; a field is null only where it is null in all."""
+    return F.struct(*[sum_of_known(*[u[f] for u in usages]).alias(f) for f in USAGE_FIELDS])
+
+
+def merged_maps(*maps: Column) -> Column:
+    """One map of all entries, later maps winning; a null map has none."""
+    nothing = F.create_map().cast("map<string,string>")
+
+    def merged(a: Column, b: Column) -> Column:
+        a, b = F.coalesce(a, nothing), F.coalesce(b, nothing)
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+    return reduce(merged, maps)
+
+
+def quoted_identifier(x: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def quoted_literal(x: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def title_case(x: Column) -> Column:
+    """The first letter of every word in upper case, the others as they are."""
+    words = F.regexp_extract_all(x, F.lit(r"(\w+|\W+)"), F.lit(1))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+
+
+def insert_place(sorted_values: Column, x: Column) -> Column:
+    """The place (from 0) at which ``x`` goes into an ascending array, before equal values."""
+    return F.size(F.filter(sorted_values, lambda v: v < x))
+
+
+def chunked(values: Column, size: int) -> Column:
+    """An array cut into arrays of ``size`` elements."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(size)))
+    return F.coalesce(F.transform(starts, lambda s: F.slice(values, s, size)), F.array().cast("array<array<string>>"))
+
+
 def dollars_to_microcents(x: Column) -> Column:
     return F.floor(x * MICROCENTS + 0.5).cast("long")
 
@@ -140,8 +236,9 @@ def ip_prefix(ip: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """A quarter of the length, rounded half up (code points, where the original counts UTF-16 units)."""
-    return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4 + 0.5).cast("long")
+    """A quarter of the length in UTF-16 units, rounded half up."""
+    t = F.coalesce(text, F.lit(""))
+    return F.floor((F.length(t) + F.regexp_count(t, F.lit(r"[\x{10000}-\x{10FFFF}]"))) / 4 + 0.5).cast("long")
 
 
 def base64url(x: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 SECRETS = (
     ("bearer token", r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{16,}\b"),
     ("API key", r"\bsk-[A-Za-z0-9][A-Za-z0-9_-]{20,}\b"),
-    ("vendor API key", r"\bsk-ant-[A-Za-z0-9_-]{20,}\b"),
+    ("Anthropic API key", r"\bsk-ant-[A-Za-z0-9_-]{20,}\b"),
     ("Google API key", r"\bAIza[0-9A-Za-z_-]{20,}\b"),
     ("AWS access key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("GitHub token", r"\bgh[pousr]_[A-Za-z0-9_]{20,}\b"),
@@ -24,10 +26,24 @@ SECRETS = (
 SKIPPED = {"script", "style", "noscript", "iframe", "object", "embed"}
 
 
-def secret_findings(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(ident, reason): one row for each kind of secret found in a text."""
-    found = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(label)) for label, p in SECRETS]))
-    return df.select(ident, F.explode(found).alias("reason"))
+#: Names of environment variables that hold secrets, values that are none, and the least length of one.
+SECRET_NAMES, SAFE_VALUES, SECRET_LENGTH = r"(?i)(?:API|AUTH|BEARER|CREDENTIAL|KEY|PASSWORD|SECRET|TOKEN)", ("fixture", "test", "test-key"), 12
+#: Headers and query keys that are masked.
+MASKED_HEADERS = ("authorization", "cookie", "proxy-authorization", "set-cookie", "x-api-key", "x-amz-security-token", "x-goog-api-key")
+MASKED_KEYS = ("access_token", "api-key", "api_key", "apikey", "code", "key", "signature", "sig", "token", "x-amz-credential", "x-amz-security-token", "x-amz-signature")
+MASK = "[REDACTED]"
+
+
+def environment_secrets(environment: dict[str, str]) -> dict[str, str]:
+    """The variables whose values must not appear in a text."""
+    return {k: v for k, v in environment.items() if re.search(SECRET_NAMES, k) and len(v) >= SECRET_LENGTH and v.lower() not in SAFE_VALUES}
+
+
+def secret_findings(df: DataFrame, ident: str, text: str, environment: dict[str, str] | None = None) -> DataFrame:
+    """(ident, reason): one row for each kind of secret found in a text, and for each secret variable of ``environment`` whose value it holds."""
+    kinds = [F.when(F.col(text).rlike(p), F.lit(label)) for label, p in SECRETS]
+    kinds += [F.when(F.col(text).contains(v), F.lit(f"environment secret {k}")) for k, v in environment_secrets(environment or {}).items()]
+    return df.select(ident, F.explode(F.array_compact(F.array(*kinds))).alias("reason"))
 
 
 def redact_secrets(text: Column, mark: str = "[redacted]") -> Column:
@@ -41,17 +57,19 @@ def redact_structure(x: Column, kind: str, ident: Column) -> Column:
     return F.when(F.trim(x) != "", F.concat(F.lit(f"[redacted:{kind}:"), ident, F.lit("]"))).otherwise(x)
 
 
-def redact_url(url: Column, keys: tuple[str, ...] = ("token", "key", "api_key", "access_token", "secret", "password"), mark: str = "REDACTED") -> Column:
-    """User info and the values of named query keys (any case) are masked."""
-    out = F.regexp_replace(url, r"://[^/@?#]*@", f"://{mark}:{mark}@")
-    return F.regexp_replace(out, r"(?i)([?&](?:" + "|".join(keys) + r")=)[^&#]*", f"$1{mark}")
+def redact_url(url: Column, keys: tuple[str, ...] = (), mark: str = MASK) -> Column:
+    """User info and the values of the masked and the named query keys (any case) are masked; a user without a password stays one."""
+    plain = mark.replace("$", r"\$")
+    out = F.regexp_replace(url, r"://[^/@?#:]+@", f"://{plain}@")
+    out = F.regexp_replace(out, r"://[^/@?#:]*:[^/@?#]*@", f"://{plain}:{plain}@")
+    return F.regexp_replace(out, r"(?i)([?&](?:" + "|".join(map(re.escape, (*MASKED_KEYS, *keys))) + r")=)[^&#]*", f"$1{plain}")
 
 
-def redact_headers(headers: Column, allow: tuple[str, ...], redact: tuple[str, ...] = ("authorization", "cookie"), mark: str = "REDACTED") -> Column:
-    """A sorted list of (name, value) of the allowed headers, some masked."""
+def redact_headers(headers: Column, allow: tuple[str, ...], redact: tuple[str, ...] = (), mark: str = MASK) -> Column:
+    """A sorted list of (name, value) of the allowed headers, the masked and the named ones without their values."""
     low = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
     kept = F.filter(low, lambda e: e["name"].isin(*allow))
-    return F.array_sort(F.transform(kept, lambda e: F.struct(e["name"].alias("name"), F.when(e["name"].isin(*redact), mark).otherwise(e["value"]).alias("value"))))
+    return F.array_sort(F.transform(kept, lambda e: F.struct(e["name"].alias("name"), F.when(e["name"].isin(*MASKED_HEADERS, *redact), mark).otherwise(e["value"]).alias("value"))))
 
 
 def lines(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -109,21 +127,40 @@ class _Text(HTMLParser):
 
 
 class _Markdown(HTMLParser):
-    """Headings, emphasis, lists, links, code and paragraphs; anything else as its text."""
+    """Headings, emphasis, plain and numbered lists, links, images, code, quotes, rules, tables as rows and paragraphs; anything else as its text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.skip, self.pre, self.out, self.href = 0, 0, [], []
+        self.lists, self.quotes, self.cells = [], [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED or tag in ("head", "nav"):
             self.skip += 1
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in ("p", "div", "article", "section", "ul", "ol", "footer"):
+        elif tag in ("p", "div", "article", "section", "ul", "ol", "footer", "table"):
             self.out.append("\n\n")
+            if tag in ("ul", "ol"):
+                self.lists.append(0 if tag == "ol" else None)
         elif tag == "li":
-            self.out.append("\n- ")
+            number = self.lists[-1] if self.lists else None
+            if number is not None:
+                self.lists[-1] = number + 1
+            self.out.append("\n- " if number is None else f"\n{number + 1}. ")
+        elif tag == "hr":
+            self.out.append("\n\n---\n\n")
+        elif tag == "blockquote":
+            self.out.append("\n\n")
+            self.quotes.append(len(self.out))
+        elif tag == "img":
+            found = dict(attrs)
+            self.out.append(f"![{found.get('alt') or ''}]({found.get('src') or ''})")
+        elif tag == "tr":
+            self.cells = 0
+            self.out.append("\n| ")
+        elif tag in ("td", "th"):
+            self.cells += 1
         elif tag == "br":
             self.out.append("\n")
         elif tag in ("b", "strong"):
@@ -146,6 +183,17 @@ class _Markdown(HTMLParser):
             self.out.append("**")
         elif tag in ("i", "em"):
             self.out.append("*")
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+            self.out.append("\n\n")
+        elif tag == "blockquote" and self.quotes:
+            at = self.quotes.pop()
+            inner = "".join(self.out[at:]).strip()
+            self.out[at:] = ["\n".join(f"> {line}".rstrip() for line in inner.split("\n")), "\n\n"]
+        elif tag in ("td", "th"):
+            self.out.append(" | ")
+        elif tag == "thead":
+            self.out.append("\n|" + " --- |" * self.cells)
         elif tag == "pre":
             self.pre = max(0, self.pre - 1)
             self.out.append("\n```\n")
@@ -156,7 +204,14 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
-            self.out.append(data if self.pre else " ".join(data.split()) + (" " if data[-1:].isspace() else ""))
+            self.out.append(data if self.pre else self._spaced(data))
+
+    def _spaced(self, data: str) -> str:
+        """One space for each run of white space, none where a line begins."""
+        body = " ".join(data.split())
+        begins = not self.out or self.out[-1][-1:] in ("", "\n", " ")
+        lead = " " if data[:1].isspace() and not begins else ""
+        return lead + body + (" " if body and data[-1:].isspace() else "")
 
 
 def _parsed(html: str | None, kind) -> str | None:
@@ -167,6 +222,7 @@ def _parsed(html: str | None, kind) -> str | None:
     p.close()
     text = "".join(p.out)
     if kind is _Markdown:
+        text = "\n".join(line.rstrip() for line in text.split("\n"))
         while "\n\n\n" in text:
             text = text.replace("\n\n\n", "\n\n")
     return text.strip()
@@ -238,47 +294,100 @@ def locate_block(content: str, block: str) -> tuple[int, int] | None:
         inner = min(len(want), span[1] - span[0]) - 2
         return sum(_similarity(have[span[0] + k].strip(), want[k].strip()) for k in range(1, inner + 1)) / inner if inner > 0 else 1.0
 
+    if len(spans) == 1:
+        return spans[0]
     best = max(spans, key=score)
-    return best if len(spans) == 1 or score(best) >= 0.3 else None
+    return best if score(best) >= 0.3 else None
 
 
-def replace_once(content: str, old: str, new: str, everywhere: bool = False) -> str:
-    """``old`` replaced by ``new``, by the first matcher that finds it: as it is, by trimmed lines, by anchored block, by collapsed white space, without common indentation, trimmed as a whole.  Several matches are an error unless all are wanted."""
-    if old == new:
-        raise ValueError("nothing to change")
+#: What a backslash and a letter stand for in an edit's text.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "'": "'", '"': '"', "`": "`", "\\": "\\", "\n": "\n", "$": "$"}
+
+
+def _unescape(x: str) -> str:
+    return re.sub(r"""\\([ntr'"`\\\n$])""", lambda m: ESCAPES[m[1]], x)
 
-    def by_lines(same):
-        have, want = content.split("\n"), old.split("\n")
-        want = want[:-1] if want[-1] == "" else want
-        for i in range(len(have) - len(want) + 1):
-            if all(same(a, b) for a, b in zip(have[i : i + len(want)], want, strict=True)):
-                yield "\n".join(have[i : i + len(want)])
 
-    def anchored():
+def _squeeze(x: str) -> str:
+    return " ".join(x.split())
+
+
+def _dedent(x: str) -> str:
+    rows = x.split("\n")
+    margin = min((len(r) - len(r.lstrip()) for r in rows if r.strip()), default=0)
+    return "\n".join(r[margin:] if r.strip() else r for r in rows)
+
+
+def _candidates(content: str, old: str) -> Iterator[Iterator[str]]:
+    """For each matcher in turn the parts of ``content`` that it takes for ``old``."""
+    have, want = content.split("\n"), old.split("\n")
+    short = want[:-1] if len(want) > 1 and want[-1] == "" else want
+    windows = lambda n: ("\n".join(have[i : i + n]) for i in range(len(have) - n + 1))
+    alike = lambda n, f: (x for x in windows(n) if f(x))
+
+    def anchored() -> Iterator[str]:
         if span := locate_block(content, old):
-            yield "\n".join(content.split("\n")[span[0] : span[1]])
-
-    def dedented():
-        strip = lambda s: "\n".join(x[min((len(y) - len(y.lstrip()) for y in s.split("\n") if y.strip()), default=0) :] for x in s.split("\n"))
-        n = old.count("\n") + 1
-        have = content.split("\n")
-        for i in range(len(have) - n + 1):
-            part = "\n".join(have[i : i + n])
-            if strip(part) == strip(old):
-                yield part
-
-    squeeze = lambda x: " ".join(x.split())
-    matchers = (lambda: [old], lambda: by_lines(lambda a, b: a.strip() == b.strip()), anchored, lambda: by_lines(lambda a, b: squeeze(a) == squeeze(b)), dedented, lambda: [old.strip()])
+            yield "\n".join(have[span[0] : span[1]])
+
+    def spaced() -> Iterator[str]:
+        plain = _squeeze(old)
+        pattern = re.compile(r"\s+".join(map(re.escape, old.split())))
+        for line in have:
+            if _squeeze(line) == plain:
+                yield line
+            elif plain in _squeeze(line) and (found := pattern.search(line)):
+                yield found[0]
+        if len(want) > 1:
+            yield from alike(len(want), lambda x: _squeeze(x) == plain)
+
+    def escaped() -> Iterator[str]:
+        meant = _unescape(old)
+        yield from [meant] * (meant in content)
+        yield from alike(meant.count("\n") + 1, lambda x: _unescape(x) == meant)
+
+    def trimmed() -> Iterator[str]:
+        if (bare := old.strip()) != old:
+            yield from [bare] * (bare in content)
+            yield from alike(len(want), lambda x: x.strip() == bare)
+
+    def in_context() -> Iterator[str]:
+        if len(want) < 3:
+            return
+        head, tail = short[0].strip(), short[-1].strip()
+        for i, line in enumerate(have):
+            end = next((j for j in range(i + 2, len(have)) if have[j].strip() == tail), None) if line.strip() == head else None
+            if end is not None and end + 1 - i == len(short):
+                pairs = [(a.strip(), b.strip()) for a, b in zip(have[i + 1 : end], short[1:-1], strict=True)]
+                filled = [a == b for a, b in pairs if a or b]
+                if 2 * sum(filled) >= len(filled):
+                    yield "\n".join(have[i : end + 1])
+
+    yield iter([old])
+    yield alike(len(short), lambda x: [r.strip() for r in x.split("\n")] == [r.strip() for r in short])
+    yield anchored()
+    yield spaced()
+    yield alike(len(want), lambda x: _dedent(x) == _dedent(old))
+    yield escaped()
+    yield trimmed()
+    yield in_context()
+    yield iter([old] * content.count(old))
+
+
+def replace_once(content: str, old: str, new: str, everywhere: bool = False) -> str:
+    """``old`` replaced by ``new``, where the first of nine matchers finds it once.
+
+    In this order: as it is, by trimmed lines, by an anchored block, by collapsed white space (also inside a line), without
+    common indentation, with escapes read, trimmed as a whole, by first and last line with half of the lines between
+    equal, at every occurrence.  Several matches are an error unless all are wanted.
+    """
+    if old == new:
+        raise ValueError("nothing to change")
     seen = False
-    for matcher in matchers:
-        for found in matcher():
-            if not found or (n := content.count(found)) == 0:
-                continue
-            seen = True
-            if everywhere:
-                return content.replace(found, new)
-            if n == 1:
-                return content.replace(found, new, 1)
+    for found in itertools.chain.from_iterable(_candidates(content, old)):
+        n = content.count(found) if found else 0
+        seen = seen or n > 0
+        if n == 1 or (n and everywhere):
+            return content.replace(found, new)
     raise ValueError("found more than once" if seen else "not found")
 
 

@@ -39,8 +39,33 @@ def two_grains(rows: DataFrame, time: str) -> DataFrame:
     return rows.select("*", F.inline(grains))
 
 
-def aggregate(rows: DataFrame, dims: list[str], time: str = "time", exact: bool = False) -> DataFrame:
-    return two_grains(rows, time).groupBy("grain", "period_key", "tier", *dims).agg(*measures(rows.columns, exact))
+def aggregate(rows: DataFrame, dims: list[str], time: str = "time", exact: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """Measures by grain, period, tier and ``dims``; of the columns ``also`` one non-empty value each."""
+    return two_grains(rows, time).groupBy("grain", "period_key", "tier", *dims).agg(*map(representative, also), *measures(rows.columns, exact))
+
+
+#: Breakdowns: the dimensions of each, and the columns of which it keeps one value.
+BREAKDOWNS = {"model": (["provider", "model"], ("provider_model",)), "provider": (["provider"], ()), "geo": (["country"], ("continent",)), "geo_model": (["provider", "model", "country"], ("continent",))}
+
+
+def breakdown(rows: DataFrame, kind: str, time: str = "time", exact: bool = False) -> DataFrame:
+    """One of the ``BREAKDOWNS``; by country alone, provider and model are ``all``."""
+    dims, also = BREAKDOWNS[kind]
+    out = aggregate(rows, dims, time, exact, also)
+    return out.withColumns({"provider": F.lit("all"), "model": F.lit("all")}) if kind == "geo" else out
+
+
+def from_spec(rows: DataFrame, by: list[str], calculations: list[tuple[str, str | None]], limit: int = 1000) -> DataFrame:
+    """Aggregates named by a list of (op, column): COUNT, COUNT_DISTINCT, SUM, AVG, P50 or P95; the greatest first sum leads, so many rows at most."""
+    ops = {"COUNT": lambda _: F.count("*"), "COUNT_DISTINCT": F.countDistinct, "SUM": F.sum, "AVG": F.avg, "P50": lambda c: F.percentile_approx(c, 0.5), "P95": lambda c: F.percentile_approx(c, 0.95)}
+    named = [(f"{op}({column})" if column else op, ops[op](column)) for op, column in calculations]
+    order = next((F.desc(f"`{name}`") for name, _ in named if name.startswith("SUM(")), F.desc(f"`{named[0][0]}`"))
+    return rows.groupBy(*by).agg(*[x.alias(name) for name, x in named]).orderBy(order, *by).limit(limit)
+
+
+def by_country(rows: DataFrame, country: str, continent: str, measure: str) -> DataFrame:
+    """(country, continent, measure): sums, with the first non-empty continent in its own order."""
+    return rows.groupBy(country).agg(F.coalesce(F.min(F.nullif(F.col(continent), F.lit(""))), F.lit("")).alias(continent), F.sum(measure).alias(measure))
 
 
 def weighted(level: str, weight: str, places: int = 2) -> Column:

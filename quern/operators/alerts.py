@@ -13,10 +13,15 @@ def ratio(rows: DataFrame, by: str, total: Column, failed: Column, least: int, t
     return out.withColumn("ratio_ppm", part).withColumn("triggered", part >= int(threshold * 1_000_000))
 
 
+def two_source_ratio(rows: DataFrame, by: str, succeeded: Column, failed: Column, least: int, threshold: float) -> DataFrame:
+    """:func:`ratio` where successes and failures come as different events: their sum is the denominator."""
+    return ratio(rows, by, succeeded | failed, failed, least, threshold)
+
+
 def low_median(rows: DataFrame, by: str, value: str, where: Column, least: int, threshold: float, idle: float = 999.0) -> DataFrame:
-    """(by, n, p50, triggered): the exact median of a value, ``idle`` for groups with too few rows."""
+    """(by, n, p50, triggered): the median of a value from a mergeable sketch, ``idle`` for groups with too few rows."""
     kept = rows.filter(where & F.col(value).isNotNull())
-    out = kept.groupBy(by).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"))
+    out = kept.groupBy(by).agg(F.count("*").alias("n"), F.percentile_approx(F.col(value).cast("double"), 0.5).alias("median"))
     return out.select(by, "n", F.when(F.col("n") >= least, F.col("median")).otherwise(idle).alias("p50")).withColumn("triggered", F.col("p50") <= threshold)
 
 
@@ -34,6 +39,6 @@ def payload(fired: DataFrame, by: str, value: str, unit: str = "%") -> DataFrame
     return fired.filter("triggered").select(by, F.format_string("%s: %d" + unit.replace("%", "%%"), F.col(by).cast("string"), F.floor(F.col(value) + 0.5).cast("long")).alias("line"))
 
 
-def vote(current: Column, previous: Column) -> Column:
-    """low where few requests of many were qualified over two minutes; idle where there is no sign of trouble."""
-    return F.when((current + previous > 10) & (current < previous), "low").when(current <= previous * 3, "idle").otherwise("busy")
+def vote(current: Column, previous: Column, least: int = 10) -> Column:
+    """low where few requests of many (more than ``least``) were qualified over two minutes; idle where there is no sign of trouble."""
+    return F.when((current + previous > least) & (current < previous), "low").when(current <= previous * 3, "idle").otherwise("busy")

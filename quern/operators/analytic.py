@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import scratch
+
 from quern.functions.exprs import percent_change, share
 
 
@@ -130,3 +132,30 @@ def weighted_choice(rows: DataFrame, key: str, name: str, weight: str, priority:
     live = live.withColumn("__to", F.sum(weight).over(w)).withColumn("__all", F.sum(weight).over(Window.partitionBy(key)))
     at = F.pmod(number, F.col("__all"))
     return live.filter((at < F.col("__to")) & (at >= F.col("__to") - F.col(weight))).select(key, name)
+
+
+def running_total(rows: DataFrame, order: list, amount, name: str = "upto") -> DataFrame:
+    """``rows`` with the sum of ``amount`` over all rows up to each in a total order, without a window in one task.
+
+    Rows are dealt by ranges of the order and written; sums run within each range, and what lies before a range is the
+    sum of one number per range.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark)
+    rows.withColumn("__amount", amount).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    offsets = dealt.groupBy("__range").agg(F.sum("__amount").alias("__sum")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum("__amount").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = dealt.withColumn(name, inside).join(F.broadcast(offsets), "__range")  # as many rows as the shuffle has partitions
+    return met.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before", "__amount")
+
+
+def median(rows: DataFrame, value: str) -> DataFrame:
+    """(median, n): the exact median of a column, the mean of the two middle values of an even number; null for no values."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    ranked = running_total(counted, [F.col(value)], F.col("__n"))
+    n = ranked.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"))
+    middle = lambda at: F.min(F.when(F.col("upto") >= at, F.col(value)))
+    both = ranked.crossJoin(F.broadcast(n))  # one row
+    return both.agg(((middle(F.floor((F.col("n") + 1) / 2)) + middle(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 
 def gaps(log: DataFrame, key: str, seq: str) -> DataFrame:
@@ -15,6 +19,12 @@ def gaps(log: DataFrame, key: str, seq: str) -> DataFrame:
     return log.select(key, seq, (before + 1).alias("expected")).filter(F.col(seq) != F.col("expected"))
 
 
+def replayable(log: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, events, first, last, ok): whether each key's events follow one another without a gap or a repeat from the first."""
+    out = log.groupBy(key).agg(F.count("*").alias("events"), F.min(seq).alias("first"), F.max(seq).alias("last"), F.countDistinct(seq).alias("__n"))
+    return out.withColumn("ok", (F.col("events") == F.col("__n")) & (F.col("last") - F.col("first") + 1 == F.col("__n"))).drop("__n")
+
+
 def appendable(log: DataFrame, incoming: DataFrame, key: str, seq: str, owner: str | None = None) -> DataFrame:
     """verdict of each incoming event: ``append``, ``seen`` (at or below the latest), ``foreign`` (another owner), or ``gap``."""
     state = log.groupBy(key).agg(F.max(seq).alias("__latest"), *([F.max_by(owner, seq).alias("__owner")] if owner else []))
@@ -65,20 +75,37 @@ Handlers = dict[str, Callable[[dict | None, dict], dict | None]]
 
 
 def project(log: DataFrame, key: str, seq: str, kind: str, data: str, handlers: Handlers, schema: str) -> DataFrame:
-    """The table that folding each key's events in order gives; unknown event types are an error."""
-    import json
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        for row in part.sort_values(seq).itertuples():
-            name = getattr(row, kind)
-            if name not in handlers:
-                raise ValueError(f"no handler for {name}")
-            state = handlers[name](state, json.loads(getattr(row, data) or "{}"))
-        return pd.DataFrame([{key: part[key].iloc[0], **state}] if state else [], columns=names)
+    """The table that folding each key's events in order gives; unknown event types are an error.
 
-    names = [c.split()[0] for c in schema.split(", ")]
-    return log.select(key, seq, kind, data).groupBy(key).applyInPandas(fold, schema)
+    Partitions are read in the order of key and place, with one key's state at hand.
+    """
+    columns = _parse_datatype_string(schema)
+    kinds = [to_arrow_type(f.dataType) for f in columns.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, done = None, None, []
+
+        def rows() -> pa.RecordBatch:
+            cols = [pa.array([r.get(f) for r in done], t) for f, t in zip(columns.names, kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(cols, columns.names)
+
+        for batch in batches:
+            for k, name, body in zip(*[batch.column(c).to_pylist() for c in ("k", "name", "body")], strict=True):
+                if k != now:
+                    if state:
+                        done.append({key: now, **state})
+                    now, state = k, None
+                if name not in handlers:
+                    raise ValueError(f"no handler for {name}")
+                state = handlers[name](state, json.loads(body or "{}"))
+            yield rows()
+        if state:
+            done.append({key: now, **state})
+        yield rows()
+
+    named = log.select(F.col(key).alias("k"), F.col(seq).alias("s"), F.col(kind).alias("name"), F.col(data).alias("body"))
+    return named.repartition("k").sortWithinPartitions("k", "s").mapInArrow(run, schema)
 
 
 def visible_history(messages: DataFrame) -> DataFrame:
@@ -112,25 +139,35 @@ def visible_history(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session").applyInPandas(one, "session string, position long, id string")
 
 
+def _leaves(x, path: str = "$") -> Iterator[tuple[str, str]]:
+    if isinstance(x, dict):
+        for k in sorted(x):
+            yield from _leaves(x[k], f"{path}.{k}")
+    elif isinstance(x, list):
+        for i, v in enumerate(x):
+            yield from _leaves(v, f"{path}[{i}]")
+    else:
+        yield path, json.dumps(x, ensure_ascii=False)
+
+
+def flat_json(rows: DataFrame, ident: str, body: str) -> DataFrame:
+    """(id, path, value): every leaf of JSON texts with its path."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(i, *leaf) for i, x in zip(part["id"], part["x"], strict=True) if x for leaf in _leaves(json.loads(x))], columns=["id", "path", "value"])
+
+    return rows.select(F.col(ident).cast("long").alias("id"), F.col(body).alias("x")).mapInPandas(run, "id long, path string, value string")
+
+
 def deep_diff(pairs: DataFrame, ident: str, left: str, right: str) -> DataFrame:
-    """(ident, path, left, right): the leaves at which two JSON texts differ."""
-    import json
-
-    def leaves(x, path="$"):
-        if isinstance(x, dict):
-            for k in sorted(x):
-                yield from leaves(x[k], f"{path}.{k}")
-        elif isinstance(x, list):
-            for i, v in enumerate(x):
-                yield from leaves(v, f"{path}[{i}]")
-        else:
-            yield path, json.dumps(x)
+    """(id, path, a, b): the leaves at which two JSON texts differ."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for ident_, a, b in zip(part["id"], part["a"], part["b"], strict=True):
-                a, b = dict(leaves(json.loads(a))), dict(leaves(json.loads(b)))
+                a, b = dict(_leaves(json.loads(a))), dict(_leaves(json.loads(b)))
                 out += [(ident_, p, a.get(p), b.get(p)) for p in sorted({*a, *b}) if a.get(p) != b.get(p)]
             yield pd.DataFrame(out, columns=["id", "path", "a", "b"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,19 @@ def has_more(rows: DataFrame, time: str, ident: str, limit: int, before: tuple |
     return got[:limit], len(got) > limit
 
 
+def page_with_more(rows: DataFrame, time: str, ident: str, limit: int, before: tuple | None = None) -> DataFrame:
+    """One page, each of its rows with ``has_more``: is there a row beyond the page?"""
+    page = keyset(rows, time, ident, limit + 1, before)
+    place = F.row_number().over(Window.orderBy(F.desc(time), F.desc(ident)))  # of a page's rows
+    return page.withColumn("__place", place).withColumn("has_more", F.max("__place").over(Window.partitionBy(F.lit(1))) > limit).filter(F.col("__place") <= limit).drop("__place")
+
+
+def newest(rows: DataFrame, modified: str, order: list, limit: int = 100) -> DataFrame:
+    """The rows modified last, each with the ``total`` of all rows."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(F.desc(modified), *order).limit(limit).crossJoin(F.broadcast(total))  # one row
+
+
 def offset_page(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return rows.orderBy(*order).offset(page * size).limit(size)
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import classify
 from quern.functions import exprs as X
-from quern.operators import joins
+from quern.operators import analytic, joins
 from quern.plans.registry import query
 from quern.session import load, scratch
+from quern.sources import writers
 from quern.streaming import flow
 
 #: Named expressions, to be used in any query over usage events.
@@ -38,9 +39,9 @@ def row_validity(spark, d):
     return rows.filter(F.col("period_key").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("period_key").try_cast("date").isNotNull())
 
 
-@query("SELECT o_orderkey, ['Paid', 'Go', 'Free', 'Other'][o_orderkey % 4 + 1] AS label FROM orders")
+@query("SELECT o_orderkey, ['Zen', 'Zen', 'Go', 'Enterprise', 'all', 'fReE', 'Other'][o_orderkey % 7 + 1] AS label FROM orders")
 def canonical_labels(spark, d):
-    raw = F.element_at(F.array(*map(F.lit, ("PAID", "go", "fReE", "Other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    raw = F.element_at(F.array(*map(F.lit, ("PAID", "zen", "go", "enterPRISE", "ALL", "fReE", "Other"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
     return load(spark, d, "orders").select("o_orderkey", classify.canonical_tier(raw).alias("label"))
 
 
@@ -67,71 +68,48 @@ def bounded_listing(spark, d):
 def locale_sort(spark, d):
     """Letters before case, as a locale orders them."""
     names = load(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name")).distinct()
-    order = Window.orderBy(F.collate("name", "UNICODE_CI"), F.desc("name"))  # a distinct list of names
-    return names.withColumn("rn", F.row_number().over(order))
+    return analytic.running_total(names, [F.collate("name", "UNICODE_CI"), F.desc("name")], F.lit(1), "rn").select("name", F.col("rn").cast("int").alias("rn"))
 
 
-@query("SELECT 'session' AS kind, CAST(count(DISTINCT conv_id) AS BIGINT) AS n, CAST(NULL AS BIGINT) AS letters FROM conversations UNION ALL SELECT 'message', CAST(count(*) AS BIGINT), NULL FROM conversations UNION ALL SELECT 'part', CAST(count(*) AS BIGINT), CAST(sum(length(text)) AS BIGINT) FROM conversations")
+@query("WITH m AS (SELECT conv_id, turn, CASE WHEN turn < 2 THEN role ELSE upper(role) END AS role, text FROM conversations) SELECT 'session' AS kind, CAST(count(DISTINCT conv_id) AS BIGINT) AS n, 'second' AS mark, CAST(NULL AS BIGINT) AS letters FROM m UNION ALL SELECT 'message', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN role = lower(role) THEN 1 ELSE 0 END) AS VARCHAR), NULL FROM m UNION ALL SELECT 'part', CAST(count(*) AS BIGINT), NULL, CAST(sum(length(text)) AS BIGINT) FROM m")
 def session_import(spark, d):
-    """Nested documents taken apart into three tables; what is there already is not inserted again."""
-    c = load(spark, d, "conversations")
-    nested = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.array(F.struct(F.lit(0).alias("no"), "text")).alias("parts")))).alias("messages"))
-    messages = nested.select("conv_id", F.inline("messages"))
-    parts = messages.select("conv_id", "turn", F.inline("parts"))
-    have = messages.filter("turn < 2").select("conv_id", "turn", "role")
-    inserted = have.unionByName(messages.select("conv_id", "turn", "role").join(have, ["conv_id", "turn"], "left_anti"))
-    count = lambda df, kind, letters: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), letters.cast("long").alias("letters"))
-    return count(nested, "session", F.max(F.lit(None).cast("long"))).union(count(inserted, "message", F.max(F.lit(None).cast("long")))).union(count(parts, "part", F.sum(F.length("text"))))
-
-
-@query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) % 68719476736 AS ms FROM events WHERE event_id % 10 = 0")
-def identifier_times(spark, d):
-    """The milliseconds that a time-ordered identifier keeps: 48 bits of time x 4096 + counter in twelve hex digits."""
-    return _identifier_times(load(spark, d, "events").filter("event_id % 10 = 0"))
+    """Nested JSON documents read and taken apart into three tables, twice: sessions are replaced, messages and parts that are there stay as they are."""
+    root, c = scratch(spark), load(spark, d, "conversations")
+    name = F.concat_ws("-", "conv_id", "turn")
+    for run, mark, rows in ((1, "first", c.filter("turn < 2")), (2, "second", c)):
+        role = F.col("role") if run == 1 else F.upper("role")
+        messages = F.array_sort(F.collect_list(F.struct(name.alias("id"), role.alias("role"), F.array(F.struct(F.concat(name, F.lit("-0")).alias("id"), F.col("text").alias("text"))).alias("parts"))))
+        rows.groupBy("conv_id").agg(F.to_json(F.struct(F.first("conv_id").cast("string").alias("id"), F.lit(mark).alias("title"), messages.alias("messages"))).alias("value")).select("value").write.text(f"{root}/in{run}")
+        nested = spark.read.schema("id string, title string, messages array<struct<id: string, role: string, parts: array<struct<id: string, text: string>>>>").json(f"{root}/in{run}")
+        writers.import_sessions(nested, f"{root}/out")
+    count = lambda kind, mark, letters: spark.read.parquet(f"{root}/out/{kind}").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), mark.cast("string").alias("mark"), letters.cast("long").alias("letters"))
+    none = F.max(F.lit(None))
+    return count("session", F.max("title"), none).union(count("message", F.count_if(F.col("role") == F.lower("role")), none)).union(count("part", none, F.sum(F.length("text"))))
 
 
 @query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) % 68719476736 AS ms FROM events")
-def identifier_times_whole(spark, d):
-    return _identifier_times(load(spark, d, "events"))
-
-
-def _identifier_times(e):
+def identifier_times(spark, d):
+    """The milliseconds that a time-ordered identifier keeps: 48 bits of time x 4096 + counter in twelve hex digits."""
     stamp = (F.unix_millis(F.col("ts").cast("timestamp")) * 4096 + 7) % F.lit(1 << 48)
     name = F.concat(F.lpad(F.lower(F.hex(stamp)), 12, "0"), F.lit("abcdefghijklmn"))
     back = F.conv(F.substring("name", 1, 12), 16, 10).cast("long")
-    return e.select("event_id", name.alias("name")).select("event_id", F.floor(back / 4096).cast("long").alias("ms"))
-
-
-#: How the four kinds of provider report usage: input, cached input, output.
-SHAPES = {
-    "a": ("$.input_tokens", "$.cache_read_input_tokens", "$.output_tokens", False),
-    "b": ("$.promptTokenCount", "$.cachedContentTokenCount", "$.candidatesTokenCount", True),
-    "c": ("$.input_tokens", "$.input_tokens_details.cached_tokens", "$.output_tokens", True),
-    "d": ("$.prompt_tokens", "$.prompt_tokens_details.cached_tokens", "$.completion_tokens", True),
-}
-
-
-def normal_usage(kind: Column, body: Column) -> Column:
-    """(input, cached, output) of a provider's report; where cached tokens are part of the input they are taken out, never below 0."""
-    out = F.lit(None).cast("struct<input:bigint,cached:bigint,output:bigint>")
-    for k, (i, c, o, inside) in SHAPES.items():
-        get = lambda p: F.coalesce(F.get_json_object(body, p).cast("long"), F.lit(0))
-        fresh = F.greatest(get(i) - get(c), F.lit(0)) if inside else get(i)
-        out = F.when(kind == k, F.struct(fresh.alias("input"), get(c).alias("cached"), get(o).alias("output"))).otherwise(out)
-    return out
+    return load(spark, d, "events").select("event_id", name.alias("name")).select("event_id", F.floor(back / 4096).cast("long").alias("ms"))
 
 
-@query("WITH e AS (SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k, event_id % 4 AS m FROM events) SELECT event_id, CASE WHEN m = 0 THEN k ELSE greatest(k - 30, 0) END AS input, CAST(30 AS BIGINT) AS cached, k + 1 AS output FROM e")
+@query("""WITH e AS (SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k, event_id % 5 AS m FROM events)
+SELECT event_id, CASE WHEN m = 0 THEN k WHEN m = 4 THEN k - CAST(floor(k * 0.9::DOUBLE) AS BIGINT) ELSE k - 30 END AS input, k + 1 AS output, CASE m WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 4 THEN NULL ELSE 7 END::BIGINT AS reasoning,
+  CASE WHEN m = 4 THEN CAST(floor(k * 0.9::DOUBLE) AS BIGINT) ELSE 30 END AS cache_read, CASE m WHEN 0 THEN 11 WHEN 3 THEN 13 END::BIGINT AS cache_write_5m, CASE m WHEN 0 THEN 12 END::BIGINT AS cache_write_1h FROM e""")
 def usage_normalisers(spark, d):
-    k = F.get_json_object("props", "$.k").cast("long")
-    m = F.col("event_id") % 4
-    lit30, out = F.lit(30).cast("long"), k + 1
-    body = F.when(m == 0, F.to_json(F.struct(k.alias("input_tokens"), lit30.alias("cache_read_input_tokens"), out.alias("output_tokens"))))
-    body = body.when(m == 1, F.to_json(F.struct(k.alias("promptTokenCount"), lit30.alias("cachedContentTokenCount"), out.alias("candidatesTokenCount"))))
-    body = body.when(m == 2, F.to_json(F.struct(k.alias("input_tokens"), F.struct(lit30.alias("cached_tokens")).alias("input_tokens_details"), out.alias("output_tokens"))))
-    body = body.otherwise(F.to_json(F.struct(k.alias("prompt_tokens"), F.struct(lit30.alias("cached_tokens")).alias("prompt_tokens_details"), out.alias("completion_tokens"))))
-    kind = F.element_at(F.array(*map(F.lit, "abcd")), (m + 1).cast("int"))
-    return load(spark, d, "events").select("event_id", normal_usage(kind, body).alias("u")).select("event_id", "u.*")
+    """Reports of four kinds, the last one also without cache reads, which are then estimated; input may come out negative, as reported."""
+    k, m = F.get_json_object("props", "$.k").cast("long"), F.col("event_id") % 5
+    n = lambda x: F.lit(x).cast("long")
+    body = F.when(m == 0, F.to_json(F.struct(k.alias("input_tokens"), n(30).alias("cache_read_input_tokens"), (k + 1).alias("output_tokens"), F.struct(n(11).alias("ephemeral_5m_input_tokens"), n(12).alias("ephemeral_1h_input_tokens")).alias("cache_creation"), n(99).alias("cache_creation_input_tokens"))))
+    body = body.when(m == 1, F.to_json(F.struct(k.alias("promptTokenCount"), n(30).alias("cachedContentTokenCount"), (k + 1).alias("candidatesTokenCount"))))
+    body = body.when(m == 2, F.to_json(F.struct(k.alias("input_tokens"), F.struct(n(30).alias("cached_tokens")).alias("input_tokens_details"), (k + 1).alias("output_tokens"), F.struct(n(7).alias("reasoning_tokens")).alias("output_tokens_details"))))
+    body = body.when(m == 3, F.to_json(F.struct(k.alias("prompt_tokens"), F.struct(n(30).alias("cached_tokens"), n(13).alias("cache_creation_input_tokens")).alias("prompt_tokens_details"), (k + 1).alias("completion_tokens"), F.struct(n(7).alias("reasoning_tokens")).alias("completion_tokens_details"))))
+    body = body.otherwise(F.to_json(F.struct(k.alias("prompt_tokens"), (k + 1).alias("completion_tokens"))))
+    kind = F.element_at(F.array(*map(F.lit, ("anthropic", "google", "openai", "compatible", "compatible"))), (m + 1).cast("int"))
+    return load(spark, d, "events").select("event_id", X.normal_usage(kind, body, estimate_cache=True).alias("u")).select("event_id", "u.*")
 
 
 @query("SELECT name FROM (SELECT 'file-' || p_partkey AS name, p_partkey * 86400 AS t FROM part) WHERE t >= (SELECT max(p_partkey) * 86400 FROM part) - 7 * 86400")
@@ -159,8 +137,8 @@ def late_recompute(spark, d):
     e = load(spark, d, "events").select("event_id", "event_type", "ts", F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("long").alias("k"))
     daily = lambda rows: rows.groupBy("day", "event_type").agg(F.sum("k").alias("tokens"))
     path = scratch(spark)
-    daily(e.filter("event_id % 10 <> 0 and ts < timestamp_ntz '2024-01-24'")).write.parquet(path)
-    flow.refresh(e, "ts", F.lit("2024-01-25 10:00:30").cast("timestamp_ntz"), daily, path, ["day", "event_type"])
+    daily(e.filter("event_id % 10 <> 0 and ts < timestamp_ntz '2024-01-24'")).write.partitionBy("day").parquet(path)
+    flow.refresh(e, "ts", F.lit("2024-01-25 10:00:30").cast("timestamp_ntz"), daily, path, ["day"], ["day", "event_type"])
     return spark.read.parquet(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import classify
-from quern.operators import analytic, joins, log
+from quern.operators import analytic, joins, log, messages
 from quern.plans.registry import query
 from quern.session import load
 from quern.streaming import counters
@@ -116,18 +116,41 @@ def rule_last_match(spark, d):
     return c.select("conv_id", "turn", action.alias("action"))
 
 
-def _folded(spark, d):
-    c = load(spark, d, "conversations").select("conv_id", "turn", "role", F.to_json(F.struct(F.length("text").alias("n"))).alias("data"))
-    add = lambda state, data: {"messages": (state or {}).get("messages", 0) + 1, "letters": (state or {}).get("letters", 0) + (data.get("n") or 0)}
-    return log.project(c, "conv_id", "turn", "role", "data", {"user": add, "assistant": add, "system": add, "tool": add}, "conv_id long, messages long, letters long")
+@query("WITH r AS (SELECT *, coalesce(max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id), -1) AS reset FROM conversations) SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, CAST(sum(length(text)) AS BIGINT) AS letters, min_by(role, turn) AS first, max_by(role, turn) AS last, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS asked FROM r WHERE turn > reset GROUP BY conv_id")
+def projected_sessions(spark, d):
+    """A fold in which order counts: a system message deletes what was there, the first and the last role are kept."""
+    c = load(spark, d, "conversations").select("conv_id", "turn", "role", F.to_json(F.struct(F.length("text").alias("n"), "role")).alias("data"))
 
+    def add(state, data):
+        old = state or {"messages": 0, "letters": 0, "first": data["role"], "asked": 0}
+        return {**old, "messages": old["messages"] + 1, "letters": old["letters"] + data.get("n", 0), "last": data["role"], "asked": old["asked"] + (data["role"] == "user")}
 
-@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, CAST(sum(length(text)) AS BIGINT) AS letters FROM conversations GROUP BY conv_id")
-def projected_sessions(spark, d):
-    return _folded(spark, d)
+    handlers = {"user": add, "assistant": add, "tool": add, "system": lambda state, data: None}
+    return log.project(c, "conv_id", "turn", "role", "data", handlers, "conv_id long, messages long, letters long, first string, last string, asked long")
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS raw FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant') GROUP BY conv_id")
 def fragments_joined(spark, d):
     c = load(spark, d, "conversations").select("conv_id", "turn", "text", (F.col("role") == "assistant").alias("done"))
     return log.fragments(c, "conv_id", "turn", "text", "done", "a string").select("conv_id", "raw")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS type, text, CASE WHEN role = 'assistant' THEN 'stop' END AS finish, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 1 THEN 'completed' ELSE 'error' END END AS tool FROM conversations")
+def message_lists(spark, d):
+    """Every assistant turn as a step with text that comes in two parts, and a tool call that succeeds or fails."""
+    c = load(spark, d, "conversations")
+    at, assistant = F.col("turn") * 10, F.col("role") == "assistant"
+    event = lambda no, kind, **fields: F.struct((at + no).alias("seq"), F.lit(f"session.next.{kind}").alias("kind"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], (at + no).alias("timestamp"))).alias("data"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    call, first, rest = F.concat(F.lit("c"), F.col("turn").cast("string")), F.substring("text", 1, 1 << 30).substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text"))
+    step = [
+        event(0, "step.started", agent=F.lit("a")), event(1, "text.started"), event(2, "text.delta", delta=first), event(3, "text.delta", delta=rest),
+        event(4, "tool.input.started", callID=call, name=F.lit("grep")), event(5, "tool.input.delta", callID=call, delta=F.lit("{}")), event(6, "tool.called", callID=call, input=F.lit("x")),
+        event(8, "retried"), event(9, "step.ended", finish=F.lit("stop"), cost=F.lit(1)),
+    ]
+    done = F.when(F.col("turn") % 4 == 1, event(7, "tool.success", callID=call)).otherwise(event(7, "tool.failed", callID=call))
+    prompt = F.array(event(0, "prompted", prompt=F.struct("text")))
+    events = c.select("conv_id", F.inline(F.when(assistant, F.concat(F.array(*step), F.array(done))).otherwise(prompt))).withColumn("id", F.concat_ws("-", "conv_id", "seq"))
+    lists = messages.message_lists(events, "conv_id", "seq", "id", "kind", "data")
+    get = lambda p: F.get_json_object("message", p)
+    return lists.select("session", "position", "type", F.coalesce(get("$.text"), get("$.content[0].text")).alias("text"), get("$.finish").alias("finish"), get("$.content[1].state.status").alias("tool"))

@@ -26,7 +26,7 @@ U = """u AS (SELECT event_id, ts AS time, user_id AS session, event_type AS mode
   CASE WHEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) < 34 THEN 'Go' WHEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) < 67 THEN 'Free' ELSE 'Paid' END AS tier FROM events)"""
 G = """g AS (SELECT *, 'day' AS grain, strftime(time, '%Y-%m-%d') AS period_key FROM u UNION ALL SELECT *, 'week', strftime(time, '%G-W%V') FROM u)"""
 B = """b AS (SELECT grain, period_key, tier, model, CAST(count(DISTINCT session) AS BIGINT) AS sessions, CAST(count(*) AS BIGINT) AS requests, CAST(sum(k) AS BIGINT) AS total_tokens, CAST(sum(cents) AS BIGINT) AS total_cost,
-  quantile_cont(cents, 0.5) AS p50, avg(cents) AS mean, CAST(count(*) FILTER (status < 400) AS BIGINT) AS success_count, CAST(count(*) FILTER (status >= 400) AS BIGINT) AS error_count FROM g GROUP BY ALL)"""
+  CAST(quantile_disc(cents, 0.5) AS DOUBLE) AS p50, avg(cents) AS mean, CAST(count(*) FILTER (status < 400) AS BIGINT) AS success_count, CAST(count(*) FILTER (status >= 400) AS BIGINT) AS error_count FROM g GROUP BY ALL)"""
 C = """c AS (SELECT grain, period_key, tier, model, sessions, requests, total_tokens, total_cost, p50, mean, success_count, error_count FROM b UNION ALL
   SELECT grain, period_key, 'all', model, CAST(sum(sessions) AS BIGINT), CAST(sum(requests) AS BIGINT), CAST(sum(total_tokens) AS BIGINT), CAST(sum(total_cost) AS BIGINT), CASE WHEN count(*) = 1 THEN max(p50) END,
   CASE WHEN count(*) = 1 THEN max(mean) ELSE round(sum(mean * requests) / sum(requests), 2) END, CAST(sum(success_count) AS BIGINT), CAST(sum(error_count) AS BIGINT) FROM b GROUP BY grain, period_key, model)"""
@@ -34,7 +34,7 @@ C = """c AS (SELECT grain, period_key, tier, model, sessions, requests, total_to
 
 def _rolled(spark, d) -> DataFrame:
     rows = usage(spark, d).withColumn("total_tokens", F.col("k")).withColumn("total_cost", F.col("cents")).withColumn("duration", F.col("cents"))
-    return A.with_all_tier(A.aggregate(rows, ["model"], exact=True), ["grain", "period_key", "model"])
+    return A.with_all_tier(A.aggregate(rows, ["model"]), ["grain", "period_key", "model"])
 
 
 @query(f"WITH {U}, {G}, {B}, {C} SELECT grain, period_key, model, sessions, requests, total_tokens, CAST(row_number() OVER (PARTITION BY grain, period_key ORDER BY total_tokens DESC, model) AS INTEGER) AS rank, CAST(floor(total_tokens * 1000000 / sum(total_tokens) OVER (PARTITION BY grain, period_key) + 0.5) AS BIGINT) AS share_ppm FROM c WHERE tier = 'all' QUALIFY row_number() OVER (PARTITION BY grain, period_key ORDER BY total_tokens DESC, model) <= 18")
@@ -124,7 +124,7 @@ def alert_error_ratio(spark, d):
     return alerts.ratio(u, "model", inside, inside & (F.col("k") >= 50), 15, 0.5)
 
 
-@query(f"WITH {U}, s AS (SELECT session, CAST(count(*) AS BIGINT) AS n, quantile_cont(k, 0.5) AS m FROM u WHERE status < 400 GROUP BY session) SELECT session, n, CASE WHEN n >= 20 THEN m ELSE 999 END AS p50, CASE WHEN n >= 20 THEN m ELSE 999 END <= 45 AS triggered FROM s")
+@query(f"WITH {U}, s AS (SELECT session, CAST(count(*) AS BIGINT) AS n, CAST(quantile_disc(k, 0.5) AS DOUBLE) AS m FROM u WHERE status < 400 GROUP BY session) SELECT session, n, CASE WHEN n >= 20 THEN m ELSE 999 END AS p50, CASE WHEN n >= 20 THEN m ELSE 999 END <= 45 AS triggered FROM s")
 def alert_low_tps(spark, d):
     return alerts.low_median(usage(spark, d), "session", "k", F.col("status") < 400, 20, 45.0)
 
@@ -170,7 +170,8 @@ def session_stats(spark, d):
 
 @query(f"WITH {U}, s AS (SELECT session, sum(k) AS k FROM u GROUP BY session) SELECT median(k) AS median_tokens, CAST(count(*) AS BIGINT) AS sessions FROM s")
 def median_tokens(spark, d):
-    return usage(spark, d).groupBy("session").agg(F.sum("k").alias("k")).agg(F.percentile("k", 0.5).alias("median_tokens"), F.count("*").alias("sessions"))
+    per = usage(spark, d).groupBy("session").agg(F.sum("k").alias("k"))
+    return analytic.median(per, "k").select(F.col("median").alias("median_tokens"), F.col("n").alias("sessions"))
 
 
 @query(f"WITH {U} SELECT session, model, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,9 +21,9 @@ def read_csv(spark: SparkSession, path: str, recursive: bool = True) -> DataFram
     return df.filter(~blank).fillna("")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """An array of rows, or an object with them under results, data or rows; a nested ``data`` object lies over its row."""
-    df = spark.read.json(path, multiLine=True)
+    df = spark.read.json(path, multiLine=True, recursiveFileLookup=recursive, pathGlobFilter="*.[jJ][sS][oO][nN]")
     for c in ("results", "data", "rows"):
         if c in df.columns and df.schema[c].dataType.typeName() == "array":
             df = df.select(F.inline(c))
@@ -73,12 +74,15 @@ def folded_metrics(metrics: DataFrame, key: str, order: str, metric: str = "metr
     return metrics.groupBy(key).agg(fold.alias(metric))
 
 
-def routed(rows: DataFrame, body: str, key: str = "_datalake_key") -> DataFrame:
-    """(database, table, payload, ok): where a JSON event goes by its routing key, which is taken out of it."""
-    route = F.get_json_object(body, f"$.{key}")
-    shape = r"^([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)$"
+#: Fixed value: a routing key names a database and a table.
+ROUTE = r"^([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)$"
+
+
+def routed(rows: DataFrame, body: str, key: str = "_datalake_key", keep: bool = False) -> DataFrame:
+    """(database, table, payload, ok): where a JSON event goes by its routing key, which is taken out of it; the body too, if it is to be kept."""
+    route, shape = F.get_json_object(body, f"$.{key}"), ROUTE
     fields = F.from_json(body, "map<string,string>")
-    return rows.select(F.nullif(F.regexp_extract(route, shape, 1), F.lit("")).alias("database"), F.nullif(F.regexp_extract(route, shape, 2), F.lit("")).alias("table"), F.to_json(F.map_filter(fields, lambda k, _: k != key)).alias("payload"), F.coalesce(route.rlike(shape), F.lit(False)).alias("ok"))
+    return rows.select(*([body] if keep else []), F.nullif(F.regexp_extract(route, shape, 1), F.lit("")).alias("database"), F.nullif(F.regexp_extract(route, shape, 2), F.lit("")).alias("table"), F.to_json(F.map_filter(fields, lambda k, _: k != key)).alias("payload"), F.coalesce(route.rlike(shape), F.lit(False)).alias("ok"))
 
 
 def sse_events(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -89,6 +93,24 @@ def sse_events(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
     return split.select(key, "position", data.alias("data")).filter("data <> '' and data <> '[DONE]'")
 
 
+def mart_daily(mart: DataFrame, columns: list[str]) -> DataFrame:
+    """The day rows of a mart, with the columns that are named, by period."""
+    return mart.filter("grain = 'day'").select("period_key", *columns).orderBy("period_key", *columns)
+
+
+#: What a mart is read with where a key column is not given.
+MART_KEYS = {"provider": "all", "model": "all", "product": "zen"}
+
+
+def mart_period(mart: DataFrame, grain: str, period: str, **given: str) -> DataFrame:
+    """The rows of one period that equal all key columns, by their defaults where not given."""
+    wanted = {"grain": grain, "period_key": period, **{k: v for k, v in MART_KEYS.items() if k in mart.columns}, **given}
+    out = mart
+    for column, value in wanted.items():
+        out = out.filter(F.col(column) == value)
+    return out
+
+
 def objects(spark: SparkSession, root: str, prefix: str = "", after: str | None = None, before: str | None = None) -> DataFrame:
     """(key, value): JSON objects under a root folder whose key has the prefix and lies between two keys, both left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
@@ -98,8 +120,8 @@ def objects(spark: SparkSession, root: str, prefix: str = "", after: str | None
     return rows if before is None else rows.filter(F.col("key") < before)
 
 
-def files(spark: SparkSession, root: str, glob: str = "*", ignore: tuple[str, ...] = (), hidden: bool = False) -> DataFrame:
-    """(path, size, modified) of files that fit a glob and no ignore pattern; contents are not read."""
+def files(spark: SparkSession, root: str, glob: str = "*", ignore: tuple[str, ...] = (), hidden: bool = False, depth: int | None = None) -> DataFrame:
+    """(path, size, modified) of files that fit a glob and no ignore pattern, at most ``depth`` folders down; contents are not read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     rel = F.regexp_extract("path", re.escape(root.split("://", 1)[-1].rstrip("/")) + "/(.*)$", 1)
     out = df.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
@@ -108,7 +130,7 @@ def files(spark: SparkSession, root: str, glob: str = "*", ignore: tuple[str, ..
     for pattern in ignore:
         body = re.escape(pattern.rstrip("/")).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
         out = out.filter(~F.col("path").rlike(f"(^|/){body}(/|$)"))
-    return out
+    return out if depth is None else out.filter(F.size(F.split("path", "/")) <= depth)
 
 
 class _Page(InputPartition):
@@ -120,18 +142,26 @@ class PagedReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [_Page(i) for i in range(int(self.options.get("pages", "1")))]
+        return [_Page(i) for i in range(int(self.options["pages"]))] if "pages" in self.options else [_Page(None)]
 
     def read(self, partition) -> Iterator[tuple]:
         import importlib
 
         module, name = self.options["fetch"].rsplit(":", 1)
         fetch: Callable[[int, int], list[tuple]] = getattr(importlib.import_module(module), name)
-        yield from fetch(partition.value, int(self.options.get("size", "100")))
+        size = int(self.options.get("size", "100"))
+        for page in itertools.count() if partition.value is None else [partition.value]:
+            got = fetch(page, size)
+            yield from got
+            if len(got) < size:
+                return
 
 
 class PagedSource(DataSource):
-    """A source of numbered pages: option ``fetch`` names a function (module:name) of page and size; one task a page."""
+    """A source of numbered pages: option ``fetch`` names a function (module:name) of page and size.
+
+    With option ``pages`` there is one task a page; without it one task reads on until a page is not full.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import scratch
+from quern.sources.readers import routed
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -27,8 +32,9 @@ def _swap(df: DataFrame, path: str) -> None:
 
 
 def merge_overwrite(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Upsert: rows replace those of equal keys."""
+    """Upsert: rows replace those of equal keys; of rows that repeat a key one stays."""
     spark = rows.sparkSession
+    rows = rows.dropDuplicates(keys)
     if _exists(spark, path):
         old = spark.read.parquet(path)
         rows = old.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
@@ -52,6 +58,78 @@ def merge_columns(rows: DataFrame, path: str, keys: list[str], columns: list[str
     _swap(met.select(*cols), path)
 
 
+def merge_where(rows: DataFrame, path: str, keys: list[str], where) -> None:
+    """Upsert under a condition: rows replace those of equal keys where ``where`` (over the stored row's columns, and the new ones as ``new.<column>``) holds, and are inserted where there are none."""
+    spark = rows.sparkSession
+    old, new = spark.read.parquet(path), rows.dropDuplicates(keys).select(*keys, F.struct(*rows.columns).alias("new"))
+    met = old.withColumn("__old", F.struct(*old.columns)).join(new, keys, "full")
+    takes = F.col("new").isNotNull() & (F.col("__old").isNull() | F.coalesce(where, F.lit(False)))
+    _swap(met.select(*[F.when(takes, F.col("new")[c]).otherwise(F.col("__old")[c]).alias(c) for c in old.columns]), path)
+
+
+def accumulate(rows: DataFrame, path: str, key: str, usage: str, updated: str, bound) -> None:
+    """Counters (key, usage, updated) grow by the rows' (key, cost, at), or start again where they were last updated before ``bound`` (an expression over ``at``)."""
+    spark = rows.sparkSession
+    old = spark.read.parquet(path)
+    met = old.join(rows.select(key, "cost", "at"), key, "full")
+    known = F.when(F.col("cost").isNull(), F.col(usage)).otherwise(accumulate_or_reset(F.col(usage), F.col(updated), bound, F.col("cost")))
+    _swap(met.select(key, F.coalesce(known, F.col("cost")).alias(usage), F.coalesce("at", updated).alias(updated)), path)
+
+
+def upsert_periods(rows: DataFrame, path: str, by: list[str], keys: list[str]) -> None:
+    """Upsert into a table that is partitioned by ``by``: only partitions that rows touch are read and written, each replaced as a whole.
+
+    ``by`` are among ``keys``.  The new partitions are written into the shared folder first, since they read what they replace.
+    """
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(keys)
+    if _exists(spark, path):
+        kept = spark.read.parquet(path).join(rows.select(*by).distinct(), by, "left_semi").join(rows.select(*keys), keys, "left_anti")
+        rows = kept.unionByName(rows)
+    between = scratch(spark)
+    rows.write.parquet(between)
+    replace_partitions(spark.read.schema(rows.schema).parquet(between), path, by)
+
+
+def update_from(rows: DataFrame, path: str, keys: list[str], columns: list[str]) -> None:
+    """Columns of stored rows set from the rows of equal keys; rows without a stored one are left out."""
+    spark = rows.sparkSession
+    old = spark.read.parquet(path)
+    new = rows.dropDuplicates(keys).select(*keys, F.struct(*columns).alias("__new"))
+    met = old.join(new, keys, "left")
+    _swap(met.select(*[F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns]), path)
+
+
+def import_sessions(nested: DataFrame, root: str) -> None:
+    """Nested session documents (id, title, messages: list of (id, role, parts: list of (id, text))) taken apart into three tables: sessions are upserted, messages and parts inserted where they are absent."""
+    messages = nested.select(F.col("id").alias("session"), F.inline("messages")).select("session", "id", "role", "parts")
+    merge_overwrite(nested.select("id", "title"), f"{root}/session", ["id"])
+    insert_ignore(messages.select("id", "session", "role"), f"{root}/message", ["id"])
+    insert_ignore(messages.select(F.col("id").alias("message"), F.inline("parts")).select("id", "message", "text"), f"{root}/part", ["id"])
+
+
+#: Fixed value: a row of a history table: a day, and numbers with their changes in brackets.
+HISTORY_ROW = r"^\|\s*[\d-]+\s*(\|\s*[\d,]+\s*(\([^)]*\))?\s*)+\|$"
+
+
+def append_history(spark: SparkSession, path: str, title: str, day: str, totals: dict[str, int]) -> None:
+    """Appends to a Markdown table one row of totals with their change against the last row (a small file, which the driver reads and writes)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    head = f"# {title}\n\n| Date | {' | '.join(totals)} |\n|{'---|' * (len(totals) + 1)}\n"
+    content = "\n".join(r.value for r in spark.read.text(path).toLocalIterator()) + "\n" if fs.exists(p) else head
+    rows = [line for line in content.split("\n") if re.match(HISTORY_ROW, line.strip())]
+    before = [int(re.match(r"\s*([\d,]+)", cell)[1].replace(",", "")) for cell in rows[-1].strip().strip("|").split("|")[1:]] if rows else [0] * len(totals)
+    cells = [f"{now:,} ({now - then:+,})" for now, then in zip(totals.values(), before, strict=True)]
+    part = jvm.org.apache.hadoop.fs.Path(path + "._new")
+    out = fs.create(part, True)
+    out.write(bytearray((content + f"| {day} | {' | '.join(cells)} |\n").encode()))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(part, p)
+
+
 def insert_ignore(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Appends rows whose key is not there yet."""
     spark = rows.sparkSession
@@ -89,6 +167,22 @@ def append_routed(rows: DataFrame, root: str, batch: int) -> None:
     rows.select("database", "table", "payload", F.lit(batch).alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("database", "table", "batch").parquet(root)
 
 
+def routed_sink(root: str, rejects: str):
+    """A ``foreachBatch`` function for events as ``body`` texts: routed ones are appended by target, others go to ``rejects`` as they came, each batch once."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.select("body")
+        rows.persist()
+        try:
+            split = routed(rows, "body", keep=True)
+            append_routed(split.filter("ok"), root, number)
+            split.filter("not ok").select("body", F.lit(number).alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects)
+        finally:
+            rows.unpersist()
+
+    return run
+
+
 def history_line(history: DataFrame, order: str, totals: list[str]) -> DataFrame:
     """Totals with their change against the line before."""
     from pyspark.sql import Window

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -22,10 +24,17 @@ def tumbling(stream: DataFrame, time: str, keys: list[str], amount=None, width:
     return stream.groupBy(window.alias("w"), *keys).agg(total).select(F.col("w.start").alias("window_start"), *keys, "total")
 
 
-def rolling_usage(stream: DataFrame, key: str, time: str, cost: str, seconds: int) -> DataFrame:
-    """(key, anchor, usage) after each batch: cost adds up while events lie within ``seconds`` of the window's first event, else a new window starts at the event.  The anchor does not slide."""
+def rolling_usage(stream: DataFrame, key: str, time: str, cost: str, seconds: int, lateness: str | None = None) -> DataFrame:
+    """(key, anchor, usage) after each batch: cost adds up while events lie within ``seconds`` of the window's first event, else a new window starts at the event.  The anchor does not slide.
+
+    With ``lateness`` (how late events may come) a counter expires: its state goes when the watermark has passed the
+    window's end.  Without it state is kept for every key.
+    """
 
     def run(name, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         anchor, usage = state.get if state.exists else (None, 0)
         part = pd.concat(list(parts)).sort_values("t")
         for t, c in zip(part["t"].tolist(), part["c"].tolist(), strict=True):
@@ -34,34 +43,63 @@ def rolling_usage(stream: DataFrame, key: str, time: str, cost: str, seconds: in
             else:
                 usage += c
         state.update((anchor, usage))
+        if lateness:
+            state.setTimeoutTimestamp(max((anchor + seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [name[0]], "anchor": [anchor], "usage": [usage]})
 
-    rows = stream.select(key, F.col(time).cast("timestamp").cast("long").alias("t"), F.col(cost).cast("long").alias("c"))
+    rows = timed(stream, time, lateness) if lateness else stream
+    rows = rows.select(key, *([time] if lateness else []), F.col(time).cast("timestamp").cast("long").alias("t"), F.col(cost).cast("long").alias("c"))
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, anchor long, usage long", "anchor long, usage long", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if lateness else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, anchor long, usage long", "anchor long, usage long", "update", timeout)
 
 
 def rolling_usage_batch(rows: DataFrame, key: str, time: str, cost: str, seconds: int) -> DataFrame:
-    """The same fold over a finite table: the state after each key's last event."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(time).cast("timestamp").cast("long").alias("t"), F.col(cost).cast("long").alias("c"))))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("usage"))
-    step = lambda a, e: F.when(a["anchor"] >= e["t"] - seconds, F.struct(a["anchor"].alias("anchor"), (a["usage"] + e["c"]).alias("usage"))).otherwise(F.struct(e["t"].alias("anchor"), e["c"].alias("usage")))
-    return rows.groupBy(key).agg(F.aggregate(pairs, start, step).alias("s")).select(key, "s.anchor", "s.usage")
-
-
-def fold_totals(stream: DataFrame, group: str, part: str, order: str, removed: str, measure: str) -> DataFrame:
-    """Running totals over the latest version of each part, as signed deltas of a keyed state (a stream's form of the batch totals)."""
+    """The same fold over a finite table: the state after each key's last event.
+
+    Events of one key and second are summed first; each partition is then read in order, with one key's state at hand.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_now, anchor, usage = None, None, 0
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            names, times, costs = (batch.column(i).to_pylist() for i in range(3))
+            for k, t, c in zip(names, times, costs, strict=True):
+                if anchor is not None and k != key_now:
+                    for x, v in zip(out, (key_now, anchor, usage), strict=True):
+                        x.append(v)
+                    anchor = None
+                key_now = k
+                anchor, usage = (t, c) if anchor is None or anchor < t - seconds else (anchor, usage + c)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], [key, "anchor", "usage"])
+        if anchor is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((key_now, anchor, usage), kinds, strict=True)], [key, "anchor", "usage"])
+
+    at = F.col(time).cast("timestamp").cast("long").alias("t")
+    summed = rows.groupBy(key, at).agg(F.sum(F.col(cost).cast("long")).alias("c"))
+    kinds = [to_arrow_type(rows.schema[key].dataType), pa.int64(), pa.int64()]
+    ordered = summed.repartition(key).sortWithinPartitions(key, "t")
+    return ordered.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, anchor long, usage long")
+
+
+def fold_deltas(stream: DataFrame, group: str, part: str, order: str, removed: str, measure: str) -> DataFrame:
+    """(group, measure): by how much each part's newest version changes its group's total, so that totals are sums over what was appended.
+
+    State is one number for each part, its last amount; a group has none, however many parts it has.
+    """
 
     def run(name, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for r in pd.concat(list(parts)).sort_values("o").itertuples():
-            kept[r.p] = 0 if r.r else int(r.m)
-        state.update((list(kept), list(kept.values())))
-        yield pd.DataFrame({group: [name[0]], measure: [sum(kept.values())]})
+        before = state.get[0] if state.exists else 0
+        rows = pd.concat(list(parts)).sort_values("o")
+        gone, amount = rows["r"].iloc[-1], rows["m"].iloc[-1]
+        now = 0 if gone else int(amount)
+        state.update((now,))
+        yield pd.DataFrame({group: [name[0]], measure: [now - before]})
 
     rows = stream.select(group, F.col(part).cast("string").alias("p"), F.col(order).alias("o"), F.col(removed).alias("r"), F.col(measure).cast("long").alias("m"))
     kind = rows.schema[group].dataType.simpleString()
-    return rows.groupBy(group).applyInPandasWithState(run, f"{group} {kind}, {measure} long", "parts array<string>, amounts array<long>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(group, "p").applyInPandasWithState(run, f"{group} {kind}, {measure} long", "amount long", "append", GroupStateTimeout.NoTimeout)
 
 
 def parse_chunks(stream: DataFrame, key: str, order: str, text: str, separator: str = "\n\n") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,29 @@ def fan_out(kind: str, by_kind: dict[str, Sink], everything: Sink | None = None)
     return run
 
 
+def start(stream: DataFrame, sink: Sink, checkpoint: str, every: str | None = None, mode: str = "append", swallow: bool = False):
+    """Starts a query that hands each micro-batch to ``sink``: at a fixed rate (such as ``60 seconds``), or, without one, until all that is there is done.
+
+    With ``swallow`` a batch that fails is logged and given up, and the next one goes on at its time.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            sink(batch, number)
+        except Exception:
+            if not swallow:
+                raise
+            logging.getLogger(__name__).exception("batch %d failed", number)
+
+    writer = stream.writeStream.foreachBatch(run).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def drain(stream: DataFrame, sink: Sink, checkpoint: str, mode: str = "append") -> None:
+    """Runs :func:`start` until all that is there is done."""
+    start(stream, sink, checkpoint, mode=mode).awaitTermination()
+
+
 def with_heartbeat(spark: SparkSession, stream: DataFrame, kind: str, seconds: int = 10) -> DataFrame:
     """The stream and, every so many seconds, a row that only has ``kind`` = heartbeat."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % seconds == 0)
@@ -48,9 +72,9 @@ def recent(rows: DataFrame, time: str, now: Column, first: Column | None = None,
     return rows.filter((F.col(time) >= start) & (F.col(time) < settled_before(now, lag_minutes)))
 
 
-def refresh(rows: DataFrame, time: str, now: Column, aggregate: Callable[[DataFrame], DataFrame], path: str, keys: list[str]) -> None:
-    """Late data: recent periods are aggregated anew and replace what is stored under their keys."""
-    writers.merge_overwrite(aggregate(recent(rows, time, now)), path, keys)
+def refresh(rows: DataFrame, time: str, now: Column, aggregate: Callable[[DataFrame], DataFrame], path: str, by: list[str], keys: list[str]) -> None:
+    """Late data: recent periods are aggregated anew and replace what is stored under their keys; only the partitions (``by``) of these periods are written."""
+    writers.upsert_periods(aggregate(recent(rows, time, now)), path, by, keys)
 
 
 def windowed_ratio(stream: DataFrame, time: str, by: str, failed: Column, least: int, threshold: float, width: str = "15 minutes", slide: str = "5 minutes") -> DataFrame:

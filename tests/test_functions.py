@@ -86,7 +86,15 @@ def test_classifiers(spark):
     assert [name("old-alias", "claude-sonnet-4-5"), name("old-alias", "gpt-5-free"), name("old-alias", "")] == ["claude-sonnet-4-5", "gpt-5", "unknown"]
     families = {"claude-sonnet-4-5": "anthropic", "gemini-3.5-flash": "google", "glm-5.1": "zhipu", "gpt-5.5-pro": "openai", "grok-build-0.1": "xai", "hy3-preview": "tencent", "kimi-k2.6": "moonshot", "mimo-v2-omni": "xiaomi", "minimax-m2.7": "minimax", "nemotron-3-super-free": "nvidia", "qwen3.7-max": "qwen", "deepseek-v4-pro": "deepseek"}
     assert {m: one(spark, classify.provider_name(F.lit(m), F.lit(""), F.lit(""))) for m in families} == families
-    assert one(spark, classify.provider_name(F.lit("unheard"), F.lit(""), F.lit("custom-provider"))) == "custom-provider"
+    author = lambda m, r, p: one(spark, classify.provider_name(F.lit(m), F.lit(r), F.lit(p), ("house",)))
+    assert [author("unheard", "", "custom-provider"), author("unheard", "", "House"), author("big-pickle", "", "house"), author("big-pickle", "", "")] == ["custom-provider", "unknown", "unknown", "unknown"]
+    assert [author("big-pickle", "claude-sonnet-4-5", "house"), author("Claude-X", "", "house"), author("x", "GPT-5", "house"), author("glm-5.1", "Kimi-K2", "")] == ["anthropic", "anthropic", "openai", "moonshot"]
+    fresh = lambda m, r="": one(spark, classify.model_name(F.lit(m), F.lit(r)))
+    assert [fresh("big-pickle", "claude-sonnet-4-5"), fresh("Big-Pickle", "gpt-5-free"), fresh("big-pickle", ""), fresh("big-pickle-free", "glm-5.1"), fresh("Claude-X")] == ["claude-sonnet-4-5", "gpt-5", "unknown", "glm-5.1", "Claude-X"]
+    assert [one(spark, classify.excluded(F.lit(m), F.lit(r))) for m, r in (("alpha-gpt-next", ""), ("Alpha-GPT-next-free", ""), ("gpt-5", ""), ("big-pickle", "alpha-gpt-next"))] == [True, True, False, True]
+    tier = lambda m, s="main": one(spark, classify.tier(F.lit(s), F.lit(m)))
+    assert [tier("gpt-5-nano"), tier("grok-code"), tier("big-pickle"), tier("x-free"), tier("x-free:global"), tier("x:global"), tier("gpt-5"), tier("gpt-5-nano", "lite")] == ["Free"] * 5 + ["Paid", "Paid", "Go"]
+    assert [one(spark, classify.canonical_tier(F.lit(x))) for x in ("paid", "ZEN", "Go", "enterprise", "All", "Free", "")] == ["Zen", "Zen", "Go", "Enterprise", "all", "Free", ""]
     fit = lambda x, p: one(spark, classify.wildcard(F.lit(x), p))
     assert [fit("git status", "git *"), fit("git", "git *"), fit("gits", "git *"), fit("a\nb", "a?b"), fit("a.b", "a.b"), fit("axb", "a.b")] == [True, True, False, True, True, False]
     rules = spark.createDataFrame([(1, ".*", ".*", "ask"), (2, "^edit$", ".*", "allow"), (3, ".*", "secret", "deny")], "ordinal int, px string, py string, action string")
@@ -131,6 +139,70 @@ def test_replacements(spark):
     assert got[1].error is None and got[2].content is None
 
 
+@pytest.mark.parametrize(
+    ("content", "old", "new", "want"),
+    [
+        ("a\n  b\n", "a\nb", "x", "x\n"),  # trimmed lines
+        ("if (a  ==  b) go", "a == b", "c", "if (c) go"),  # other spaces inside a line
+        ("one\n  two  three\nfour", "one\ntwo three\nfour", "x", "x"),
+        ("f('a\tb')", "f('a\\tb')", "g", "g"),  # escapes in what is looked for
+        ("f('a\\nb')", "f(\\'a\nb\\')", "g", None),
+        ("x = 'it\\'s'", "'it\\\\'s'", "y", "x = y"),
+        ("  lead\nrest", "\n  lead \n", "x", "x\nrest"),
+        ("a lead, b", "  lead, \n", "x", "a x b"),
+        ("begin\nsame\nother\nend\nbegin\nend", "begin\nsame\nthird\nend", "x", "x\nbegin\nend"),
+        ("a\na", "a", "b", None),
+        ("", "a", "b", None),
+    ],
+)
+def test_matchers(content, old, new, want):
+    if want is None:
+        with pytest.raises(ValueError):
+            text.replace_once(content, old, new)
+    else:
+        assert text.replace_once(content, old, new) == want
+
+
+def test_markdown_of_more_elements(spark):
+    html = "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><hr><ul><li>x</li></ul><blockquote>q<p>r</p></blockquote>"
+    got = spark.createDataFrame([(html,)], "html string").select(text.html_markdown("html").alias("m")).first().m
+    assert got == "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n---\n\n- x\n\n> q\n>\n> r"
+
+
+def test_codecs(spark):
+    from quern.functions import codecs
+
+    rows = spark.createDataFrame([("/a/b",), ("C:\\x",), ("",), (None,)], "p string")
+    stored = codecs.encoded(rows, {"p": "directory"})
+    assert [r.p for r in stored.collect()] == ["/a/b", "C:/x", "", None]
+    assert [r.p for r in codecs.decoded(stored, {"p": "directory"}).collect()] == ["/a/b", "C:\\x", "", None]
+    with pytest.raises(Exception, match="absolute"):
+        codecs.encoded(spark.createDataFrame([("a/b",)], "p string"), {"p": "absolute"}).collect()
+
+
+def test_checked_arguments(spark):
+    from quern.operators import extend
+
+    extend.register(spark, "twice", "x int", {"n": lambda n: isinstance(n, int) and n > 0}, lambda n: [(n,), (n,)])
+    assert [r.x for r in spark.sql("SELECT * FROM twice(3)").collect()] == [3, 3]
+    with pytest.raises(Exception, match="n is -1"):
+        spark.sql("SELECT * FROM twice(-1)").collect()
+
+
+def test_running_totals_and_medians(spark):
+    from quern.operators import analytic
+
+    df = spark.createDataFrame([(x, x % 7) for x in range(200)], "k int, v int").repartition(5)
+    got = {r.k: r.upto for r in analytic.running_total(df, [F.desc("k")], F.col("v")).collect()}
+    assert got == {k: sum(x % 7 for x in range(k, 200)) for k in range(200)}
+    for values in ([5], [1, 2], [3, 1, 1], [4, 1, 9, 9]):
+        import statistics
+
+        r = analytic.median(spark.createDataFrame([(x,) for x in [*values, None]], "v long"), "v").first()
+        assert (r["median"], r.n) == (statistics.median(values), len(values))
+    assert tuple(analytic.median(spark.createDataFrame([], "v long"), "v").first()) == (None, 0)
+
+
 def test_diffs(spark):
     counts = spark.createDataFrame([("3\t1\ta.py",), ("-\t-\tb.png",)], "line string")
     letters = spark.createDataFrame([("M\ta.py",), ("A\tb.png",)], "line string")
@@ -139,6 +211,11 @@ def test_diffs(spark):
     patch = spark.createDataFrame([("a\nb\n", "a\nc\n")], "o string, n string").select(text.unified_patch("o", "n").alias("p")).first().p
     assert "-b" in patch and "+c" in patch and " a" in patch
     headers = one(spark, text.redact_headers(F.create_map(F.lit("Authorization"), F.lit("x"), F.lit("Accept"), F.lit("y"), F.lit("Other"), F.lit("z")), ("accept", "authorization")))
-    assert [tuple(h) for h in headers] == [("accept", "y"), ("authorization", "REDACTED")]
-    assert one(spark, text.redact_url(F.lit("http://u:p@h/x?Token=1&a=2"))) == "http://REDACTED:REDACTED@h/x?Token=REDACTED&a=2"
+    assert [tuple(h) for h in headers] == [("accept", "y"), ("authorization", "[REDACTED]")]
+    assert one(spark, text.redact_url(F.lit("http://u:p@h/x?Token=1&a=2"))) == "http://[REDACTED]:[REDACTED]@h/x?Token=[REDACTED]&a=2"
+    assert one(spark, text.redact_url(F.lit("http://u@h/?SIG=1&tokens=2&x-amz-signature=3#f"), ("own",))) == "http://[REDACTED]@h/?SIG=[REDACTED]&tokens=2&x-amz-signature=[REDACTED]#f"
+    environment = {"MY_TOKEN": "abcdefghijkl", "PATH": "abcdefghijkl", "API_KEY": "short", "auth": "0123456789abc", "SECRET": "test-key"}
+    assert set(text.environment_secrets(environment)) == {"MY_TOKEN", "auth"}
+    found = text.secret_findings(spark.createDataFrame([(1, "x abcdefghijkl y"), (2, "nothing")], "id int, text string"), "id", "text", environment)
+    assert [tuple(r) for r in found.collect()] == [(1, "environment secret MY_TOKEN")]
     assert pd.__version__

@@ -220,8 +220,68 @@ def test_rolling_stream_matches_batch(spark, tmp_path):
 
 def test_fold_stream_matches_batch(spark, tmp_path):
     v = spark.createDataFrame([("p", 1, False, "g", 5), ("p", 2, False, "g", 7), ("q", 1, False, "g", 3), ("q", 2, True, "g", 3)], "part string, seq int, removed boolean, grp string, n long")
-    run(counters.fold_totals(stream_of(spark, v, tmp_path, 1), "grp", "part", "seq", "removed", "n"), "folded", "update", tmp_path)
-    assert rows(spark.table("folded"), "grp", "n") == rows(log.running_totals(v, "part", "seq", "removed", "grp", ["n"]), "grp", "n")
+    run(counters.fold_deltas(stream_of(spark, v.orderBy("seq"), tmp_path, 1), "grp", "part", "seq", "removed", "n"), "folded", "append", tmp_path)
+    assert rows(spark.table("folded").groupBy("grp").agg(F.sum("n").alias("n")), "grp", "n") == rows(log.running_totals(v, "part", "seq", "removed", "grp", ["n"]), "grp", "n")
+
+
+def test_counters_expire(spark, tmp_path):
+    """A key whose window has passed the watermark leaves no state behind; a key within it keeps its own."""
+    at = lambda s: spark.createDataFrame(s, "u string, s long, c long").select("u", F.timestamp_seconds("s").alias("t"), "c")
+    source, sizes, seen = tmp_path / "in", [], {}
+
+    def keep(batch, number):
+        for r in batch.collect():
+            seen[r.u] = (r.anchor, r.usage)
+
+    for rows_ in ([("old", 0, 1), ("old", 10, 2)], [("new", 10_000, 5)], [("new", 10_010, 1)], [("new", 10_020, 1)]):
+        at(rows_).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(at(rows_).schema).parquet(str(source))
+        q = flow.start(counters.rolling_usage(stream, "u", "t", "c", 100, "10 seconds"), keep, str(tmp_path / "ck"), mode="update")
+        assert q.awaitTermination(120)
+        sizes.append([p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1])
+    assert sizes[0] == 1 and sizes[-1] == 1 and seen == {"old": (0, 3), "new": (10_000, 7)}
+
+
+def test_a_failed_batch_may_be_swallowed(spark, tmp_path):
+    events = spark.createDataFrame([("a", 1)], "kind string, n long")
+
+    def fails(batch, number):
+        raise RuntimeError("no sink")
+
+    stream = stream_of(spark, events, tmp_path, 1)
+    assert flow.start(stream, fails, str(tmp_path / "ck1"), swallow=True).awaitTermination(60)
+    with pytest.raises(Exception, match="no sink"):
+        flow.drain(stream, fails, str(tmp_path / "ck2"))
+    q = flow.start(stream, fails, str(tmp_path / "ck3"), every="60 seconds", swallow=True)
+    assert q.isActive
+    q.stop()
+
+
+def test_routed_sink_keeps_what_it_rejects(spark, tmp_path):
+    bodies = spark.createDataFrame([('{"_datalake_key": "lake.t", "n": 1}',), ('{"n": 2}',), ("no json",)], "body string")
+    root, rejects = f"file://{tmp_path}/root", f"file://{tmp_path}/rejects"
+    sink = writers.routed_sink(root, rejects)
+    for number in (0, 0, 1):
+        sink(bodies, number)
+    assert rows(spark.read.parquet(root), "payload", "batch") == [('{"n":"1"}', 0), ('{"n":"1"}', 1)]
+    assert rows(spark.read.parquet(rejects).filter("batch = 0"), "body") == [("no json",), ('{"n": 2}',)]
+
+
+def test_upserts_keep_one_row_per_key(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame(r, "p string, id int, n long")
+    path = f"file://{tmp_path}/u"
+    writers.merge_overwrite(make(("a", 1, 1), ("a", 1, 2)), path, ["id"])
+    assert spark.read.parquet(path).count() == 1
+    path = f"file://{tmp_path}/v"
+    writers.upsert_periods(make(("a", 1, 1), ("b", 2, 2), ("b", 3, 3)), path, ["p"], ["p", "id"])
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.glob("v/p=a/*.parquet")}
+    writers.upsert_periods(make(("b", 3, 9), ("b", 4, 4), ("b", 4, 4)), path, ["p"], ["p", "id"])
+    assert rows(spark.read.parquet(path), "p", "id", "n") == [("a", 1, 1), ("b", 2, 2), ("b", 3, 9), ("b", 4, 4)]
+    assert {f: f.stat().st_mtime_ns for f in tmp_path.glob("v/p=a/*.parquet")} == before and before  # untouched
+    path = f"file://{tmp_path}/w"
+    make(("a", 1, 1), ("a", 2, 5)).write.parquet(path)
+    writers.merge_where(make(("x", 1, 3), ("x", 2, 3), ("x", 7, 7)), path, ["id"], F.col("new.n") > F.col("n"))
+    assert rows(spark.read.parquet(path), "p", "id", "n") == [("a", 2, 5), ("x", 1, 3), ("x", 7, 7)]
 
 
 def test_chunks_keep_their_rest(spark, tmp_path):

@@ -10,12 +10,12 @@ from quern.session import load
 @pytest.mark.parametrize(
     ("name", "table", "key"),
     [
-        ("hydrate_parts_whole", "orders", "o_orderkey"),
-        ("star_auth_join_whole", "orders", "o_orderkey"),
-        ("constant_key_join_whole", "orders", "o_orderkey"),
-        ("cursor_and_hash_whole", "orders", "o_orderkey"),
-        ("left_join_never_whole", "customer", "c_custkey"),
-        ("identifier_times_whole", "events", "event_id"),
+        ("hydrate_parts", "orders", "o_orderkey"),
+        ("star_auth_join", "orders", "o_orderkey"),
+        ("constant_key_join", "orders", "o_orderkey"),
+        ("cursor_and_hash", "orders", "o_orderkey"),
+        ("left_join_never", "customer", "c_custkey"),
+        ("identifier_times", "events", "event_id"),
     ],
 )
 def test_no_key_is_left_out(spark, data, name, table, key):
@@ -29,5 +29,5 @@ def test_the_subtree_goes_to_its_leaves(spark, data):
     while level:
         level = {k for k in keys if k // 2 in level and k not in want}
         want |= level
-    got = {r[0] for r in catalog.queries()["subtree_whole"](spark, data).filter(F.col("depth") > 0).collect()}
+    got = {r[0] for r in catalog.queries()["subtree"](spark, data).filter(F.col("depth") > 0).collect()}
     assert got == want and max(got) >= 700
