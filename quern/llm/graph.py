@@ -3,11 +3,14 @@
 Each step is a partial aggregation (the least neighbour of every node) and a join, so a node with very many neighbours
 is one row per task before the shuffle.  Its edges do not meet in one task either: the nodes with more neighbours than
 ``HUB`` and than the ``MOST``-th part of all edges' ends are at most ``MOST``, and reach their edges by a broadcast.
-Steps are written into the shared folder, which keeps plans short and survives lost executors.
+Steps are written into the shared folder, which keeps plans short and survives lost executors; a step that the next one
+has replaced is deleted.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +55,15 @@ def components(edges: DataFrame, owner: str = "") -> DataFrame:
 
     Self-loops and nulls are ignored; an empty edge table gives an empty result.
     """
-    edges = store.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges", owner)
+    spark, step, own = edges.sparkSession, 0, uuid.uuid4().hex
+    edges = store.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges", f"{own}-0")
     ends, most, busy = _state(edges)
     while busy:
         bound = max(HUB, ends // MOST)
         bound = bound if most > bound else None
-        edges = store.table(_step(_step(edges, True, bound), False, bound), "star", owner)
+        edges = store.table(_step(_step(edges, True, bound), False, bound), "star", f"{own}-{step + 1}")
+        store.release(spark, f"{own}-{step}")  # what the written step was made from
+        step += 1
         ends, most, busy = _state(edges)
+    store.keep(f"{own}-{step}", owner)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a"), F.col("a")).distinct())

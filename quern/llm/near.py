@@ -47,9 +47,9 @@ EMPTY = 0xFFFF
 #: Sets under so many shingles use the prefix filter.
 SMALL = 64
 #: Shingles, and sets, of one side of a block; members that a hub is compared with in one task.
-BLOCK, SETS, MEMBERS = 1 << 20, 1024, 4096
-#: Most classes that are broadcast.
-HOT = 10_000
+BLOCK, SETS, MEMBERS = 1 << 19, 512, 4096
+#: Most groups that are broadcast, and rows that one has at least.
+HOT, MANY = 10_000, 1000
 #: Sketch estimates spread by about 0.023; pairs whose estimate is more than six times that below the threshold are not confirmed.
 MARGIN = 0.14
 _SEEDS = seeded(16, 11)
@@ -216,10 +216,23 @@ def _confirmed(k: int, num: int, den: int):
     return _with_hub(read, lambda x, y: _linked(x, y, num, den))
 
 
-def _round_hubs(spokes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``spokes`` (a, b) with the columns of ``nodes`` (id, ...) for the members and, once per ``MEMBERS`` of them, the hub; sorted by group."""
-    sizes = spokes.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("sides"))
-    members = spokes.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("sides")).cast("int").alias("side"), F.col("b").alias("id"), F.lit(False).alias("hub"))
+def _per_group(rows: DataFrame, per: DataFrame, by: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``per``, which has one row, with its number of rows as ``size``, for each group of the columns ``by``.
+
+    Groups with more than ``MANY`` rows and than the ``HOT``-th part of ``total`` (at least as many as all rows) are at
+    most ``HOT``: they reach their rows by a broadcast, so that no group is dealt to one task by its key.
+    """
+    bound = max(MANY, total // HOT)
+    more = [c for c in per.columns if c not in by]
+    hot, cold = per.filter(F.col(size) > bound), per.filter(F.col(size) <= bound)
+    flagged = rows.join(F.broadcast(hot), by, "left")
+    return flagged.filter(F.col(size).isNotNull()).unionByName(flagged.filter(F.col(size).isNull()).drop(*more).join(cold, by))
+
+
+def _round_hubs(spokes: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """``spokes`` (a, b), at most ``total``, with the columns of ``nodes`` (id, ...) for the members and, once per ``MEMBERS`` of them, the hub; sorted by group."""
+    sizes = spokes.groupBy("a").agg(F.count("*").alias("size")).withColumn("sides", F.ceil(F.col("size") / MEMBERS).cast("int"))
+    members = _per_group(spokes, sizes, ["a"], "size", total).select("a", F.pmod(F.xxhash64("b"), F.col("sides")).cast("int").alias("side"), F.col("b").alias("id"), F.lit(False).alias("hub"))
     hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.col("a").alias("id"), F.lit(True).alias("hub"))
     return members.union(hubs).join(nodes, "id").repartition("a", "side").sortWithinPartitions("a", "side", F.desc("hub"))
 
@@ -368,22 +381,22 @@ def _across(k: int, num: int, den: int):
 def _crossing(edges: DataFrame, part: DataFrame, sizes: DataFrame, named: DataFrame, k: int, num: int, den: int, owner: str) -> DataFrame | None:
     """Links (a, b) among candidates in different components of ``part`` (node, root); None if no key has such."""
     rows = edges.select(F.inline(F.array(F.struct("key", F.col("a").alias("id")), F.struct("key", F.col("b").alias("id"))))).distinct()
-    rows = rows.join(part.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("part"))
-    open_keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    rows = store.table(rows.join(open_keys, "key").join(sizes, "id"), "open", owner)  # (id, key, part, n)
+    rows = store.table(rows.join(part.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("part")), "keys", owner)
+    keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("id").alias("hub"), F.count("*").alias("size")).filter("low <> high")
+    rows = store.table(_per_group(rows, keys, ["key"], "size", rows.count()).join(sizes, "id").select("key", "id", "part", "n", "hub"), "open", owner)
     if rows.isEmpty():
         return None
     weight = F.greatest("n", F.lit(BLOCK // SETS))
     # keys that hang together: each set with the least one of its key
-    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"))
-    clump = graph.components(rows.join(hubs, "key").select(F.col("hub").alias("a"), F.col("id").alias("b")), owner)
+    clump = graph.components(rows.select(F.col("hub").alias("a"), F.col("id").alias("b")), owner)
     sets = rows.groupBy("id", "part", "n").agg(F.collect_set("key").alias("keys")).join(clump.select(F.col("node").alias("id"), "root"), "id")
     sets = store.table(sets, "clumps", owner)
-    whole = sets.groupBy("root").agg(F.sum(weight).alias("size"))
-    small = sets.join(whole.filter(F.col("size") <= BLOCK).select("root"), "root").select("id", "part", "n", "keys", F.col("root").alias("grp"), F.lit(1).alias("blocks"))
-    large = sets.join(whole.filter(F.col("size") > BLOCK).select("root"), "root").select("id", "part", "n", F.explode("keys").alias("grp"))
-    blocks = large.groupBy("grp").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-    large = large.join(blocks, "grp").select("id", "part", "n", F.array("grp").alias("keys"), "grp", "blocks")
+    whole = sets.groupBy("root").agg(F.sum(weight).alias("weight"), F.count("*").alias("size"))
+    sized = _per_group(sets, whole, ["root"], "size", sets.count())
+    small = sized.filter(F.col("weight") <= BLOCK).select("id", "part", "n", "keys", F.col("root").alias("grp"), F.lit(1).alias("blocks"))
+    large = store.table(sized.filter(F.col("weight") > BLOCK).select("id", "part", "n", F.explode("keys").alias("grp")), "large", owner)
+    blocks = large.groupBy("grp").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"), F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    large = _per_group(large, blocks, ["grp"], "size", large.count()).select("id", "part", "n", F.array("grp").alias("keys"), "grp", "blocks")
     cut = small.union(large).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "grp", "side", "part", "keys", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task's work is more than its bytes say
@@ -408,21 +421,17 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int =
     met = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     named = store.table(named.join(met, "id", "left_semi"), "texts", owner)  # texts without any candidate are moved this once
     nodes = proper.select("id", "n", "regs")
-    near = store.table(_round_hubs(edges.select("a", "b").distinct(), nodes).mapInArrow(_estimated(num, den), "a long, b long").distinct(), "near", owner)
-    sure = store.table(_round_hubs(near, named).mapInArrow(_confirmed(k, num, den), "a long, b long"), "sure", owner)
+    total = edges.count()
+    near = store.table(_round_hubs(edges.select("a", "b").distinct(), nodes, total).mapInArrow(_estimated(num, den), "a long, b long").distinct(), "near", owner)
+    sure = store.table(_round_hubs(near, named, total).mapInArrow(_confirmed(k, num, den), "a long, b long"), "sure", owner)
     part = graph.components(sure, owner)
     crossing = _crossing(edges, part, kinds.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n")), named, k, num, den, owner)
     if crossing is not None:
         part = graph.components(part.select(F.col("root").alias("a"), F.col("node").alias("b")).union(crossing), owner)
     roots = part.select(F.col("node").alias("rep"), "root")
 
-    total = rows.count()
-    found = kinds.join(roots, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"), F.col("copies") > max(1000, total // HOT))
-    found = store.table(found.toDF(*same, "component_id", "hot"), "components", owner)
-    hot, cold = found.filter("hot").drop("hot"), found.filter("not hot").drop("hot")
-    marked = proper.select("id", *same).join(F.broadcast(hot), same, "left")  # at most HOT classes can be as large
-    done = marked.filter("component_id is not null").select("id", "n", "component_id")
-    done = done.union(marked.filter("component_id is null").drop("component_id").join(cold, same).select("id", "n", "component_id"))
+    found = store.table(kinds.join(roots, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"), "copies"), "components", owner)
+    done = _per_group(proper.select("id", *same), found, same, "copies", rows.count()).select("id", "n", "component_id")
     done = done.union(rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
     return done.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

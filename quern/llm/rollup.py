@@ -111,11 +111,15 @@ def compact(spark: SparkSession, ledger: str, name: str) -> bool:
     made = f"base-{name}"
     if not names:
         return False
-    others = [s.getPath().getName() for s in fs.listStatus(lock.getParent()) if s.getPath().getName().startswith("_compacting=")]
-    if set(others) - {lock.getName()}:
-        raise RuntimeError(f"another compaction is at work: {others}")
     if made not in names:
+        mine = not fs.exists(lock)
         fs.mkdirs(lock)
+        others = {s.getPath().getName() for s in fs.listStatus(lock.getParent()) if s.getPath().getName().startswith("_compacting=")} - {lock.getName()}
+        if others:  # of two that begin at once at least one sees the other
+            if mine:
+                fs.delete(lock, True)
+            raise RuntimeError(f"another compaction is at work: {sorted(others)}")
+        names = _names(spark, ledger)
         base = totals(spark, ledger, names).withColumn("batches", F.lit(None).cast("array<string>"))
         known = spark.createDataFrame([(n,) for n in names], "taken string").union(_taken(spark, ledger, names)).distinct()
         nothing = [F.lit(None).cast("string").alias(c) for c in GROUP] + [F.lit(0).cast("long").alias(c) for c in ("docs", "tokens")]

@@ -52,3 +52,8 @@ def release(spark: SparkSession, owner: str = "") -> None:
     for path in _made.pop(owner, []):
         fs, p = _fs(spark, path)
         fs.delete(p, True)
+
+
+def keep(owner: str, new_owner: str) -> None:
+    """Hand the tables of ``owner`` over to another one."""
+    _made.setdefault(new_owner, []).extend(_made.pop(owner, []))

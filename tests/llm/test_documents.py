@@ -289,9 +289,10 @@ def test_components_match_brute_force(spark, k, num):
     assert got == brute_components(rows, k, num)
 
 
-@pytest.mark.parametrize("block,sets,members", [(1 << 20, 1024, 4096), (1 << 9, 4, 5), (1, 1, 1)])
-def test_blocks_change_no_link(spark, monkeypatch, block, sets, members):
-    """A clump around the threshold, where hubs do not settle all, in one job or in many."""
+@pytest.mark.parametrize("block,sets,members,many", [(1 << 20, 1024, 4096, 1000), (1 << 9, 4, 5, 3), (1, 1, 1, 10)])
+def test_blocks_change_no_link(spark, monkeypatch, block, sets, members, many):
+    """A clump around the threshold, where hubs do not settle all, in one job or in many, with groups by a broadcast or by a join."""
+    monkeypatch.setattr(near, "MANY", many)
     monkeypatch.setattr(near, "BLOCK", block)
     monkeypatch.setattr(near, "SETS", sets)
     monkeypatch.setattr(near, "MEMBERS", members)
@@ -423,6 +424,13 @@ def test_scores_match_brute_force(spark, odd, none):
     assert all(r.score < 0 for r in ctw.score(odd, F.lit(False), carry=("doc_id",)).collect())
 
 
+def test_odd_rows_are_scored_like_others(spark, odd):
+    rows = [(i, r.text, r.lang == "en") for i, r in enumerate(odd.filter("doc_id is null or doc_id <> 8").collect())]
+    got = {r.id: r for r in ctw.score(spark.createDataFrame(rows, "id long, text string, train boolean").repartition(3), F.col("train"), carry=("id",)).collect()}
+    want = brute_ctw([x for _, x, _ in rows], [t for *_, t in rows])
+    assert all(abs(got[i].score - want[i]) < 1e-3 for i, *_ in rows) and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("tree", [1, 50, 1 << 18])
 def test_sub_trees_may_be_cut_anywhere(spark, monkeypatch, tree):
     monkeypatch.setattr(ctw, "TREE", tree)
