@@ -140,25 +140,45 @@ USAGE_PATHS = {
 USAGE_FIELDS = ("input", "output", "reasoning", "cache_read", "cache_write_5m", "cache_write_1h")
 
 
+def _usage_schema() -> str:
+    """The type that holds every path of ``USAGE_PATHS``."""
+    tree: dict = {}
+    for path in (p for kind in USAGE_PATHS.values() for each in kind for p in each):
+        at = tree
+        *above, last = path.split(".")
+        for name in above:
+            at = at.setdefault(name, {})
+        at[last] = None
+    kind = lambda t: "struct<" + ",".join(f"{k}:{'bigint' if v is None else kind(v)}" for k, v in t.items()) + ">"
+    return kind(tree)
+
+
 def normal_usage(kind: Column, body: Column, estimate_cache: bool = False) -> Column:
     """A struct of ``USAGE_FIELDS`` from a provider's report; fields that a kind lacks are null.
 
     Cached tokens are taken out of the input where they are part of it (all kinds but the first).  With
     ``estimate_cache``, compatible reports without cache reads count nine tenths of the input as such.
     """
-    out = F.lit(None).cast("struct<" + ",".join(f"{f}:bigint" for f in USAGE_FIELDS) + ">")
-    for name, paths in USAGE_PATHS.items():
-        found = [F.coalesce(*[F.get_json_object(body, f"$.{p}").cast("long") for p in each]) if each else F.lit(None).cast("long") for each in paths]
-        total, output, reasoning, cached, short, long = found
+    null = F.lit(None).cast("long")
+
+    def row(name: str, report: Column) -> Column:
+        total, output, reasoning, cached, short, long = (F.coalesce(null, *[reduce(lambda at, f: at[f], p.split("."), report) for p in each]) for each in USAGE_PATHS[name])
         total, output = F.coalesce(total, F.lit(0)), F.coalesce(output, F.lit(0))
         if name == "google":
             reasoning, cached = F.coalesce(reasoning, F.lit(0)), F.coalesce(cached, F.lit(0))
         if name == "compatible" and estimate_cache:
             cached = F.when(F.coalesce(cached, F.lit(0)) == 0, F.floor(total * 0.9).cast("long")).otherwise(cached)
         fresh = total if name == "anthropic" else total - F.coalesce(cached, F.lit(0))
-        row = F.struct(*[c.cast("long").alias(f) for f, c in zip(USAGE_FIELDS, (fresh, output, reasoning, cached, short, long), strict=True)])
-        out = F.when(kind == name, row).otherwise(out)
-    return out
+        return F.struct(*[c.cast("long").alias(f) for f, c in zip(USAGE_FIELDS, (fresh, output, reasoning, cached, short, long), strict=True)])
+
+    def pick(both: Column) -> Column:
+        out = F.lit(None).cast("struct<" + ",".join(f"{f}:bigint" for f in USAGE_FIELDS) + ">")
+        for name in USAGE_PATHS:
+            out = F.when(both["kind"] == name, row(name, both["report"])).otherwise(out)
+        return out
+
+    read = F.struct(kind.alias("kind"), F.from_json(body, _usage_schema()).alias("report"))
+    return F.element_at(F.transform(F.array(read), pick), 1)  # so that a report is parsed once
 
 
 def sum_usage(*usages: Column) -> Column:
