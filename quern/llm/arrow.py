@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,3 +57,20 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's longs."""
     return x.view(np.int64)
+
+
+def tidy() -> None:
+    """Gives memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, and :func:`tidy` after it: workers outlive their tasks, and allocators keep what was freed."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return wrapped

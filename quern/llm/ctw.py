@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import store
-from quern.llm.arrow import column, text_slices, word_parts
+from quern.llm.arrow import column, text_slices, tidied, word_parts
 from quern.llm.hashing import _LOWER, U, Words, bytes_of
 
 DEPTH = 5
@@ -215,7 +215,7 @@ def _nearer(depth: int):
 def _above(level: DataFrame, depth: int) -> DataFrame:
     """The level above ``level``, which lies at ``depth``."""
     summed = level.groupBy(_nearer(depth).alias("node")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_w")])
-    return summed.mapInArrow(_mixed, _NODE + ", p double, share double")
+    return summed.mapInArrow(tidied(_mixed), _NODE + ", p double, share double")
 
 
 def _down(level: DataFrame, depth: int, above: DataFrame | None) -> DataFrame:
@@ -403,7 +403,7 @@ def score(docs: DataFrame, train, text: str = "text", carry: tuple[str, ...] = (
     # as many equal runs as the longest file has chunks, so that runs and row groups of even files end together
     rows_each = -(-longest // max(1, round(longest * n_bytes / n_rows / CHUNK_BYTES)))
     chunked = docs.withColumn("chunk", F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows_each)))
-    counts = chunked.select("chunk", "text", "train").mapInArrow(_count, "chunk long, kind byte, key long, n long")
+    counts = chunked.select("chunk", "text", "train").mapInArrow(tidied(_count), "chunk long, kind byte, key long, n long")
     over = Window.partitionBy("kind", "key")
     summed = counts.withColumn("c", F.sum("n").over(over)).withColumn("first", F.row_number().over(over.orderBy("chunk")) == 1)
     summed = store.table(summed.select("chunk", "kind", "key", "c", "first"), "counts", owner)
@@ -413,11 +413,11 @@ def score(docs: DataFrame, train, text: str = "text", carry: tuple[str, ...] = (
     near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1).cast("long")).alias("near")
     total = store.table(summed.filter((F.col("kind") == GRAM) & F.col("first")).select(near, F.col("key").alias("gram"), F.col("c").alias("n")), "tree", owner)
     trees = lambda rows: rows.repartition("near").sortWithinPartitions("near")
-    roots = store.table(trees(total).select("near", "gram", "n").mapInArrow(_roots, _NODE), "roots", owner)
+    roots = store.table(trees(total).select("near", "gram", "n").mapInArrow(tidied(_roots), _NODE), "roots", owner)
     none = lambda kind: F.lit(None).cast(kind)
     both = total.select("near", "gram", "n", none("long").alias("node"), none("double").alias("mixed"), none("double").alias("left"))
     both = both.union(_top(roots, owner).select("near", none("long"), none("long"), "node", "mixed", "left"))
-    scores = store.table(trees(both).mapInArrow(_gram_scores, "gram long, score double"), "scores", owner)
+    scores = store.table(trees(both).mapInArrow(tidied(_gram_scores), "gram long, score double"), "scores", owner)
     grams_back = summed.filter(F.col("kind") == GRAM).join(scores, summed["key"] == scores["gram"]).select("chunk", "kind", "key", F.col("score").cast("float").alias("value"))
     # most words are seen once: they are what a chunk takes a word for that it gets no row of
     words_back = summed.filter((F.col("kind") == WORD) & (F.col("c") != 1)).select("chunk", "kind", "key", F.col("c").cast("float").alias("value"))

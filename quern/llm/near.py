@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import graph, store
-from quern.llm.arrow import column, signed, text_slices, word_parts
+from quern.llm.arrow import column, signed, text_slices, tidied, word_parts
 from quern.llm.hashing import U, Words, mix, seeded
 
 REGISTERS = 256
@@ -401,19 +401,19 @@ def _crossing(edges: DataFrame, part: DataFrame, sizes: DataFrame, named: DataFr
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "grp", "side", "part", "keys", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task's work is more than its bytes say
     met = cut.join(named, "id").repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return store.table(met.mapInArrow(_across(k, num, den), "a long, b long"), "links", owner)
+    return store.table(met.mapInArrow(tidied(_across(k, num, den)), "a long, b long"), "links", owner)
 
 
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = 3, num: int = 85, den: int = 100, owner: str = "") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``."""
     everything = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = everything.filter("id is not null")
-    rows = store.table(everything.mapInArrow(_sketch(k, num, den), "id long, n long, f1 long, f2 long, keys array<long>, regs binary"), "sketches", owner)
+    rows = store.table(everything.mapInArrow(tidied(_sketch(k, num, den)), "id long, n long, f1 long, f2 long, keys array<long>, regs binary"), "sketches", owner)
     proper = rows.filter("n > 0 and id is not null")
     same = ["f1", "f2", "n"]
     kinds = store.table(proper.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes", owner)
     reps = proper.join(kinds.withColumn("id", F.col("rep")), ["id", *same]).select("id", "n", "keys", "regs")
-    stars = reps.select("id", "keys").mapInArrow(_stars, "g long, key long, a long, b long")
+    stars = reps.select("id", "keys").mapInArrow(tidied(_stars), "g long, key long, a long, b long")
     met = stars.withColumn("hub", F.min("a").over(Window.partitionBy("g")))
     edges = met.select("key", F.when(F.col("b").isNull(), F.col("hub")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).filter("a <> b")
     edges = store.table(edges, "stars", owner)
@@ -422,8 +422,8 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int =
     named = store.table(named.join(met, "id", "left_semi"), "texts", owner)  # texts without any candidate are moved this once
     nodes = proper.select("id", "n", "regs")
     total = edges.count()
-    near = store.table(_round_hubs(edges.select("a", "b").distinct(), nodes, total).mapInArrow(_estimated(num, den), "a long, b long").distinct(), "near", owner)
-    sure = store.table(_round_hubs(near, named, total).mapInArrow(_confirmed(k, num, den), "a long, b long"), "sure", owner)
+    near = store.table(_round_hubs(edges.select("a", "b").distinct(), nodes, total).mapInArrow(tidied(_estimated(num, den)), "a long, b long").distinct(), "near", owner)
+    sure = store.table(_round_hubs(near, named, total).mapInArrow(tidied(_confirmed(k, num, den)), "a long, b long"), "sure", owner)
     part = graph.components(sure, owner)
     crossing = _crossing(edges, part, kinds.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n")), named, k, num, den, owner)
     if crossing is not None:

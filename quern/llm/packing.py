@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import store, tokens
-from quern.llm.arrow import column, text_slices
+from quern.llm.arrow import column, text_slices, tidied
 
 LENGTH = 2048
 LINEAR = 1.0
@@ -141,11 +141,11 @@ def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
         return run
 
     named = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    done = store.table(named.mapInArrow(packed(encoded, 0, False), _ROW), "pieces", owner)
+    done = store.table(named.mapInArrow(tidied(packed(encoded, 0, False)), _ROW), "pieces", owner)
     out, level = done.filter("sequence_id is not null"), 0
     while waiting := done.filter("sequence_id is null").agg(F.sum("length")).first()[0]:
         level, tasks = level + 1, -(-waiting // (FAN_IN * LENGTH))
-        left = done.filter("sequence_id is null").repartition(tasks).mapInArrow(packed(again, level, tasks == 1), _ROW)
+        left = done.filter("sequence_id is null").repartition(tasks).mapInArrow(tidied(packed(again, level, tasks == 1)), _ROW)
         done = store.table(left, "pieces", owner)
         out = out.union(done.filter("sequence_id is not null"))
     return out.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import column, text_slices
+from quern.llm.arrow import column, text_slices, tidied
 from quern.llm.tokens import pieces
 
 MARK = "▁"
@@ -256,7 +256,7 @@ def _coded(docs: DataFrame, path: str, ident: str, text: str) -> DataFrame:
                 n, ids, back = model(path).arrays(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(n), ids, back], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def encode(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,7 +273,7 @@ def decode(rows: DataFrame, path: str, ident: str = "doc_id", ids: str = "ids")
             texts = [model(path).decode(x or [])[1:] for x in column(batch, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col(ident).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(ident).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(tidied(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import store, tokens
-from quern.llm.arrow import column, text_slices
+from quern.llm.arrow import column, text_slices, tidied
 
 BLOCK = 64 << 10
 #: Shards whose key ranges may be broadcast (40 bytes each); beyond it the ranges are joined without a broadcast.
@@ -238,7 +238,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, ident: str = "doc_id", t
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(ident).cast("long").alias("id"), body.alias("text")).withColumn("salt", F.xxhash64("id", F.monotonically_increasing_id()))
     ranged = rows.repartitionByRange(F.col("id").asc_nulls_first(), "salt").sortWithinPartitions(F.col("id").asc_nulls_first(), "salt").select("id", "text")
-    return store.table(ranged.mapInArrow(run, "shard long, path string, docs long, ids long, first binary, last binary"), "shards", owner)
+    return store.table(ranged.mapInArrow(tidied(run), "shard long, path string, docs long, ids long, first binary, last binary"), "shards", owner)
 
 
 def scan(shards: DataFrame, folder: str) -> DataFrame:
@@ -258,7 +258,7 @@ def scan(shards: DataFrame, folder: str) -> DataFrame:
                 cols = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("path", "base").repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("path", "base").repartition(parts).mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _key(ident: Column) -> Column:
@@ -291,4 +291,4 @@ def lookup(shards: DataFrame, folder: str, wanted: DataFrame, ident: str = "doc_
         ranges = F.broadcast(ranges)
     asked = wanted.select(F.col(ident).cast("long").alias("id")).distinct().withColumn("key", _key(F.col("id")))
     routed = asked.join(ranges, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("path", "id")
-    return routed.repartition("path").sortWithinPartitions("path", "id").mapInArrow(run, "doc_id long, ids array<int>")
+    return routed.repartition("path").sortWithinPartitions("path", "id").mapInArrow(tidied(run), "doc_id long, ids array<int>")

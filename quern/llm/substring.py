@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.arrow import column, signed, text_slices, word_parts
+from quern.llm.arrow import column, signed, text_slices, tidied, word_parts
 from quern.llm.hashing import U, Words, mix, sliding
 
 #: Rows that a task gathers before it settles and sends them.
@@ -209,11 +209,11 @@ def find(docs: DataFrame, text: str = "text", n: int = 35) -> DataFrame:
     rows, before, kind = keyed.select("key", "tag", F.coalesce(F.col(f"doc.{text}"), F.lit("")).alias("text")), None, "g long, v long, key long, weight byte"
     *lower, last = levels(n) if len(levels(n)) > 1 else (n, n)
     for length in lower:
-        counted = rows.mapInArrow(_level(text, n, before, length), kind)
+        counted = rows.mapInArrow(tidied(_level(text, n, before, length)), kind)
         repeated = counted.withColumn("n", F.sum("weight").over(Window.partitionBy("g"))).filter("n >= 2")
         lists = repeated.groupBy("key").agg(F.collect_set("v").alias("anchors"))
         rows, before = keyed.join(lists, "key").select("key", "tag", "doc", "anchors"), length  # the whole row, so that all joins read one exchange
-    found = rows.mapInArrow(_decide(text, n, before), "a long, b int, key long, tag int, start int, weight byte")
+    found = rows.mapInArrow(tidied(_decide(text, n, before)), "a long, b int, key long, tag int, start int, weight byte")
     sure = found.withColumn("n", F.sum("weight").over(Window.partitionBy("a", "b"))).filter("n >= 2")
     starts = sure.groupBy("key").agg(F.collect_list(F.struct("tag", "start")).alias("starts"))
     return keyed.join(starts, "key", "left").select("doc", "tag", "starts")
@@ -272,7 +272,7 @@ def digest(found: DataFrame, text: str, ident: str, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column(batch, "ident").slice(lo, hi - lo), pa.array(words), pa.array(removed), pa.array([x.hexdigest() for x in sha], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     inner = found.select(F.col(f"doc.{ident}").alias("ident"), F.coalesce(F.col(f"doc.{text}"), F.lit("")).alias("text"), "tag", "starts")
-    return inner.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return inner.mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 _SPACED = bytes(0x20 if c in (0x20, *range(0x09, 0x0E)) else c for c in range(256))
@@ -307,7 +307,7 @@ def cut(found: DataFrame, columns: list[str], text: str, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(out, pa.string())], ["doc", "cut"])
 
     inner = found.select("doc", F.col(f"doc.{text}").alias("text"), "tag", "starts")
-    done = inner.mapInArrow(run, _schema(found))
+    done = inner.mapInArrow(tidied(run), _schema(found))
     return done.select(*[F.col("cut").alias(c) if c == text else F.col("doc")[c].alias(c) for c in columns])
 
 

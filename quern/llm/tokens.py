@@ -27,7 +27,7 @@ from quern.llm.arrow import parts_of
 CACHE, CACHE_CHARS = 1_000_000, 16 << 20
 LONG_PIECE = 256
 #: Text bytes handled at once, and those from which one text is cut.
-SLICE, LONG_TEXT = 16 << 20, 16 << 20
+SLICE, LONG_TEXT = 8 << 20, 16 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Letters that every version of Unicode knows as such, and marks that the pre-tokenizer parts from them; a line may end between two words.
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?))?")
