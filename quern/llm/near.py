@@ -418,9 +418,10 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int =
     edges = met.select("key", F.when(F.col("b").isNull(), F.col("hub")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).filter("a <> b")
     edges = store.table(edges, "stars", owner)
 
-    met = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = store.table(named.join(met, "id", "left_semi"), "texts", owner)  # texts without any candidate are moved this once
-    nodes = proper.select("id", "n", "regs")
+    # written, so that planning knows how many there are: while they are few, no text and no sketch without a candidate is shuffled
+    ids = store.table(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", owner)
+    named = store.table(named.join(ids, "id", "left_semi"), "texts", owner)
+    nodes = store.table(proper.select("id", "n", "regs").join(ids, "id", "left_semi"), "nodes", owner)
     total = edges.count()
     near = store.table(_round_hubs(edges.select("a", "b").distinct(), nodes, total).mapInArrow(tidied(_estimated(num, den)), "a long, b long").distinct(), "near", owner)
     sure = store.table(_round_hubs(near, named, total).mapInArrow(tidied(_confirmed(k, num, den)), "a long, b long"), "sure", owner)
