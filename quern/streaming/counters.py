@@ -36,8 +36,8 @@ def rolling_usage(stream: DataFrame, key: str, time: str, cost: str, seconds: in
             state.remove()
             return
         anchor, usage = state.get if state.exists else (None, 0)
-        part = pd.concat(list(parts)).sort_values("t")
-        for t, c in zip(part["t"].tolist(), part["c"].tolist(), strict=True):
+        part = pd.concat(list(parts)).sort_values("__t")
+        for t, c in zip(part["__t"].tolist(), part["__c"].tolist(), strict=True):
             if anchor is None or anchor < t - seconds:
                 anchor, usage = t, c
             else:
@@ -48,7 +48,7 @@ def rolling_usage(stream: DataFrame, key: str, time: str, cost: str, seconds: in
         yield pd.DataFrame({key: [name[0]], "anchor": [anchor], "usage": [usage]})
 
     rows = timed(stream, time, lateness) if lateness else stream
-    rows = rows.select(key, *([time] if lateness else []), F.col(time).cast("timestamp").cast("long").alias("t"), F.col(cost).cast("long").alias("c"))
+    rows = rows.select(key, *([time] if lateness else []), F.col(time).cast("timestamp").cast("long").alias("__t"), F.col(cost).cast("long").alias("__c"))
     kind = rows.schema[key].dataType.simpleString()
     timeout = GroupStateTimeout.EventTimeTimeout if lateness else GroupStateTimeout.NoTimeout
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, anchor long, usage long", "anchor long, usage long", "update", timeout)
