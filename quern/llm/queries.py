@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ctw, near, packing, piece, quality, rollup, sstable, store, substring, urls, vafile
+from quern.llm import codes, ctw, near, packing, piece, quality, rollup, simhash, sstable, store, substring, trie, urls, vafile
 from quern.session import load
 
 
@@ -77,12 +77,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, keep_text=False).select("doc.doc_id", *m, "base_failed", "kept")
 
 
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, ids): each conversation c begins with the first h turns of conversation c - c % 20 and goes on after its own first h; h = crc32(c) % 4."""
+    turns = store.table(trie.numbered(conversations), "numbered")
+    ids = turns.select("conv_id").distinct()
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    heads = turns.filter("conv_id % 20 = 0 and place < 3").withColumnRenamed("conv_id", "base")
+    borrowed = ids.withColumn("base", F.expr("conv_id - conv_id % 20")).join(heads, "base").filter(F.col("place") < h)
+    return borrowed.select(turns.columns).unionByName(turns.filter(F.col("place") >= h)), ids
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(*rebuilt(load(spark, sf_dir, "conversations")))
+
+
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(load(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(load(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op5_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_vector_codes": OP13_SQL}
 
 
 def _op10_sql() -> str:
@@ -203,3 +226,59 @@ kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS text, coun
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+OP11_SQL = r"""
+WITH steps AS (SELECT list(v ORDER BY i) AS v FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a // 2, 3988292384 * (a % 2))) AS v FROM range(256) r(i))),
+turn AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda a, b: xor(a // 256, steps.v[1 + xor(a, b) % 256]))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turn), steps),
+again AS (
+  SELECT conv.conv_id, place, role, text FROM conv JOIN turn ON turn.conv_id = conv.base AND place < h
+  UNION ALL SELECT turn.conv_id, place, role, text FROM conv JOIN turn ON turn.conv_id = conv.conv_id AND place >= h),
+deep AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, role, text FROM again),
+path AS (
+  SELECT conv_id, depth, text, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM deep
+  UNION ALL SELECT conv_id, 0, '', [] FROM conv),
+member AS (SELECT conv_id, depth, text, min(conv_id) OVER (PARTITION BY depth, path) AS node, max(depth) OVER (PARTITION BY conv_id) AS ends FROM path),
+node AS (
+  SELECT node AS conv_id, depth, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends = depth), '')) AS ends_sha256
+  FROM member GROUP BY node, depth),
+above AS (SELECT a.node AS conv_id, a.depth, b.node AS parent_conv_id FROM member a LEFT JOIN member b ON b.conv_id = a.conv_id AND b.depth = a.depth - 1 WHERE a.node = a.conv_id),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM above WHERE depth > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, parent_conv_id, coalesce(kids.n, 0) AS n_children FROM node JOIN above USING (conv_id, depth) LEFT JOIN kids USING (conv_id, depth)),
+below AS (
+  SELECT a.node AS conv_id, a.depth, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM full_node d JOIN member a ON a.conv_id = d.conv_id AND a.depth <= d.depth GROUP BY ALL)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM full_node JOIN below USING (conv_id, depth)
+"""
+
+
+def _op13_sql() -> str:
+    """Two rounds of training and the last assignment, by brute force over all entries."""
+    assign = lambda n: f"""
+near{n} AS (
+  SELECT s.vec_id, s.label, s.part, min(struct_pack(d := list_sum(list_transform(range(1, len(s.v) + 1), lambda i: (s.v[i] - b.v[i]) * (s.v[i] - b.v[i])))::BIGINT, entry := b.entry)) AS best, any_value(s.v) AS v, s.r
+  FROM seg s JOIN book{n} b ON b.part = s.part GROUP BY s.r, s.vec_id, s.label, s.part)"""
+    move = lambda n: f"""
+mean{n} AS (
+  SELECT part, entry, list(m ORDER BY i) AS v FROM (
+    SELECT part, best.entry AS entry, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM near{n}, (SELECT unnest(range(1, 5)) AS i) GROUP BY ALL) GROUP BY part, entry),
+book{n + 1} AS (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{n} b LEFT JOIN mean{n} m USING (part, entry))"""
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+seg AS (SELECT r, vec_id, label, part, v[4 * part + 1:4 * part + 4] AS v FROM kept, (SELECT unnest(range(0, 16)) AS part)),
+book0 AS (SELECT part, r - 1 AS entry, v FROM seg WHERE r <= 64),{assign(0)},{move(0)},{assign(1)},{move(1)},{assign(2)},
+coded AS (SELECT r, vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near2 GROUP BY ALL),
+told AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, told
+"""
+
+
+OP13_SQL = _op13_sql()
