@@ -254,6 +254,7 @@ def _gram_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = U((1 << 8 * depth) - 1)
             at = np.searchsorted(here.key, (below.key >> U(8) & keep) << U(8) | below.key & U(255))
             mixed, left = (mixed + left * here.share * here.p)[at], (left * (1 - here.share))[at]
+        # an estimate is no nearer to 0 or 1 than 1e-12, as it is only after some 10**12 like bits
         one = np.clip(mixed + left * levels[0].p, 1e-12, 1 - 1e-12)[where]
         score = np.log10(np.where(bits, one, 1 - one)).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(score)], ["gram", "score"])
@@ -335,7 +336,7 @@ class _Lookup:
         place = self.place[at]
         lost = np.flatnonzero(self.shared[at])
         place[lost] = np.minimum(np.searchsorted(self.key, key[lost]), len(self.key) - 1)
-        return np.where(self.key[place] == key, self.value[place].astype(np.float64), other)
+        return np.where(self.key[place] == key, self.value[place], other)
 
 
 def _score_chunk(total: int, distinct: int, train_texts: int):
@@ -418,9 +419,9 @@ def score(docs: DataFrame, train, text: str = "text", carry: tuple[str, ...] = (
     both = total.select("near", "gram", "n", none("long").alias("node"), none("double").alias("mixed"), none("double").alias("left"))
     both = both.union(_top(roots, owner).select("near", none("long"), none("long"), "node", "mixed", "left"))
     scores = store.table(trees(both).mapInArrow(tidied(_gram_scores), "gram long, score double"), "scores", owner)
-    grams_back = summed.filter(F.col("kind") == GRAM).join(scores, summed["key"] == scores["gram"]).select("chunk", "kind", "key", F.col("score").cast("float").alias("value"))
+    grams_back = summed.filter(F.col("kind") == GRAM).join(scores, summed["key"] == scores["gram"]).select("chunk", "kind", "key", F.col("score").alias("value"))
     # most words are seen once: they are what a chunk takes a word for that it gets no row of
-    words_back = summed.filter((F.col("kind") == WORD) & (F.col("c") != 1)).select("chunk", "kind", "key", F.col("c").cast("float").alias("value"))
+    words_back = summed.filter((F.col("kind") == WORD) & (F.col("c") != 1)).select("chunk", "kind", "key", F.col("c").cast("double").alias("value"))
     back = grams_back.union(words_back)
     rows = chunked.select("chunk", "text", "kept")
     more = [T.StructField(k, T.LongType() if pa.types.is_integer(x) else T.DoubleType()) for k, x in _RESULT.items()]

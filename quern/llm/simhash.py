@@ -189,5 +189,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int =
     part = graph.components(links(kinds.select("fp"), distance, groups, owner), owner)
     rooted = store.table(kinds.join(part.select(F.col("node").alias("fp"), "root"), "fp", "left"), "rooted", owner)
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("low").alias("least"))
-    named = rooted.join(least, "root", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    # most fingerprints are linked with none and have no root: they don't meet under a null one
+    named = rooted.filter("root is not null").join(least, "root").select("fp", F.col("least").alias("component_id"))
+    named = named.union(rooted.filter("root is null").select("fp", "low"))
     return rows.join(named, "fp").select("id", "fp", "component_id")

@@ -4,7 +4,7 @@
    dimension: the cell file, one row per block, is written into the shared folder, an eighth the size of the vectors.
 2. Queries are dealt into groups, and each group scans the cells only.  A cell bounds its vector's inner product with
    a query from both sides, by one matrix product for the cells' lower corners and a width that depends on the query
-   alone.  A block gives those candidates whose upper bound reaches its own k-th largest lower bound.
+   alone.  A run of blocks gives those candidates whose upper bound reaches its own k-th largest lower bound.
 3. The k-th largest lower bound over all blocks is a first threshold for each query.  Of what reaches it, the
    ``FIRST * k`` highest upper bounds have their exact vectors read by row number and scored; then, in a second round,
    all whose upper bound reaches the k-th exact score so far.  No other can be among the k best.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import store
 
-BITS = 8
+BITS = 5
 #: Vector components in a block of cells and in a group of queries, and blocks that a task scans at most.
 BLOCK, GROUP, RUN = 1 << 20, 1 << 18, 8
 #: Queries whose bounds a task has at once.
@@ -72,19 +72,25 @@ def _scan(k: int):
         width = key[2].as_py()
         if len(q):
             queries, asking = _matrix(q.column("v"), width), q.column("row").to_numpy()
+            blocks = []
             for raw in c.to_pylist():
                 rows, low, step = (np.frombuffer(raw[x], np.int64) for x in ("rows", "low", "step"))
-                cells = np.frombuffer(raw["cells"], np.uint8).reshape(-1, width)
-                order = np.argsort(rows)
-                for at in range(0, len(queries), ROWS):
+                blocks.append((rows, np.argsort(rows), low, step, np.frombuffer(raw["cells"], np.uint8).reshape(-1, width)))
+            for at in range(0, len(queries), ROWS):
+                mine, seen = asking[at : at + ROWS], []
+                best = np.full((len(mine), k), -np.inf)  # each query's k largest lower bounds over the blocks so far
+                for rows, order, low, step, cells in blocks:
                     bottom, top = bounds(queries[at : at + ROWS], low, step, cells)
-                    mine = asking[at : at + ROWS]
                     place = order[np.minimum(np.searchsorted(rows, mine, sorter=order), len(rows) - 1)]
                     own = np.flatnonzero(rows[place] == mine)
                     top[own, place[own]] = bottom[own, place[own]] = -np.inf
-                    sure = np.partition(bottom, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(mine), -np.inf)
-                    who, what = np.nonzero((top >= sure[:, None]) & (top > -np.inf))
-                    out.append((mine[who], rows[what], bottom[who, what], top[who, what]))
+                    high = np.partition(bottom, -k, axis=1)[:, -k:] if len(rows) > k else bottom
+                    best = np.partition(np.concatenate([best, high], axis=1), -k, axis=1)[:, -k:]
+                    who, what = np.nonzero((top >= best.min(axis=1)[:, None]) & (top > -np.inf))
+                    seen.append((who, rows[what], bottom[who, what], top[who, what]))
+                who, what, bottom, top = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
+                reach = top >= best.min(axis=1)[who]
+                out.append((mine[who[reach]], what[reach], bottom[reach], top[reach]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
         return pa.table([pa.array(x) for x in cols], ["query_row", "row", "bottom", "top"])
 
