@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import ingest, more, relational, sessions, stored, texts, usage, wider  # noqa: F401  they register their queries
+from quern.plans import ingest, more, relational, sessions, stored, streams, texts, usage, wider  # noqa: F401  they register their queries
 from quern.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "leaderboard_week_day"

@@ -135,9 +135,8 @@ def fragments_joined(spark, d):
     return log.fragments(c, "conv_id", "turn", "text", "done", "a string").select("conv_id", "raw")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS session, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS type, text, CASE WHEN role = 'assistant' THEN 'stop' END AS finish, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 1 THEN 'completed' ELSE 'error' END END AS tool FROM conversations")
-def message_lists(spark, d):
-    """Every assistant turn as a step with text that comes in two parts, and a tool call that succeeds or fails."""
+def step_events(spark, d):
+    """Every assistant turn as a step with text that comes in two parts, and a tool call that succeeds or fails; every other turn as a prompt."""
     c = load(spark, d, "conversations")
     at, assistant = F.col("turn") * 10, F.col("role") == "assistant"
     event = lambda no, kind, **fields: F.struct((at + no).alias("seq"), F.lit(f"session.next.{kind}").alias("kind"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()], (at + no).alias("timestamp"))).alias("data"))
@@ -150,7 +149,16 @@ def message_lists(spark, d):
     ]
     done = F.when(F.col("turn") % 4 == 1, event(7, "tool.success", callID=call)).otherwise(event(7, "tool.failed", callID=call))
     prompt = F.array(event(0, "prompted", prompt=F.struct("text")))
-    events = c.select("conv_id", F.inline(F.when(assistant, F.concat(F.array(*step), F.array(done))).otherwise(prompt))).withColumn("id", F.concat_ws("-", "conv_id", "seq"))
-    lists = messages.message_lists(events, "conv_id", "seq", "id", "kind", "data")
-    get = lambda p: F.get_json_object("message", p)
+    return c.select("conv_id", F.inline(F.when(assistant, F.concat(F.array(*step), F.array(done))).otherwise(prompt))).withColumn("id", F.concat_ws("-", "conv_id", "seq"))
+
+
+def list_columns(lists, message):
+    """The columns of a message list that have plain SQL, from its JSON column."""
+    get = lambda p: F.get_json_object(message, p)
     return lists.select("session", "position", "type", F.coalesce(get("$.text"), get("$.content[0].text")).alias("text"), get("$.finish").alias("finish"), get("$.content[1].state.status").alias("tool"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS type, text, CASE WHEN role = 'assistant' THEN 'stop' END AS finish, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 1 THEN 'completed' ELSE 'error' END END AS tool FROM conversations")
+def message_lists(spark, d):
+    """Message lists of steps and prompts, folded from their events."""
+    return list_columns(messages.message_lists(step_events(spark, d), "conv_id", "seq", "id", "kind", "data"), "message")

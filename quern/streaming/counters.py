@@ -12,6 +12,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Seconds by which event times are moved up for the watermark (100 years): it begins at 1970, and what lies at or before it is dropped.
+EPOCH_SHIFT = 100 * 365 * 86_400
+
+
+def shifted(stream: DataFrame, time: str, lateness: str) -> DataFrame:
+    """The stream with ``__w``, its event time moved up by ``EPOCH_SHIFT``, under a watermark; times so far before 1970 are an error."""
+    at = F.col(time).cast("timestamp")
+    moved = at + F.make_dt_interval(secs=F.lit(EPOCH_SHIFT))
+    early = F.raise_error(F.lit("an event time before 1870")).cast("timestamp")
+    return stream.withColumn("__w", F.when(F.unix_micros(at) <= -EPOCH_SHIFT * 1_000_000, early).otherwise(moved)).withWatermark("__w", lateness)
+
+
 def timed(stream: DataFrame, time: str, lateness: str = "5 minutes") -> DataFrame:
     """Event time as a timestamp (a watermark takes no time without zone) with the ingestion lag that is waited for."""
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
@@ -28,7 +40,7 @@ def rolling_usage(stream: DataFrame, key: str, time: str, cost: str, seconds: in
     """(key, anchor, usage) after each batch: cost adds up while events lie within ``seconds`` of the window's first event, else a new window starts at the event.  The anchor does not slide.
 
     With ``lateness`` (how late events may come) a counter expires: its state goes when the watermark has passed the
-    window's end.  Without it state is kept for every key.
+    window's end.  Without it state is kept for every key.  Events at and before 1970 count like others.
     """
 
     def run(name, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -44,11 +56,11 @@ def rolling_usage(stream: DataFrame, key: str, time: str, cost: str, seconds: in
                 usage += c
         state.update((anchor, usage))
         if lateness:
-            state.setTimeoutTimestamp(max((anchor + seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max((anchor + seconds + 1 + EPOCH_SHIFT) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [name[0]], "anchor": [anchor], "usage": [usage]})
 
-    rows = timed(stream, time, lateness) if lateness else stream
-    rows = rows.select(key, *([time] if lateness else []), F.col(time).cast("timestamp").cast("long").alias("__t"), F.col(cost).cast("long").alias("__c"))
+    rows = shifted(stream, time, lateness) if lateness else stream
+    rows = rows.select(key, *(["__w"] if lateness else []), F.col(time).cast("timestamp").cast("long").alias("__t"), F.col(cost).cast("long").alias("__c"))
     kind = rows.schema[key].dataType.simpleString()
     timeout = GroupStateTimeout.EventTimeTimeout if lateness else GroupStateTimeout.NoTimeout
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, anchor long, usage long", "anchor long, usage long", "update", timeout)
@@ -86,20 +98,24 @@ def rolling_usage_batch(rows: DataFrame, key: str, time: str, cost: str, seconds
 def fold_deltas(stream: DataFrame, group: str, part: str, order: str, removed: str, measure: str) -> DataFrame:
     """(group, measure): by how much each part's newest version changes its group's total, so that totals are sums over what was appended.
 
-    State is one number for each part, its last amount; a group has none, however many parts it has.
+    State is (order, amount) of each part's newest version; a group has none, however many parts it has.  An older version
+    changes nothing, in whatever batch it comes; equal orders are repeats.  :func:`quern.streaming.keyed.ordered_deltas` also
+    follows parts from group to group.
     """
 
     def run(name, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
+        at, before = state.get if state.exists else (None, 0)
         rows = pd.concat(list(parts)).sort_values("o")
-        gone, amount = rows["r"].iloc[-1], rows["m"].iloc[-1]
+        newest, gone, amount = (rows[c].tolist()[-1] for c in ("o", "r", "m"))
+        if at is not None and newest <= at:
+            return
         now = 0 if gone else int(amount)
-        state.update((now,))
+        state.update((newest, now))
         yield pd.DataFrame({group: [name[0]], measure: [now - before]})
 
     rows = stream.select(group, F.col(part).cast("string").alias("p"), F.col(order).alias("o"), F.col(removed).alias("r"), F.col(measure).cast("long").alias("m"))
     kind = rows.schema[group].dataType.simpleString()
-    return rows.groupBy(group, "p").applyInPandasWithState(run, f"{group} {kind}, {measure} long", "amount long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(group, "p").applyInPandasWithState(run, f"{group} {kind}, {measure} long", f"at {rows.schema['o'].dataType.simpleString()}, amount long", "append", GroupStateTimeout.NoTimeout)
 
 
 def parse_chunks(stream: DataFrame, key: str, order: str, text: str, separator: str = "\n\n") -> DataFrame:
