@@ -204,35 +204,35 @@ def _versions(spark, d):
 
 @query("WITH a AS (SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id")
 def merge_increment(spark, d):
-    from quern.sources import writers
+    from quern.sources import ranged
 
     path = scratch(spark)
     o = load(spark, d, "orders")
     for odd in (0, 1):
-        writers.merge_increment(o.filter(f"o_orderkey % 2 = {odd}").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n")), path, ["id"], ["n"])
-    return spark.read.parquet(path)
+        ranged.increment(o.filter(f"o_orderkey % 2 = {odd}").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n")), path, ["id"], ["n"])
+    return ranged.read(spark, path)
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'second' WHEN c_custkey % 2 = 0 THEN 'first' END AS name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
 def merge_overwrite(spark, d):
-    from quern.sources import writers
+    from quern.sources import ranged
 
     path = scratch(spark)
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    writers.merge_overwrite(c.filter("id % 2 = 0").withColumn("name", F.lit("first")), path, ["id"])
-    writers.merge_overwrite(c.filter("id % 3 = 0").withColumn("name", F.lit("second")), path, ["id"])
-    return spark.read.parquet(path)
+    ranged.upsert(c.filter("id % 2 = 0").withColumn("name", F.lit("first")), path, ["id"])
+    ranged.upsert(c.filter("id % 3 = 0").withColumn("name", F.lit("second")), path, ["id"])
+    return ranged.read(spark, path)
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'first' ELSE 'second' END AS name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
 def insert_ignore(spark, d):
-    from quern.sources import writers
+    from quern.sources import ranged
 
     path = scratch(spark)
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    writers.insert_ignore(c.filter("id % 2 = 0").withColumn("name", F.lit("first")), path, ["id"])
-    writers.insert_ignore(c.filter("id % 3 = 0").withColumn("name", F.lit("second")), path, ["id"])
-    return spark.read.parquet(path)
+    ranged.insert_ignore(c.filter("id % 2 = 0").withColumn("name", F.lit("first")), path, ["id"])
+    ranged.insert_ignore(c.filter("id % 3 = 0").withColumn("name", F.lit("second")), path, ["id"])
+    return ranged.read(spark, path)
 
 
 @query("WITH r AS (SELECT n_regionkey AS k, n_nationkey AS cost, n_nationkey % 3 AS pri FROM nation), h AS (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY pri) AS p FROM r) SELECT k, CAST(count(*) AS BIGINT) AS n, CAST(min(cost) AS INTEGER) AS cheapest FROM h WHERE p = 1 GROUP BY k HAVING count(*) > 0")

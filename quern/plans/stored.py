@@ -9,7 +9,7 @@ from quern.operators import extend
 from quern.plans.registry import query
 from quern.plans.usage import U, usage
 from quern.session import load, scratch
-from quern.sources import readers, writers
+from quern.sources import ranged, readers, writers
 from quern.streaming import counters, flow
 
 # files
@@ -89,10 +89,10 @@ def revive_and_purge(spark, d):
     """An upsert of one column that revives what was deleted, then a scoped delete."""
     path = scratch(spark)
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "gone").alias("deleted"))
-    c.write.parquet(path)
-    writers.merge_columns(c.filter("id % 3 = 0").select("id", F.lit("renamed").alias("name")), path, ["id"], ["name"], revive="deleted")
-    writers.without(path, spark, (F.col("deleted") == "gone") & (F.col("id") % 5 == 0))
-    return spark.read.parquet(path)
+    ranged.create(c, path, ["id"])
+    ranged.set_columns(c.filter("id % 3 = 0").select("id", F.lit("renamed").alias("name")), path, ["id"], ["name"], revive="deleted")
+    ranged.delete(spark, path, (F.col("deleted") == "gone") & (F.col("id") % 5 == 0))
+    return ranged.read(spark, path)
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS version FROM orders")
@@ -118,31 +118,48 @@ def upserted_periods(spark, d):
 def accumulated_usage(spark, d):
     path, bound = scratch(spark), F.lit("2024-01-20").cast("timestamp_ntz")
     u = usage(spark, d)
-    u.filter(F.col("time") < bound).groupBy("session").agg(F.sum("cents").alias("usage"), F.max("time").alias("updated")).write.parquet(path)
-    later = u.filter(F.col("time") >= bound).groupBy("session").agg(F.sum("cents").alias("cost"), F.max("time").alias("at"))
-    writers.accumulate(later, path, "session", "usage", "updated", F.col("at") - F.make_dt_interval(days=F.lit(6)))
-    return spark.read.parquet(path).select("session", "usage")
+    stored = u.filter(F.col("time") < bound).groupBy("session").agg(F.sum("cents").alias("usage"), F.max("time").alias("updated"))
+    later = u.filter(F.col("time") >= bound).groupBy("session").agg(F.sum("cents").alias("usage"), F.max("time").alias("updated"))
+    ranged.create(stored, path, ["session"])
+    grown = writers.accumulate_or_reset(F.col("old.usage"), F.col("old.updated"), F.col("new.updated") - F.make_dt_interval(days=F.lit(6)), F.col("new.usage"))
+    ranged.merge(later, path, ["session"], {"usage": grown, "updated": F.col("new.updated")})
+    return ranged.read(spark, path).select("session", "usage")
 
 
 @query("SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 2 = 0 AND c_nationkey < 20 THEN 20 ELSE c_nationkey END AS INTEGER) AS n FROM customer")
 def conditional_upsert(spark, d):
     path = scratch(spark)
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"))
-    c.filter("id % 7 <> 0").write.parquet(path)
+    ranged.create(c.filter("id % 7 <> 0"), path, ["id"])
     newer = c.filter("id % 2 = 0").withColumn("n", F.when((F.col("id") % 7 == 0) & (F.col("n") >= 20), F.col("n")).otherwise(20))
-    writers.merge_where(newer.unionByName(c.filter("id % 2 = 1 and id % 7 = 0")), path, ["id"], F.col("new.n") > F.col("n"))
-    return spark.read.parquet(path)
+    ranged.merge(newer.unionByName(c.filter("id % 2 = 1 and id % 7 = 0")), path, ["id"], where=F.col("new.n") > F.col("old.n"))
+    return ranged.read(spark, path)
 
 
 @query("SELECT c_custkey AS id, CASE WHEN n.cents IS NULL THEN 'none' ELSE 'some' END AS mark, n.cents FROM customer LEFT JOIN (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) n ON n.o_custkey = c_custkey")
 def updated_from_join(spark, d):
     """An update of stored rows from an aggregate over another table; keys that are not stored are left out."""
     path = scratch(spark)
-    load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("none").alias("mark"), F.lit(None).cast("long").alias("cents")).write.parquet(path)
+    ranged.create(load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("none").alias("mark"), F.lit(None).cast("long").alias("cents")), path, ["id"])
     o = load(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
     more = spark.createDataFrame([(-1, 5)], "id long, cents long")
-    writers.update_from(o.unionByName(more).withColumn("mark", F.lit("some")), path, ["id"], ["mark", "cents"])
-    return spark.read.parquet(path)
+    ranged.set_columns(o.unionByName(more).withColumn("mark", F.lit("some")), path, ["id"], ["mark", "cents"], insert=False)
+    return ranged.read(spark, path)
+
+
+@query("WITH l AS (SELECT l_orderkey AS id, CAST(count(*) AS BIGINT) AS lines FROM lineitem GROUP BY 1) SELECT o_orderkey AS id, CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 'late' ELSE o_orderstatus END AS status, coalesce(lines, 0) AS lines FROM orders LEFT JOIN l ON l.id = o_orderkey WHERE o_orderstatus <> 'P'")
+def ranged_orders(spark, d):
+    """All orders in key ranges: line counts added up in two batches, one period replaced, one status deleted, earlier states dropped."""
+    path = scratch(spark)
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_orderdate")
+    ranged.create(o.select("id", "status", F.lit(0).cast("long").alias("lines")), path, ["id"])
+    for first in (True, False):
+        lines = load(spark, d, "lineitem").filter((F.col("l_linenumber") <= 3) == F.lit(first)).select(F.col("l_orderkey").alias("id"), F.lit(1).cast("long").alias("lines"))
+        ranged.increment(lines, path, ["id"], ["lines"])
+    ranged.set_columns(o.filter("o_orderdate >= timestamp_ntz '1997-01-01'").select("id", F.when(F.col("status") == "P", "P").otherwise("late").alias("status")), path, ["id"], ["status"])
+    ranged.delete(spark, path, F.col("status") == "P")
+    ranged.vacuum(spark, path)
+    return ranged.read(spark, path)
 
 
 @query("WITH m AS (SELECT year(o_orderdate) AS y, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1), l AS (SELECT *, n - lag(n, 1, 0) OVER (ORDER BY y) AS dn, f - lag(f, 1, 0) OVER (ORDER BY y) AS df FROM m) SELECT '| ' || y || '-01-01 | ' || format('{:,}', n) || ' (' || CASE WHEN dn < 0 THEN '-' ELSE '+' END || format('{:,}', abs(dn)) || ') | ' || format('{:,}', f) || ' (' || CASE WHEN df < 0 THEN '-' ELSE '+' END || format('{:,}', abs(df)) || ') |' AS line FROM l")
