@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions import walk
+
 #: What counts as a secret.
 SECRETS = (
     ("bearer token", r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{16,}\b"),
@@ -39,11 +41,32 @@ def environment_secrets(environment: dict[str, str]) -> dict[str, str]:
     return {k: v for k, v in environment.items() if re.search(SECRET_NAMES, k) and len(v) >= SECRET_LENGTH and v.lower() not in SAFE_VALUES}
 
 
+#: Any secret: a text is looked through once, and only what this finds is looked at kind by kind.
+ANY_SECRET = "|".join(f"(?:{p})" for _, p in SECRETS)
+
+
+def _reasons(text: Column, environment: dict[str, str] | None) -> tuple[Column, Column]:
+    """(whether a text holds any secret, the kinds that it holds)."""
+    own = environment_secrets(environment or {})
+    held = text.rlike(ANY_SECRET)
+    for v in own.values():
+        held = held | text.contains(v)
+    kinds = [F.when(text.rlike(p), F.lit(label)) for label, p in SECRETS]
+    kinds += [F.when(text.contains(v), F.lit(f"environment secret {k}")) for k, v in own.items()]
+    return held, F.array_compact(F.array(*kinds))
+
+
 def secret_findings(df: DataFrame, ident: str, text: str, environment: dict[str, str] | None = None) -> DataFrame:
     """(ident, reason): one row for each kind of secret found in a text, and for each secret variable of ``environment`` whose value it holds."""
-    kinds = [F.when(F.col(text).rlike(p), F.lit(label)) for label, p in SECRETS]
-    kinds += [F.when(F.col(text).contains(v), F.lit(f"environment secret {k}")) for k, v in environment_secrets(environment or {}).items()]
-    return df.select(ident, F.explode(F.array_compact(F.array(*kinds))).alias("reason"))
+    held, kinds = _reasons(F.col(text), environment)
+    return df.filter(held).select(ident, F.explode(kinds).alias("reason"))
+
+
+def secret_paths(df: DataFrame, ident: str, body: str, environment: dict[str, str] | None = None) -> DataFrame:
+    """(ident, path, reason): the same for every string in JSON texts, with its path such as ``a.b[0].c``."""
+    held, kinds = _reasons(F.col("value"), environment)
+    found = walk.strings(walk.leaves(df.select(ident, body), body))
+    return found.filter(held).select(ident, "path", F.explode(kinds).alias("reason"))
 
 
 def redact_secrets(text: Column, mark: str = "[redacted]") -> Column:

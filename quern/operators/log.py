@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from quern.functions import walk
+
 
 def gaps(log: DataFrame, key: str, seq: str) -> DataFrame:
     """(key, seq, expected) where an event does not follow the one before it."""
@@ -139,36 +141,16 @@ def visible_history(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session").applyInPandas(one, "session string, position long, id string")
 
 
-def _leaves(x, path: str = "$") -> Iterator[tuple[str, str]]:
-    if isinstance(x, dict):
-        for k in sorted(x):
-            yield from _leaves(x[k], f"{path}.{k}")
-    elif isinstance(x, list):
-        for i, v in enumerate(x):
-            yield from _leaves(v, f"{path}[{i}]")
-    else:
-        yield path, json.dumps(x, ensure_ascii=False)
-
-
 def flat_json(rows: DataFrame, ident: str, body: str) -> DataFrame:
-    """(id, path, value): every leaf of JSON texts with its path."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([(i, *leaf) for i, x in zip(part["id"], part["x"], strict=True) if x for leaf in _leaves(json.loads(x))], columns=["id", "path", "value"])
-
-    return rows.select(F.col(ident).cast("long").alias("id"), F.col(body).alias("x")).mapInPandas(run, "id long, path string, value string")
+    """(id, path, value: JSON): every leaf of JSON texts with its path, which begins with ``$``."""
+    found = walk.leaves(rows.select(F.col(ident).cast("long").alias("id"), F.col(body).alias("body")), "body", "$")
+    return found.select("id", "path", F.to_json("value").alias("value"))
 
 
 def deep_diff(pairs: DataFrame, ident: str, left: str, right: str) -> DataFrame:
     """(id, path, a, b): the leaves at which two JSON texts differ."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for ident_, a, b in zip(part["id"], part["a"], part["b"], strict=True):
-                a, b = dict(_leaves(json.loads(a))), dict(_leaves(json.loads(b)))
-                out += [(ident_, p, a.get(p), b.get(p)) for p in sorted({*a, *b}) if a.get(p) != b.get(p)]
-            yield pd.DataFrame(out, columns=["id", "path", "a", "b"])
-
-    return pairs.select(F.col(ident).cast("long").alias("id"), F.col(left).alias("a"), F.col(right).alias("b")).mapInPandas(run, "id long, path string, a string, b string")
+    sides = pairs.select(F.col(ident).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.inline(F.array(F.struct(F.lit(True).alias("first"), F.col(left).alias("body")), F.struct(F.lit(False).alias("first"), F.col(right).alias("body")))))
+    found = walk.leaves(sides, "body", "$").select("id", "row", "first", "path", F.to_json("value").alias("value"))
+    side = lambda first: F.max(F.when(F.col("first") == F.lit(first), F.col("value")))
+    met = found.groupBy("row", "id", "path").agg(side(True).alias("a"), side(False).alias("b"))
+    return met.filter(~F.col("a").eqNullSafe(F.col("b"))).select("id", "path", "a", "b")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.operators import analytic
 from quern.plans import sessions
 from quern.plans.registry import ORACLES, query
 from quern.plans.stored import _append, rolling_usage_stream
 from quern.plans.usage import usage
 from quern.session import load, scratch
+from quern.sources import paged, sink
 from quern.streaming import flow, keyed, projection
 
 #: Batches that a table is dealt into.
@@ -65,3 +67,54 @@ def message_stream(spark, d):
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     flow.drain(projection.changes(shuffled(spark, twice), "conv_id", "seq", "id", "kind", "data"), projection.table_sink(path), scratch(spark))
     return sessions.list_columns(projection.table(spark, path).withColumnRenamed("key", "session").withColumn("type", F.get_json_object("row", "$.type")), "row")
+
+
+PAGE = 500
+COLUMNS = "o_orderkey long, o_custkey long, status string"
+
+
+def _numbered_orders(spark, d):
+    o = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), F.col("o_orderstatus").alias("status"))
+    return analytic.running_total(o, ["o_orderkey"], F.lit(1), "place")
+
+
+def _write_pages(rows, folder):
+    """One file of JSON lines a page, in order."""
+    pages = rows.withColumn("page", F.floor((F.col("place") - 1) / PAGE))
+    pages.repartition("page").sortWithinPartitions("page", "place").drop("place").write.mode("overwrite").partitionBy("page").json(folder)
+
+
+def _pages(spark, reader, folder):
+    spark.dataSource.register(paged.Pages)
+    return reader.format("pages").options(fetch=f"{paged.__name__}:{paged.file_page.__name__}", folder=folder, size=str(PAGE), columns=COLUMNS).load()
+
+
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus AS status FROM orders")
+def paged_orders(spark, d):
+    """Orders from page files, whose number nobody says, read by many tasks."""
+    folder = scratch(spark)
+    _write_pages(_numbered_orders(spark, d), folder)
+    return _pages(spark, spark.read, folder)
+
+
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus AS status FROM orders")
+def paged_stream(spark, d):
+    """The same as a stream, stopped while the last page is half full, and taken up again when there are more."""
+    folder, path, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    rows = _numbered_orders(spark, d)
+    first = rows.agg(F.floor(F.count("*") * 0.55)).first()[0]
+    for part in (rows.filter(F.col("place") <= first), rows):
+        _write_pages(part, folder)
+        flow.drain(_pages(spark, spark.readStream, folder), _append(path), checkpoint)
+    return spark.read.parquet(path).drop("batch")
+
+
+@query("SELECT CASE event_id % 3 WHEN 0 THEN 'data/lake/' || event_type || '/' WHEN 1 THEN 'errors/no-route/' ELSE 'errors/no-json/' END AS folder, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY ALL")
+def routed_lake(spark, d):
+    """Events written by their route, batch by batch; what has none or is no JSON goes under an error prefix as it came."""
+    path, i = scratch(spark), F.col("event_id")
+    bodies = F.when(i % 3 == 0, F.to_json(F.struct(F.concat(F.lit("lake."), "event_type").alias("_datalake_key"), "event_id"))).when(i % 3 == 1, F.to_json(F.struct(F.lit("nowhere").alias("_datalake_key"), "event_id"))).otherwise(F.concat(F.lit("plain event_id: "), i.cast("string")))
+    stream = shuffled(spark, load(spark, d, "events").select(bodies.alias("body")))
+    assert sink.start(sink.events(stream), path, scratch(spark), every=None, bytes="20000").awaitTermination(3600)
+    rows = sink.committed(spark, path, "").select(F.regexp_extract("file", "^(.*/)[^/]*$", 1).alias("folder"), F.regexp_extract("payload", r'event_id"?: ?"?(\d+)', 1).cast("long").alias("id"))
+    return rows.groupBy("folder").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
