@@ -58,19 +58,32 @@ def copy_with_ids(rows: DataFrame, ident: str, references: list[str], new_id: Co
 
 
 def descendants(spark, rows: DataFrame, ident: str, parent: str, root) -> DataFrame:
-    """(ident, depth) of a node and all below it, however deep and many: level by level, each written before the next one."""
-    tree = rows.select(F.col(ident).alias("id"), F.col(parent).alias("parent"))
-    path, depth = scratch(spark), 0
-    level = tree.filter(F.col("id") == root).select("id", F.lit(0).alias("depth"))
+    """(ident, depth) of a node and all below it, however deep and many, by pointer doubling.
+
+    After k rounds every node points 2**k steps up, or to ``root`` with the number of steps to it where that is nearer; so a
+    depth of d takes log d rounds, each written before the next one.  Nodes whose way up ends elsewhere drop out when
+    they reach its end; those on a ring, or below one, never reach ``root`` nor an end, and go when as many steps have
+    been taken as there are nodes.  A ring through ``root`` ends where it began.  Of rows that repeat an id each
+    way counts, and the shortest one gives the depth.
+    """
+    tree = rows.select(F.col(ident).alias("id"), F.col(parent).alias("up")).filter("id is not null").distinct()
+    start = tree.filter(F.col("id") == root).select("id").distinct().withColumn("depth", F.lit(0))
+    if start.isEmpty():
+        return start
+    path, step, far = scratch(spark), 0, 1
+    ways = tree.filter((F.col("id") != root) & F.col("up").isNotNull()).withColumn("steps", F.lit(1))
     while True:
-        level.write.parquet(f"{path}/{depth}")
-        done = spark.read.schema(level.schema).parquet(*[f"{path}/{i}" for i in range(depth + 1)])
-        last = done.filter(F.col("depth") == depth)
-        if last.isEmpty():
-            return done
-        depth += 1
-        below = tree.join(last.select(F.col("id").alias("parent")), "parent").select("id")
-        level = below.join(done, "id", "left_anti").distinct().withColumn("depth", F.lit(depth))  # a ring ends where it began
+        ways.write.parquet(f"{path}/{step}")
+        ways = spark.read.schema(ways.schema).parquet(f"{path}/{step}")
+        arrived, going = ways.filter(F.col("up") == root), ways.filter(F.col("up") != root)
+        left = going.count()
+        if not left or far > left + arrived.count():
+            break
+        above = ways.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        on = going.join(above, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
+        ways = arrived.union(on).groupBy("id", "up").agg(F.min("steps").alias("steps"))
+        step, far = step + 1, far * 2
+    return start.union(arrived.groupBy("id").agg(F.min("steps").alias("depth")))
 
 
 def first_wins(*frames: DataFrame, key: str) -> DataFrame:
