@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import itertools
 import re
 from collections.abc import Iterator
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions import lines as by_lines
 from quern.functions import walk
 
 #: What counts as a secret.
@@ -264,13 +265,19 @@ def html_markdown(html: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def unified_patch(old: pd.Series, new: pd.Series) -> pd.Series:
-    """A unified patch with the whole file as context."""
+    """A unified patch with the whole text as context."""
+    return pd.Series([by_lines.unified(a or "", b or "") for a, b in zip(old, new, strict=True)])
 
-    def one(a, b):
-        a, b = (a or "").splitlines(True), (b or "").splitlines(True)
-        return "".join(difflib.unified_diff(a, b, "old", "new", n=max(len(a), len(b))))
 
-    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
+def patch_side(patch: Column, new: bool) -> Column:
+    """The text before or after a patch that has the whole text as context."""
+    every = F.slice(F.split(patch, "\n", -1), 4, 1 << 30)
+    own = lambda x: F.substring(x, 1, 1).isin(" ", "+" if new else "-")
+    # the mark of a missing line end belongs to the line before it
+    rows = F.filter(every, lambda x, i: own(x) | (x.startswith("\\") & F.coalesce(own(F.get(every, i - 1)), F.lit(False))))
+    kept = F.transform(F.filter(rows, lambda x: ~x.startswith("\\")), lambda x: F.substring(x, 2, 1 << 30))
+    cut = F.coalesce(F.element_at(rows, -1).startswith("\\"), F.lit(False))
+    return F.when(F.size(kept) == 0, "").otherwise(F.concat(F.array_join(kept, "\n"), F.when(cut, "").otherwise("\n")))
 
 
 def diff_stats(numstat: DataFrame, status: DataFrame) -> DataFrame:
@@ -283,46 +290,6 @@ def diff_stats(numstat: DataFrame, status: DataFrame) -> DataFrame:
     return counts.join(letters, "file", "left").select("file", "additions", "deletions", names.alias("status"))
 
 
-def _similarity(a: str, b: str) -> float:
-    longest = max(len(a), len(b))
-    if not longest:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / longest
-
-
-def locate_block(content: str, block: str) -> tuple[int, int] | None:
-    """The lines [from, to) of ``content`` that best fit ``block``, anchored on its first and last line (trimmed).
-
-    One candidate is always taken; of several the most similar one, if its inner lines are 0.3 similar on average.
-    """
-    have, want = content.split("\n"), block.rstrip("\n").split("\n")
-    if len(want) < 3:
-        return None
-    head, tail = want[0].strip(), want[-1].strip()
-    spans = []
-    for i, line in enumerate(have):
-        if line.strip() == head:
-            j = next((j for j in range(i + 2, len(have)) if have[j].strip() == tail), None)
-            if j is not None:
-                spans.append((i, j + 1))
-    if not spans:
-        return None
-
-    def score(span):
-        inner = min(len(want), span[1] - span[0]) - 2
-        return sum(_similarity(have[span[0] + k].strip(), want[k].strip()) for k in range(1, inner + 1)) / inner if inner > 0 else 1.0
-
-    if len(spans) == 1:
-        return spans[0]
-    best = max(spans, key=score)
-    return best if score(best) >= 0.3 else None
-
-
 #: What a backslash and a letter stand for in an edit's text.
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "'": "'", '"': '"', "`": "`", "\\": "\\", "\n": "\n", "$": "$"}
 
@@ -342,54 +309,78 @@ def _dedent(x: str) -> str:
 
 
 def _candidates(content: str, old: str) -> Iterator[Iterator[str]]:
-    """For each matcher in turn the parts of ``content`` that it takes for ``old``."""
-    have, want = content.split("\n"), old.split("\n")
-    short = want[:-1] if len(want) > 1 and want[-1] == "" else want
-    windows = lambda n: ("\n".join(have[i : i + n]) for i in range(len(have) - n + 1))
-    alike = lambda n, f: (x for x in windows(n) if f(x))
+    """For each matcher in turn the parts of ``content`` that it takes for ``old``, in their order."""
+    index, want = by_lines.Index(content), old.split("\n")
+    have, n = index.lines, len(want)
+    short = want[:-1] if n > 1 and want[-1] == "" else want
+    alike = lambda n, f: (x for x in (index.part(i, i + n) for i in range(len(have) - n + 1)) if f(x))
+
+    def by_line() -> Iterator[str]:
+        for i in index.runs([x.strip() for x in short]):
+            yield index.part(i, i + len(short))
 
     def anchored() -> Iterator[str]:
-        if span := locate_block(content, old):
-            yield "\n".join(have[span[0] : span[1]])
+        if span := by_lines.locate_block(index, old):
+            yield index.part(*span)
 
     def spaced() -> Iterator[str]:
-        plain = _squeeze(old)
-        pattern = re.compile(r"\s+".join(map(re.escape, old.split())))
-        for line in have:
-            if _squeeze(line) == plain:
+        plain, words = _squeeze(old), old.split()
+        pattern = re.compile(r"\s+".join(map(re.escape, words)))
+        split = [x.split() for x in have]
+        for line, own in zip(have, split, strict=True):
+            if own == words:
                 yield line
-            elif plain in _squeeze(line) and (found := pattern.search(line)):
+            elif plain in (squeezed := " ".join(own)) and squeezed and (found := pattern.search(line)):
                 yield found[0]
-        if len(want) > 1:
-            yield from alike(len(want), lambda x: _squeeze(x) == plain)
+        if n > 1:
+            flat, first = [w for own in split for w in own], [0, *itertools.accumulate(map(len, split))]
+            for i in range(len(have) - n + 1):
+                s, e = first[i], first[i + n]
+                if e - s == len(words) and flat[s:e] == words:
+                    yield index.part(i, i + n)
+
+    def dedented() -> Iterator[str]:
+        plain = _dedent(old)
+        for i in index.runs([x.strip() for x in want]):
+            if _dedent(x := index.part(i, i + n)) == plain:
+                yield x
 
     def escaped() -> Iterator[str]:
         meant = _unescape(old)
         yield from [meant] * (meant in content)
-        yield from alike(meant.count("\n") + 1, lambda x: _unescape(x) == meant)
+        if "\\" in content:  # else nothing is there to be read otherwise
+            yield from alike(meant.count("\n") + 1, lambda x: _unescape(x) == meant)
 
     def trimmed() -> Iterator[str]:
-        if (bare := old.strip()) != old:
-            yield from [bare] * (bare in content)
-            yield from alike(len(want), lambda x: x.strip() == bare)
+        if (bare := old.strip()) == old:
+            return
+        yield from [bare] * (bare in content)
+        if not bare:
+            yield from alike(n, lambda x: not x.strip())
+            return
+        starts = [0, *itertools.accumulate(len(x) + 1 for x in have)]
+        spare, found, p = n - bare.count("\n") - 1, set(), content.find(bare)
+        while p >= 0:  # the windows around each place at which it stands
+            line = bisect.bisect_right(starts, p) - 1
+            found |= {i for i in range(max(0, line - spare), min(line, len(have) - n) + 1) if index.part(i, i + n).strip() == bare}
+            p = content.find(bare, p + 1)
+        yield from (index.part(i, i + n) for i in sorted(found))
 
     def in_context() -> Iterator[str]:
-        if len(want) < 3:
+        if n < 3:
             return
-        head, tail = short[0].strip(), short[-1].strip()
-        for i, line in enumerate(have):
-            end = next((j for j in range(i + 2, len(have)) if have[j].strip() == tail), None) if line.strip() == head else None
-            if end is not None and end + 1 - i == len(short):
-                pairs = [(a.strip(), b.strip()) for a, b in zip(have[i + 1 : end], short[1:-1], strict=True)]
+        for i, end in index.spans(short[0].strip(), short[-1].strip()):
+            if end - i == len(short):
+                pairs = [(a, b.strip()) for a, b in zip(index.bare[i + 1 : end - 1], short[1:-1], strict=True)]
                 filled = [a == b for a, b in pairs if a or b]
                 if 2 * sum(filled) >= len(filled):
-                    yield "\n".join(have[i : end + 1])
+                    yield index.part(i, end)
 
     yield iter([old])
-    yield alike(len(short), lambda x: [r.strip() for r in x.split("\n")] == [r.strip() for r in short])
+    yield by_line()
     yield anchored()
     yield spaced()
-    yield alike(len(want), lambda x: _dedent(x) == _dedent(old))
+    yield dedented()
     yield escaped()
     yield trimmed()
     yield in_context()
@@ -430,19 +421,21 @@ def apply_replacements(edits: DataFrame) -> DataFrame:
     return edits.mapInPandas(run, "id long, content string, error string")
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_score(target: pd.Series, query: pd.Series) -> pd.Series:
+def fuzzy_fits(target: Column, query: str) -> Column:
+    """Whether the letters of a query are in a text in their order: what a score is worth computing for."""
+    return F.lower(target).like("%" + "".join(re.sub(r"([%_\\])", r"\\\1", c) + "%" for c in query.lower()))
+
+
+def fuzzy_score(target: Column | str, query: Column | str) -> Column:
     """How well a query fits as a subsequence: 1 for an unbroken match at the start, less with gaps and distance, null for none."""
+    t, q = (F.lower(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))) for x in (target, query))
+
+    def found(s: Column, c: Column) -> Column:
+        i = F.position(c, t, s["at"] + 1)  # from 1; 0 where it is not there
+        gaps = s["gaps"] + F.when(s["first"] >= 0, i - 1 - s["at"]).otherwise(0)
+        first = F.when(s["first"] >= 0, s["first"]).otherwise(i - 1)
+        return F.when(~s["fits"] | (i == 0), F.struct(s["at"].alias("at"), s["gaps"].alias("gaps"), s["first"].alias("first"), F.lit(False).alias("fits"))).otherwise(F.struct(i.alias("at"), gaps.alias("gaps"), first.alias("first"), F.lit(True).alias("fits")))
 
-    def one(t, q):
-        t, q, at, gaps, first = (t or "").lower(), (q or "").lower(), 0, 0, None
-        for c in q:
-            i = t.find(c, at)
-            if i < 0:
-                return None
-            gaps += i - at if first is not None else 0
-            first = i if first is None else first
-            at = i + 1
-        return 1.0 / (1.0 + gaps + 0.1 * (first or 0) + 0.01 * (len(t) - len(q)))
-
-    return pd.Series([one(t, q) for t, q in zip(target, query, strict=True)], dtype="float64")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("gaps"), F.lit(-1).alias("first"), F.lit(True).alias("fits"))
+    score = lambda s: F.when(s["fits"], 1.0 / (F.lit(1.0) + s["gaps"] + F.lit(0.1) * F.greatest(s["first"], F.lit(0)) + F.lit(0.01) * (F.length(t) - F.length(q))))
+    return F.aggregate(F.filter(F.split(q, ""), lambda c: c != ""), start, found, score)

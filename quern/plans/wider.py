@@ -326,6 +326,16 @@ def replacements(spark, d):
     return text.apply_replacements(e.select(F.col("event_id").alias("id"), content.alias("content"), pick(1).alias("old"), pick(2).alias("new"), F.lit(False).alias("everywhere")))
 
 
+@query("SELECT doc_id AS id, md5(coalesce(text, '') || chr(10) || 'done ' || doc_id || chr(10) || coalesce(text, '')) AS content, CAST(NULL AS VARCHAR) AS error FROM documents")
+def document_edits(spark, d):
+    """A block in the midst of whole documents, found by its trimmed lines and, in every other one, by its first and last line."""
+    i, text_ = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    content = F.concat(text_, F.lit("\n  begin "), i, F.lit("\n    value = 1\n\tend "), i, F.lit("\n"), text_)
+    old = F.concat(F.lit("begin "), i, F.when(F.col("doc_id") % 2 == 0, "\nvalue = 1\nend ").otherwise("\nvalue = 12\nend "), i)
+    edits = load(spark, d, "documents").select(F.col("doc_id").alias("id"), content.alias("content"), old.alias("old"), F.concat(F.lit("done "), i).alias("new"), F.lit(False).alias("everywhere"))
+    return text.apply_replacements(edits).withColumn("content", F.md5("content"))
+
+
 @query("SELECT 'f' || event_id AS file, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 50 END AS additions, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 20 END AS deletions, CASE event_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS status FROM events")
 def diff_stats(spark, d):
     i = F.col("event_id")
