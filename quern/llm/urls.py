@@ -102,5 +102,9 @@ def judge(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str
     told = seen.select(address(F.col("u")).alias("named"), rule_of(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v")).filter("named is not null and v is not null").distinct()
     votes = roots.join(told, roots["node"] == told["named"]).groupBy("root").agg(F.max((F.col("v") == "allow").cast("int")).alias("allowed"))
     alias = store.table(roots.join(votes, "root").select("node", F.when(F.col("allowed") == 1, "allow").otherwise("block").alias("inherited")), "aliases", owner)
-    done = rows.join(alias, rows["address"] == alias["node"], "left")
+    # pages without an address meet no alias, and don't meet one another under a null key
+    spread = F.when(F.col("address").isNull(), F.xxhash64("page_id", "host", "path")).otherwise(F.lit(0).cast("long"))
+    alias = alias.withColumn("__spread", F.lit(0).cast("long"))
+    rows = rows.withColumn("__spread", spread)
+    done = rows.join(alias, (rows["address"] == alias["node"]) & (rows["__spread"] == alias["__spread"]), "left")
     return done.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("inherited"), F.lit("allow")).alias("verdict"))

@@ -54,3 +54,10 @@ def test_planted_links_match_the_sql(spark, tmp_path):
     assert got == sorted(map(str, want))
     inherited = [r for r in want if r[3] is None and r[4] == "block"]
     assert len(inherited) > 10
+
+
+def test_many_pages_without_an_address(spark):
+    """Null, blank and relative urls are allowed, each as a row of its own."""
+    rows = [(i, [None, "", "no scheme", "://"][i % 4], '<link rel="canonical" href="http://example.net/de/8">') for i in range(400)] + [(1000, "http://x.org/es/1", None), (1001, "http://y.org/1", '<link rel=canonical href="http://x.org/es/1">')]
+    got = {r.page_id: (r.host, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 402 and all(got[i] == ("", "allow") for i in range(400)) and got[1000][1] == got[1001][1] == "block"
