@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import analytic
-from quern.plans import sessions
+from quern.plans import more, sessions
 from quern.plans.registry import ORACLES, query
 from quern.plans.stored import _append, rolling_usage_stream
 from quern.plans.usage import usage
@@ -118,3 +120,54 @@ def routed_lake(spark, d):
     assert sink.start(sink.events(stream), path, scratch(spark), every=None, bytes="20000").awaitTermination(3600)
     rows = sink.committed(spark, path, "").select(F.regexp_extract("file", "^(.*/)[^/]*$", 1).alias("folder"), F.regexp_extract("payload", r'event_id"?: ?"?(\d+)', 1).cast("long").alias("id"))
     return rows.groupBy("folder").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
+def _until(stream_query, done, seconds=120):
+    """Lets a stream that has no end run until ``done`` is true, or it has failed, or so many seconds have gone."""
+    try:
+        for _ in range(seconds * 5):
+            if done() or not stream_query.isActive:
+                break
+            time.sleep(0.2)
+    finally:
+        stream_query.stop()
+    if failed := stream_query.exception():
+        raise failed
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, false AS beats FROM events GROUP BY event_type UNION ALL SELECT 'heartbeat', NULL, true")
+def heartbeat_stream(spark, d):
+    """Events as they come, with a heartbeat in between."""
+    path, seen = scratch(spark), {"rows": 0, "beats": 0}
+    e = load(spark, d, "events").select("event_id", "event_type")
+    total = e.count()
+
+    def sink(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        r = spark.read.schema(batch.schema).parquet(f"{path}/batch={number}").agg(F.count_if(F.col("event_type") == "heartbeat"), F.count("*")).first()
+        seen["beats"], seen["rows"] = seen["beats"] + r[0], seen["rows"] + r[1] - r[0]
+
+    _until(flow.start(flow.with_heartbeat(spark, shuffled(spark, e), "event_type", 1), sink, scratch(spark), every="0 seconds"), lambda: seen["rows"] >= total and seen["beats"])
+    beat = F.col("event_type") == "heartbeat"
+    return spark.read.parquet(path).groupBy("event_type").agg(F.when(~F.first(beat), F.count("event_id")).alias("n"), F.first(beat).alias("beats"))
+
+
+@query(ORACLES[more.late_recompute.__name__])
+def refresh_stream(spark, d):
+    """A refresh at a fixed rate, whose first pass fails: the next one makes up for it."""
+    e = load(spark, d, "events").select("event_id", "event_type", "ts", F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    daily = lambda rows: rows.groupBy("day", "event_type").agg(F.sum("k").alias("tokens"))
+    path, passes = scratch(spark), []
+    daily(e.filter("event_id % 10 <> 0 and ts < timestamp_ntz '2024-01-24'")).write.partitionBy("day").parquet(path)
+
+    def refresh(batch, number):
+        if len(passes) < 2:
+            passes.append(number)
+            if len(passes) == 1:
+                raise OSError("the first pass fails")
+            flow.refresh(e, "ts", F.lit("2024-01-25 10:00:30").cast("timestamp_ntz"), daily, path, ["day"], ["day", "event_type"])
+            passes.append("done")
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    _until(flow.start(ticks, refresh, scratch(spark), every="1 seconds", swallow=True), lambda: "done" in passes)
+    return spark.read.parquet(path)

@@ -201,6 +201,30 @@ def rolling_limits(spark, d):
     return s.select("session", status.alias("s")).select("session", "s.status", "s.reset_s", "s.percent")
 
 
+def _limit_sql(start: str, end: str) -> str:
+    """Sessions against a window's limit at 2024-01-24 12:00."""
+    return f"""WITH {U}, s AS (SELECT session, CAST(sum(cents) AS BIGINT) AS usage, date_trunc('second', max(time)) AS updated FROM u WHERE time < TIMESTAMP '2024-01-24 12:00:00' GROUP BY session)
+SELECT session, CASE WHEN updated < TIMESTAMP '{start}' OR usage < 100000 THEN 'ok' ELSE 'rate-limited' END AS status, CAST(epoch(TIMESTAMP '{end}') - epoch(TIMESTAMP '2024-01-24 12:00:00') AS BIGINT) AS reset_s,
+  CAST(CASE WHEN updated < TIMESTAMP '{start}' THEN 0 WHEN usage < 100000 THEN floor(usage * 100 / 100000.0) ELSE 100 END AS BIGINT) AS percent FROM s"""
+
+
+def _limits(spark, d, status):
+    now = F.lit("2024-01-24 12:00:00").cast("timestamp")
+    s = usage(spark, d).withColumn("at", F.col("time").cast("timestamp")).filter(F.col("at") < now).groupBy("session").agg(F.sum("cents").alias("usage"), F.date_trunc("second", F.max("at")).alias("updated"))
+    return s.select("session", status(F.col("usage"), F.lit(100_000), F.col("updated"), now).alias("s")).select("session", "s.status", "s.reset_s", "s.percent")
+
+
+@query(_limit_sql("2024-01-22", "2024-01-29"))
+def weekly_limits(spark, d):
+    return _limits(spark, d, X.weekly_status)
+
+
+@query(_limit_sql("2024-01-15 08:00:00", "2024-02-15 08:00:00"))
+def monthly_limits(spark, d):
+    """A month that begins on the day and hour of the subscription."""
+    return _limits(spark, d, lambda usage, limit, updated, now: X.monthly_status(usage, limit, updated, F.lit("2023-11-15 08:00:00").cast("timestamp"), now))
+
+
 # scalar functions
 
 
@@ -326,6 +350,22 @@ def replacements(spark, d):
     return text.apply_replacements(e.select(F.col("event_id").alias("id"), content.alias("content"), pick(1).alias("old"), pick(2).alias("new"), F.lit(False).alias("everywhere")))
 
 
+def _fnv_sql(x: str) -> str:
+    h = f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296)"
+    digit = "substr('0123456789abcdefghijklmnopqrstuvwxyz', 1 + CAST(({h} // CAST(pow(36, p) AS BIGINT)) % 36 AS INTEGER), 1)"
+    return f"ltrim(array_to_string(list_transform(range(6, -1, -1), lambda p: {digit.format(h=h)}), ''), '0')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(0, 5)) AS i, substr(text, 1 + CAST(greatest(0, least(n - 64, unnest([0, floor(n * 0.25), floor(n * 0.5), floor(n * 0.75), n - 64]) - 32)) AS INTEGER), 64) AS part FROM t WHERE n > 1000),
+s AS (SELECT doc_id, n || ':' || string_agg({_fnv_sql("part")}, ':' ORDER BY i) AS sampled FROM p GROUP BY doc_id, n)
+SELECT t.doc_id, CASE WHEN n > 0 AND n <= 1000 THEN {_fnv_sql("text")} END AS whole, CASE WHEN n > 1000 THEN sampled WHEN n > 0 THEN {_fnv_sql("text")} END AS sampled FROM t LEFT JOIN s ON s.doc_id = t.doc_id""")
+def text_checksums(spark, d):
+    """Checksums of whole texts, and of five samples of long ones."""
+    x = F.col("text")
+    return load(spark, d, "documents").select("doc_id", F.when(F.length(x) <= 1000, X.fnv1a(x)).alias("whole"), X.sampled_checksum(x, 1000, 64).alias("sampled"))
+
+
 @query("SELECT doc_id AS id, md5(coalesce(text, '') || chr(10) || 'done ' || doc_id || chr(10) || coalesce(text, '')) AS content, CAST(NULL AS VARCHAR) AS error FROM documents")
 def document_edits(spark, d):
     """A block in the midst of whole documents, found by its trimmed lines and, in every other one, by its first and last line."""
