@@ -9,7 +9,7 @@ from quern.operators import extend
 from quern.plans.registry import query
 from quern.plans.usage import U, usage
 from quern.session import load, scratch
-from quern.sources import ranged, readers, writers
+from quern.sources import listing, ranged, readers, writers
 from quern.streaming import counters, flow
 
 # files
@@ -60,6 +60,22 @@ def listed_files(spark, d):
     return found.select(F.regexp_extract("path", "^([^/]+)/", 1).alias("folder"), F.size(F.split("path", "/")).alias("depth")).distinct()
 
 
+@query("WITH f AS (SELECT DISTINCT lower(replace(p_brand, '#', '')) AS brand, p_size AS size FROM part) SELECT 'brand=' || brand || '/size=' || size AS folder FROM f WHERE NOT starts_with(brand, 'brand2') AND CASE WHEN brand = 'brand31' AND size = 11 THEN true WHEN brand = 'brand31' AND size BETWEEN 40 AND 45 THEN false ELSE size = 10 OR NOT starts_with(size::VARCHAR, '1') END")
+def ignored_files(spark, d):
+    """A tree with ignore files at two levels: what one names another takes back, and nothing comes back from an ignored folder."""
+    root = scratch(spark)
+    p = load(spark, d, "part").select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("brand"), F.col("p_size").alias("size"), "p_name")
+    p.repartition("brand").write.partitionBy("brand", "size").text(root)
+    jvm = spark.sparkContext._jvm
+    rules = {"": "size=1*/\n!size=10/\n/brand=brand2*/\n", "brand=brand31": "# here\n!size=11/\nsize=4[0-5]/\n/size=0\n", "brand=brand22": "!size=*/\n!*.txt\n"}
+    for folder, content in rules.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}/.ignore" if folder else f"{root}/.ignore")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+    return listing.listed(spark, root, "*.txt").select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct()
+
+
 @query("SELECT s_suppkey AS id, s_name || ', \"' || s_nationkey || '\"' AS name FROM supplier")
 def csv_round_trip(spark, d):
     path = scratch(spark)
