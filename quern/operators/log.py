@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,29 +115,24 @@ def visible_history(messages: DataFrame) -> DataFrame:
     Rows (session, id, role, parent, summary, finished, failed, compacts, tail_start) in id order.  A compaction is a user
     row with ``compacts``; it counts once a finished, unfailed summary answers it.  History then starts at the newest such
     compaction, or at its tail start; a retained tail comes after the summary.
-    """
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values("id").to_dict("records")
-        answered = {r["parent"] for r in rows if r["role"] == "assistant" and r["summary"] and r["finished"] and not r["failed"]}
-        start, tail, stop = 0, None, None
-        for i in range(len(rows) - 1, -1, -1):
-            r = rows[i]
-            if r["role"] == "user" and r["compacts"] and r["id"] in answered and any(x["parent"] == r["id"] for x in rows[i + 1 :]):
-                start, stop = i, i
-                if isinstance(r["tail_start"], str):
-                    tail = r["tail_start"]
-                    start = next((j for j in range(i + 1) if rows[j]["id"] == tail), 0)
-                break
-        shown = rows[start:]
-        if tail is not None and stop is not None and start < stop:
-            at = stop - start
-            answer = next((j for j in range(at + 1, len(shown)) if shown[j]["role"] == "assistant" and shown[j]["summary"] and shown[j]["parent"] == shown[at]["id"]), None)
-            if answer is not None:
-                shown = shown[at : answer + 1] + shown[:at] + shown[answer + 1 :]
-        return pd.DataFrame({"session": part["session"].iloc[0], "position": range(len(shown)), "id": [r["id"] for r in shown]})
-
-    return messages.groupBy("session").applyInPandas(one, "session string, position long, id string")
+    The newest compaction of a session and the bounds of its parts come from aggregates; one sort by part and id follows.
+    """
+    m = messages.select("session", "id", "role", "parent", "summary", "finished", "failed", "compacts", "tail_start")
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    summary = (F.col("role") == "assistant") & true("summary")
+    replies = m.filter("parent is not null").groupBy("session", F.col("parent").alias("id")).agg(F.bool_or(summary & true("finished") & ~true("failed")).alias("answered"), F.max("id").alias("last"))
+    asked = m.filter((F.col("role") == "user") & true("compacts")).join(replies, ["session", "id"]).filter("answered and last > id")
+    newest = asked.groupBy("session").agg(F.max("id").alias("stop"), F.max_by("tail_start", "id").alias("tail"))
+    answer = m.filter(summary).join(newest.select("session", F.col("stop").alias("parent")), ["session", "parent"]).filter(F.col("id") > F.col("parent")).groupBy("session").agg(F.min("id").alias("answer"))
+    tails = m.join(newest.filter("tail is not null").select("session", F.col("tail").alias("id"), "stop"), ["session", "id"]).filter(F.col("id") <= F.col("stop")).select("session", F.col("id").alias("found")).distinct()
+    bounds = newest.join(answer, "session", "left").join(tails, "session", "left")
+    start = F.when(F.col("tail").isNull(), F.col("stop")).otherwise(F.col("found"))  # null: from the first row
+    shown = m.select("session", "id").join(bounds.withColumn("start", start), "session", "left").filter("stop is null or start is null or id >= start")
+    moved = F.col("tail").isNotNull() & F.col("answer").isNotNull()
+    part = F.when(moved & (F.col("id") >= F.col("stop")) & (F.col("id") <= F.col("answer")), 0).when(moved & (F.col("id") < F.col("stop")), 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("session").orderBy(part, "id")) - 1
+    return shown.select("session", place.cast("long").alias("position"), "id")
 
 
 def flat_json(rows: DataFrame, ident: str, body: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import scratch
+
 
 def keyset(rows: DataFrame, time: str, ident: str, limit: int, before: tuple | None = None, newest_first: bool = True) -> DataFrame:
     """The rows next to a (time, id) position, which is not included."""
@@ -30,7 +32,10 @@ def page_with_more(rows: DataFrame, time: str, ident: str, limit: int, before: t
 
 
 def newest(rows: DataFrame, modified: str, order: list, limit: int = 100) -> DataFrame:
-    """The rows modified last, each with the ``total`` of all rows."""
+    """The rows modified last, each with the ``total`` of all rows, which are computed once and written in between."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     total = rows.agg(F.count("*").alias("total"))
     return rows.orderBy(F.desc(modified), *order).limit(limit).crossJoin(F.broadcast(total))  # one row
 

@@ -6,9 +6,11 @@ import itertools
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def read_csv(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -85,12 +87,51 @@ def routed(rows: DataFrame, body: str, key: str = "_datalake_key", keep: bool =
     return rows.select(*([body] if keep else []), F.nullif(F.regexp_extract(route, shape, 1), F.lit("")).alias("database"), F.nullif(F.regexp_extract(route, shape, 2), F.lit("")).alias("table"), F.to_json(F.map_filter(fields, lambda k, _: k != key)).alias("payload"), F.coalesce(route.rlike(shape), F.lit(False)).alias("ok"))
 
 
+_BLANK, _LINE = re.compile(r"\r?\n\r?\n"), re.compile(r"\r?\n")
+
+
+def _payload(frame: str) -> str:
+    return "\n".join(x[5:].lstrip(" ") for x in _LINE.split(frame) if x.startswith("data:"))
+
+
 def sse_events(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Payloads of a byte stream framed by blank lines; empty ones and the end mark are dropped."""
-    joined = chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda e: e[text]), "").alias("all"))
-    split = joined.select(key, F.posexplode(F.split("all", r"\r?\n\r?\n")).alias("position", "frame"))
-    data = F.array_join(F.transform(F.filter(F.split("frame", r"\r?\n"), lambda x: x.startswith("data:")), lambda x: F.ltrim(F.substring(x, 6, 1 << 30))), "\n")
-    return split.select(key, "position", data.alias("data")).filter("data <> '' and data <> '[DONE]'")
+    """(key, position, data): payloads of a byte stream framed by blank lines; empty ones and the end mark are dropped.
+
+    Streams are read in order, with what follows the last blank line at hand.
+    """
+    kind = to_arrow_type(chunks.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest, place, begun = None, "", 0, False
+        out: list[tuple] = []
+
+        def take(frames: list[str]) -> None:
+            nonlocal place
+            for frame in frames:
+                if (data := _payload(frame)) not in ("", "[DONE]"):
+                    out.append((now, place, data))
+                place += 1
+
+        def rows() -> pa.RecordBatch:
+            cols = [pa.array([r[i] for r in out], k) for i, k in enumerate((kind, pa.int32(), pa.string()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, [key, "position", "data"])
+
+        for batch in batches:
+            for k, x in zip(batch.column("k").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                if begun and k != now:
+                    take([rest])
+                    rest, place = "", 0
+                now, begun = k, True
+                *frames, rest = _BLANK.split(rest + (x or ""))
+                take(frames)
+            yield rows()
+        if begun:
+            take([rest])
+        yield rows()
+
+    sorted_ = chunks.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("x")).repartition("k").sortWithinPartitions("k", "o", "x")
+    return sorted_.mapInArrow(run, f"{key} {chunks.schema[key].dataType.simpleString()}, position int, data string")
 
 
 def mart_daily(mart: DataFrame, columns: list[str]) -> DataFrame:

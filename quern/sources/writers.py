@@ -12,25 +12,44 @@ from quern.sources.readers import routed
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    _restore(spark, path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _renamed(fs, old, new) -> None:
+    if not fs.rename(old, new):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
 def _swap(df: DataFrame, path: str) -> None:
-    """``df`` (which may read ``path``) in place of what is there: written beside it, then renamed."""
+    """``df`` (which may read ``path``) in place of what is there: written beside it, then renamed.
+
+    A reader may find no table between the two renames, for which :mod:`quern.sources.ranged` has none; where the driver
+    ended there, the next call puts the old table back first.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old, here = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + s) for s in ("._new", "._old", ""))
     fs = here.getFileSystem(conf)
     df.write.mode("overwrite").parquet(new.toString())
-    fs.delete(old, True)
     if fs.exists(here):
-        fs.rename(here, old)
-    fs.rename(new, here)
+        fs.delete(old, True)
+        _renamed(fs, here, old)
+    _renamed(fs, new, here)
     fs.delete(old, True)
 
 
+def _restore(spark: SparkSession, path: str) -> None:
+    """Puts back what :func:`_swap` had set aside when its driver ended."""
+    jvm = spark.sparkContext._jvm
+    old, here = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + s) for s in ("._old", ""))
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(here) and fs.exists(old):
+        _renamed(fs, old, here)
+
+
 def merge_overwrite(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Upsert: rows replace those of equal keys; of rows that repeat a key one stays."""
     spark = rows.sparkSession
@@ -51,6 +70,7 @@ def merge_increment(rows: DataFrame, path: str, keys: list[str], counters: list[
 def merge_columns(rows: DataFrame, path: str, keys: list[str], columns: list[str], revive: str | None = None) -> None:
     """Upsert of some columns; ``revive`` names a deletion time that is cleared."""
     spark = rows.sparkSession
+    _restore(spark, path)
     old = spark.read.parquet(path)
     new = rows.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
     met = old.join(new, keys, "full")
@@ -61,6 +81,7 @@ def merge_columns(rows: DataFrame, path: str, keys: list[str], columns: list[str
 def merge_where(rows: DataFrame, path: str, keys: list[str], where) -> None:
     """Upsert under a condition: rows replace those of equal keys where ``where`` (over the stored row's columns, and the new ones as ``new.<column>``) holds, and are inserted where there are none."""
     spark = rows.sparkSession
+    _restore(spark, path)
     old, new = spark.read.parquet(path), rows.dropDuplicates(keys).select(*keys, F.struct(*rows.columns).alias("new"))
     met = old.withColumn("__old", F.struct(*old.columns)).join(new, keys, "full")
     takes = F.col("new").isNotNull() & (F.col("__old").isNull() | F.coalesce(where, F.lit(False)))
@@ -70,6 +91,7 @@ def merge_where(rows: DataFrame, path: str, keys: list[str], where) -> None:
 def accumulate(rows: DataFrame, path: str, key: str, usage: str, updated: str, bound) -> None:
     """Counters (key, usage, updated) grow by the rows' (key, cost, at), or start again where they were last updated before ``bound`` (an expression over ``at``)."""
     spark = rows.sparkSession
+    _restore(spark, path)
     old = spark.read.parquet(path)
     met = old.join(rows.select(key, "cost", "at"), key, "full")
     known = F.when(F.col("cost").isNull(), F.col(usage)).otherwise(accumulate_or_reset(F.col(usage), F.col(updated), bound, F.col("cost")))
@@ -94,6 +116,7 @@ def upsert_periods(rows: DataFrame, path: str, by: list[str], keys: list[str]) -
 def update_from(rows: DataFrame, path: str, keys: list[str], columns: list[str]) -> None:
     """Columns of stored rows set from the rows of equal keys; rows without a stored one are left out."""
     spark = rows.sparkSession
+    _restore(spark, path)
     old = spark.read.parquet(path)
     new = rows.dropDuplicates(keys).select(*keys, F.struct(*columns).alias("__new"))
     met = old.join(new, keys, "left")
@@ -126,8 +149,10 @@ def append_history(spark: SparkSession, path: str, title: str, day: str, totals:
     out = fs.create(part, True)
     out.write(bytearray((content + f"| {day} | {' | '.join(cells)} |\n").encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(part, p)
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf).rename(part, p, options)  # in one step, where the file system has it
 
 
 def insert_ignore(rows: DataFrame, path: str, keys: list[str]) -> None:
@@ -146,6 +171,7 @@ def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
 
 def without(path: str, spark: SparkSession, retired) -> None:
     """Scoped delete: what ``retired`` (a condition) holds for is taken out."""
+    _restore(spark, path)
     _swap(spark.read.parquet(path).filter(~F.coalesce(retired, F.lit(False))), path)
 
 
