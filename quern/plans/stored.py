@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import codecs
-from quern.operators import extend
+from quern.operators import analytic, extend
 from quern.plans.registry import query
 from quern.plans.usage import U, usage
 from quern.session import load, scratch
-from quern.sources import listing, ranged, readers, writers
+from quern.sources import listing, paged, ranged, readers, writers
 from quern.streaming import counters, flow
 
 # files
@@ -84,17 +84,15 @@ def csv_round_trip(spark, d):
     return readers.read_csv(spark, path).select(F.col("id").cast("long").alias("id"), "name")
 
 
-def squares(page: int, size: int) -> list[tuple]:
-    """Pages of the numbers below 95 with their squares."""
-    return [(i, i * i) for i in range(page * size, min(95, (page + 1) * size))]
-
-
-@query("SELECT i AS id, i * i AS square FROM range(0, 95) t(i)")
+@query("SELECT s_suppkey::BIGINT AS id, s_name AS name FROM supplier")
 def paged_source(spark, d):
-    """Pages until one is not full."""
-    spark.dataSource.register(readers.PagedSource)
-    load(spark, d, "region")  # workers can import the package
-    return spark.read.format("paged").options(fetch="quern.plans.stored:squares", size="20", columns="id long, square long").load()
+    """Suppliers from pages of twenty, until one is not full."""
+    folder = scratch(spark)
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"))
+    pages = analytic.running_total(s, ["id"], F.lit(1), "place").withColumn("page", F.floor((F.col("place") - 1) / 20))
+    pages.repartition("page").sortWithinPartitions("page", "place").drop("place").write.partitionBy("page").json(folder)
+    spark.dataSource.register(paged.Pages)
+    return spark.read.format("pages").options(fetch=f"{paged.__name__}:{paged.file_page.__name__}", folder=folder, size="20", columns="id long, name string").load()
 
 
 # upserts
