@@ -50,13 +50,18 @@ class State:
         return spark.read.parquet(f"{self.path}/_manifests/{self.manifest}")
 
 
+_systems: dict[tuple, object] = {}
+
+
 def _fs(spark: SparkSession, path: str):
     """A file system of its own, which writes no checksum files beside commits."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm.org.apache.hadoop.fs.FileSystem.newInstance(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    fs.setWriteChecksum(False)
-    return fs, lambda s: jvm.org.apache.hadoop.fs.Path(s)
+    uri = jvm.org.apache.hadoop.fs.Path(path).toUri()
+    key = spark.sparkContext.applicationId, uri.getScheme(), uri.getAuthority()
+    if key not in _systems:
+        _systems[key] = jvm.org.apache.hadoop.fs.FileSystem.newInstance(uri, spark.sparkContext._jsc.hadoopConfiguration())
+        _systems[key].setWriteChecksum(False)
+    return _systems[key], lambda s: jvm.org.apache.hadoop.fs.Path(s)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
