@@ -52,6 +52,8 @@ BLOCK, SETS, MEMBERS = 1 << 19, 512, 4096
 HOT, MANY = 10_000, 1000
 #: Sketch estimates spread by about 0.023; pairs whose estimate is more than six times that below the threshold are not confirmed.
 MARGIN = 0.14
+#: Bits of the map by which most documents that stay are told before any are moved.
+MAP_BITS = 1 << 26
 _SEEDS = seeded(16, 11)
 _MIXERS = seeded(REGISTERS, 13)
 FLUSH = 1 << 20
@@ -404,6 +406,20 @@ def _crossing(edges: DataFrame, part: DataFrame, sizes: DataFrame, named: DataFr
     return store.table(met.mapInArrow(tidied(_across(k, num, den)), "a long, b long"), "links", owner)
 
 
+def _maybe(rows: DataFrame, ident: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``__may``: false where the row's id is surely none of ``ids`` (id), by a map of hashed bits that is sent to all tasks.
+
+    The map has sixteen bits for each id and ``MAP_BITS`` at most (8 MB); beyond that more rows may be among them.
+    """
+    bits = min(MAP_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    split = lambda c: [F.floor(at(c) / 32768).alias("__page"), (at(c) % 32768).alias("__spot")]
+    pages = ids.select(*split("id")).groupBy("__page").agg(F.bitmap_construct_agg("__spot").alias("__bits"))  # of 4 KB each
+    byte = "cast(conv(hex(substring(__bits, cast(__spot div 8 as int) + 1, 1)), 16, 10) as int)"
+    may = F.coalesce(F.expr(f"(shiftright({byte}, cast(__spot % 8 as int)) & 1) = 1"), F.lit(False)) & F.col(ident).isNotNull()
+    return rows.select("*", *split(ident)).join(F.broadcast(pages), "__page", "left").select(*rows.columns, may.alias("__may"))
+
+
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = 3, num: int = 85, den: int = 100, owner: str = "") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``."""
     everything = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -441,7 +457,11 @@ def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ow
     """``docs`` with one document of each group of near copies, its least; of rows that repeat its id and text one stays.  Rows without an id, and blank ones, stay."""
     found = store.table(classes(docs, "doc_id", "text", k, num, den, owner), "classes", owner)
     gone = found.filter("not kept").select(F.col("id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = store.table(gone, "gone", owner)
+    told = _maybe(docs, "doc_id", gone.select(F.col("__gone").alias("id")))
+    # only rows that may be gone are moved; all others stay where they are
+    asked = told.filter("__may").drop("__may")
+    left = told.filter("not __may").drop("__may").union(asked.join(gone, asked["doc_id"] == gone["__gone"], "left_anti"))
     again = found.filter("kept and id is not null and n_shingles > 0").groupBy(F.col("id").alias("__again")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__again")
     if again.isEmpty():
         return left

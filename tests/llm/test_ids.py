@@ -5,6 +5,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import sentencepiece
+from pyspark.sql import functions as F
 
 from quern.llm import packing, piece, tokens
 
@@ -41,3 +42,19 @@ def test_piece_ids_and_texts(odd):
         ids = library.encode(text[r.doc_id])
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_a_map_of_bits_keeps_every_id(spark, monkeypatch):
+    """Ids that are asked for all pass; of the others few do while the map has room, and any may when it has not."""
+    from quern.llm import near
+
+    rows = spark.range(-20_000, 20_000).select(F.col("id").alias("name"), F.lit("x").alias("id")).union(spark.createDataFrame([(None, "x")], "name long, id string"))
+    ids = rows.filter("name % 37 = 0").select(F.col("name").alias("id"))
+    wanted = {r.id for r in ids.collect()}
+    for most in (1 << 26, 1 << 15):
+        monkeypatch.setattr(near, "MAP_BITS", most)
+        told = near._maybe(rows, "name", ids)
+        got = {r.name for r in told.filter("__may").collect()}
+        assert wanted <= got and None not in got and len(got) < (len(wanted) * 4 if most == 1 << 26 else 5_000)
+        assert told.count() == 40_001 and told.columns == ["name", "id", "__may"]
+    assert near._maybe(rows, "name", ids.limit(0)).filter("__may").count() == 0
