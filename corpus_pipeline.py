@@ -2,6 +2,10 @@
 
 Each stage's result is written as Parquet and read again as the next one's documents.  A stage that begins deletes the
 scratch tables of the stage before, whose result is written by then.
+
+Null and blank texts have too few words for the quality rules and go there.  Rows without an id stay in the second and third
+stage and are packed like any other; of rows that repeat an id and a text one stays; ties go to the least id.  Other columns, whatever
+their names, are carried up to the packing.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
