@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 
@@ -104,8 +105,11 @@ def percent_change(now: Column, before: Column) -> Column:
 
 
 def share(x: Column, total: Column, places: int = 6) -> Column:
-    """x / total as a decimal; null where the total is not positive."""
-    return F.when(total > 0, F.round(x.cast("decimal(30,0)") / total.cast("decimal(30,0)"), places)).cast(f"decimal(18,{places})")
+    """x / total (whole numbers) as a decimal, rounded once, halves away from zero; null where the total is not positive."""
+    whole = lambda c: c.cast("decimal(20,0)")
+    over, twice = F.abs(whole(x)) * F.lit(2 * 10**places).cast("decimal(10,0)") + whole(total), whole(total) * 2
+    units = ((over - over % twice) / twice).cast("decimal(18,0)") * F.when(x < 0, -1).otherwise(1)
+    return F.when(total > 0, units * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(18,{places})")
 
 
 def throughput(tokens: Column, first_ms: Column, last_ms: Column) -> Column:
