@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.aggregate import beside, quantiles
+
 
 def ratio(rows: DataFrame, by: str, total: Column, failed: Column, least: int, threshold: float) -> DataFrame:
     """(by, total, failed, ratio in millionths, triggered); groups under ``least`` rows have ratio 0."""
@@ -19,9 +21,11 @@ def two_source_ratio(rows: DataFrame, by: str, succeeded: Column, failed: Column
 
 
 def low_median(rows: DataFrame, by: str, value: str, where: Column, least: int, threshold: float, idle: float = 999.0) -> DataFrame:
-    """(by, n, p50, triggered): the median of a value from a mergeable sketch, ``idle`` for groups with too few rows."""
+    """(by, n, p50, triggered): the lower median of a value, ``idle`` for groups with too few rows."""
     kept = rows.filter(where & F.col(value).isNotNull())
-    out = kept.groupBy(by).agg(F.count("*").alias("n"), F.percentile_approx(F.col(value).cast("double"), 0.5).alias("median"))
+    kept = kept.select(by, F.col(value).cast("double").alias("__v"))
+    out = kept.groupBy(by).agg(F.count("*").alias("n"))
+    out = beside(out, quantiles(kept, [by], {"median": ("__v", 0.5)}), [by], "left")
     return out.select(by, "n", F.when(F.col("n") >= least, F.col("median")).otherwise(idle).alias("p50")).withColumn("triggered", F.col("p50") <= threshold)
 
 

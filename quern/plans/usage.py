@@ -32,9 +32,9 @@ C = """c AS (SELECT grain, period_key, tier, model, sessions, requests, total_to
   CASE WHEN count(*) = 1 THEN max(mean) ELSE round(sum(mean * requests) / sum(requests), 2) END, CAST(sum(success_count) AS BIGINT), CAST(sum(error_count) AS BIGINT) FROM b GROUP BY grain, period_key, model)"""
 
 
-def _rolled(spark, d) -> DataFrame:
+def _rolled(spark, d, *ranked: str) -> DataFrame:
     rows = usage(spark, d).withColumn("total_tokens", F.col("k")).withColumn("total_cost", F.col("cents")).withColumn("duration", F.col("cents"))
-    return A.with_all_tier(A.aggregate(rows, ["model"]), ["grain", "period_key", "model"])
+    return A.with_all_tier(A.aggregate(rows, ["model"], ranked=ranked), ["grain", "period_key", "model"])
 
 
 @query(f"WITH {U}, {G}, {B}, {C} SELECT grain, period_key, model, sessions, requests, total_tokens, CAST(row_number() OVER (PARTITION BY grain, period_key ORDER BY total_tokens DESC, model) AS INTEGER) AS rank, CAST(floor(total_tokens * 1000000 / sum(total_tokens) OVER (PARTITION BY grain, period_key) + 0.5) AS BIGINT) AS share_ppm FROM c WHERE tier = 'all' QUALIFY row_number() OVER (PARTITION BY grain, period_key ORDER BY total_tokens DESC, model) <= 18")
@@ -46,7 +46,7 @@ def leaderboard_week_day(spark, d):
 
 @query(f"WITH {U}, {G}, {B}, {C} SELECT grain, period_key, tier, model, sessions, requests, total_tokens, total_cost, p50, success_count, error_count FROM c")
 def all_tier_rollup(spark, d):
-    return _rolled(spark, d).select("grain", "period_key", "tier", "model", "sessions", "requests", "total_tokens", "total_cost", F.col("p50_duration").alias("p50"), "success_count", "error_count")
+    return _rolled(spark, d, "p50_duration").select("grain", "period_key", "tier", "model", "sessions", "requests", "total_tokens", "total_cost", F.col("p50_duration").alias("p50"), "success_count", "error_count")
 
 
 @query(f"WITH {U}, {G}, {B}, {C} SELECT grain, period_key, model, requests, round(mean, 1) AS mean FROM c WHERE tier = 'all'")

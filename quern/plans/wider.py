@@ -34,7 +34,7 @@ _ONE = lambda c: f"coalesce(max(nullif({c}, '')), '') AS {c}"
 
 
 def _breakdown(spark, d, kind, *columns):
-    return A.breakdown(_placed(spark, d), kind).select("grain", "period_key", "tier", *columns, *_SHOWN)
+    return A.breakdown(_placed(spark, d), kind, ranked=("p50_duration", "p95_duration")).select("grain", "period_key", "tier", *columns, *_SHOWN)
 
 
 @query(f"WITH {U}, {G}, {P} SELECT grain, period_key, tier, provider, model, {_ONE('provider_model')}, {M} FROM p GROUP BY grain, period_key, tier, provider, model")
