@@ -144,9 +144,7 @@ def flat_json(rows: DataFrame, ident: str, body: str) -> DataFrame:
 def deep_diff(pairs: DataFrame, ident: str, left: str, right: str) -> DataFrame:
     """(id, path, a, b): the leaves at which two JSON texts differ."""
     named = pairs.select(F.col(ident).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(left).alias("a"), F.col(right).alias("b"))
-    side = lambda first, c: F.struct(F.lit(first).alias("first"), F.col(c).alias("body"))
-    sides = named.select("id", "row", F.inline(F.array(side(True, "a"), side(False, "b"))))
-    found = walk.leaves(sides, "body", "$").select("id", "row", "first", "path", F.to_json("value").alias("value"))
+    found = walk.unlike(named, "a", "b", "$")
     of = lambda first: F.max(F.when(F.col("first") == F.lit(first), F.col("value")))
     met = found.groupBy("row", "id", "path").agg(of(True).alias("a"), of(False).alias("b"))
     return met.filter(~F.col("a").eqNullSafe(F.col("b"))).select("id", "path", "a", "b")

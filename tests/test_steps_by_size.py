@@ -74,3 +74,19 @@ class Cell:
 def test_pages_of_one_file_are_parsed_by_many_tasks(spark, data):
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() > 4
     assert "RoundRobinPartitioning" in texts.html_parts(spark, data)._jdf.queryExecution().toString()
+
+
+def test_json_differences_are_found_without_moving_equal_leaves(spark):
+    deep = lambda x, n: x if n == 0 else {"k": deep(x, n - 1)}
+    pairs = [
+        ({"a": 1, "b": [1, {"c": None}]}, {"a": 1, "b": [1, {"c": 2}, 3]}), (deep(1, 20), deep(2, 20)), ({"a": [], "s": "[[{{"}, {"a": {}, "s": "[[{{"}),
+        ({"x": {"y": 1}}, {"x": "é\u0000z"}), (None, {"n": None}), (7, 7), ("s", [1]),
+    ]
+    text = [(i, None if a is None else json.dumps(a), None if b is None else json.dumps(b)) for i, (a, b) in enumerate(pairs)]
+    got = log.deep_diff(spark.createDataFrame(text, "id long, a string, b string"), "id", "a", "b")
+    want = {
+        (0, "$.b[1].c", "null", "2"), (0, "$.b[2]", None, "3"), (1, "$" + ".k" * 20, "1", "2"), (3, "$.x.y", "1", None), (3, "$.x", None, '"é\\u0000z"'),
+        (4, "$.n", None, "null"), (6, "$", '"s"', None), (6, "$[0]", None, "1"),
+    }
+    assert {tuple(r) for r in got.collect()} == want
+    assert "array_except" in got._jdf.queryExecution().toString()
