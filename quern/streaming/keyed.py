@@ -81,11 +81,15 @@ class _Usage(StatefulProcessor):
         self.window = handle.getValueState("window", "anchor long, usage long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
         for part in rows:
             events = list(zip(part["t"].tolist(), part["c"].tolist(), strict=True))
-            self.waiting.appendList(events)
-            for t in {t for t, _ in events}:
-                self.handle.registerTimer(t * 1000 + SHIFT_MS)
+            if events:
+                self.waiting.appendList(events)
+                first = min(t for t, _ in events)
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:  # one timer for all: when it fires, those that are left get the next
+            self.handle.registerTimer(earliest * 1000 + SHIFT_MS)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -94,7 +98,11 @@ class _Usage(StatefulProcessor):
         due = sorted(e for e in every if e[0] * 1000 + SHIFT_MS <= passed)
         if due:
             left = [e for e in every if e[0] * 1000 + SHIFT_MS > passed]
-            self.waiting.put(left) if left else self.waiting.clear()
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(min(t for t, _ in left) * 1000 + SHIFT_MS)
+            else:
+                self.waiting.clear()
             anchor, usage = self.window.get() if self.window.exists() else (None, 0)
             for t, c in due:
                 anchor, usage = (t, c) if anchor is None or anchor < t - self.seconds else (anchor, usage + c)

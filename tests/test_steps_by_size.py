@@ -71,6 +71,27 @@ class Cell:
         return iter(list(self._now().items()))
 
 
+def test_late_usage_sets_a_timer_a_batch_and_not_an_event():
+    rng, state, processor = random.Random(4), Calls(), keyed._Usage("u", 100)
+    events = [(rng.randrange(5_000), rng.randrange(9)) for _ in range(400)]
+    processor.init(state)
+    for i in range(4):
+        part = pd.DataFrame(events[i::4], columns=["t", "c"])
+        assert list(processor.handleInputRows(("a",), iter([part]), None)) == []
+    assert len(state.timers) == 4
+    seen, clock = [], 0
+    for passed in (700, 2_500, 6_000):
+        clock = passed * 1000 + keyed.SHIFT_MS
+        for at in sorted(t for t in state.timers if t <= clock):
+            state.timers.remove(at)
+            now = SimpleNamespace(getCurrentWatermarkInMs=lambda: clock)  # noqa: B023
+            seen += [tuple(r)[1:] for out in processor.handleExpiredTimer(("a",), now, None) for r in out.itertuples(index=False)]
+    anchor, usage = None, 0
+    for t, c in sorted(events):
+        anchor, usage = (t, c) if anchor is None or anchor < t - 100 else (anchor, usage + c)
+    assert seen[-1] == (anchor, usage) and len(seen) == 3 and state.calls < 80
+
+
 def test_pages_of_one_file_are_parsed_by_many_tasks(spark, data):
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() > 4
     assert "RoundRobinPartitioning" in texts.html_parts(spark, data)._jdf.queryExecution().toString()
