@@ -40,14 +40,18 @@ def by_handlers(handlers: Handlers) -> Fold:
     return fold
 
 
+#: Events, and rows, that are one value of the state: a call for each would cost more than what it moves.
+EVENTS, ROWS = 256, 16
+
+
 class _Projection(StatefulProcessor):
     def __init__(self, fold: Fold, first: int):
         self.fold, self.first = fold, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.place = handle.getValueState("place", "next long, rows long, waiting long")
-        self.rows = handle.getMapState("rows", "position long", "row string")
-        self.early = handle.getMapState("early", "seq long", "id string, kind string, data string, metadata string")
+        self.rows = handle.getMapState("rows", "part long", "rows string")
+        self.early = handle.getMapState("early", "part long", "events string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         after, count, waiting = self.place.get() if self.place.exists() else (self.first, 0, 0)
@@ -56,35 +60,57 @@ class _Projection(StatefulProcessor):
             for event in zip(*(part[c].tolist() for c in ("seq", "id", "kind", "data", "metadata")), strict=True):
                 if event[0] >= after:
                     arrived.setdefault(event[0], event[1:])
+        held: dict[int, dict] = {}
+        changed, stored, some = set(), set(), waiting > 0
+
+        def early(seq: int) -> dict:
+            """The part of the early events that ``seq`` belongs to."""
+            at = seq // EVENTS
+            if at not in held:
+                text = self.early.getValue((at,)) if some else None
+                held[at] = {} if text is None else json.loads(text[0])
+                if text is not None:
+                    stored.add(at)
+            return held[at]
+
         due = []
         while True:
-            if after in arrived:
-                due.append(arrived.pop(after))
-            elif waiting and self.early.containsKey((after,)):
-                due.append(self.early.getValue((after,)))
-                self.early.removeKey((after,))
+            waited = early(after).pop(str(after), None) if waiting else None
+            if waited is not None:
+                arrived.pop(after, None)
+                changed.add(after // EVENTS)
                 waiting -= 1
+                due.append(waited)
+            elif after in arrived:
+                due.append(arrived.pop(after))
             else:
                 break
             after += 1
         for seq, event in arrived.items():
-            if not (waiting and self.early.containsKey((seq,))):
-                self.early.updateValue((seq,), event)
+            if str(seq) not in early(seq):
+                early(seq)[str(seq)] = event
+                changed.add(seq // EVENTS)
                 waiting += 1
+        for at in changed:
+            if held[at]:
+                self.early.updateValue((at,), (json.dumps(held[at]),))
+            elif at in stored:
+                self.early.removeKey((at,))
         out: list[tuple] = []
         if due:
-            before = {k[0]: v[0] for k, v in self.rows.iterator()} if count else {}
-            now = [json.loads(before[i]) for i in range(count)]
+            parts = sorted((k[0], json.loads(v[0])) for k, v in self.rows.iterator()) if count else []
+            before = [text for _, part in parts for text in part]
+            now = [json.loads(text) for text in before]
             for ident, kind, data, metadata in due:
                 self.fold(now, ident, kind, json.loads(data or "{}"), json.loads(metadata) if metadata else None)
-            for i, r in enumerate(now):
-                text = json.dumps(r, ensure_ascii=False)
-                if before.get(i) != text:
-                    self.rows.updateValue((i,), (text,))
-                    out.append((key[0], i, "update" if i in before else "insert", text, after - 1, waiting))
-            for i in range(len(now), count):
-                self.rows.removeKey((i,))
-                out.append((key[0], i, "delete", None, after - 1, waiting))
+            texts = [json.dumps(r, ensure_ascii=False) for r in now]
+            for i, text in enumerate(texts):
+                if i >= count or before[i] != text:
+                    out.append((key[0], i, "update" if i < count else "insert", text, after - 1, waiting))
+            out += [(key[0], i, "delete", None, after - 1, waiting) for i in range(len(now), count)]
+            for at in sorted({i // ROWS for _, i, *_ in out}):
+                part = texts[at * ROWS : (at + 1) * ROWS]
+                self.rows.updateValue((at,), (json.dumps(part),)) if part else self.rows.removeKey((at,))
             count = len(now)
         if due or arrived or after != started:
             self.place.update((after, count, waiting))

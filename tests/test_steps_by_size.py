@@ -92,6 +92,32 @@ def test_late_usage_sets_a_timer_a_batch_and_not_an_event():
     assert seen[-1] == (anchor, usage) and len(seen) == 3 and state.calls < 80
 
 
+def test_early_events_and_rows_move_in_parts():
+    n, rng, state, processor = 600, random.Random(6), Calls(), projection._Projection(messages.apply, 0)
+    events = [(i, f"e{i}", "session.next.prompted", json.dumps({"prompt": {"text": f"t{i}"}, "timestamp": i}), None) for i in range(n)]
+    twice = [*events[1:], *events[1:]]
+    rng.shuffle(twice)
+    batches, table, waiting = [twice[i::4] for i in range(4)] + [[events[0]]], {}, None
+    processor.init(state)
+    for batch in batches:
+        part = pd.DataFrame(batch, columns=["seq", "id", "kind", "data", "metadata"], dtype=object)
+        for out in processor.handleInputRows(("k",), iter([part]), None):
+            for r in out.itertuples(index=False):
+                table[r.position], waiting = json.loads(r.row), r.waiting
+    assert [table[i]["text"] for i in range(n)] == [f"t{i}" for i in range(n)] and waiting == 0
+    assert not state.cells["early"] and state.calls < 200
+
+
+def test_a_repeat_of_a_waiting_event_leaves_nothing_behind():
+    state, processor = Calls(), projection._Projection(messages.apply, 0)
+    processor.init(state)
+    event = lambda i: (i, f"e{i}", "session.next.prompted", json.dumps({"prompt": {"text": "t"}, "timestamp": i}), None)
+    out = []
+    for batch in ([event(1)], [event(0), event(1)]):
+        out += [r for part in processor.handleInputRows(("k",), iter([pd.DataFrame(batch, columns=["seq", "id", "kind", "data", "metadata"], dtype=object)]), None) for r in part.itertuples(index=False)]
+    assert [r.waiting for r in out] == [0, 0] and not state.cells["early"]
+
+
 def test_pages_of_one_file_are_parsed_by_many_tasks(spark, data):
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() > 4
     assert "RoundRobinPartitioning" in texts.html_parts(spark, data)._jdf.queryExecution().toString()
