@@ -151,8 +151,13 @@ def _store(rows: DataFrame, path: str, keys: list[str], sizes: dict[int, int]) -
 def _ranges(spark: SparkSession, path: str, folder: str, keys: list[str], schema: StructType) -> DataFrame:
     """What the manifest says of the files in a folder of ``data``."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/data/{folder}")
-    key = F.struct(*keys)
-    per = rows.select(F.input_file_name().alias("file"), key.alias("key")).groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("rows"))
+    if len(keys) == 1:  # a plain value is aggregated by hash, a struct by sorting all rows; a null is less than all others
+        k = F.col(keys[0])
+        least = F.when(F.count(k) == F.count("*"), F.min(k))
+        low, high = (F.struct(x.alias(keys[0])) for x in (least, F.max(k)))
+    else:
+        low, high = F.min(F.struct(*keys)), F.max(F.struct(*keys))
+    per = rows.select(F.input_file_name().alias("file"), *keys).groupBy("file").agg(low.alias("low"), high.alias("high"), F.count("*").alias("rows"))
     return per.select(F.concat(F.lit(folder), F.element_at(F.split("file", folder), -1)).alias("file"), "low", "high", "rows")
 
 
@@ -174,6 +179,8 @@ def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     if not rest:
         return rows.distinct()
+    if len(rest) == 1:
+        return rows.groupBy(*keys).agg(F.max(rest[0]).alias(rest[0])).select(*rows.columns)
     return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*[F.col(c) if c in keys else F.col("__r")[c].alias(c) for c in rows.columns])
 
 
@@ -202,8 +209,9 @@ def merge(rows: DataFrame, path: str, keys: list[str], change: dict[str, Column]
         create(rows.select(F.struct(*rows.columns).alias("new"), F.lit(None).cast(rows.schema).alias("old")).filter(~gone).select("new.*") if insert else rows.limit(0), path, keys, note)
         return
     between = scratch(spark)
-    one_of_each(rows, keys).write.parquet(between)
-    new = _located(spark.read.schema(rows.schema).parquet(between), s) if s.files else spark.read.schema(rows.schema).parquet(between).withColumn("__at", F.lit(0).cast("long"))
+    own = one_of_each(rows, keys)
+    (_located(own, s) if s.files else own.withColumn("__at", F.lit(0).cast("long"))).write.parquet(between)
+    new = spark.read.schema(StructType(rows.schema.fields).add("__at", "long")).parquet(between)
     sizes = {r["__at"]: r["count"] for r in new.groupBy("__at").count().collect()}  # one row per touched file
     if not sizes:
         if note is not None:
@@ -213,9 +221,10 @@ def merge(rows: DataFrame, path: str, keys: list[str], change: dict[str, Column]
     touched = s.ranges(spark).join(marks, "place").select("place", "file", "rows").collect()
     for r in touched:
         sizes[r.place] += r.rows
-    old = _rows(spark, s, [r.file for r in touched])
     columns = s.schema.names
-    old = (_located(old, s) if touched else old.withColumn("__at", F.lit(0).cast("long"))).select(F.struct(*columns).alias("old"), F.col("__at").alias("__old_at"))
+    places = F.broadcast(spark.createDataFrame([(r.file, r.place) for r in touched], "__file string, __old_at long"))  # one row per touched file
+    old = _rows(spark, s, [r.file for r in touched]).withColumn("__file", F.element_at(F.split(F.input_file_name(), "/data/"), -1))
+    old = old.join(places, "__file").select(F.struct(*columns).alias("old"), "__old_at")
     new = new.select(F.struct(*rows.columns).alias("new"), "__at")
     same = F.lit(True)
     for k in keys:

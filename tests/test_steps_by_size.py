@@ -9,6 +9,7 @@ import pandas as pd
 from quern.operators import log, messages
 from quern.plans import texts
 from quern.session import spread
+from quern.sources import ranged
 from quern.streaming import keyed, projection
 
 
@@ -137,3 +138,14 @@ def test_json_differences_are_found_without_moving_equal_leaves(spark):
     }
     assert {tuple(r) for r in got.collect()} == want
     assert "array_except" in got._jdf.queryExecution().toString()
+
+
+def test_key_ranges_with_a_null_key_and_places_by_file(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    ranged.create(spark.createDataFrame([(None, 1), (3, 2), (5, None), (5, 4)], "k long, n long"), path, ["k"])
+    ranged.increment(spark.createDataFrame([(None, 10), (5, 10), (9, 10)], "k long, n long"), path, ["k"], ["n"])
+    assert {tuple(r) for r in ranged.read(spark, path).collect()} == {(None, 11), (3, 2), (5, 14), (9, 10)}
+    r = ranged.state(spark, path).ranges(spark).collect()
+    assert [(x.low.k, x.high.k, x.rows) for x in r] == [(None, 9, 4)]
+    plan = ranged._ranges(spark, path, r[0].file.split("/")[0], ["k"], ranged.state(spark, path).schema)._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan
