@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once; the arrays made from them take up to fifty times as much.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: What this worker keeps from task to task.
+_kept: list[dict] = []
 
 
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -66,10 +68,29 @@ def tidy() -> None:
         trim(0)
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, and :func:`tidy` after it: workers outlive their tasks, and allocators keep what was freed."""
+def worker_cache() -> dict:
+    """A dictionary that a worker keeps from task to task, as long as these are ``tidied(..., cached=True)``."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def forget() -> None:
+    """Empties the worker's caches."""
+    if any(_kept):
+        for cache in _kept:
+            cache.clear()
+        tidy()
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cached: bool = False):
+    """``run``, and :func:`tidy` after it: workers outlive their tasks, and allocators keep what was freed.
+
+    A worker that served another operator holds that one's caches; they go first, unless this one is ``cached`` too.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not cached:
+            forget()
         yield from run(batches)
         tidy()
 

@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
         return run
 
     named = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    done = store.table(named.mapInArrow(tidied(packed(encoded, 0, False)), _ROW), "pieces", owner)
+    done = store.table(named.mapInArrow(tidied(packed(encoded, 0, False), cached=True), _ROW), "pieces", owner)
     out, level = done.filter("sequence_id is not null"), 0
     while waiting := done.filter("sequence_id is null").agg(F.sum("length")).first()[0]:
         level, tasks = level + 1, -(-waiting // (FAN_IN * LENGTH))

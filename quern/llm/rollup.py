@@ -154,4 +154,4 @@ def count_tokens(docs: DataFrame, byte_path: str, piece_path: str, second: Colum
 
     named = docs.select(F.struct(*[docs[c] for c in carried]).alias("__kept"), F.coalesce(docs[text], F.lit("")).alias("__text"), F.coalesce(second, F.lit(False)).alias("__second"))
     kind = named.select("__kept", F.lit(0).cast("long").alias("first_tokens"), F.lit(None).cast("long").alias("second_tokens")).schema
-    return named.mapInArrow(tidied(run), kind).select("__kept.*", "first_tokens", "second_tokens")
+    return named.mapInArrow(tidied(run, cached=True), kind).select("__kept.*", "first_tokens", "second_tokens")

@@ -238,7 +238,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, ident: str = "doc_id", t
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(ident).cast("long").alias("id"), body.alias("text")).withColumn("salt", F.xxhash64("id", F.monotonically_increasing_id()))
     ranged = rows.repartitionByRange(F.col("id").asc_nulls_first(), "salt").sortWithinPartitions(F.col("id").asc_nulls_first(), "salt").select("id", "text")
-    return store.table(ranged.mapInArrow(tidied(run), "shard long, path string, docs long, ids long, first binary, last binary"), "shards", owner)
+    return store.table(ranged.mapInArrow(tidied(run, cached=True), "shard long, path string, docs long, ids long, first binary, last binary"), "shards", owner)
 
 
 def scan(shards: DataFrame, folder: str) -> DataFrame:

@@ -7,8 +7,8 @@ pre-tokenizer leaves whole, straight to the library's model, all others through
 space stands before a space, or with a NUL, are cut by a regular expression instead.  A text that holds an added token (such
 as ``<|endoftext|>``) is encoded whole by the library, which gives it the token's id.
 
-Memory: the cache is bounded by its pieces' number and bytes, and pieces over ``LONG_PIECE`` characters leave it with
-their batch.  A text over ``LONG_TEXT`` bytes is handled in parts of about that size, cut where pieces are cut; one
+Memory: the cache is bounded by its pieces' number and bytes, pieces over ``LONG_PIECE`` characters leave it with
+their batch, and all of it goes when the worker's next task does not encode.  A text over ``LONG_TEXT`` bytes is handled in parts of about that size, cut where pieces are cut; one
 without any space is one piece, which the library has to take whole.
 """
 
@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quern.llm.arrow import parts_of
+from quern.llm.arrow import parts_of, worker_cache
 
 #: Pieces kept, and their characters; when they are more, those of the batch at hand stay.
 CACHE, CACHE_CHARS = 1_000_000, 16 << 20
 LONG_PIECE = 256
 #: Text bytes handled at once, and those from which one text is cut.
-SLICE, LONG_TEXT = 8 << 20, 16 << 20
+SLICE, LONG_TEXT = 4 << 20, 16 << 20
+#: Pieces learned at once: their ids are lists until they are kept.
+LEARN = 20_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Letters that every version of Unicode knows as such, and marks that the pre-tokenizer parts from them; a line may end between two words.
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?))?")
@@ -107,10 +109,10 @@ class Encoder:
         return others
 
     def _learn(self, new: list[str]) -> None:
-        if self.words:
-            new = self._learn_words(new)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
+        for lo in range(0, len(new), LEARN):
+            part = new[lo : lo + LEARN]
+            if self.words and not (part := self._learn_words(part)):
+                continue
             got = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
             self._append(part, got.ids, np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)) if got.ids else np.zeros(len(part), np.int64))
 
@@ -161,7 +163,7 @@ class Encoder:
         return ids, np.concatenate([[0], end])[bounds]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = worker_cache()
 
 
 def encoder(path: str) -> Encoder:
